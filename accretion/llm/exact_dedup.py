@@ -25,6 +25,8 @@ from . import exchange as X
 SHARD_BITS, BITS_A_ROW = 1 << 18, 16
 #: The second filter is broadcast up to so many bytes (it has BITS_A_ROW / 8 a row); a larger one is joined by shard.
 BROADCAST_BYTES = 32 << 20
+#: Keys over which the copies of one text are spread when they are told which row stays.
+SALTS = 16
 
 
 def _shards(rows: int) -> int:
@@ -88,5 +90,7 @@ def exact_dedup(docs: DataFrame, normalised=None) -> DataFrame:
     alone = probed.where(~F.col("maybe")).select(*names, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = probed.where("maybe").drop("maybe")
     groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    again = maybe.join(groups, "text_sha256").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    # a group of any size is spread over SALTS keys; groups are at most half as many as the rows here
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    again = maybe.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(groups, ["text_sha256", "salt"]).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
     return alone.unionByName(again.select(*names, "keep_id", "group_size", "kept", "text_sha256"))

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from . import exact_dedup, substring_dedup
+from . import decontaminate, exact_dedup, line_dedup, secret_scan, simhash_dedup, substring_dedup, suffix_dedup
 from .store import table
 
 
+def op1_decontaminate(spark, sf_dir):
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")))
+
+
+def op6_simhash_dedup(spark, sf_dir):
+    return simhash_dedup.digest(simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents")))
+
+
+def op7_secret_scan(spark, sf_dir):
+    return secret_scan.digest(secret_scan.secret_scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_exact_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -17,12 +31,22 @@ def op9_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(substring_dedup.substring_dedup(table(spark, sf_dir, "documents")))
 
 
+def op10_line_dedup(spark, sf_dir):
+    return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+
+
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
+    "op10_line_dedup": line_dedup.ORACLE,
     "op8_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
