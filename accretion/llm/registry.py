@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, line_dedup, secret_scan, simhash_dedup, substring_dedup, suffix_dedup
+from . import decontaminate, exact_dedup, html_extract, line_dedup, packing, quality, secret_scan, simhash_dedup, substring_dedup, suffix_dedup
 from .store import table
 
 
@@ -10,10 +10,23 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_packing(spark, sf_dir):
+    return packing.digest(packing.packed(table(spark, sf_dir, "documents")))
+
+
 def op3_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")))
 
 
+def op4_quality(spark, sf_dir):
+    scores = quality.quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_html_extract(spark, sf_dir):
+    return html_extract.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_simhash_dedup(spark, sf_dir):
     return simhash_dedup.digest(simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents")))
 
@@ -37,7 +50,10 @@ def op10_line_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_packing": op2_packing,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_quality": op4_quality,
+    "op5_html_extract": op5_html_extract,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_exact_dedup": op8_exact_dedup,
