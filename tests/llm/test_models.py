@@ -124,13 +124,13 @@ def test_viterbi_is_the_best_path():
 
 def test_extraction_odd_pages(spark):
     pages = [
-        (1, None), (2, ""), (3, "<p>never closed <b>bold<br>next"), (4, "plain &lt;text&gt;"), (5, "<!-- open <p>x</p>"), (6, "</p></div><article><p>a&nbsp;b\n c</p>" + "<p>Long text, with a sentence. </p>" * 3000 + "</article>"),
+        (1, None), (2, ""), (3, "<p>never closed <b>bold<br>next"), (4, "plain &lt;text&gt;"), (5, "<!-- open <p>x</p>"), (6, "</p></div><article><p>The first&nbsp;sentence\n of this page\t is here, and it ends.</p>" + "<p>Long text, with a sentence. </p>" * 3000 + "</article>"),
         (7, "<script>if (a<b) {'<p>no</p>'}</script><article><p>yes it is, a sentence here.</p></article>"), (8, "< p <3 & <"),
     ]
     df = spark.createDataFrame([(a, "u", b, "z") for a, b in pages], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_extract.extracted(df).collect()}
     assert got[1].text == got[2].text == "" and got[5].text == ""
-    assert got[6].text.split("\n")[0] == "a b c" and len(got[6].text.split("\n")) == 3001
+    assert got[6].text.split("\n")[0] == "The first sentence of this page is here, and it ends." and len(got[6].text.split("\n")) == 3001
     assert got[7].text == "yes it is, a sentence here."
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert html_extract.extracted(df.limit(0)).count() == 0
