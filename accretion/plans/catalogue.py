@@ -537,7 +537,7 @@ def _changes(spark, sf):
     return journal.changes(_kinds(spark, sf), "C:", X.NOW_EVENTS)
 
 
-@query(f"WITH {_CHANGES} SELECT usn, "at", kind, is_dir, name, path, bytes, count FROM cg")
+@query(f"WITH {_CHANGES} SELECT usn, \"at\", kind, is_dir, name, path, bytes, count FROM cg")
 def journal_changes(spark, sf):
     return _changes(spark, sf)
 
@@ -581,3 +581,66 @@ def mft_extension_merge(spark, sf):
     floor = F.floor("l_extendedprice").cast("long")
     ext = X.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("base"), floor.alias("unnamed"), (F.col("l_linenumber") * 1000).cast("long").alias("named"), (floor * 2).alias("logical"), (F.col("l_linenumber") == 4).alias("wof"))
     return filetable.merged_sizes(base, ext)
+
+
+@query(f"WITH {X.EVENTS} SELECT usn, usn AS file, (usn % 1000)::BIGINT AS parent, floor(timestamp)::DOUBLE AS timestamp, reason, is_dir, name FROM ev")
+def usn_decode(spark, sf):
+    from accretion.sources import ntfs
+    from accretion.sources.readers import EVENTS, event_batch
+
+    def run(batches):
+        for b in batches:
+            yield event_batch([e for blob in b.column("content").to_pylist() for e in ntfs.journal_events(blob)[1]])
+
+    return X.usn_buffers(X.events(spark, sf)).mapInArrow(run, EVENTS).select("usn", "file", "parent", "timestamp", "reason", "is_dir", "name")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey%5=0 THEN NULL ELSE 3 END::BIGINT AS runs, CASE WHEN p_partkey%5=0 THEN NULL ELSE p_size + p_size*300 END::BIGINT AS on_disk, CASE WHEN p_partkey%5=0 THEN NULL ELSE p_size*2 + p_size*300 END::BIGINT AS clusters,
+CASE WHEN p_partkey%5=0 THEN NULL ELSE p_partkey*3 + 100000 - p_size END::BIGINT AS last_lcn FROM part""")
+def runlist_decode(spark, sf):
+    from accretion.sources.readers import run_lists
+
+    def encode(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = zip(b.column("p_partkey").to_pylist(), b.column("p_size").to_pylist(), strict=True)
+            # a list that starts before the volume can't be right
+            data = [X.run_list_bytes([s, s, s * 300], [-5 if k % 5 == 0 else k * 3 + 100000, None, -s]) for k, s in rows]
+            yield pa.RecordBatch.from_arrays([b.column("p_partkey"), pa.array(data, pa.binary())], names=["p_partkey", "data"])
+
+    rows = X.table(spark, sf, "part").select("p_partkey", "p_size").mapInArrow(encode, "p_partkey long, data binary").withColumn("r", run_lists("data"))
+    total = lambda kept: F.aggregate(F.filter("r", kept), F.lit(0).cast("long"), lambda a, x: a + x["length"])
+    there = F.col("r").isNotNull()
+    return rows.select(
+        "p_partkey", F.when(there, F.size("r").cast("long")).alias("runs"), F.when(there, total(lambda x: x["lcn"].isNotNull())).alias("on_disk"), F.when(there, total(lambda x: F.lit(True))).alias("clusters"),
+        F.when(there, F.array_max(F.transform(F.slice("r", 3, 1), lambda x: x["lcn"]))).alias("last_lcn"),
+    )
+
+
+# -- streams ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {X.EVENTS} SELECT drive, usn, kind FROM evk WHERE kind IN ('create','delete','rename_old')")
+def journal_stream_dedupe(spark, sf):
+    from accretion.streaming import journal_stream
+
+    from .scratch import scratch
+
+    target = scratch(spark, "journal")
+    rows = journal_stream.once(journal_stream.prepared(X.event_stream(spark, sf))).select("drive", "usn", "kind")
+    rows.writeStream.foreachBatch(journal_stream.sink(target)).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target).select("drive", "usn", "kind")
+
+
+@query(f"""WITH {X.EVENTS} SELECT drive, {day_sql("timestamp")} AS day, kind, count(*)::BIGINT AS events, coalesce(sum(bytes),0)::BIGINT AS bytes FROM evk WHERE kind IN ('create','delete','rename_old') GROUP BY ALL""")
+def journal_stream_daily(spark, sf):
+    from accretion.streaming import journal_stream
+
+    from .scratch import scratch
+
+    target = scratch(spark, "daily")
+    rows = journal_stream.daily(journal_stream.once(journal_stream.prepared(X.event_stream(spark, sf))))
+    put = lambda batch, _: batch.write.mode("overwrite").parquet(target)
+    rows.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target)

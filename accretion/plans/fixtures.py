@@ -140,3 +140,56 @@ def dir_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     real = rows.select(ident(F.col("path")).alias("record"), ident(P.parent("path")).alias("parent"), P.basename("path").alias("name"))
     odd = spark.createDataFrame([(101, 102, "x"), (102, 103, "y"), (103, 101, "z"), (104, 103, "below"), (105, 999, "lost"), (106, 105, "under")], "record long, parent long, name string")
     return real.unionByName(odd)
+
+
+# -- bytes and streams --------------------------------------------------------------------------------------------------
+
+
+def usn_record(usn: int, file_ref: int, parent_ref: int, ticks: int, reason: int, attributes: int, name: str, major: int = 2) -> bytes:
+    """One journal record, padded to eight bytes."""
+    import struct
+
+    text = name.encode("utf-16-le")
+    head = 60 if major == 2 else 76
+    size = (head + len(text) + 7) // 8 * 8
+    refs = struct.pack("<QQ", file_ref, parent_ref) if major == 2 else struct.pack("<QQQQ", file_ref, 0, parent_ref, 0)
+    body = struct.pack("<IHH", size, major, 0) + refs + struct.pack("<qqIIIIHH", usn, ticks, reason, 0, 0, attributes, len(text), head) + text
+    return body.ljust(size, b"\0")
+
+
+def usn_buffers(events_: DataFrame) -> DataFrame:
+    """(content binary): the events of each batch as one journal buffer."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = b.to_pylist()
+            body = b"".join(usn_record(r["usn"], r["usn"] + (3 << 48), r["usn"] % 1000 + (5 << 48), r["ticks"], r["reason"], 0, r["name"], 2 + r["usn"] % 2) for r in rows)
+            last = max((r["usn"] for r in rows), default=0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([last.to_bytes(8, "little") + body], pa.binary())], names=["content"])
+
+    ticks = ((F.floor("timestamp") + 11_644_473_600) * 10_000_000).cast("long")
+    return events_.select("usn", ticks.alias("ticks"), "reason", "name").mapInArrow(run, "content binary")
+
+
+def run_list_bytes(lengths: list[int], steps: list[int | None]) -> bytes:
+    out = b""
+    for n, step in zip(lengths, steps, strict=True):
+        wide = max(1, (n.bit_length() + 7) // 8)
+        far = 0 if step is None else max(1, (step.bit_length() + 8) // 8)
+        out += bytes([wide | far << 4]) + n.to_bytes(wide, "little") + (b"" if step is None else step.to_bytes(far, "little", signed=True))
+    return out + b"\0"
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream in which every other event comes twice."""
+    schema = table(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    e = raw.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    reason = F.when(F.col("event_type") == "error", F.lit(2147484160)).when(F.col("event_type") == "signup", F.lit(256)).when(F.col("event_type") == "purchase", F.lit(4096)).when(F.col("event_type") == "click", F.lit(8192)).otherwise(F.lit(2)).cast("long")
+    rows = e.select(
+        F.when(F.col("user_id") % 2 == 0, "C:").otherwise("D:").alias("drive"), F.col("event_id").alias("usn"), S.seconds("ts").alias("timestamp"), reason.alias("reason"), F.when(F.col("k") % 3 != 0, F.floor(F.col("value") * 100 + 0.5).cast("long")).alias("bytes"),
+        F.explode(F.when(F.col("event_id") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    return rows.drop("copy")

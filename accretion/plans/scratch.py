@@ -1,0 +1,17 @@
+"""A folder that driver and executors share, for tables between jobs."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir; under a temporary folder only where that is unset."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="accretion-")
+        spark.sparkContext.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/accretion/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

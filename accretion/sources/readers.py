@@ -13,12 +13,11 @@ import json
 import os
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-from accretion.functions.reasons import STORED_KINDS  # noqa: F401  (what a caller filters a journal by)
-
 from . import ntfs
 
 RECORDS = (
@@ -135,17 +134,21 @@ def journal_buffers(spark: SparkSession, path: str) -> DataFrame:
     """Events of files that each hold one journal buffer."""
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for b in batches:
-            rows = [e for blob in b.column("content").to_pylist() for e in ntfs.journal_events(blob)[1]]
-            columns = [[_signed(r[c]) if c.endswith("_full") else r[c] for r in rows] for c in EVENT_FIELDS]
-            kinds = [pa.int64()] * 5 + [pa.float64(), pa.int64(), pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=EVENT_FIELDS)
+            yield event_batch([e for blob in b.column("content").to_pylist() for e in ntfs.journal_events(blob)[1]])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, EVENTS)
 
 
+def event_batch(rows: list[dict]):
+    """Decoded events as an Arrow batch of EVENTS."""
+    import pyarrow as pa
+
+    columns = [[_signed(r[c]) if c.endswith("_full") else r[c] for r in rows] for c in EVENT_FIELDS]
+    kinds = [pa.int64()] * 5 + [pa.float64(), pa.int64(), pa.bool_(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=EVENT_FIELDS)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -224,8 +227,6 @@ def register(spark: SparkSession) -> None:
 
 def run_lists(column: str):
     """A column of run-list bytes as array<struct<vcn, lcn, length>>; null where it is broken."""
-    import pandas as pd
-
     @F.pandas_udf("array<struct<vcn:bigint,lcn:bigint,length:bigint>>")
     def decode(data: pd.Series) -> pd.Series:
         def one(x):
@@ -237,3 +238,13 @@ def run_lists(column: str):
         return data.map(one)
 
     return decode(column)
+
+
+def image_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Scan entries of a volume image."""
+    from accretion.operators import filetable
+
+    raw = spark.read.format("filetable").load(path).persist()  # read once, used three times
+    entries = filetable.merged_sizes(raw.where("kind = 'entry'"), raw.where("kind = 'extension'"))
+    paths = filetable.resolved_paths(raw.where("kind = 'entry' AND is_dir").select("record", "parent", "name"))
+    return filetable.as_entries(entries, paths)
