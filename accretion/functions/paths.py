@@ -79,7 +79,7 @@ def attribution(path: Column | str, parts: int = 3) -> Column:
 
 def relative(raw: Column | str) -> Column:
     r"""A user's path in this form: slashes turned, a drive and outer separators dropped."""
-    turned = F.regexp_replace(F.trim(as_column(raw)), "/", r"\\\\")
+    turned = F.replace(F.trim(as_column(raw)), F.lit("/"), F.lit(SEP))
     return F.regexp_replace(F.regexp_replace(turned, r"^[A-Za-z]:(?=\\|$)", ""), r"^\\+|\\+$", "")
 
 

@@ -46,9 +46,9 @@ def merged_sizes(entries: DataFrame, extensions: DataFrame) -> DataFrame:
     Of a compressed file only named streams take space; sizes are the larger of what the base record and the extensions
     have, so a base is never lowered. Directories keep theirs, extensions without a base are dropped.
     """
-    parts = extensions.groupBy("base").agg(F.sum("unnamed").alias("u"), F.sum("named").alias("n"), F.sum("logical").alias("l"), F.bool_or("wof").alias("w"))
-    out = entries.join(parts, entries.record == parts.base, "left")
-    there = F.col("base").isNotNull() & ~F.col("is_dir")
+    parts = extensions.groupBy(F.col("base").alias("of")).agg(F.sum("unnamed").alias("u"), F.sum("named").alias("n"), F.sum("logical").alias("l"), F.bool_or("wof").alias("w"))
+    out = entries.join(parts, entries.record == parts.of, "left")
+    there = F.col("of").isNotNull() & ~F.col("is_dir")
     wof = F.col("wof") | F.coalesce("w", F.lit(False))
     size = F.when(wof, F.col("n")).otherwise(F.col("u") + F.col("n"))
     new = {

@@ -72,9 +72,15 @@ class Store:
         """Replace the partition that rows came from: over a copy, as a table can't be read and overwritten at once."""
         copy = self.path(f"_rewrite_{table}")
         rows.write.mode("overwrite").parquet(copy)
-        self._put(self.spark.read.parquet(copy), table)
+        self._replace(self.spark.read.parquet(copy), table)
         self._delete(copy)
 
+    def _replace(self, rows: DataFrame, table: str) -> None:
+        if table in TABLES:
+            self._put(rows, table)
+        else:
+            rows.write.mode("overwrite").parquet(self.path(table))
+
     def _delete(self, path: str) -> None:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
