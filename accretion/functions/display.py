@@ -19,14 +19,14 @@ def _scaled(n: Column, shown) -> Column:
 def size_text(n: Column | str) -> Column:
     """1,023.4 MB; whole bytes below a kilobyte; a dash for unknown."""
     n = (F.col(n) if isinstance(n, str) else n).cast("double")
-    return F.coalesce(_scaled(n, lambda v, u: F.format_string("%d B", v.cast("long")) if u == "B" else F.format_string(f"%,.1f {u}", v)), F.lit("—"))
+    return F.when(n.isNull(), F.lit("—")).otherwise(_scaled(n, lambda v, u: F.format_string("%d B", v.cast("long")) if u == "B" else F.format_string(f"%,.1f {u}", v)))
 
 
 def short_size_text(n: Column | str) -> Column:
     """Like size_text, but one decimal only below ten units, none above."""
     n = (F.col(n) if isinstance(n, str) else n).cast("double")
-    text = _scaled(F.abs(n), lambda v, u: F.format_string("%.0f B", F.floor(v + 0.5)) if u == "B" else F.when(v < 10, F.format_string(f"%.1f {u}", v)).otherwise(F.format_string(f"%.0f {u}", F.floor(v + 0.5))))
-    return F.coalesce(F.concat(F.when(n < 0, F.lit("−")).otherwise(F.lit("")), text), F.lit("—"))
+    text = _scaled(F.abs(n), lambda v, u: F.format_string("%.0f B", F.floor(v + 0.5).cast("double")) if u == "B" else F.when(v < 10, F.format_string(f"%.1f {u}", v)).otherwise(F.format_string(f"%.0f {u}", F.floor(v + 0.5).cast("double"))))
+    return F.when(n.isNull(), F.lit("—")).otherwise(F.concat(F.when(n < 0, F.lit("−")).otherwise(F.lit("")), text))
 
 
 def signed_size_text(n: Column | str) -> Column:
