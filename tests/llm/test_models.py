@@ -80,8 +80,8 @@ def test_trees_against_plain_descent():
 
 def test_statistics_of_a_text_alone():
     texts = ["", "a", "One two two.\n\nTWO!! ***\n", "é " * 50, "x" * 3000, " \n "]
-    together = quality.featured(*hashing.text_buffers(pa.array(texts)))
-    alone = np.concatenate([quality.featured(*hashing.text_buffers(pa.array([t]))) for t in texts])
+    together = quality.featured(pa.array(texts))
+    alone = np.concatenate([quality.featured(pa.array([t])) for t in texts])
     assert np.allclose(together, alone) and np.isfinite(together).all()
 
 
