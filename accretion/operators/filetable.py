@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accretion.functions import paths as P
+from accretion.scratch import scratch
 
 ROOT, FIRST_USER = 5, 16
-MOST_STEPS = 40
+#: Joins at most: a path of 32,767 characters has no more than 2^15 parts, so a longer chain is a cycle.
+MOST_STEPS = 15
 
 
 def resolved_paths(dirs: DataFrame, root: int = ROOT) -> DataFrame:
@@ -22,19 +24,21 @@ def resolved_paths(dirs: DataFrame, root: int = ROOT) -> DataFrame:
     known = base.select(F.col("record").alias("r"))
     # a parent that isn't there is -1, the root 0 steps above itself
     state = base.join(known, base.parent == known.r, "left").select(
-        "record", F.col("name").alias("path"), F.when(F.col("parent") == root, F.lit(-2)).when(F.col("r").isNull(), F.lit(-1)).otherwise(F.col("parent")).alias("up"), F.lit(1).cast("long").alias("steps")
+        "record", F.col("name").alias("path"), F.when(F.col("parent") == root, F.lit(-2)).when(F.col("r").isNull(), F.lit(-1)).otherwise(F.col("parent")).alias("up")
     )
     count, k = base.count(), 1
     while k <= max(1, count) and k < 2**MOST_STEPS:
         above = state.select(F.col("record").alias("r"), F.col("path").alias("p"), F.col("up").alias("u"))
         # paths of cycles would double for ever; where a chain is longer than any real one, only where it leads matters
         grown = F.when(F.col("r").isNull(), F.col("path")).when(F.length("path") + F.length("p") > 32_767, F.col("path")).otherwise(F.concat("p", F.lit(P.SEP), "path"))
-        state = state.join(above, F.col("up") == F.col("r"), "left").select("record", grown.alias("path"), F.coalesce("u", "up").alias("up"), "steps")
+        state = state.join(above, F.col("up") == F.col("r"), "left").select("record", grown.alias("path"), F.coalesce("u", "up").alias("up"))
         k *= 2
-        if k >= 8:
-            state = state.checkpoint() if dirs.sparkSession.sparkContext.getCheckpointDir() else state
-            if not state.where("up >= 0").limit(1).count():
-                break
+        # each join reads the last state twice, so without a table in between plans would double, too
+        path = scratch(dirs.sparkSession, "paths")
+        state.write.parquet(path)
+        state = dirs.sparkSession.read.parquet(path)
+        if not state.where("up >= 0").limit(1).count():
+            break
     found = state.select("record", F.when(F.col("up") == -2, F.col("path")).alias("path"), F.when(F.col("up") == -2, "ok").when(F.col("up") == -1, "orphan").otherwise("cycle").alias("state"))
     at_root = dirs.sparkSession.range(1).select(F.lit(root).cast("long").alias("record"), F.lit("").alias("path"), F.lit("ok").alias("state"))
     return found.unionByName(at_root)

@@ -20,7 +20,7 @@ def _order():
 def biggest_dirs(dirs: DataFrame, limit: int = 30, max_depth: int = 6, rules=R.RULES) -> DataFrame:
     """The largest directories, none within another; picked from the limit * 6 largest, so there may be fewer than limit."""
     top = dirs.where(F.col("depth").between(1, max_depth)).orderBy(*_order()).limit(limit * 6)
-    out = suppressed(top, _order()).withColumn("hint", R.classify("path", rules)).orderBy(*_order()).limit(limit)
+    out = suppressed(top).withColumn("hint", R.classify("path", rules)).orderBy(*_order()).limit(limit)
     return out.select("path", "bytes", "files", F.col("newest_mtime").alias("newest"), "hint.rule", "hint.safety")
 
 
@@ -34,7 +34,7 @@ def recently_grown(dirs: DataFrame, now: float, days: int = 14, limit: int = 25,
     fresh = (F.col("depth") >= 1) & (F.col("newest_ctime") >= now - days * 86400) & (F.col("newest_ctime") <= S.ceiling(now)) & (F.col("bytes") >= min_bytes)
     top = dirs.where(fresh).orderBy(*_order()).limit(limit * 4)
     age = F.when(F.col("newest_ctime") != 0, F.greatest(F.lit(0.0), S.age_days("newest_ctime", now)))
-    return suppressed(top, _order()).orderBy(*_order()).limit(limit).select("path", "bytes", F.col("newest_ctime").alias("newest"), age.alias("days_old"))
+    return suppressed(top).orderBy(*_order()).limit(limit).select("path", "bytes", F.col("newest_ctime").alias("newest"), age.alias("days_old"))
 
 
 def cleanup_candidates(dirs: DataFrame, files: DataFrame, limit: int = 40, min_bytes: int = CLEANUP_BYTES, rules=R.RULES) -> DataFrame:
@@ -43,7 +43,7 @@ def cleanup_candidates(dirs: DataFrame, files: DataFrame, limit: int = 40, min_b
 
     hint = R.classify("path", rules)
     named = dirs.where((F.col("depth") >= 1) & (F.col("bytes") >= min_bytes)).withColumn("hint", hint).where("hint IS NOT NULL")
-    found = suppressed(named, _order()).select("path", "bytes", "files", F.col("newest_mtime").alias("newest"), "hint.rule", "hint.safety")
+    found = suppressed(named).select("path", "bytes", "files", F.col("newest_mtime").alias("newest"), "hint.rule", "hint.safety")
     loose = files.where(F.col("bytes") >= min_bytes).withColumn("hint", hint).where("hint IS NOT NULL")
     # a file that a found directory holds, or that bears its path, doesn't count again
     held = loose.select("path", F.explode(P.ancestors_and_self("path")).alias("up")).where("up <> ''").join(found.select(F.col("path").alias("up")), "up", "left_semi").select("path").distinct()

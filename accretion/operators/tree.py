@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accretion.functions import paths as P
@@ -87,16 +87,20 @@ def select_files(entries: DataFrame, now: float, min_bytes: int = FILE_BYTES, re
     return entries.where(~F.col("is_dir") & (F.col("bytes") > 0) & keep).select("path", "bytes", F.col("modified").alias("mtime"), F.col("created").alias("ctime")).orderBy(F.desc("bytes"), "path").limit(cap)
 
 
-def suppressed(rows: DataFrame, order: Sequence[Column], by: Sequence[str] = (), with_rank: bool = False) -> DataFrame:
-    """Rows of which no ancestor comes earlier in the order: what picking one by one below nobody picked gives.
+def first_by_size() -> Column:
+    """Largest first; a directory sorts before what is in it, so it wins ties."""
+    return F.struct((-F.col("bytes")).alias("size"), F.col("path").alias("path"))
 
-    An earlier ancestor was either picked or is itself below one that was; so no loop is needed, only an anti-join on
-    ancestors by rank. The rank is a number for each row, given by one sort of the candidates.
+
+def suppressed(rows: DataFrame, key: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Rows of which no ancestor comes earlier, by ascending key: what picking one by one below nobody picked gives.
+
+    An earlier ancestor was either picked or is itself below one that was; so neither a loop nor a rank is needed, only an
+    anti-join on ancestors with earlier keys.
     """
     by = list(by)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    up = ranked.select(*by, F.col("path").alias("up"), F.col("rank").alias("up_rank"))
-    below = ranked.select(*by, "path", "rank", F.explode(P.ancestors("path", with_root=False)).alias("up"))
-    covered = below.join(up, [*by, "up"]).where("up_rank < rank").select(*by, "path", "rank").distinct()
-    out = ranked.join(covered, [*by, "path", "rank"], "left_anti")
-    return out if with_rank else out.drop("rank")
+    keyed = rows.withColumn("own_key", first_by_size() if key is None else key)
+    up = keyed.select(*by, F.col("path").alias("up"), F.col("own_key").alias("up_key"))
+    below = keyed.select(*by, "path", "own_key", F.explode(P.ancestors("path", with_root=False)).alias("up"))
+    covered = below.join(up, [*by, "up"]).where("up_key < own_key").select(*by, "path").distinct()
+    return rows.join(covered, [*by, "path"], "left_anti")

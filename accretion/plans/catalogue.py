@@ -625,7 +625,7 @@ def runlist_decode(spark, sf):
 def journal_stream_dedupe(spark, sf):
     from accretion.streaming import journal_stream
 
-    from .scratch import scratch
+    from accretion.scratch import scratch
 
     target = scratch(spark, "journal")
     rows = journal_stream.once(journal_stream.prepared(X.event_stream(spark, sf))).select("drive", "usn", "kind")
@@ -637,7 +637,7 @@ def journal_stream_dedupe(spark, sf):
 def journal_stream_daily(spark, sf):
     from accretion.streaming import journal_stream
 
-    from .scratch import scratch
+    from accretion.scratch import scratch
 
     target = scratch(spark, "daily")
     rows = journal_stream.daily(journal_stream.once(journal_stream.prepared(X.event_stream(spark, sf))))
