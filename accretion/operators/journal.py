@@ -144,3 +144,26 @@ def enriched(events: DataFrame, files: DataFrame, snapshots: DataFrame, limit: i
         out = out.withColumn("wants", F.col("wants") & (nth <= limit))
     out = out.join(sizes, ["drive", "path"], "left").withColumn("bytes", F.when(F.col("wants"), F.col("found")).otherwise(F.col("bytes")))
     return out.select(*events.columns)
+
+
+def kept_last(held: DataFrame, new: DataFrame, order: str = "updated_at") -> DataFrame:
+    """One row for each drive after an upsert: the latest; of equally late ones the new one."""
+    both = held.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return both.groupBy("drive").agg(F.max_by(F.struct(*held.columns), F.struct(order, "_new")).alias("s")).select("s.*")
+
+
+def read_outcome(drive: str, at: float, error: str | None = None) -> tuple:
+    """(drive, available, reason, updated_at) of a reading: a success clears what failed before."""
+    return drive, error is None, error, at
+
+
+def references_to_ask(events: DataFrame, dir_paths: DataFrame, asked: DataFrame) -> DataFrame:
+    """(reference) of parents that neither a scan nor an earlier question knows, each once; what was asked in vain isn't asked again."""
+    refs = events.select("parent_full").distinct()
+    refs = refs.join(dir_paths.select(F.col("record").alias("rec")), R.record_number("parent_full") == F.col("rec"), "left_anti")
+    return refs.join(asked.select(F.col("reference").alias("ref")), F.col("parent_full") == F.col("ref"), "left_anti").select(F.col("parent_full").alias("reference"))
+
+
+def collected(batch: DataFrame) -> DataFrame:
+    """Counts of one reading by drive: (events_read, first_usn, last_usn, no_time)."""
+    return batch.groupBy("drive").agg(F.count(F.lit(1)).alias("events_read"), F.min("usn").alias("first_usn"), F.max("usn").alias("last_usn"), F.count_if(F.col("timestamp").isNull()).alias("no_time"))

@@ -121,3 +121,15 @@ class Store:
             return False
         self._rewrite(self.read(table).repartition("drive", "snapshot_id") if table in TABLES else self.read(table).coalesce(1), table)
         return True
+
+    def rules_boundary(self) -> int:
+        """The first snapshot id that counts bytes by today's rules: set once, to one more than any id there was."""
+        if not self._exists("meta"):
+            top = self.read("snapshots").agg(F.max("id")).first()[0] if self._exists("snapshots") else 0
+            self.spark.createDataFrame([("byte_rules", str((top or 0) + 1))], "key string, value string").coalesce(1).write.parquet(self.path("meta"))
+        return int(self.read("meta").where("key = 'byte_rules'").first().value)
+
+    def size(self) -> int:
+        """Bytes of all tables."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.root).select("length")
+        return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]

@@ -134,3 +134,11 @@ def with_journal(days: DataFrame, journal: DataFrame) -> DataFrame:
     """Each day with what the journal saw on it, 0 where it saw nothing."""
     out = days.join(journal, ["drive", "day"], "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in journal.columns if c not in ("drive", "day")})
+
+
+def viewport(days: DataFrame, center: str, width: int) -> DataFrame:
+    """The width days around center, moved so that they stay on each drive's axis."""
+    axis = Window.partitionBy("drive").orderBy("day")
+    out = days.withColumns({"at": F.row_number().over(axis), "n": F.count(F.lit(1)).over(Window.partitionBy("drive")), "mid": F.count_if(F.col("day") <= center).over(Window.partitionBy("drive"))})
+    first = F.greatest(F.lit(1), F.least(F.col("mid") - width // 2, F.col("n") - width + 1))
+    return out.where(F.col("at").between(first, first + width - 1)).drop("at", "n", "mid")

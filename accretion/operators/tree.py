@@ -104,3 +104,18 @@ def suppressed(rows: DataFrame, key: Column | None = None, by: Sequence[str] = (
     below = keyed.select(*by, "path", "own_key", F.explode(P.ancestors("path", with_root=False)).alias("up"))
     covered = below.join(up, [*by, "up"]).where("up_key < own_key").select(*by, "path").distinct()
     return rows.join(covered, [*by, "path"], "left_anti")
+
+
+def level_total(dirs: DataFrame, path: str) -> DataFrame:
+    """(path, total): the directory's bytes, or where it has no row those of its children."""
+    kids = children(dirs, path).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("below"))
+    own = dirs.where(F.col("path") == path).agg(F.max("bytes").alias("own"))
+    return own.join(F.broadcast(kids), F.lit(True)).select(F.lit(path).alias("path"), F.coalesce("own", "below").alias("total"))
+
+
+def counted(entries: DataFrame, name: str = "scan"):
+    """(entries, observation): counts that come with whatever job reads the entries; observation.get waits for it."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return entries.observe(seen, F.count(F.lit(1)).alias("entries"), F.count_if("is_dir").alias("dirs"), F.sum("bytes").alias("bytes")), seen

@@ -618,6 +618,37 @@ def runlist_decode(spark, sf):
     )
 
 
+@query(f"""WITH {X.EVENTS}, h AS (SELECT drive, usn % 7 AS slot, usn, timestamp FROM ev), k AS (SELECT drive || slot AS drive, max(usn) AS next_usn FROM h GROUP BY 1) SELECT drive, next_usn FROM k""")
+def cursor_upsert(spark, sf):
+    rows = X.events(spark, sf).select(F.concat("drive", (F.col("usn") % 7).cast("string")).alias("drive"), F.col("usn").alias("next_usn"), F.col("usn").cast("double").alias("updated_at"))
+    return journal.kept_last(rows.where("next_usn % 2 = 0"), rows.where("next_usn % 2 = 1")).select("drive", "next_usn")
+
+
+@query("""SELECT DISTINCT (user_id % 50) + 7 * 281474976710656 AS reference FROM events WHERE (user_id % 50) % 7 <> 0 AND (user_id % 50) % 3 = 2""")
+def lookup_references(spark, sf):
+    e = X.table(spark, sf, "events").select((F.col("user_id") % 50 + 7 * (1 << 48)).alias("parent_full"))
+    ids = spark.range(50)
+    known = ids.where("id % 7 = 0 OR id % 3 = 0").select(F.col("id").alias("record"))
+    asked = ids.where("id % 3 = 1").select((F.col("id") + 7 * (1 << 48)).alias("reference"), F.lit(None).cast("string").alias("path"))
+    return journal.references_to_ask(e, known, asked)
+
+
+@query(f"WITH {E_DIRS} SELECT path, bytes AS total FROM dirs WHERE path = 'ASIA'")
+def tree_level_total(spark, sf):
+    return tree.level_total(tree.rollup(X.entries(spark, sf), X.NOW_ENTRIES), "ASIA")
+
+
+@query(f"""WITH {_TIMELINE}, v AS (SELECT *, row_number() OVER (PARTITION BY drive ORDER BY day) AS at_, count(*) OVER (PARTITION BY drive) AS n, count(*) FILTER (day <= '1999-01-25') OVER (PARTITION BY drive) AS mid FROM tl)
+SELECT drive, day, basis, added FROM v WHERE at_ BETWEEN greatest(1, least(mid - 15, n - 29)) AND greatest(1, least(mid - 15, n - 29)) + 29""")
+def timeline_viewport(spark, sf):
+    return T.viewport(_timeline(spark, sf), "1999-01-25", 30).select("drive", "day", "basis", "added")
+
+
+@query(f"WITH {X.EVENTS} SELECT drive, count(*)::BIGINT AS events_read, min(usn) AS first_usn, max(usn) AS last_usn, 0::BIGINT AS no_time FROM ev GROUP BY drive")
+def journal_counts(spark, sf):
+    return journal.collected(X.events(spark, sf))
+
+
 # -- streams ------------------------------------------------------------------------------------------------------------
 
 

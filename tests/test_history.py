@@ -172,6 +172,7 @@ def test_store(spark, tmp_path):
         rows = [("a\\b\\c\\d\\small", False, i, noon(i), None), ("a\\f", False, 100 * i, noon(i), None)]
         store.commit(spark.createDataFrame(rows, schema), i, "C:", noon(i), "scandir", limits=limits)
     assert [r.id for r in N.listed(store.snapshots()).collect()] == [3, 2, 1]
+    assert store.rules_boundary() == 4 and store.rules_boundary() == 4 and store.size() > 0
     assert {r.bytes for r in store.read("dirs").where("path = ''").collect()} == {101, 202, 303}
     assert store.demote("C:", 3) == 2 and store.demote("C:", 3) == 0
     assert {(r.snapshot_id) for r in store.read("files").select("snapshot_id").distinct().collect()} == {3}
