@@ -86,16 +86,25 @@ def hashes_of_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base
 
 
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of an Arrow string column without nulls; offsets start at 0."""
+    """(bytes, offsets) of an Arrow string column without nulls, not copied if it is in one piece; offsets start at 0."""
     import pyarrow as pa
 
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    column = column.cast(pa.large_string())
     if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_string())
+        column = column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.cast(pa.large_string()).chunks) if column.num_chunks else pa.array([], pa.large_string())
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def pieces(column, step: int = 1 << 20):
+    """text_buffers() of some rows at a time, of about step bytes together: numpy's temporary arrays are many times a text's size."""
+    data, offsets = text_buffers(column)
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + step, side="right")) - 1))
+        yield data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        i = j

@@ -93,15 +93,9 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack(columns, axis=1).astype(np.float32)
 
 
-def featured(data: np.ndarray, offsets: np.ndarray, step: int = 1 << 21) -> np.ndarray:
-    """statistics() of about step bytes at a time."""
-    out, i = [np.zeros((0, len(NAMES)), np.float32)], 0
-    while i < len(offsets) - 1:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + step, side="right")) - 1)
-        j = min(j, i + 4096)
-        out.append(statistics(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-        i = j
-    return np.concatenate(out)
+def featured(column) -> np.ndarray:
+    """statistics() of an Arrow column of texts, some of them at a time."""
+    return np.concatenate([np.zeros((0, len(NAMES)), np.float32), *(statistics(*p) for p in H.pieces(column))])
 
 
 @dataclass
@@ -177,7 +171,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = featured(*H.text_buffers(b.column("text")))
+            x = featured(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "y", "x"])
 
     got = rows.mapInArrow(run, "doc_id long, y double, x array<float>").toArrow()
@@ -194,7 +188,7 @@ def scored(docs: DataFrame, trees: Trees) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = b.column(names.index("text"))
-            x = featured(*H.text_buffers(text.fill_null("")))
+            x = featured(text.fill_null("") if text.null_count else text)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(trees.score(x))], names=[*names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
