@@ -34,7 +34,7 @@ def _shards(rows: int) -> int:
 
 
 def _shard_of(shards: int):
-    return F.pmod(F.shiftrightunsigned("h", 40), F.lit(shards)).cast("int")
+    return F.pmod(F.shiftrightunsigned("_h", 40), F.lit(shards)).cast("int")
 
 
 def second_filter(hashes: DataFrame, shards: int) -> DataFrame:
@@ -77,20 +77,20 @@ def exact_dedup(docs: DataFrame, normalised=None) -> DataFrame:
     docs = docs.drop(*clash)
     names = docs.columns
     text = F.coalesce(F.col("text") if normalised is None else normalised, F.lit(""))
-    hashed = docs.withColumn("h", F.xxhash64(text))
+    hashed = docs.withColumn("_h", F.xxhash64(text))
     rows = docs.count()
     shards = _shards(rows)
-    found = second_filter(hashed.select("h"), shards)
+    found = second_filter(hashed.select(F.col("_h").alias("h")), shards).select(F.col("shard").alias("_shard"), F.col("words").alias("_words"))
     if shards * SHARD_BITS // 8 <= BROADCAST_BYTES:
         found = F.broadcast(found)
-    bit = lambda k: F.pmod(F.shiftright("h", 20 * k) if k else F.col("h"), F.lit(SHARD_BITS))
-    is_set = lambda k: F.getbit(F.element_at("words", (F.shiftright(bit(k), 6) + 1).cast("int")), F.pmod(bit(k), F.lit(64)).cast("int")) == 1
-    probed = hashed.withColumn("shard", _shard_of(shards)).join(found, "shard", "left").withColumn("maybe", F.coalesce(is_set(0) & is_set(1), F.lit(False)))
-    probed = probed.select(*names, "maybe", F.sha2(text.cast("binary"), 256).alias("text_sha256"))
-    alone = probed.where(~F.col("maybe")).select(*names, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    maybe = probed.where("maybe").drop("maybe")
+    bit = lambda k: F.pmod(F.shiftright("_h", 20 * k) if k else F.col("_h"), F.lit(SHARD_BITS))
+    is_set = lambda k: F.getbit(F.element_at("_words", (F.shiftright(bit(k), 6) + 1).cast("int")), F.pmod(bit(k), F.lit(64)).cast("int")) == 1
+    probed = hashed.withColumn("_shard", _shard_of(shards)).join(found, "_shard", "left").withColumn("_maybe", F.coalesce(is_set(0) & is_set(1), F.lit(False)))
+    probed = probed.select(*names, "_maybe", F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+    alone = probed.where(~F.col("_maybe")).select(*names, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    maybe = probed.where("_maybe").drop("_maybe")
     groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     # a group of any size is spread over SALTS keys; groups are at most half as many as the rows here
-    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    again = maybe.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(groups, ["text_sha256", "salt"]).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    again = maybe.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(groups, ["text_sha256", "_salt"]).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
     return alone.unionByName(again.select(*names, "keep_id", "group_size", "kept", "text_sha256"))

@@ -110,14 +110,14 @@ def entropy_spans(text: Column, kind: int, characters: str, least: float) -> Col
 
 def secret_scan(docs: DataFrame) -> DataFrame:
     """docs with base and found: spans (start, kind as a place in KINDS, end, value), ascending by start, then kind."""
-    docs = docs.drop("base", "found", "scanned")
-    text = F.col("scanned")
-    docs = docs.withColumn("scanned", F.coalesce("text", F.lit("")))
+    docs = docs.drop("base", "found")
+    text = F.col("_scanned")
+    docs = docs.withColumn("_scanned", F.coalesce("text", F.lit("")))
     none = F.array().cast(SPAN)
     base = F.concat(*[F.when(F.rlike(text, F.lit(_long_enough(p, n))), found(text, i, _long_enough(p, n), g, n)).otherwise(none) for i, (_, p, g, n) in enumerate(BASE)])
     added = F.concat(*[F.when(F.rlike(text, F.lit(candidate(c))), entropy_spans(text, len(BASE) + i, c, least)).otherwise(none) for i, (_, c, least) in enumerate(CLASSES)])
-    docs = docs.withColumn("base", F.array_sort(base)).withColumn("added", added)
-    return docs.withColumn("found", F.array_sort(F.concat("base", "added"))).drop("added", "scanned")
+    docs = docs.withColumn("base", F.array_sort(base)).withColumn("_added", added)
+    return docs.withColumn("found", F.array_sort(F.concat("base", "_added"))).drop("_added", "_scanned")
 
 
 def listed(spans: str) -> Column:

@@ -51,8 +51,11 @@ def test_exact_join_without_broadcast(spark, monkeypatch):
 
 
 def test_exact_clashing_columns_and_empty(spark):
-    df = frame(spark, corpus()).withColumn("keep_id", F.lit("x")).withColumn("h", F.lit(1))
-    assert exact_dedup.exact_dedup(df).count() == df.count()
+    df = frame(spark, corpus()).withColumns({"keep_id": F.lit("x"), **{c: F.lit(1) for c in ("h", "shard", "words", "maybe", "salt", "gone", "kept_", "text_key")}})
+    got = exact_dedup.exact_dedup(df)
+    assert got.count() == df.count() and got.where("h = 1 AND shard = 1 AND words = 1 AND maybe = 1 AND salt = 1").count() == df.count()
+    lines = line_dedup.line_dedup(df.withColumn("kept", F.lit(1)))
+    assert lines.where("h = 1 AND gone = 1 AND kept = 1 AND text_key = 1 AND salt = 1").count() == df.count()
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
 
 

@@ -25,9 +25,9 @@ def test_secrets(spark):
 
 
 def test_secret_spans_keep_other_columns(spark):
-    df = spark.createDataFrame([(1, "password=abcdef", "z")], "doc_id long, text string, base string").withColumnRenamed("base", "found")
+    df = spark.createDataFrame([(1, "password=abcdef", "z", "a", "s")], "doc_id long, text string, found string, added string, scanned string")
     row = secret_scan.secret_scan(df).first()
-    assert row.found[0].value == "password=abcdef" and (row.found[0].start, row.found[0].end) == (0, 15)
+    assert (row.added, row.scanned) == ("a", "s") and row.found[0].value == "password=abcdef" and (row.found[0].start, row.found[0].end) == (0, 15)
 
 
 def found(spark, docs, items, **how):
