@@ -98,7 +98,8 @@ def links_within(fps: DataFrame, count: int, radius: int) -> DataFrame:
         raise ValueError("the radius is halved, so it must be even")
     flips = ball(radius // 2)
     blocks, ranges = X.n_blocks(count, BLOCK_FINGERPRINTS), X.n_ranges(count * len(flips), RANGE_VALUES)
-    by_block = fps.select(X.block_of(blocks, "fp").alias("block"), "fp").groupBy("block")
+    # a task for each block: its few bytes of fingerprints become thousands of times as many values
+    by_block = fps.select(X.block_of(blocks, "fp").alias("block"), "fp").repartition(blocks, "block").groupBy("block")
     own = lambda t: np.unique(t.column("fp").to_numpy().view(np.uint64))
 
     def emit(t: pa.Table) -> pa.Table:
