@@ -18,6 +18,8 @@ MIN_SITES, LG_K = 5, 10
 #: Standard errors of the sketch within which an estimate is near the threshold.
 BAND = 4
 BLANKS = " \t\r"
+#: Keys over which the texts with one boilerplate line are spread.
+SALTS = 16
 
 
 def lines_of(text: Column) -> Column:
@@ -37,7 +39,8 @@ def boilerplate(docs: DataFrame, site: str, min_sites: int = MIN_SITES, lg_k: in
     band = max(1.0, BAND * 1.04 / 2 ** (lg_k / 2) * min_sites)
     clear = spread.where(F.col("sites") > min_sites + band).select("h")
     near = spread.where(F.col("sites").between(min_sites - band, min_sites + band)).select("h")
-    exact = lines.join(near, "h", "left_semi").groupBy("h").agg(F.count_distinct("site").alias("n")).where(F.col("n") >= min_sites).select("h")
+    # distinct first: a line that many documents of a site have is then one row of each task
+    exact = lines.distinct().join(near, "h", "left_semi").groupBy("h").agg(F.count_distinct("site").alias("n")).where(F.col("n") >= min_sites).select("h")
     return clear.unionByName(exact)
 
 
@@ -46,17 +49,20 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
     docs = docs.drop("n_lines", "n_removed")
     names = docs.columns
     common = boilerplate(docs, site, min_sites, lg_k)
-    keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("text_key", F.xxhash64("text"))
+    keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_key", F.xxhash64("text"))
     # what goes depends on the text alone, so rows with one text share their list
-    own = keyed.select("text_key", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(bare(x))))).alias("h"))
-    gone = own.join(common, "h", "left_semi").groupBy("text_key").agg(F.collect_set("h").alias("gone"))
-    out = keyed.join(gone, "text_key", "left")
+    own = keyed.select("_key", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(bare(x))))).alias("h"))
+    # a line of any number of texts is spread over SALTS keys
+    own = own.withColumn("salt", F.pmod("_key", F.lit(SALTS)).cast("int"))
+    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    gone = own.join(salted, ["h", "salt"], "left_semi").groupBy("_key").agg(F.collect_set("h").alias("_gone"))
+    out = keyed.join(gone, "_key", "left")
     full = F.size(F.filter(lines_of(F.col("text")), lambda x: bare(x) != ""))
-    kept = F.when(F.col("gone").isNull(), lines_of(F.col("text"))).otherwise(F.filter(lines_of(F.col("text")), lambda x: (bare(x) == "") | ~F.array_contains("gone", F.xxhash64(bare(x)))))
-    out = out.withColumn("kept", kept).withColumn("n_lines", full.cast("long"))
-    left = F.size(F.filter("kept", lambda x: bare(x) != ""))
-    out = out.withColumn("n_removed", F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.col("n_lines") - left).cast("long"))
-    return out.select(*[F.array_join("kept", "\n").alias("text") if c == "text" else F.col(c) for c in names], "n_lines", "n_removed")
+    kept = F.when(F.col("_gone").isNull(), lines_of(F.col("text"))).otherwise(F.filter(lines_of(F.col("text")), lambda x: (bare(x) == "") | ~F.array_contains("_gone", F.xxhash64(bare(x)))))
+    out = out.withColumn("_kept", kept).withColumn("n_lines", full.cast("long"))
+    left = F.size(F.filter("_kept", lambda x: bare(x) != ""))
+    out = out.withColumn("n_removed", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.col("n_lines") - left).cast("long"))
+    return out.select(*[F.array_join("_kept", "\n").alias("text") if c == "text" else F.col(c) for c in names], "n_lines", "n_removed")
 
 
 def digest(result: DataFrame) -> DataFrame:
