@@ -1,23 +1,26 @@
-"""Near-dedup by similarity: ball hashing of SimHash parts proposes, shingles decide.
+"""Near-dedup by similarity: rare shingles propose, whole sets of shingles decide.
 
-64 bits within 4 of each other only find the closest copies: texts whose five-word shingles have a similarity of 0.8
-differ in about ten. This form of the SimHash operator takes the distinct words as features, of which near copies share
-more than of their shingles, and PARTS fingerprints of 32 bits. Each emits all values within one bit, so that texts meet
-where any part differs in at most two. Those that meet in a value and differ in at most NEAR of all bits are proposed as
-one tree of links for each value; every proposed link is then decided by the Jaccard similarity of whole sets of
-shingles, and connected components of those that hold are the groups.
+Texts whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more share at least that part of either
+set. So, in any one order of all shingles, they share one of the first n - ceil(SIMILARITY * n) + 1 of their n (prefix
+filter): no such pair is missed, wherever the texts differ. The order is by the number of blocks that have a shingle,
+those of one text alone first; a text with more than a fifth of such shingles has no near copy and proposes nothing.
+
+Texts that meet in a shingle are decided in rounds. In each value, some hubs (those with the fewest shingles of their own:
+an original has none) are compared with all that aren't in their component yet; at last all pairs that are still open
+are, block against block. A pair is left out only if its sizes rule it out or its texts are linked already, so
+connected components are those of all pairs of SIMILARITY or more.
 
 Defined results: null texts are empty, and empty texts are copies of each other; texts of fewer words than a shingle are
-compared whole; rows that share a doc_id are one document; rows without one are in no group.
+compared whole; rows are told apart by doc_id and text, a null doc_id is larger than any other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
@@ -27,12 +30,13 @@ from .store import written
 from .tokens import LOWER
 
 SHINGLE, SIMILARITY = 5, 0.8
-WORDS64, PARTS, NEAR = 4, 8, 32
-BLOCK_ROWS, RANGE_VALUES = 8192, 8_000_000
-#: A value's members are compared in one task up to so many; more are dealt over tasks, each with the value's anchor.
-MEMBERS = 20_000
-FPS = [f"f{i}" for i in range(WORDS64)]
-FLIPS = np.r_[0, 1 << np.arange(32)].astype(np.uint64)
+BLOCK_BYTES, RANGE_VALUES = 4 << 20, 4_000_000
+#: A block of a value's members; blocks are compared with each other, so the results don't depend on it.
+MEMBERS = 1000
+#: Hubs of each value by round, as long as more pairs than EASY are open.
+HUBS, EASY = (1, 4, 16), 2_000_000
+#: Numbers of blocks from which a shingle counts as more common.
+LEVELS = (2, 4, 16)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,23 +46,6 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return H.hashes_of_words(data, starts, ends), np.searchsorted(starts, offsets)
 
 
-def prints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of WORDS64 fingerprints of the distinct words of each text."""
-    h, at = word_hashes(data, offsets)
-    out = np.zeros((len(offsets) - 1, WORDS64), np.uint64)
-    for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-        if a == b:
-            continue
-        own = np.unique(h[a:b])
-        votes, n = np.zeros(64 * WORDS64, np.int64), len(own)
-        for k in range(0, n, 1 << 13):
-            some = own[k : k + (1 << 13)]
-            wide = np.stack([H.mix(some + np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64)) for j in range(WORDS64)], axis=1)
-            votes += np.unpackbits(np.ascontiguousarray(wide).view(np.uint8), bitorder="little").reshape(len(some), -1).sum(axis=0, dtype=np.int32)
-        out[i] = np.packbits(2 * votes > n, bitorder="little").view(np.uint64)
-    return out
-
-
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
     """The distinct shingles of each text."""
     h, at = word_hashes(data, offsets)
@@ -76,14 +63,8 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def values_of(fps: np.ndarray) -> np.ndarray:
-    """The parts of each row's fingerprints, with the part's number above its 32 bits."""
-    parts = np.ascontiguousarray(fps).view(np.uint32).reshape(len(fps), PARTS).astype(np.uint64)
-    return parts | (np.arange(PARTS, dtype=np.uint64) << np.uint64(32))
-
-
 def tree(ids: np.ndarray, fps: np.ndarray, near: int) -> list[tuple[int, int]]:
-    """Links (larger id, smaller id) that connect just what links of at most near bits connect.
+    """Links (larger id, smaller id) that connect just what links of at most near bits connect; near_groups() doesn't use it.
 
     The smallest id is compared with all, then each that it didn't reach: links among those it reached connect nothing
     new. That is far fewer than all pairs where copies are of one text, and no pair is missed where they aren't.
@@ -105,80 +86,170 @@ def tree(ids: np.ndarray, fps: np.ndarray, near: int) -> list[tuple[int, int]]:
     return out
 
 
-def proposed(rows: DataFrame, count: int, near: int = NEAR) -> DataFrame:
-    """(a, b): distinct proposed links between the doc_ids of rows (doc_id, *FPS)."""
-    blocks, ranges = X.n_blocks(count, BLOCK_ROWS), X.n_ranges(count * PARTS * len(FLIPS), RANGE_VALUES)
-    by_block = rows.select(X.block_of(blocks, "doc_id").alias("block"), "doc_id", *FPS).repartition(blocks, "block").groupBy("block")
-
-    def fps_of(t: pa.Table) -> np.ndarray:
-        return np.stack([t.column(c).to_numpy().view(np.uint64) for c in FPS], axis=1)
-
-    def balls(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        values = (values_of(fps)[:, :, None] ^ FLIPS).reshape(len(fps), -1)
-        return values, X.short(H.mix(values + np.uint64(1)), ranges)
+def row_key() -> Column:
+    """What tells rows (doc_id, text) apart."""
+    return F.xxhash64("doc_id", "text")
 
-    def emit(t: pa.Table) -> pa.Table:
-        return X.short_cells(t.column("block")[0].as_py(), ranges, np.unique(balls(fps_of(t))[1]))
 
-    schema = pa.schema([("value", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in FPS)])
+def prefix_size(n: int, least: float) -> int:
+    """How many of n shingles, the first in any common order, share one with every set of a similarity of least."""
+    return n - math.ceil(least * n - 1e-9) + 1
 
-    def meet(t: pa.Table, replies: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return schema.empty_table()
-        fps = fps_of(t)
-        values, keys = balls(fps)
-        distinct, n = np.unique(keys, return_counts=True)
-        met = distinct[X.answers(replies, distinct >> np.uint64(32), ranges)[:, 0] | (n > 1)]
-        row, _ = hit = np.nonzero(X.member(keys.ravel(), met).reshape(keys.shape))
-        ids = t.column("doc_id").to_numpy()
-        return pa.table([values[hit].view(np.int64), ids[row], *(fps[row, i].view(np.int64) for i in range(WORDS64))], schema=schema)
-
-    replies = X.answered(by_block.applyInArrow(emit, X.CELLS), X.judge_short)
-    met = written(by_block.cogroup(replies.groupBy("block")).applyInArrow(meet, ", ".join(f"{f.name} long" for f in schema)), "met")
-    who, other = F.struct("doc_id", *FPS), lambda i: F.bit_xor(F.xxhash64("doc_id", F.lit(i)))
-    groups = met.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min(who).alias("anchor"), F.max(who).alias("last"), other(0).alias("x0"), other(1).alias("x1")).where("n > 1")
-    # most groups are pairs, and most pairs meet in many values
-    apart = sum((F.bit_count(F.col(f"anchor.{c}").bitwiseXOR(F.col(f"last.{c}"))) for c in FPS), F.lit(0))
-    twos = groups.where((F.col("n") == 2) & (apart <= near)).select(F.col("last.doc_id").alias("a"), F.col("anchor.doc_id").alias("b")).where("a <> b")
-    more = groups.where("n > 2").groupBy("n", "x0", "x1").agg(F.min("value").alias("value"), F.first("anchor").alias("anchor")).withColumn("tasks", F.ceil(F.col("n") / MEMBERS).cast("int"))
-    member = met.join(more.select("value", "tasks"), "value").withColumn("task", F.pmod(F.xxhash64("doc_id"), F.col("tasks")).cast("int")).select("value", "task", "doc_id", *FPS)
-    anchors = more.where("tasks > 1").select("value", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "anchor.*")
-
-    def link(t: pa.Table) -> pa.Table:
-        ids = t.column("doc_id").to_numpy()
-        ids, first = np.unique(ids, return_index=True)
-        found = tree(ids, fps_of(t)[first], near)
-        return pa.table([[x[0] for x in found], [x[1] for x in found]], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    return member.unionByName(anchors).groupBy("value", "task").applyInArrow(link, "a long, b long").unionByName(twos).distinct()
 
+def judge_levels(blobs: list) -> list[np.ndarray]:
+    """For short_cells(): two bits a hash, how many LEVELS its number of blocks reaches."""
+    lows = [X.opened(b, np.uint32)[0] for b in blobs]
+    found, n = np.unique(np.concatenate(lows), return_counts=True)
+    found, n = found[n > 1], n[n > 1]
+    level = np.searchsorted(LEVELS, n, side="right").astype(np.uint8)
+    out = []
+    for x in lows:
+        own = np.zeros(len(x), np.uint8)
+        known = X.member(x, found)
+        own[known] = level[np.searchsorted(found, x[known])]
+        out.append(np.stack([own & 1, own >> 1], axis=1).ravel().astype(bool))
+    return out
 
-def near_groups(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, root) of the documents that are near copies of others: root is the smallest doc_id of the group."""
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.concatenate([np.zeros((0, WORDS64), np.uint64), *(prints(*p) for p in H.pieces(b.column("text")))])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(WORDS64))], names=["doc_id", *FPS])
+def candidates(docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(id, doc_id, n, own, values, shingles) of the rows that may have near copies: their number of shingles, those of no other text, and those by which they meet."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    blocks, ranges = X.n_blocks(total, BLOCK_BYTES), X.n_ranges(total / 6, RANGE_VALUES)
+    by_block = docs.select(X.block_of(blocks, "id").alias("block"), "id", "doc_id", "text").groupBy("block")
 
-    rows = written(docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in FPS)), "prints")
-    links = written(proposed(rows, rows.count()), "proposed")
-    ids = links.select(F.col("a").alias("doc_id")).unionByName(links.select(F.col("b").alias("doc_id"))).distinct()
+    def sets(t: pa.Table) -> list[np.ndarray]:
+        return [s for p in H.pieces(t.column("text").combine_chunks()) for s in shingles(*p, shingle)]
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [s for p in H.pieces(b.column("text")) for s in shingles(*p, shingle)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "own"])
+    def emit(t: pa.Table) -> pa.Table:
+        return X.short_cells(t.column("block")[0].as_py(), ranges, np.unique(X.short(np.concatenate(sets(t)), ranges)))
 
-    sets_ = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, own binary").dropDuplicates(["doc_id"]), "shingles")
-    pairs = links.join(sets_.select(F.col("doc_id").alias("a"), F.col("own").alias("own_a")), "a").join(sets_.select(F.col("doc_id").alias("b"), F.col("own").alias("own_b")), "b")
+    kinds = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("values", pa.list_(pa.int64())), ("shingles", pa.binary())])
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(t: pa.Table, replies: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return kinds.empty_table()
+        t = t.take(np.unique(t.column("id").to_numpy(), return_index=True)[1])
+        found = sets(t)
+        keys, at, n = np.unique(X.short(np.concatenate(found), ranges), return_inverse=True, return_counts=True)
+        level = X.answers(replies, keys >> np.uint64(32), ranges, 2)
+        level = level[:, 0] + 2 * level[:, 1].astype(np.int64)
+        rank = np.where(level == 0, n > 1, level + 1)[at]
+        rows, own, values, a = [], [], [], 0
+        for i, s in enumerate(found):
+            r = rank[a : a + len(s)]
+            a += len(s)
+            alone, first = int((r == 0).sum()), prefix_size(len(s), least)
+            if alone >= first:
+                continue
+            rows.append(i)
+            own.append(alone)
+            values.append(s[np.lexsort((s, r))[alone:first]].view(np.int64) if len(s) else np.zeros(1, np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
+        t = t.take(pa.array(rows, pa.int64()))
+        sizes = pa.array([len(found[i]) for i in rows], pa.int64())
+        return pa.table([t.column("id"), t.column("doc_id"), sizes, pa.array(own, pa.int64()), lists, pa.array([found[i].tobytes() for i in rows], pa.binary())], schema=kinds)
+
+    replies = X.answered(by_block.applyInArrow(emit, X.CELLS), judge_levels)
+    return by_block.cogroup(replies.groupBy("block")).applyInArrow(meet, "id long, doc_id long, n long, own long, values array<long>, shingles binary")
+
+
+def fits(n: Column, m: Column, least: float) -> Column:
+    """Whether sets of such sizes can have a similarity of least."""
+    return F.least(n, m) >= least * F.greatest(n, m) - 1e-9
+
+
+def links(a: Column, b: Column) -> list[Column]:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
+def with_hubs(members: DataFrame, hubs: DataFrame, least: float) -> DataFrame:
+    """(a, b): the open pairs of hubs and members of a value."""
+    met = members.join(hubs.select("value", "hub"), "value")
+    return met.where((F.col("root") != F.col("hub.root")) & fits(F.col("n"), F.col("hub.n"), least)).select(*links(F.col("id"), F.col("hub.id"))).distinct()
+
+
+def all_pairs(members: DataFrame, least: float) -> DataFrame:
+    """(a, b): all open pairs of members of a value, block against block."""
+    tasks = members.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("tasks"))
+    dealt = members.join(tasks, "value").withColumn("part", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    dealt = dealt.select("value", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "n", "root")
+
+    def pairs(t: pa.Table) -> pa.Table:
+        low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
+        part, ids, n, root = (t.column(c).to_numpy() for c in ("part", "id", "n", "root"))
+        here, there = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in here.tolist():
+            j = there[there > i] if low == high else there
+            j = j[(root[j] != root[i]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)]
+            a.append(np.maximum(ids[i], ids[j]))
+            b.append(np.minimum(ids[i], ids[j]))
+        return pa.table([np.concatenate(a), np.concatenate(b)], names=["a", "b"])
+
+    return dealt.groupBy("value", "low", "high").applyInArrow(pairs, "a long, b long").distinct()
+
+
+def components(docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(id, doc_id, root) of the rows of docs (id, doc_id, text) that are near copies of others; root is one id of the group."""
+    rows = written(candidates(docs, shingle, least), "candidates")
+    sets = rows.select("id", "shingles")
+    met = rows.select(F.explode("values").alias("value"), "id", "n", (F.col("own") / F.greatest("n", F.lit(1))).alias("own"))
+    # most values of a pair or group have the same members: one of them is enough
+    other = lambda i: F.bit_xor(F.xxhash64("id", F.lit(i)))
+    groups = met.groupBy("value").agg(F.count(F.lit(1)).alias("size"), other(0).alias("x0"), other(1).alias("x1")).where("size > 1").groupBy("size", "x0", "x1").agg(F.min("value").alias("value"))
+    members = written(met.join(groups.select("value"), "value").select("value", "id", "n", "own", F.col("id").alias("root"), F.lit(False).alias("linked")), "members")
+
+    def decide(batches):
         for b in batches:
             a_, b_ = b.column("own_a"), b.column("own_b")
             ok = [similarity(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= least for x, y in zip(a_, b_, strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    held = pairs.select("a", "b", "own_a", "own_b").mapInArrow(decide, "a long, b long")
-    return connected_components(held).withColumnRenamed("id", "doc_id")
+    def held(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("own_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("own_b")), "b")
+        return both.select("a", "b", "own_a", "own_b").mapInArrow(decide, "a long, b long")
+
+    roots = None
+    for slots in (*HUBS, 0):
+        size = members.groupBy("value").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
+        if roots is not None and not size:
+            break
+        last = not slots or (roots is not None and size <= EASY)
+        if last:
+            new = held(all_pairs(members, least))
+        else:
+            hub = F.struct("linked", "own", "id", "n", "root")
+            hubs = written(members.groupBy("value", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(F.min(hub).alias("hub")), "hubs")
+            new = held(with_hubs(members, hubs, least))
+        known = new if roots is None else new.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
+        roots = written(connected_components(known), "roots")
+        if last:
+            break
+        # a hub's pairs in its value are decided; values of one component are closed
+        left = members.drop("root", "linked").join(hubs.select("value", F.col("hub.id").alias("id")), ["value", "id"], "left_anti").join(roots, "id", "left")
+        left = left.select("value", "id", "n", "own", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked"))
+        still = left.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
+        members = written(left.join(still, "value", "left_semi"), "members")
+    return roots.join(rows.select("id", "doc_id"), "id")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(row_key().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def firsts(found: DataFrame) -> DataFrame:
+    """(root, doc_id, id): of each group the row with the smallest doc_id."""
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("first"))
+    return first.select("root", F.col("first.doc_id").alias("doc_id"), F.col("first.id").alias("id"))
+
+
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, root, key) of the rows that are near copies of others: root is the smallest doc_id of the group, key the row_key()."""
+    found = written(components(keyed(docs), shingle, least), "groups")
+    return found.join(firsts(found).select("root", F.col("doc_id").alias("least")), "root").select("doc_id", F.col("least").alias("root"), F.col("id").alias("key"))
+
+
+def copies(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """(key) row_key() of the rows that are near copies of one with a smaller doc_id in their group."""
+    found = written(components(keyed(docs), shingle, least), "groups")
+    return found.join(firsts(found).select("id"), "id", "left_anti").select(F.col("id").alias("key"))

@@ -167,6 +167,20 @@ def test_near_groups(spark, monkeypatch):
     assert near_dedup.near_groups(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_near_family_of_the_last(spark):
+    r = random.Random(3)
+    base = [f"b{r.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for k in r.sample(range(5, 195), 3):
+            words[k] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows.append((60, " ".join(base)))
+    assert sum(jaccard(rows[0][1], t) >= 0.8 for _, t in rows[1:-1]) < 20 and all(jaccard(t, rows[-1][1]) >= 0.8 for _, t in rows)
+    assert {(x.doc_id, x.root) for x in near_dedup.near_groups(frame(spark, rows)).collect()} == {(i, 0) for i in range(61)}
+
+
 def test_tree_connects_what_links_connect():
     r = np.random.RandomState(2)
     base = r.randint(0, 2**62, (6, 4)).astype(np.uint64)
