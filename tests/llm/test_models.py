@@ -181,6 +181,20 @@ def test_near_family_of_the_last(spark):
     assert {(x.doc_id, x.root) for x in near_dedup.near_groups(frame(spark, rows)).collect()} == {(i, 0) for i in range(61)}
 
 
+def test_near_contiguous_edits(spark):
+    r = random.Random(4)
+    new = lambda n: [f"n{r.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(20):
+        n = r.choice([40, 200, 800])
+        words, at = new(n), r.randrange(n // 2)
+        rows += [(10 * i + j, " ".join(w)) for j, w in enumerate((words, words + new(int((n - 4) * 0.249)), words[:at] + new((n - 4) // 9 - 4) + words[at + (n - 4) // 9 - 4 :], words + new(n // 2)))]
+    got = {x.doc_id: x.root for x in near_dedup.near_groups(frame(spark, rows)).collect()}
+    texts = dict(rows)
+    assert all(jaccard(texts[10 * i], texts[10 * i + j]) >= 0.8 for i in range(20) for j in (1, 2))
+    assert got == {10 * i + j: 10 * i for i in range(20) for j in (0, 1, 2)}
+
+
 def test_tree_connects_what_links_connect():
     r = np.random.RandomState(2)
     base = r.randint(0, 2**62, (6, 4)).astype(np.uint64)
