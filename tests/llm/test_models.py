@@ -195,6 +195,21 @@ def test_near_contiguous_edits(spark):
     assert got == {10 * i + j: 10 * i for i in range(20) for j in (0, 1, 2)}
 
 
+def test_near_blocks_of_a_value(spark, monkeypatch):
+    """Pairs in different blocks of a value of which no hub is a near copy."""
+    r = random.Random(5)
+    new = lambda n: [f"n{r.randrange(10**6)}" for _ in range(n)]
+    passage, rows = new(60), []
+    for i in range(15):
+        own = new(60)
+        rows += [(i, " ".join(passage + own)), (100 + i, " ".join(passage + own[:-1] + new(1))), (200 + i, " ".join(passage + own + new(1)))]
+    for hubs in ((), (1,), (1, 4)):
+        monkeypatch.setattr(near_dedup, "MEMBERS", 4)
+        monkeypatch.setattr(near_dedup, "HUBS", hubs)
+        got = {x.doc_id: x.root for x in near_dedup.near_groups(frame(spark, rows)).collect()}
+        assert got == {d: d % 100 for d, _ in rows}
+
+
 def test_tree_connects_what_links_connect():
     r = np.random.RandomState(2)
     base = r.randint(0, 2**62, (6, 4)).astype(np.uint64)
