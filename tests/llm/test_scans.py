@@ -59,6 +59,14 @@ def test_decontaminate_join_without_broadcast(spark, monkeypatch):
     assert set(got) == {(2, 10)}
 
 
+def test_verbatim_in_other_cases_quotes_and_short_items(spark):
+    item = "Peter Smith went to Paris. Then Two men met Anna Berg near Lake Como. Later Karl saw Rome. Next Maria left Oslo at 60 Km per hour"
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    docs = [(1, item.lower()), (2, item.upper()), (3, item.title()), (4, "so " + " ".join(long.split()[20:33]) + " end"), (5, "so " + " ".join(long.split()[20:32]) + " end"), (6, "well, What is 9 plus"), (7, "pay 43 euros"), (8, "pay 42 euros"), (9, "of 12 years"), (10, "aaa HELLO bbb")]
+    got = found(spark, docs, [(1, item), (2, long), (3, "What is 7 plus"), (4, "42 euros"), (5, "Hello"), (6, "...")])
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 2), (6, 3), (8, 4), (10, 5)}
+
+
 def test_decontaminate_empty(spark):
     assert not found(spark, [], [(1, QUESTION)])
     assert not found(spark, [(1, QUESTION)], [])
