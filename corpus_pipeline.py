@@ -23,8 +23,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id."""
-    gone = near_dedup.near_groups(docs).where("doc_id <> root").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_dedup.copies(docs).select(F.col("key").alias("near_key"))
+    return docs.withColumn("near_key", near_dedup.row_key()).join(gone, "near_key", "left_anti").select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

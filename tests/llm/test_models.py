@@ -210,6 +210,14 @@ def test_near_blocks_of_a_value(spark, monkeypatch):
         assert got == {d: d % 100 for d, _ in rows}
 
 
+def test_near_stage_tells_rows_of_one_id_apart(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(1, a), (2, a + " more"), (2, b), (None, c), (None, c + " more"), (None, a + " again")]
+    assert sorted(r.text for r in corpus_pipeline.apart(spark, frame(spark, rows), "").collect()) in (sorted([a, b, c]), sorted([a, b, c + " more"]))
+
+
 def test_tree_connects_what_links_connect():
     r = np.random.RandomState(2)
     base = r.randint(0, 2**62, (6, 4)).astype(np.uint64)
