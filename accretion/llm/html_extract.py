@@ -132,7 +132,7 @@ def features(found: list) -> list[list[int]]:
             own.append(leaf)
         words = text.count(" ") + 1
         share = linked / max(1, len(text))
-        low = text.lower() if words < 80 else text[:400].lower()
+        low = text.lower()
         add = [
             "words<4" if words < 4 else "words<12" if words < 12 else "words<30" if words < 30 else "words<80" if words < 80 else "words>=80",
             "links=0" if not linked else "links<.3" if share < 0.3 else "links<.7" if share < 0.7 else "links>=.7", "bias",

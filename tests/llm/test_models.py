@@ -111,6 +111,13 @@ def test_extraction_on_other_templates():
     assert right / total > 0.97
 
 
+def test_features_read_whole_blocks():
+    text = "plain words of a long notice, " * 40
+    own = {w: html_extract.features([(text + w, [], None, 0)])[0] for w in ("x", "Copyright", "all Rights Reserved", "Cookie", "subscribe")}
+    for w, name in (("Copyright", "copyright"), ("all Rights Reserved", "rights"), ("Cookie", "cookie"), ("subscribe", "click")):
+        assert html_extract.PLACE[name] in own[w] and html_extract.PLACE[name] not in own["x"]
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.RandomState(1)
     chain = html_extract.Chain()
