@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import hashing as H
+
 CELLS = "rng int, block long, blob binary"
 CELL_SCHEMA = pa.schema([("rng", pa.int32()), ("block", pa.int64()), ("blob", pa.binary())])
 
@@ -127,7 +129,7 @@ def answered(sent: DataFrame, judge: Callable[[list], list[np.ndarray]]) -> Data
 
     def one(t: pa.Table) -> pa.Table:
         flags = judge([b.as_buffer() for b in t.column("blob")])
-        return pa.table([t.column("rng"), t.column("block"), pa.array([bits(f) for f in flags], pa.binary())], schema=CELL_SCHEMA)
+        return H.freed(pa.table([t.column("rng"), t.column("block"), pa.array([bits(f) for f in flags], pa.binary())], schema=CELL_SCHEMA))
 
     return sent.groupBy("rng").applyInArrow(one, CELLS)
 

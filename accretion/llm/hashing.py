@@ -6,16 +6,32 @@ any stretch of x. The result passes a finaliser, so that all of its bits can be
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
 #: Odd multipliers; BASES[1] serves as an independent check of BASES[0].
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
 
 
+def freed(result):
+    """result, after the memory that its making needed has gone back to the system: a worker keeps what it doesn't return."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+    return result
+
+
 @lru_cache(maxsize=8)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
@@ -25,7 +41,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64."""
-    return _powers(base, 1 << max(16, (n - 1).bit_length()))[:n]
+    n_ = 1 << max(16, (n - 1).bit_length())
+    return (_powers if n_ <= 1 << 20 else _powers.__wrapped__)(base, n_)[:n]  # long ones aren't kept
 
 
 def inverse(base: int) -> int:

@@ -6,20 +6,28 @@ aren't, and those near it get an exact distinct count. DataFrame functions only.
 
 Defined results: lines end at \\n and are compared without spaces, tabs and carriage returns at their ends; blank lines
 are never counted or removed; a null site is no site; null texts have no lines and come back as empty texts. Equal rows
-are equal documents, all of which come back.
+are equal documents, all of which come back. Texts may be of any length; columns named n_lines and n_removed are
+replaced, all others stay, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
+
+from .store import free_names, written
 
 MIN_SITES, LG_K = 5, 10
 #: Standard errors of the sketch within which an estimate is near the threshold.
 BAND = 4
 BLANKS = " \t\r"
-#: Keys over which the texts with one boilerplate line are spread.
-SALTS = 16
+#: Hashes of lines are broadcast up to so many (8 bytes each), else joined by a shuffle.
+BROADCAST_LINES = 1_000_000
+#: Keys over which the rows with one boilerplate line are spread in that shuffle.
+SALTS = 64
+#: Sets in which a row's removed lines are looked up.
+SETS = 32
 
 
 def lines_of(text: Column) -> Column:
@@ -38,31 +46,41 @@ def boilerplate(docs: DataFrame, site: str, min_sites: int = MIN_SITES, lg_k: in
     spread = lines.groupBy("h").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch")).select("h", F.hll_sketch_estimate("sketch").alias("sites"))
     band = max(1.0, BAND * 1.04 / 2 ** (lg_k / 2) * min_sites)
     clear = spread.where(F.col("sites") > min_sites + band).select("h")
-    near = spread.where(F.col("sites").between(min_sites - band, min_sites + band)).select("h")
-    # distinct first: a line that many documents of a site have is then one row of each task
-    exact = lines.distinct().join(near, "h", "left_semi").groupBy("h").agg(F.count_distinct("site").alias("n")).where(F.col("n") >= min_sites).select("h")
-    return clear.unionByName(exact)
+    near = written(spread.where(F.col("sites").between(min_sites - band, min_sites + band)).select("h"), "near_lines")
+    # a line that many documents of a site have is one row of each task; without a broadcast, that comes before the join, too
+    few = near.count() <= BROADCAST_LINES
+    once = lambda rows: rows.groupBy("h", "site").agg(F.count(F.lit(1)).alias("rows"))
+    pairs = once(lines.join(F.broadcast(near), "h", "left_semi")) if few else once(lines).join(near, "h", "left_semi")
+    exact = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h")
+    return written(clear.unionByName(exact), "boilerplate")
 
 
 def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
     """docs with boilerplate lines taken out of text, and n_lines (that aren't blank) and n_removed."""
     docs = docs.drop("n_lines", "n_removed")
     names = docs.columns
+    key, gone, kept = free_names(names, "key", "gone", "kept")
     common = boilerplate(docs, site, min_sites, lg_k)
-    keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_key", F.xxhash64("text"))
-    # what goes depends on the text alone, so rows with one text share their list
-    own = keyed.select("_key", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(bare(x))))).alias("h"))
-    # a line of any number of texts is spread over SALTS keys
-    own = own.withColumn("salt", F.pmod("_key", F.lit(SALTS)).cast("int"))
-    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    gone = own.join(salted, ["h", "salt"], "left_semi").groupBy("_key").agg(F.collect_set("h").alias("_gone"))
-    out = keyed.join(gone, "_key", "left")
+    # rows are told apart by all that can be hashed of them, so the copies of one text don't meet; equal rows share their list
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, AtomicType)]
+    keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn(key, F.xxhash64(*plain))
+    own = keyed.select(F.col(key).alias("key"), F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(bare(x))))).alias("h"))
+    if common.count() <= BROADCAST_LINES:
+        own = own.join(F.broadcast(common), "h", "left_semi")
+    else:
+        salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = own.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"], "left_semi")
+    own = own.groupBy("key").agg(F.collect_set("h").alias("all"))
+    # in sets, so that looking lines up isn't quadratic in a text's lines
+    sets = F.transform(F.sequence(F.lit(0), F.lit(SETS - 1)), lambda k: F.filter("all", lambda h: F.pmod(h, F.lit(SETS)) == k))
+    out = keyed.join(own.select(F.col("key").alias(key), F.when(F.size("all") > SETS, sets).otherwise(F.array("all")).alias(gone)), key, "left")
+    in_gone = lambda h: F.array_contains(F.element_at(gone, F.when(F.size(gone) == 1, F.lit(1)).otherwise(F.pmod(h, F.lit(SETS)) + 1).cast("int")), h)
     full = F.size(F.filter(lines_of(F.col("text")), lambda x: bare(x) != ""))
-    kept = F.when(F.col("_gone").isNull(), lines_of(F.col("text"))).otherwise(F.filter(lines_of(F.col("text")), lambda x: (bare(x) == "") | ~F.array_contains("_gone", F.xxhash64(bare(x)))))
-    out = out.withColumn("_kept", kept).withColumn("n_lines", full.cast("long"))
-    left = F.size(F.filter("_kept", lambda x: bare(x) != ""))
-    out = out.withColumn("n_removed", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.col("n_lines") - left).cast("long"))
-    return out.select(*[F.array_join("_kept", "\n").alias("text") if c == "text" else F.col(c) for c in names], "n_lines", "n_removed")
+    left = F.when(F.col(gone).isNull(), lines_of(F.col("text"))).otherwise(F.filter(lines_of(F.col("text")), lambda x: (bare(x) == "") | ~in_gone(F.xxhash64(bare(x)))))
+    out = out.withColumn(kept, left).withColumn("n_lines", full.cast("long"))
+    n_removed = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size(F.filter(kept, lambda x: bare(x) != "")))
+    out = out.withColumn("n_removed", n_removed.cast("long"))
+    return out.select(*[F.array_join(kept, "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in names], "n_lines", "n_removed")
 
 
 def digest(result: DataFrame) -> DataFrame:

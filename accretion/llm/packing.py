@@ -1,19 +1,23 @@
 """Lexical retrieval packing.
 
-Documents are dealt into shards of bounded size by a hash. Each shard has a BM25 inverted index of its own; each seed
-document asks it for the unused documents nearest in words, which fill the seed's window of tokens one after another.
-The first neighbour that doesn't fit is cut to fill the window, and what is left of it is the next seed, so only a
-shard's last window has room to spare; that one is cut into windows whose lengths are powers of two.
-
-Defined results: null and empty texts are documents of the closing id alone; ties in score go to the earlier document in
-the order of (doc_id, text); rows that repeat one id are packed like any others.
+Documents are dealt into shards of bounded size by a lexical key, the smallest hash of their longer words, so that
+documents with words in common are likely to share a shard; the bytes of each key's bucket are counted first, and a
+bucket of more than a shard is split by a hash. Each shard has a BM25 inverted index of its own; each seed document asks
+it with all of its terms for the unused documents nearest in words, which fill the seed's window of tokens one after
+another, as many as it takes. The best neighbour that doesn't fit is cut to fill the window, and what is left of it is the
+next seed; a window whose seed has no unused neighbour left goes on with the next document as seed. So only a shard's last
+window has room to spare; that one is cut into windows whose lengths are powers of two.
+
+Defined results: null and empty texts are documents of the closing id alone; a null doc_id is kept as one; ties in score
+go to the earlier document in the order of (doc_id, text); rows that repeat one id are packed like any others; a text of
+any length is cut into as many windows as it needs; columns of other names are ignored, so none can clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
@@ -22,46 +26,67 @@ from . import tokens
 
 LENGTH, CLOSING_ID = 4096, 2
 SHARD_BYTES = 4 << 20
-#: BM25, and the seed's terms (of highest idf) and neighbours that are looked at.
-K1, B, TERMS, NEIGHBOURS = 1.2, 0.75, 32, 64
+#: Buckets of lexical keys for each shard, and the letters of a word that counts for the key.
+BUCKETS, KEY_LETTERS = 0.5, 5
+#: BM25.
+K1, B = 1.2, 0.75
 RESULT = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 class Index:
-    """An inverted index of one shard: for each term, documents and BM25 weights."""
+    """An inverted index of one shard: for each term, documents and BM25 weights; from (document, term, frequency) triples."""
 
-    def __init__(self, doc: np.ndarray, term: np.ndarray, documents: int):
+    def __init__(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, documents: int):
         self.documents = documents
-        terms = int(term.max()) + 1 if len(term) else 0
-        pair, tf = np.unique(term.astype(np.int64) * documents + doc, return_counts=True)
-        t, self.doc = pair // documents, pair % documents
-        df = np.bincount(t, minlength=terms)
-        length = np.bincount(doc, minlength=documents)
+        order = np.lexsort((doc, term))
+        self.doc, term, tf = doc[order], term[order], tf[order].astype(float)
+        df = np.bincount(term)
+        length = np.bincount(self.doc, tf, minlength=documents)
         norm = K1 * (1 - B + B * length / max(1.0, length.mean()))
         self.idf = np.log1p((documents - df + 0.5) / (df + 0.5)) * (df > 1)
-        self.weight = self.idf[t] * tf * (K1 + 1) / (tf + norm[self.doc])
+        self.weight = self.idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
         self.at = np.r_[0, np.cumsum(df)]
         order = np.argsort(self.doc, kind="stable")
-        self.terms, self.own = t[order], np.searchsorted(self.doc[order], np.arange(documents + 1))
+        self.terms, self.own = term[order], np.searchsorted(self.doc[order], np.arange(documents + 1))
 
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share terms with the seed, best first."""
+    def scores(self, seed: int) -> np.ndarray:
+        """Of each document, by all terms of the seed."""
         terms = self.terms[self.own[seed] : self.own[seed + 1]]
-        idf = self.idf[terms]
-        if len(terms) > TERMS:
-            best = np.argpartition(-idf, TERMS)[:TERMS]
-            terms, idf = terms[best], idf[best]
-        terms = terms[idf > 0]
-        if not len(terms):
-            return terms
-        docs = np.concatenate([self.doc[self.at[t] : self.at[t + 1]] for t in terms.tolist()])
-        weights = np.concatenate([self.weight[self.at[t] : self.at[t + 1]] for t in terms.tolist()])
-        score = np.bincount(docs, weights, minlength=self.documents)
+        terms = terms[self.idf[terms] > 0]
+        sizes = self.at[terms + 1] - self.at[terms]
+        at = np.repeat(self.at[terms] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        return np.bincount(self.doc[at], self.weight[at], minlength=self.documents)
+
+    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
+        """All unused documents that share terms with the seed, best first."""
+        score = self.scores(seed)
         score[used] = 0
         score[seed] = 0
-        best = np.argsort(-score, kind="stable")[:NEIGHBOURS] if len(score) < 4 * NEIGHBOURS else np.sort(np.argpartition(-score, NEIGHBOURS)[:NEIGHBOURS])
-        best = best[np.argsort(-score[best], kind="stable")]
-        return best[score[best] > 0]
+        best = np.flatnonzero(score > 0)
+        return best[np.argsort(-score[best], kind="stable")]
+
+
+def counted(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, frequency) of each distinct pair."""
+    order = np.lexsort((term, doc))
+    doc, term = doc[order], term[order]
+    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])]) if len(doc) else np.zeros(0, np.int64)
+    return doc[new], term[new], np.diff(np.r_[new, len(doc)])
+
+
+def encoded(encoder: tokens.Encoder, texts) -> tuple[np.ndarray, np.ndarray, Index]:
+    """(ids, where each text's begin and the last one's end, index) of a shard's texts, worked through in pieces."""
+    ids, sizes, triples, first = [], [], [], 0
+    for data, offsets in H.pieces(texts):
+        own, at, doc, hashes = encoder.texts(data, offsets)
+        ids.append(own)
+        sizes.append(np.diff(at))
+        doc, hashes, tf = counted(doc, hashes)
+        triples.append((doc + first, hashes, tf))
+        first += len(offsets) - 1
+    doc, hashes, tf = map(np.concatenate, zip(*triples, strict=True))
+    term = np.unique(hashes, return_inverse=True)[1]
+    return np.concatenate(ids), np.r_[0, np.cumsum(np.concatenate(sizes))], Index(doc, term, tf, first)
 
 
 def fill(lengths: np.ndarray, neighbours, length: int = LENGTH) -> list[list[tuple[int, int, int]]]:
@@ -117,34 +142,52 @@ def fill(lengths: np.ndarray, neighbours, length: int = LENGTH) -> list[list[tup
     return sequences
 
 
+def key_of(text: Column) -> Column:
+    """The smallest hash of a text's words of KEY_LETTERS characters or more."""
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.length(w) >= KEY_LETTERS)
+    return F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w))), F.lit(0))
+
+
+def sharded(docs: DataFrame, shard_bytes: int, length: int) -> tuple[DataFrame, int]:
+    """((shard, doc_id, text) of docs (doc_id, text), more than the sequences of any shard): shards hold about shard_bytes, or a longer text."""
+    size = F.octet_length("text") + 64
+    total, longest = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    buckets = X.n_blocks(int(total * BUCKETS), shard_bytes)
+    # mixed again, as small hashes are likelier in long texts
+    bucket = F.pmod(F.xxhash64(key_of(F.col("text"))), F.lit(buckets))
+    parts = docs.groupBy(bucket.alias("bucket")).agg(F.ceil(F.sum(size) / shard_bytes).cast("long").alias("parts"))
+    # a number for each shard at most: Spark broadcasts it as long as it is small
+    dealt = docs.withColumn("bucket", bucket).join(parts, "bucket")
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.col("parts"))
+    return dealt.select((part * buckets + F.col("bucket")).alias("shard"), "doc_id", "text"), 64 + (longest + 16 * shard_bytes) // length
+
+
 def packed(docs: DataFrame, length: int = LENGTH, closing_id: int = CLOSING_ID, tokenizer_path: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Pieces of documents in sequences of at most length tokens: doc_id, start, length, doc_tokens, sequence_id, offset, ids (32-bit little-endian)."""
     path = tokenizer_path or tokens.default_path()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    shards = X.n_blocks(total, shard_bytes)
+
+    dealt, sequences = sharded(docs, shard_bytes, length)
 
     def pack(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
         t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        data, offsets = H.text_buffers(t.column("text"))
-        ids, at, doc, term = tokens.encoder(path).texts(data, offsets)
+        names = t.column("doc_id").to_pylist()
+        ids, at, index = encoded(tokens.encoder(path), t.column("text"))
         lengths = np.diff(at) + 1
-        index = Index(doc, term, len(lengths))
         out: dict[str, list] = {n: [] for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")}
-        names = t.column("doc_id").to_pylist()
         for k, sequence in enumerate(fill(lengths, index.neighbours, length)):
             offset = 0
             for d, start, n in sequence:
                 piece = ids[at[d] + start : min(at[d] + start + n, at[d + 1])]
                 if len(piece) < n:
                     piece = np.append(piece, np.uint32(closing_id))
-                for name, value in zip(out, (names[d], start, n, int(lengths[d]), (shard << 32) | k, offset, piece.astype("<u4").tobytes()), strict=True):
+                for name, value in zip(out, (names[d], start, n, int(lengths[d]), shard * sequences + k, offset, piece.astype("<u4").tobytes()), strict=True):
                     out[name].append(value)
                 offset += n
-        return pa.table(out, schema=pa.schema([*((n, pa.int64()) for n in list(out)[:-1]), ("ids", pa.binary())]))
+        return H.freed(pa.table(out, schema=pa.schema([*((n, pa.int64()) for n in list(out)[:-1]), ("ids", pa.binary())])))
 
-    return docs.select(X.block_of(shards, "doc_id", "text").alias("shard"), "doc_id", "text").groupBy("shard").applyInArrow(pack, RESULT)
+    return dealt.groupBy("shard").applyInArrow(pack, RESULT)
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,14 +11,26 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset a temporary one serves, but only if the executors are in this process: on a cluster nobody else
+    could read it.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="accretion-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Names like those wanted that no column has."""
+    used = {n.lower() for n in taken}
+    return [next(n for n in (w + "_" * k for k in range(len(used) + 1)) if n not in used) for w in wanted]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, reread: later jobs neither recompute it nor depend on the executors that made it.
 

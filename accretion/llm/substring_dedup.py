@@ -1,13 +1,14 @@
 """Substring dedup by level-wise doubling over windows of words.
 
-A window of n words can only be repeated where both its first and its last ceil(n/2) words are. So the windows of the
-shorter level are looked up first, and only those repeated elsewhere are extended to twice the length, up to the
-threshold; the last level also knows the smallest document of each window. Levels go through exchange.py: each block of
-documents sends a window's hash once, however many documents share it.
+A window of n words can only be repeated where both its first and its last ceil(n/2) words are. So windows of a short
+length are looked up first, and only those repeated elsewhere are extended to twice the length (less what the halves
+overlap), level after level, as long as candidates survive: a block none of whose windows did sends nothing more. The
+last level has the threshold's length and also knows the smallest document of each window. Levels go through exchange.py:
+each block of documents sends a window's hash once, however many documents share it.
 
 Defined results: null texts have no words; a document without id loses nothing and counts for nobody; rows with one id
-are one document to each other, so neither loses words to the other; words stay as they are, columns of other names are
-ignored.
+are one document to each other, so neither loses words to the other; words stay as they are; a text may be of any
+length; columns of other names are ignored, so none can clash.
 """
 
 from __future__ import annotations
@@ -23,15 +24,19 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from . import hashing as H
 
-WINDOW = 13
-BLOCK_BYTES = 8 << 20
+#: The threshold, and the longest that the first level's windows may be.
+WINDOW, SHORTEST = 13, 4
+BLOCK_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string"
 
 
-def levels(window: int) -> list[int]:
-    """Lengths from the shortest that is looked up, each at most half of the next, rounded up: 13 gives 7 and 13."""
-    return [window] if window < 6 else [(window + 1) // 2, window]
+def levels(window: int, shortest: int = SHORTEST) -> list[int]:
+    """Lengths, each at least half of the next: 13 gives 4, 7 and 13."""
+    out = [window]
+    while out[0] > shortest:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
 
 
 class Words:
@@ -55,18 +60,17 @@ class Words:
         n = len(self.doc) - length + 1
         return self.doc[length - 1 :] == self.doc[:n] if n > 0 else np.zeros(0, bool)
 
-    def split(self, window: int, ranges: int, replies: pa.Table) -> np.ndarray:
-        """Positions of windows whose two halves are repeated elsewhere."""
-        half = levels(window)[0]
-        ok = self.whole(window)
-        if half == window:
-            return np.flatnonzero(ok)
-        keys = X.short(self.windows(half), ranges)
-        valid = self.whole(half)
-        distinct, counts = np.unique(keys[valid], return_counts=True)
-        again = distinct[X.answers(replies, distinct >> np.uint64(32), ranges)[:, 0] | (counts > 1)]
-        found = X.member(keys, again) & valid
-        return np.flatnonzero(ok & found[: len(ok)] & found[window - half : window - half + len(ok)])
+    def candidates(self, lengths: list[int], ranges: int, replies: list[pa.Table]) -> np.ndarray:
+        """Positions of windows of the level that replies (of all shorter ones) don't cover, of which both halves are repeated."""
+        ok = self.whole(lengths[0])
+        for shorter, longer, own in zip(lengths, lengths[1:], replies, strict=False):
+            keys = X.short(self.windows(shorter)[ok], ranges)
+            distinct, group, counts = np.unique(keys, return_inverse=True, return_counts=True)
+            alive = np.zeros(len(ok), bool)
+            alive[ok] = (X.answers(own, distinct >> np.uint64(32), ranges)[:, 0] | (counts > 1))[group]
+            ok = self.whole(longer)
+            ok &= alive[: len(ok)] & alive[longer - shorter : longer - shorter + len(ok)]
+        return np.flatnonzero(ok)
 
 
 def least(h: np.ndarray, check: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -80,11 +84,12 @@ def least(h: np.ndarray, check: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray
     return a[new], b[new], doc[order][new], group
 
 
-def candidates(words: Words, ids: np.ndarray, window: int, ranges: int, replies: pa.Table):
+def last_level(words: Words, ids: np.ndarray, lengths: list[int], ranges: int, replies: list[pa.Table]):
     """(positions, and what least() gives) of the windows that the last level looks up."""
-    at = words.split(window, ranges, replies)
-    h = words.windows(window)[at]
-    check = (words.windows(window, H.BASES[1])[at] >> np.uint64(32)).astype(np.uint32)
+    at = words.candidates(lengths, ranges, replies)
+    h = words.windows(lengths[-1])[at]
+    words.prefixes.clear()
+    check = (words.windows(lengths[-1], H.BASES[1])[at] >> np.uint64(32)).astype(np.uint32)
     return at, *least(h, check, ids[words.doc[at]])
 
 
@@ -100,35 +105,36 @@ def judge_least(blobs: list) -> list[np.ndarray]:
     return np.split(smallest[group] < doc, np.cumsum([len(g[0]) for g in got])[:-1])
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Remove every word that a window covers which also starts in a document with a smaller id.
 
     Returns doc_id, n_words, n_removed, kept_text for every row.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks, ranges = X.n_blocks(total, block_bytes), X.n_ranges(total / 6)
+    blocks, ranges, lengths = X.n_blocks(total, block_bytes), X.n_ranges(total / 6), levels(window, shortest)
     docs = docs.select(X.block_of(blocks, "doc_id", "text").alias("block"), "doc_id", "text")
     by_block = docs.groupBy("block")
-    half = levels(window)[0]
+    split = lambda replies, n: [replies.filter(pa.array(replies.column("level").to_numpy() == k)) for k in range(n)]
 
-    def first(t: pa.Table) -> pa.Table:
-        words = Words(t.column("text"))
-        keys = np.unique(X.short(words.windows(half)[words.whole(half)], ranges)) if half < window else np.zeros(0, np.uint64)
-        return X.short_cells(t.column("block")[0].as_py(), ranges, keys)
+    def sent(k: int, t: pa.Table, replies: list[pa.Table]) -> pa.Table:
+        """Cells of level k."""
+        words, block = Words(t.column("text")), t.column("block")[0].as_py()
+        if k + 1 < len(lengths):
+            at = words.candidates(lengths[: k + 1], ranges, replies)
+            return H.freed(X.short_cells(block, ranges, np.unique(X.short(words.windows(lengths[k])[at], ranges))))
+        _, h, check, doc, _ = last_level(words, ids_of(t), lengths, ranges, replies)
+        return H.freed(X.cells(block, ranges, X.in_range(h, ranges), lambda s: X.sealed(h[s], check[s], doc[s])))
 
-    def last(t: pa.Table, replies: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return X.CELL_SCHEMA.empty_table()
-        _, h, check, doc, _ = candidates(Words(t.column("text")), ids_of(t), window, ranges, replies)
-        return X.cells(t.column("block")[0].as_py(), ranges, X.in_range(h, ranges), lambda s: X.sealed(h[s], check[s], doc[s]))
+    def longer(k: int):
+        return lambda t, replies: sent(k, t, split(replies, k)) if t.num_rows else X.CELL_SCHEMA.empty_table()
 
     def keep(t: pa.Table, replies: pa.Table) -> pa.Table:
-        out = {"doc_id": [], "n_words": [], "n_removed": [], "kept_text": []}
+        out = {"doc_id": t.column("doc_id").to_pylist(), "n_words": [], "n_removed": [], "kept_text": []}
         if t.num_rows:
-            words, ids, level = Words(t.column("text")), ids_of(t), replies.column("level").to_numpy()
-            at, h, _, doc, group = candidates(words, ids, window, ranges, replies.filter(pa.array(level == 0)))
-            smaller = X.answers(replies.filter(pa.array(level == 1)), X.in_range(h, ranges), ranges)[:, 0]
+            words, ids, got = Words(t.column("text")), ids_of(t), split(replies, len(lengths))
+            at, h, _, doc, group = last_level(words, ids, lengths, ranges, got)
+            smaller = X.answers(got[-1], X.in_range(h, ranges), ranges)[:, 0]
             own = ids[words.doc[at]]
             gone = at[(own != NO_ID) & (smaller[group] | (doc[group] < own))]
             steps = np.zeros(len(words.starts) + 1, np.int64)
@@ -137,22 +143,22 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, block_bytes: int = BL
             stay = np.cumsum(steps[:-1]) == 0
             first_word = np.searchsorted(words.doc, np.arange(t.num_rows + 1))
             kept = np.r_[0, np.cumsum(stay)]
-            raw = words.data.tobytes()
             for i, (a, b) in enumerate(zip(first_word[:-1], first_word[1:], strict=True)):
-                own_words = raw[words.offsets[i] : words.offsets[i + 1]].split()
+                own_words = words.data[words.offsets[i] : words.offsets[i + 1]].tobytes().split()
                 n = int(kept[b] - kept[a])
                 if n < b - a:
                     own_words = compress(own_words, stay[a:b].tolist())
                 out["kept_text"].append(b" ".join(own_words).decode())
                 out["n_words"].append(int(b - a))
                 out["n_removed"].append(int(b - a) - n)
-            out["doc_id"] = t.column("doc_id").to_pylist()
-        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())]))
-
-    one = X.answered(by_block.applyInArrow(first, X.CELLS), X.judge_short)
-    two = X.answered(by_block.cogroup(one.groupBy("block")).applyInArrow(last, X.CELLS), judge_least)
-    both = one.withColumn("level", F.lit(0)).unionByName(two.withColumn("level", F.lit(1)))
-    return by_block.cogroup(both.groupBy("block")).applyInArrow(keep, RESULT)
+        return H.freed(pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])))
+
+    replies = None
+    for k in range(len(lengths)):
+        cells = by_block.applyInArrow(lambda t: sent(0, t, []), X.CELLS) if replies is None else by_block.cogroup(replies.groupBy("block")).applyInArrow(longer(k), X.CELLS)
+        answers = X.answered(cells, judge_least if k + 1 == len(lengths) else X.judge_short).withColumn("level", F.lit(k))
+        replies = answers if replies is None else replies.unionByName(answers)
+    return by_block.cogroup(replies.groupBy("block")).applyInArrow(keep, RESULT)
 
 
 def digest(result: DataFrame) -> DataFrame:

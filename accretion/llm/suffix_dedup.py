@@ -1,21 +1,25 @@
-"""Suffix-array dedup: a depth-limited radix sort of suffixes, most significant digit first.
+"""Suffix-array dedup: a depth-limited radix sort of suffixes, most significant digits first.
 
 Only the first `depth` bytes of a suffix count, so a full suffix array isn't needed: groups of suffixes that are equal
-through that depth are exactly the repeated windows. Two digit passes order the suffixes.
+through that depth are exactly the repeated windows. Passes go from the most significant digit on: after each, suffixes
+are known to be equal through some prefix, and only those in groups of two or more go on to the next digit.
 
-Pass one. Suffixes are taken together that share their digit: every window of `depth` bytes holds depth - DIGIT + 1
-stretches of DIGIT bytes, and the one with the smallest hash (the leftmost of equals) is its anchor; neighbouring
+First digit. It has depth - spread bytes, and is sorted for one suffix in many: of the stretches of that size within a
+window of `depth` bytes, the one with the smallest hash (the leftmost of equals) is the window's anchor; neighbouring
 windows mostly have one anchor in common, and equal windows have equal anchors. One entry for each anchor goes to the
 range of its hash, with a hash of all bytes that its windows cover. An anchor that occurs nowhere else ends there: none
 of its windows is repeated. Where also the whole stretch is found again, all of its windows are repeated.
 
-Pass two. Windows of anchors that occur with different stretches, at the edges of repeats, are looked up one by one
-through the full depth; a stretch that is repeated whole takes part once in each block.
+Further digits. Suffixes of anchors that occur with different stretches, at the edges of repeats, are sorted one by one:
+each pass refines the groups by the next `digit` bytes, until they are equal through the full depth or alone. A stretch
+that is repeated whole takes part once in each block.
 
-Passes exchange hashes through exchange.py: no group of equal suffixes, however large, meets in one task.
+A pass deals suffixes to ranges of hashes of their prefixes (equality is all that groups need, not the bytes' order), and
+ranges sort them; entries go through exchange.py, so no group of equal suffixes, however large, meets in one task.
 
 Defined results: null texts have no bytes; rows that repeat one id are different documents; a text may be of any length,
-as it is worked through in segments of SEGMENT windows, which only moves some windows from pass one to pass two.
+as it is worked through in segments of `segment` windows, which only moves some windows from the first digit to the
+next; columns of other names are ignored, so none can clash.
 """
 
 from __future__ import annotations
@@ -31,20 +35,29 @@ from . import exchange as X
 from . import hashing as H
 
 DEPTH = 400
-#: Windows that share an anchor at most, less one: the digit has DEPTH - SPREAD bytes.
-SPREAD = 128
-BLOCK_BYTES = 8 << 20
+#: Windows that share an anchor at most, less one: the first digit has DEPTH - SPREAD bytes, the next ones DIGIT each.
+SPREAD, DIGIT = 128, 64
+BLOCK_BYTES = 2 << 20
 #: Windows of one segment; with positions in 20 bits, several segments are worked on together.
 SEGMENT, BATCH, PLACE_BITS = 1 << 17, 1 << 18, 20
+#: Entries of a range: of anchors, and of suffixes if all of them went on to further digits.
+RANGE_ANCHORS, RANGE_SUFFIXES = 1_000_000, 16_000_000
+#: Bytes hashed, and entries sorted, at a time.
+STEP, SORTED = 1 << 19, 1 << 20
 RESULT = "doc_id long, n_bytes long, n_spans long, kept binary"
 
 
-def batches(offsets: np.ndarray, depth: int):
+def prefixes(depth: int, spread: int, digit: int) -> list[int]:
+    """Through how many bytes suffixes are sorted after each digit: 400, 128 and 64 give 272, 336 and 400."""
+    return [*range(depth - spread, depth, digit), depth]
+
+
+def batches(offsets: np.ndarray, depth: int, segment: int):
     """Lists of (start, end) of segments in the block's bytes, about BATCH bytes together; texts shorter than depth have none."""
     some, size = [], 0
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        for at in range(a, b - depth + 1, SEGMENT):
-            end = min(b, at + SEGMENT + depth - 1)
+        for at in range(a, b - depth + 1, segment):
+            end = min(b, at + segment + depth - 1)
             if some and size + end - at > BATCH:
                 yield some
                 some, size = [], 0
@@ -84,12 +97,11 @@ class Part:
         self.span = H.stretch(self.c, self.lo, self.hi + depth)
         self.shift = (np.array([a for a, _ in segments]) - begins)[segment[self.lo]]
 
-    def windows(self, which: np.ndarray):
-        """(place in the block, hash, check) of each window of the anchors chosen."""
+    def suffixes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the block, check) of each window of the anchors chosen; ascending."""
         lo, n = self.lo[which], self.hi[which] - self.lo[which] + 1
-        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        check = (H.mix(self.anchor[which]) >> np.uint64(32)).astype(np.uint32)
-        return at + np.repeat(self.shift[which], n), H.stretch(self.c, at, at + self.depth), np.repeat(check, n)
+        at = np.repeat(lo + self.shift[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return at, np.repeat((H.mix(self.anchor[which]) >> np.uint64(32)).astype(np.uint32), n)
 
 
 def pairs(a: np.ndarray, b: np.ndarray):
@@ -112,40 +124,73 @@ def runs(x: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    def __init__(self, texts, depth: int, spread: int):
+    """The suffixes of a block's texts, and what passes leave of them."""
+
+    def __init__(self, texts, depth: int, spread: int, digit: int, segment: int):
         self.data, self.offsets = H.text_buffers(texts)
-        self.depth, self.spread = depth, spread
+        self.depth, self.spread, self.segment = depth, spread, segment
+        self.lengths = prefixes(depth, spread, digit)
 
     def parts(self):
-        for some in batches(self.offsets, self.depth):
+        for some in batches(self.offsets, self.depth, self.segment):
             yield Part(self.data, some, self.depth, self.spread)
 
     def anchors(self, ranges: int):
-        found = [(p.anchor, p.span) for p in self.parts()]
-        a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
-        s = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.uint64)
-        return pairs(X.short(a, ranges), s)
-
-    def edges(self, ranges: int, replies: pa.Table):
-        """(stretches, places, hashes, checks): [from, to) of anchors that are repeated whole, and the windows left to look up."""
-        a, s, n, group = self.anchors(ranges)
+        """Distinct (anchor, stretch), how often, and the pair of each anchor; and where the stretches lie."""
+        found = [(p.anchor, p.span, p.lo + p.shift, p.hi + p.shift) for p in self.parts()]
+        a, s, lo, hi = map(np.concatenate, zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return *pairs(X.short(a, ranges), s), np.stack([lo, hi])
+
+    def first_digit(self, ranges: int, replies: pa.Table):
+        """((2, n) stretches [from, to) that are repeated whole, places of the suffixes that go on, their checks)."""
+        a, s, n, group, ends = self.anchors(ranges)
         got = X.answers(replies, a >> np.uint64(32), ranges, 2)
         whole, mixed = got[:, 1] | (n > 1), got[:, 0] | (runs(a) > 1)
-        at, stretches, windows, shown = 0, [], [], ~whole
-        for p in self.parts():
-            own = group[at : at + len(p.lo)]
-            at += len(p.lo)
-            w = whole[own]
-            stretches.append(np.stack([p.lo[w] + p.shift[w], p.hi[w] + p.shift[w] + self.depth]))
-            # of stretches that are repeated whole, the first shows its windows to others of the same anchor
-            first = np.zeros(len(own), bool)
-            first[np.unique(own, return_index=True)[1]] = True
-            look = mixed[own] & (~whole[own] | (first & ~shown[own]))
-            shown[own] = True
-            if look.any():
-                windows.append(p.windows(look))
-        none = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        return (np.concatenate(stretches, axis=1) if stretches else np.zeros((2, 0), np.int64), *(map(np.concatenate, zip(*windows, strict=True)) if windows else none))
+        stretches = ends[:, whole[group]] + np.array([[0], [self.depth]])
+        # of stretches that are repeated whole, the first shows its windows to others of the same anchor
+        first = np.zeros(len(group), bool)
+        first[np.unique(group, return_index=True)[1]] = True
+        look = mixed[group] & (~whole[group] | first)
+        at, check, some = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], 0
+        for p in self.parts() if look.any() else ():
+            own = look[some : some + len(p.lo)]
+            some += len(p.lo)
+            if own.any():
+                x, y = p.suffixes(own)
+                at.append(x)
+                check.append(y)
+        return stretches, np.concatenate(at), np.concatenate(check)
+
+    def hashes(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Hash of the first length bytes of the suffix at each of ascending places."""
+        out = np.empty(len(at), np.uint64)
+        for a in range(0, len(self.data), STEP):
+            lo, hi = np.searchsorted(at, [a, a + STEP])
+            if lo < hi:
+                c = H.prefix(self.data[a : a + STEP + length].astype(np.uint64) + np.uint64(1))
+                out[lo:hi] = H.stretch(c, at[lo:hi] - a, at[lo:hi] - a + length)
+        return out
+
+    def refined(self, ranges: tuple[int, int], replies: list[pa.Table], last: bool):
+        """(stretches, places of the suffixes in groups of two or more, (hash, check) of the digit that replies don't cover).
+
+        replies: those of the digits so far. last: the digits are through.
+        """
+        stretches, at, check = self.first_digit(ranges[0], replies[0])
+        for k, length in enumerate(self.lengths[1:], 1):
+            if k == len(replies) and not last:
+                return stretches, at, pairs(self.hashes(at, length), check)[:2]
+            h, _, n, group = pairs(self.hashes(at, length), check)
+            go_on = (X.answers(replies[k], X.in_range(h, ranges[1]), ranges[1])[:, 0] | (n > 1))[group]
+            at, check = at[go_on], check[go_on]
+        return stretches, at, None
+
+    def gone(self, stretches: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether each byte is covered."""
+        steps = np.zeros(len(self.data) + 1, np.int32)
+        np.add.at(steps, np.concatenate([stretches[0], at]), 1)
+        np.add.at(steps, np.concatenate([stretches[1], at + self.depth]), -1)
+        return np.cumsum(steps[:-1], dtype=np.int32) > 0
 
 
 def judge_anchors(blobs: list) -> list[np.ndarray]:
@@ -157,58 +202,67 @@ def judge_anchors(blobs: list) -> list[np.ndarray]:
     return np.split(flags, np.cumsum([len(g[0]) for g in got])[:-1])
 
 
-def judge_windows(blobs: list) -> list[np.ndarray]:
+def judge_suffixes(blobs: list) -> list[np.ndarray]:
+    """Whether another block has the same (hash, check). Blobs are ascending, so about SORTED entries of all are sorted at a time."""
     got = [X.opened(b, np.uint64, np.uint32) for b in blobs]
-    _, _, n, group = pairs(*(np.concatenate(x) for x in zip(*got, strict=True)))
-    return np.split(n[group] > 1, np.cumsum([len(g[0]) for g in got])[:-1])
-
-
-def suffix_dedup(docs: DataFrame, depth: int = DEPTH, spread: int = SPREAD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    flags = [np.zeros(len(h), bool) for h, _ in got]
+    slices = max(1, sum(map(len, flags)) // SORTED)
+    low, high = min(int(h[0]) for h, _ in got), max(int(h[-1]) for h, _ in got)
+    edges = np.array([low + (high - low) * i // slices for i in range(slices)], np.uint64)
+    cut = [np.r_[np.searchsorted(h, edges), len(h)] for h, _ in got]
+    for i in range(slices):
+        sub = [slice(c[i], c[i + 1]) for c in cut]
+        h, check = (np.concatenate([g[j][s] for g, s in zip(got, sub, strict=True)]) for j in (0, 1))
+        _, _, n, group = pairs(h, check)
+        for f, s, own in zip(flags, sub, np.split(n[group] > 1, np.cumsum([s.stop - s.start for s in sub])[:-1]), strict=True):
+            f[s] = own
+    return flags
+
+
+def suffix_dedup(docs: DataFrame, depth: int = DEPTH, spread: int = SPREAD, digit: int = DIGIT, block_bytes: int = BLOCK_BYTES, segment: int = SEGMENT) -> DataFrame:
     """Remove every byte that a window of depth bytes covers which starts at least twice in the corpus.
 
     Returns doc_id, n_bytes, n_spans (maximal removed runs), kept (the remaining bytes) for every row.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks, ranges = X.n_blocks(total, block_bytes), X.n_ranges(total / (spread / 2), 500_000)
+    blocks, ranges = X.n_blocks(total, block_bytes), (X.n_ranges(total / (spread / 2), RANGE_ANCHORS), X.n_ranges(total, RANGE_SUFFIXES))
     docs = docs.select(X.block_of(blocks, "doc_id", "text").alias("block"), "doc_id", "text")
     by_block = docs.groupBy("block")
+    block = lambda t: Block(t.column("text"), depth, spread, digit, segment)
+    levels = lambda replies, n: [replies.filter(pa.array(replies.column("level").to_numpy() == k)) for k in range(n)]
 
     def first(t: pa.Table) -> pa.Table:
-        a, s, _, _ = Block(t.column("text"), depth, spread).anchors(ranges)
+        a, s, *_ = block(t).anchors(ranges[0])
         low = (a & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        return X.cells(t.column("block")[0].as_py(), ranges, a >> np.uint64(32), lambda c: X.sealed(low[c], s[c]))
+        return H.freed(X.cells(t.column("block")[0].as_py(), ranges[0], a >> np.uint64(32), lambda c: X.sealed(low[c], s[c])))
+
+    def further(k: int):
+        def send(t: pa.Table, replies: pa.Table) -> pa.Table:
+            if not t.num_rows:
+                return X.CELL_SCHEMA.empty_table()
+            h, check = block(t).refined(ranges, levels(replies, k), last=False)[2]
+            return H.freed(X.cells(t.column("block")[0].as_py(), ranges[1], X.in_range(h, ranges[1]), lambda c: X.sealed(h[c], check[c])))
 
-    def second(t: pa.Table, replies: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return X.CELL_SCHEMA.empty_table()
-        _, _, h, check = Block(t.column("text"), depth, spread).edges(ranges, replies)
-        h, check, _, _ = pairs(h, check)
-        return X.cells(t.column("block")[0].as_py(), ranges, X.in_range(h, ranges), lambda c: X.sealed(h[c], check[c]))
+        return send
 
     def keep(t: pa.Table, replies: pa.Table) -> pa.Table:
         out = {"doc_id": t.column("doc_id").to_pylist(), "n_bytes": [], "n_spans": [], "kept": []}
         if t.num_rows:
-            block, level = Block(t.column("text"), depth, spread), replies.column("level").to_numpy()
-            stretches, at, h, check = block.edges(ranges, replies.filter(pa.array(level == 0)))
-            h, _, n, group = pairs(h, check)
-            again = X.answers(replies.filter(pa.array(level == 1)), X.in_range(h, ranges), ranges)[:, 0] | (n > 1)
-            at = at[again[group]]
-            steps = np.zeros(len(block.data) + 1, np.int32)
-            np.add.at(steps, np.concatenate([stretches[0], at]), 1)
-            np.add.at(steps, np.concatenate([stretches[1], at + depth]), -1)
-            gone = np.cumsum(steps[:-1], dtype=np.int32) > 0
-            for a, b in zip(block.offsets[:-1].tolist(), block.offsets[1:].tolist(), strict=True):
-                g = gone[a:b]
-                out["n_bytes"].append(b - a)
-                out["n_spans"].append(int(np.count_nonzero(g[1:] & ~g[:-1])) + int(b > a and g[0]))
-                out["kept"].append(block.data[a:b][~g].tobytes())
-        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]))
-
-    one = X.answered(by_block.applyInArrow(first, X.CELLS), judge_anchors)
-    two = X.answered(by_block.cogroup(one.groupBy("block")).applyInArrow(second, X.CELLS), judge_windows)
-    both = one.withColumn("level", F.lit(0)).unionByName(two.withColumn("level", F.lit(1)))
-    return by_block.cogroup(both.groupBy("block")).applyInArrow(keep, RESULT)
+            b = block(t)
+            gone = b.gone(*b.refined(ranges, levels(replies, len(b.lengths)), last=True)[:2])
+            for x, y in zip(b.offsets[:-1].tolist(), b.offsets[1:].tolist(), strict=True):
+                g = gone[x:y]
+                out["n_bytes"].append(y - x)
+                out["n_spans"].append(int(np.count_nonzero(g[1:] & ~g[:-1])) + int(y > x and g[0]))
+                out["kept"].append(b.data[x:y][~g].tobytes())
+        return H.freed(pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])))
+
+    replies = X.answered(by_block.applyInArrow(first, X.CELLS), judge_anchors).withColumn("level", F.lit(0))
+    for k in range(1, len(prefixes(depth, spread, digit))):
+        sent = by_block.cogroup(replies.groupBy("block")).applyInArrow(further(k), X.CELLS)
+        replies = replies.unionByName(X.answered(sent, judge_suffixes).withColumn("level", F.lit(k)))
+    return by_block.cogroup(replies.groupBy("block")).applyInArrow(keep, RESULT)
 
 
 def digest(result: DataFrame) -> DataFrame:

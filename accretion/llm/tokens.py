@@ -15,8 +15,8 @@ import numpy as np
 from . import hashing as H
 
 DEFAULT = "word_bpe_49k.json"
-#: Distinct words that a worker remembers at most; others are encoded each time.
-REMEMBERED = 300_000
+#: Distinct words that a worker remembers at most, before it begins anew; it holds them in arrays, of about 25 bytes each.
+REMEMBERED = 500_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 ALNUM = np.zeros(256, bool)
@@ -45,12 +45,37 @@ def units(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
 
 
+class Known:
+    """The ids of words by the words' hashes, in flat arrays."""
+
+    def __init__(self):
+        self.hashes, self.at, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def add(self, hashes: np.ndarray, words: list[np.ndarray]) -> None:
+        """Ascending hashes, none of them known."""
+        if not len(hashes):
+            return
+        if len(self.hashes) + len(hashes) > REMEMBERED:
+            self.__init__()
+        sizes = np.concatenate([np.diff(self.at), [len(w) for w in words]]).astype(np.int64)
+        begin = np.concatenate([self.at[:-1], len(self.ids) + np.cumsum(sizes[len(self.hashes) :]) - sizes[len(self.hashes) :]])
+        hashes = np.concatenate([self.hashes, hashes])
+        order = np.argsort(hashes, kind="stable")
+        ids = gathered(np.concatenate([self.ids, *words]), begin[order], sizes[order])
+        self.hashes, self.at, self.ids = hashes[order], np.r_[0, np.cumsum(sizes[order])], ids
+
+
+def gathered(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[begin:begin + size] of each, one after another."""
+    return flat[np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, np.ndarray] = {}
+        self.known = Known()
         # a digit is a word of its own: it parts the words that are encoded in one go
         self.zero = self.tokenizer.encode("0", add_special_tokens=False).ids
 
@@ -79,26 +104,27 @@ class Encoder:
         return out
 
     def texts(self, data: np.ndarray, offsets: np.ndarray):
-        """(ids of all texts, where each text's begin and the last one's end, units' texts, units' distinct number)."""
+        """(ids of all texts, where each text's begin and the last one's end, units' texts, units' hashes)."""
         if b"<|" not in data.tobytes():  # special tokens, which are told by their case
             data = LOWER[data]
         starts, ends = units(data, *H.spans_of_words(data, offsets[1:-1]))
         doc = np.searchsorted(offsets, starts, side="right") - 1
-        distinct, first, number = np.unique(H.hashes_of_words(data, starts, ends), return_index=True, return_inverse=True)
-        found = [self.known.get(h) for h in distinct.tolist()]
-        missing = [i for i, x in enumerate(found) if x is None]
+        hashes = H.hashes_of_words(data, starts, ends)
+        distinct, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.known.hashes, distinct), max(0, len(self.known.hashes) - 1))
+        new = np.flatnonzero(self.known.hashes[place] != distinct) if len(self.known.hashes) else np.arange(len(distinct))
+        old = np.delete(np.arange(len(distinct)), new)
         raw = data.tobytes()
-        for i, ids in zip(missing, self.words([raw[starts[j] : ends[j]].decode() for j in first[missing].tolist()]), strict=True):
-            found[i] = ids
-            if len(self.known) < REMEMBERED:
-                self.known[int(distinct[i])] = ids
-        sizes = np.array([len(x) for x in found], np.int64)
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
-        begin = np.cumsum(sizes) - sizes
-        n = sizes[number]
-        out = flat[np.repeat(begin[number] - np.cumsum(n) + n, n) + np.arange(n.sum())] if len(n) else flat
-        per_doc = np.bincount(doc, weights=n, minlength=len(offsets) - 1).astype(np.int64)
-        return out, np.r_[0, np.cumsum(per_doc)], doc, number
+        words = self.words([raw[starts[j] : ends[j]].decode() for j in first[new].tolist()])
+        flat = np.concatenate([self.known.ids, *words])
+        sizes, begin = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        sizes[old], begin[old] = self.known.at[place[old] + 1] - self.known.at[place[old]], self.known.at[place[old]]
+        sizes[new] = [len(w) for w in words]
+        begin[new] = len(self.known.ids) + np.cumsum(sizes[new]) - sizes[new]
+        out = gathered(flat, begin[number], sizes[number])
+        self.known.add(distinct[new], words)
+        per_doc = np.bincount(doc, weights=sizes[number], minlength=len(offsets) - 1).astype(np.int64)
+        return out, np.r_[0, np.cumsum(per_doc)], doc, hashes
 
 
 @lru_cache(maxsize=2)
