@@ -1,12 +1,16 @@
 """HTML extraction by a linear-chain conditional random field over the leaf blocks of a page.
 
-A page is read once with one regular expression for tags; a leaf block is the text between two block-level tags. Its
-features are the tags and class words of its ancestors and some of its text; the chain's labels are main text or not.
-Weights are learned with forward-backward sums on labelled pages, which labelled_pages() builds from templates unlike
-each other, and pages are decoded by Viterbi.
+A page is read once, tag by tag; a leaf block is the text between two block-level tags. Its features are the tags and
+class words of its ancestors and some of its text; the chain's labels are main text or not. Weights are learned with
+forward-backward sums on labelled pages, which labelled_pages() builds from templates unlike each other, and pages are
+decoded by Viterbi.
 
 Defined results: null and empty pages give the empty text; tags that are never closed end with their parent, closing tags
-without an opening one are skipped, a comment or script that never ends hides the rest; nothing is dropped for length.
+without an opening one are skipped; a comment, script or style that never ends hides the rest, as does a tag that does, but
+other elements that aren't shown (HIDDEN) hide what lies before their closing tag only, and nothing if there is none. A
+quote counts after = only, and only if it is closed; where quotes would swallow the last > of a page, its tags end at the
+next > from there on. Rows that repeat a page each give its text; time is linear in a page's length, and nothing is
+dropped for length. Columns of pages named text and n_chars are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +29,10 @@ from pyspark.sql import DataFrame
 # HTML's elements by kind, and words in classes and ids that tell what an element holds.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr img br picture source".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video"
+RAW = frozenset("script style".split())
+#: Elements within so many others open no level of their own, as in browsers; their text is that of the last level.
+DEEPEST = 512
+HIDDEN = frozenset("noscript template svg math iframe object canvas audio video".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES_SELF = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tr td th", "tbody": "thead tr td th"}
 TAGS = "head title nav header footer aside article main section form button select textarea fieldset ul ol li dl table tr td th h1 h2 h3 h4 h5 h6 p div blockquote pre figure figcaption menu dialog body details address".split()
@@ -38,7 +46,10 @@ TEXT = (
 ).split()
 NAMES = [f"in {t}" for t in TAGS] + [f"like {h}" for h in HINTS] + TEXT + [f"leaf {t}" for t in TAGS]
 PLACE = {n: i for i, n in enumerate(NAMES)}
-TAG_RE = re.compile(rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+TAG_BEGIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: What follows a tag's name. No alternative gives anything back, so a tag is read in one go.
+TAG_REST = re.compile(r"((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[\"'=])*+)>")
+PLAIN_REST = re.compile(r"([^>]*+)>")
 HINT_RE = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD_RE = re.compile(r"[a-z]+")
 
@@ -46,10 +57,10 @@ WORD_RE = re.compile(r"[a-z]+")
 class Frame:
     """An open element: its tag and the features that it and its ancestors give."""
 
-    __slots__ = ("features", "leaf", "linked", "tag")
+    __slots__ = ("features", "hidden", "leaf", "linked", "tag")
 
-    def __init__(self, tag: str, features: frozenset, leaf: int | None, linked: bool):
-        self.tag, self.features, self.leaf, self.linked = tag, features, leaf, linked
+    def __init__(self, tag: str, features: frozenset, leaf: int | None, linked: bool, hidden: bool = False):
+        self.tag, self.features, self.leaf, self.linked, self.hidden = tag, features, leaf, linked, hidden
 
 
 @lru_cache(maxsize=50_000)
@@ -61,15 +72,62 @@ def _own(tag: str, words: str) -> frozenset:
 def _opened(parent: Frame, tag: str, attributes: str) -> Frame:
     words = " ".join("".join(m) for m in HINT_RE.findall(attributes)).lower() if "=" in attributes else ""
     own = _own(tag, words)
-    return Frame(tag, parent.features | own if own else parent.features, PLACE.get(f"leaf {tag}", parent.leaf) if tag not in INLINE else parent.leaf, parent.linked or tag == "a")
+    return Frame(tag, parent.features | own if own else parent.features, PLACE.get(f"leaf {tag}", parent.leaf) if tag not in INLINE else parent.leaf, parent.linked or tag == "a", parent.hidden or tag in HIDDEN)
+
+
+def tags(page: str):
+    """(start, end, closing, name, attributes) of each tag; name is None for what is no element: comments, declarations, scripts."""
+    at, rest, last_close = 0, TAG_REST, {}
+    while (start := page.find("<", at)) >= 0:
+        begin = TAG_BEGIN.match(page, start)
+        if begin is None:
+            what = page[start + 1 : start + 2]
+            if page.startswith("<!--", start):
+                # <!--> and <!---> are whole comments
+                end = page.find("-->", start + 2)
+                at = end + 3 if end >= 0 else len(page)
+            elif what in ("!", "?") and (end := page.find(">", start)) >= 0:
+                at = end + 1
+            else:
+                at = start + 1  # a character of the text
+                continue
+            yield start, at, False, None, ""
+            continue
+        name = begin[2].lower()
+        found = rest.match(page, begin.end())
+        if found is None:
+            rest = PLAIN_REST
+            found = rest.match(page, begin.end())
+        if found is None:
+            yield start, len(page), False, None, ""
+            return
+        at = found.end()
+        if begin[1]:
+            yield start, at, True, name, ""
+            continue
+        if name in RAW:
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I).search(page, at)
+            at = end.end() if end else len(page)
+            yield start, at, False, None, ""
+            continue
+        attributes = found[1]
+        if name in HIDDEN and not attributes.endswith("/"):
+            if name not in last_close:
+                last_close[name] = max((m.start() for m in re.finditer(rf"</{name}(?=[\s/>])", page, re.I)), default=-1)
+            if last_close[name] < at:
+                attributes += "/"  # nothing closes it, so it has no content
+        yield start, at, False, name, attributes
 
 
 def blocks(page: str) -> list[tuple[str, frozenset, int | None, int]]:
     """(text, features of the ancestors, leaf's feature, linked characters) of each block that isn't blank."""
     stack, out, parts, linked, at = [Frame("", frozenset(), None, False)], [], [], 0, 0
+    open_tags: Counter = Counter()
 
     def take(text: str) -> None:
         nonlocal linked
+        if stack[-1].hidden:
+            return
         parts.append(text)
         if stack[-1].linked:
             linked += len(text)
@@ -83,40 +141,47 @@ def blocks(page: str) -> list[tuple[str, frozenset, int | None, int]]:
             parts.clear()
         linked = 0
 
-    for m in TAG_RE.finditer(page):
-        if m.start() > at:
-            take(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
+    def cut(i: int) -> None:
+        open_tags.subtract(f.tag for f in stack[i:])
+        del stack[i:]
+
+    for start, end, closing, tag, attributes in tags(page):
+        if start > at:
+            take(page[at:start])
+        at = end
         if tag is None:
             continue  # a comment, a declaration or what isn't shown
-        tag = tag.lower()
         if tag == "br":
             take(" ")
             continue
-        inline = tag in INLINE
-        if m[2]:
-            if not inline:
-                flush()
+        inline = tag in INLINE or tag in HIDDEN
+        if not inline and not stack[-1].hidden:
+            flush()
+        if closing:
+            if not open_tags[tag]:
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    if inline and any(f.tag not in INLINE for f in stack[i + 1 :]):
-                        break  # an inline tag doesn't end blocks within it
-                    del stack[i:]
+                    within = stack[-1].hidden
+                    cut(i)
+                    if within and not inline and not stack[-1].hidden:
+                        flush()
                     break
+                if tag in INLINE and stack[i].tag not in INLINE:
+                    break  # an inline tag doesn't end blocks within it
             continue
         if not inline:
-            flush()
             ends = CLOSES_SELF.get(tag, "").split() if tag in CLOSES_SELF else ["p"] if tag in CLOSES_P else []
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(open_tags[e] for e in ends) else ():
                 if stack[i].tag in ends:
-                    del stack[i:]
+                    cut(i)
                     if tag not in ("tr", "thead", "tbody"):
                         break
                 elif stack[i].tag not in INLINE and stack[i].tag not in ("tbody", "thead"):
                     break
-        if tag not in VOID and not m[4].endswith("/"):
-            stack.append(_opened(stack[-1], tag, m[4]))
+        if tag not in VOID and not attributes.endswith("/") and len(stack) < DEEPEST:
+            stack.append(_opened(stack[-1], tag, attributes))
+            open_tags[tag] += 1
     if at < len(page):
         take(page[at:])
     flush()
@@ -239,6 +304,9 @@ def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[bool]]]:
             foot = block(r.choice(["<p>%s</p>", "%s", "<div>%s</div>"]) % (r.choice(["&copy; ", "Copyright ", ""]) + sentence(2, 25) + r.choice(["", " All rights reserved."])), False)
             page += r.choice(["<footer>%s</footer>"] * 3 + ['<div class="footer">%s</div>', '<div id="foot">%s</div>']) % ((boiler("nav") if r.random() < 0.3 else "") + foot)
         pages.append((page + r.choice(["</body></html>", "</body></html>", ""]), labels))
+    for _ in range(n // 16):  # fragments: paragraphs and nothing else
+        k = r.randrange(1, 5)
+        pages.append(("".join(f"<p>{sentence()}</p>" for _ in range(k)), [True] * k))
     return pages
 
 

@@ -100,7 +100,7 @@ def test_quality_odd_rows(spark):
     assert quality.quality_scores(docs.limit(0), labels).count() == 0
 
 
-def test_extraction_on_other_templates():
+def test_extraction_on_the_generators_other_pages():
     chain = html_extract.default_chain()
     right = total = 0
     for page, labels in html_extract.labelled_pages(120, seed=99):
