@@ -62,6 +62,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_suffix_dedup": suffix_dedup.ORACLE,
+    "op9_substring_dedup": substring_dedup.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
     "op8_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

@@ -181,3 +181,15 @@ def brute_force(rows: list[tuple], window: int = WINDOW) -> dict:
                 stay[i : i + window] = [False] * window
         out[d] = (len(w), stay.count(False), hashlib.sha256(b" ".join(compress(w, stay))).hexdigest())
     return out
+
+
+ORACLE = rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    p AS (SELECT doc_id, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d),
+    g AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS k FROM p JOIN d USING (doc_id)),
+    f AS (SELECT k, min(doc_id) AS first FROM g GROUP BY k),
+    gone AS (SELECT DISTINCT doc_id, i + unnest(range({WINDOW})) AS i FROM g JOIN f USING (k) WHERE first < doc_id),
+    s AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+    k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM s ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN k USING (doc_id)"""

@@ -288,3 +288,18 @@ def brute_force(rows: list[tuple], depth: int = DEPTH) -> list[tuple]:
         kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
         out.append((d, len(t), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+ORACLE = f"""
+    WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+    p AS (SELECT doc_id, b, unnest(range(1, octet_length(b) - {DEPTH - 2})) AS i FROM d),
+    g AS (SELECT doc_id, i, md5_number(b[i:i + {DEPTH - 1}]) AS k FROM p),
+    h AS (SELECT doc_id, i FROM g JOIN (SELECT k FROM g GROUP BY k HAVING count(*) > 1) USING (k)),
+    n AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {DEPTH} THEN 0 ELSE 1 END AS new FROM h),
+    m AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n),
+    r AS (SELECT doc_id, run, min(i) AS a, max(i) + {DEPTH - 1} AS z FROM m GROUP BY ALL),
+    s AS (SELECT doc_id, count(*) AS n_spans, sum(z - a + 1) AS n_removed, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM r GROUP BY doc_id),
+    k AS (SELECT doc_id, b, n_spans, n_removed, CASE WHEN a IS NULL THEN b ELSE list_reduce(list_transform(range(0, len(a) + 1),
+            lambda j: b[CASE WHEN j = 0 THEN 1 ELSE z[j] + 1 END : CASE WHEN j = len(a) THEN octet_length(b) ELSE a[j + 1] - 1 END]), lambda x, y: x || y) END AS kept
+          FROM d LEFT JOIN s USING (doc_id))
+    SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(kept) AS kept_sha256 FROM k"""
