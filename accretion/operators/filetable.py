@@ -2,44 +2,43 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accretion.functions import paths as P
-from accretion.scratch import scratch
+from accretion.scratch import saved
 
 ROOT, FIRST_USER = 5, 16
-#: Joins at most: a path of 32,767 characters has no more than 2^15 parts, so a longer chain is a cycle.
-MOST_STEPS = 15
+#: Characters of the longest path there can be. Names of cycles would double for ever.
+LONGEST = 32_767
 
 
 def resolved_paths(dirs: DataFrame, root: int = ROOT) -> DataFrame:
     """(record, path, state) of directories (record, parent, name): state is ok, orphan or cycle; only ok has a path.
 
-    Pointers double: after k joins each directory knows its ancestor 2^k steps up and the names between, so the number
-    of joins is the logarithm of the depth. A chain still going after more steps than there are directories is a cycle,
-    as is one that leads into it.
+    Pointers double: after k joins each directory knows its ancestor 2^k steps up and the names between. Those that have
+    reached the root, or a parent that isn't there, are through and join no more, so the k-th join moves only what is
+    deeper than 2^k. As long as any of these is in no cycle, some get through with each join (those up to twice as deep);
+    so where a join gets none through, all that are left lead into cycles.
     """
-    base = dirs.where(F.col("record") != root).select("record", "name", "parent")
-    known = base.select(F.col("record").alias("r"))
-    # a parent that isn't there is -1, the root 0 steps above itself
-    state = base.join(known, base.parent == known.r, "left").select(
-        "record", F.col("name").alias("path"), F.when(F.col("parent") == root, F.lit(-2)).when(F.col("r").isNull(), F.lit(-1)).otherwise(F.col("parent")).alias("up")
-    )
-    count, k = base.count(), 1
-    while k <= max(1, count) and k < 2**MOST_STEPS:
-        above = state.select(F.col("record").alias("r"), F.col("path").alias("p"), F.col("up").alias("u"))
-        # paths of cycles would double for ever; where a chain is longer than any real one, only where it leads matters
-        grown = F.when(F.col("r").isNull(), F.col("path")).when(F.length("path") + F.length("p") > 32_767, F.col("path")).otherwise(F.concat("p", F.lit(P.SEP), "path"))
-        state = state.join(above, F.col("up") == F.col("r"), "left").select("record", grown.alias("path"), F.coalesce("u", "up").alias("up"))
-        k *= 2
-        # each join reads the last state twice, so without a table in between plans would double, too
-        path = scratch(dirs.sparkSession, "paths")
-        state.write.parquet(path)
-        state = dirs.sparkSession.read.parquet(path)
-        if not state.where("up >= 0").limit(1).count():
+    # up: a record, -2 at the root, -1 where the parent is missing
+    state = saved(dirs.where(F.col("record") != root).select("record", F.col("name").alias("path"), F.when(F.col("parent") == root, F.lit(-2)).otherwise(F.col("parent")).cast("long").alias("up")), "paths")
+    through: list[DataFrame] = []
+    left = state.where("up >= 0").count()
+    while left:
+        through.append(state.where("up < 0"))
+        going = state.where("up >= 0")
+        above = reduce(DataFrame.unionByName, [*through, going]).select(F.col("record").alias("r"), F.col("path").alias("p"), F.col("up").alias("u"))
+        grown = F.when(F.col("r").isNull() | (F.length("path") + F.length("p") > LONGEST), F.col("path")).otherwise(F.concat("p", F.lit(P.SEP), "path"))
+        state = saved(going.join(above, F.col("up") == F.col("r"), "left").select("record", grown.alias("path"), F.coalesce("u", F.lit(-1)).cast("long").alias("up")), "paths")
+        now = state.where("up >= 0").count()
+        if now == left:
             break
-    found = state.select("record", F.when(F.col("up") == -2, F.col("path")).alias("path"), F.when(F.col("up") == -2, "ok").when(F.col("up") == -1, "orphan").otherwise("cycle").alias("state"))
+        left = now
+    rows = reduce(DataFrame.unionByName, [*through, state])
+    found = rows.select("record", F.when(F.col("up") == -2, F.col("path")).alias("path"), F.when(F.col("up") == -2, "ok").when(F.col("up") == -1, "orphan").otherwise("cycle").alias("state"))
     at_root = dirs.sparkSession.range(1).select(F.lit(root).cast("long").alias("record"), F.lit("").alias("path"), F.lit("ok").alias("state"))
     return found.unionByName(at_root)
 

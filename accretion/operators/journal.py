@@ -10,6 +10,8 @@ from accretion.functions import reasons as R
 from accretion.functions import stamps as S
 
 DAYS, TOP_N, LIMIT, KEEP_DAYS, ENRICH = 30, 5, 200, 180, 5000
+#: Parts in which each drive's first events are looked for.
+CUT_PARTS = 64
 #: Seconds of the window in which a day's deletions are ranked; two hours of the next day are in it, too.
 DAY_WINDOW = 86400 + 7200
 
@@ -130,20 +132,30 @@ def coverage(events: DataFrame, status: DataFrame, tz: str = "UTC") -> DataFrame
     return out.select("drive", F.coalesce("events", F.lit(0)).alias("events"), "first_day", "last_day", F.coalesce(span, F.lit(0)).cast("long").alias("days"), "available", "reason")
 
 
+def _cuts(wanted: DataFrame, limit: int) -> DataFrame:
+    """(drive, last): the limit-th usn of each drive's rows, in two steps, so that no task sorts a drive's whole journal."""
+    some = wanted.select("drive", "usn", F.pmod(F.xxhash64("usn"), F.lit(CUT_PARTS)).alias("part"))
+    for keys in (["drive", "part"], ["drive"]):
+        some = some.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("usn"))).where(F.col("nth") <= limit).drop("nth")
+    return some.groupBy("drive").agg(F.max("usn").alias("last"))
+
+
 def enriched(events: DataFrame, files: DataFrame, snapshots: DataFrame, limit: int | None = ENRICH) -> DataFrame:
     """Events with sizes of deleted files where they are unknown: that of the path in the drive's newest snapshot that has it.
 
     Incomplete snapshots and later ones than the event count, too. At most limit events of each drive are looked at, in
-    order of usn.
+    order of usn. Only those are joined, and of the files only those with their paths are compared.
     """
-    sizes = files.join(snapshots.select(F.col("id").alias("snapshot_id"), "drive", "taken_at"), "snapshot_id").groupBy("drive", "path").agg(F.max_by("bytes", F.struct("taken_at", "snapshot_id")).alias("found"))
-    wants = (F.col("kind") == "delete") & F.col("bytes").isNull() & F.col("path").isNotNull() & ~F.col("is_dir")
-    out = events.withColumn("wants", wants)
+    wants = F.coalesce((F.col("kind") == "delete") & F.col("bytes").isNull() & F.col("path").isNotNull() & ~F.col("is_dir"), F.lit(False))
+    marked = events.withColumn("looked", wants)
     if limit is not None:
-        nth = F.row_number().over(Window.partitionBy("drive", "wants").orderBy("usn"))
-        out = out.withColumn("wants", F.col("wants") & (nth <= limit))
-    out = out.join(sizes, ["drive", "path"], "left").withColumn("bytes", F.when(F.col("wants"), F.col("found")).otherwise(F.col("bytes")))
-    return out.select(*events.columns)
+        marked = marked.join(_cuts(events.where(wants), limit), "drive", "left").withColumn("looked", F.col("looked") & (F.col("usn") <= F.col("last")))
+    looked = marked.where("looked").select(*events.columns)
+    heads = snapshots.select(F.col("id").alias("snapshot_id"), "drive", "taken_at")
+    same = files.select("snapshot_id", "path", F.col("bytes").alias("found")).join(heads, "snapshot_id").join(looked.select("drive", "path").distinct(), ["drive", "path"], "left_semi")
+    sizes = same.groupBy("drive", "path").agg(F.max_by("found", F.struct("taken_at", "snapshot_id")).alias("found"))
+    known = looked.join(sizes, ["drive", "path"], "left").select(*[F.col("found").alias(c) if c == "bytes" else F.col(c) for c in events.columns])
+    return marked.where(~F.col("looked")).select(*events.columns).unionByName(known)
 
 
 def kept_last(held: DataFrame, new: DataFrame, order: str = "updated_at") -> DataFrame:

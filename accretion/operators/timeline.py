@@ -74,18 +74,24 @@ def collapsed(items: list[tuple[str, int]], ratio: float = DOMINANT, drill: bool
 
 
 def contributors(changed: DataFrame, top_n: int | None = TOP_N, ratio: float = DOMINANT, drill: bool = True) -> DataFrame:
-    """(drive, day, direction, rank, path, bytes, picked) from deltas(); groups are a day's changed paths of few levels."""
+    """(drive, day, direction, rank, path, bytes, picked) from deltas().
+
+    Paths only stand in each other's way below one top-level directory, so a group is that directory's changed paths of a
+    day, of few levels; the groups' picks are ranked together.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         found = collapsed(list(zip(rows["path"], rows["bytes"].astype(int), strict=True)), ratio, drill)[:top_n]
         out = pd.DataFrame(found, columns=["path", "bytes", "picked"])
-        out.insert(0, "rank", range(1, len(out) + 1))
         for c in ("direction", "day", "drive"):
             out.insert(0, c, rows[c].iloc[0])
         return out
 
-    rows = changed.select("drive", "day", F.when(F.col("delta") > 0, "up").otherwise("down").alias("direction"), "path", F.abs("delta").alias("bytes"))
-    return rows.groupBy("drive", "day", "direction").applyInPandas(run, "drive string, day string, direction string, rank long, path string, bytes long, picked string")
+    rows = changed.select("drive", "day", F.when(F.col("delta") > 0, "up").otherwise("down").alias("direction"), "path", F.abs("delta").alias("bytes"), P.attribution("path", 1).alias("top"))
+    picks = rows.groupBy("drive", "day", "direction", "top").applyInPandas(run, "drive string, day string, direction string, path string, bytes long, picked string")
+    order = Window.partitionBy("drive", "day", "direction").orderBy(F.desc("bytes"), "path")
+    ranked = picks.withColumn("rank", F.row_number().over(order).cast("long"))
+    return (ranked if top_n is None else ranked.where(F.col("rank") <= top_n)).select("drive", "day", "direction", "rank", "path", "bytes", "picked")
 
 
 def filled(days: DataFrame) -> DataFrame:

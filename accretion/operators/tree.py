@@ -48,6 +48,15 @@ def rollup(entries: DataFrame, now: float | Column, by: Sequence[str] = ()) -> D
     return out.select(*by, "path", P.depth("path").alias("depth"), "bytes", "own_bytes", "files", F.coalesce("dirs", F.lit(0)).alias("dirs"), "newest_mtime", "newest_ctime")
 
 
+def sizes(entries: DataFrame, max_depth: int, by: Sequence[str] = ()) -> DataFrame:
+    """(path, depth, bytes) of the directories down to max_depth, as rollup() has them; deeper ones are never made rows of."""
+    by = list(by)
+    home = P.attribution(F.when(F.col("is_dir"), F.col("path")).otherwise(P.parent("path")), max_depth)
+    direct = entries.groupBy(*by, home.alias("path")).agg(F.sum(F.when(F.col("is_dir"), F.lit(0)).otherwise(F.col("bytes"))).alias("own"))
+    nodes = direct.select(*by, F.explode(P.ancestors_and_self("path")).alias("path"), "own").groupBy(*by, "path").agg(F.sum("own").alias("bytes"))
+    return nodes.select(*by, "path", P.depth("path").alias("depth"), "bytes")
+
+
 def prune(dirs: DataFrame, min_bytes: int = KEEP_BYTES, max_depth: int = KEEP_DEPTH, by: Sequence[str] = ()) -> DataFrame:
     """Directories that are large or shallow, with folded_children and folded_bytes of what their subtrees lost.
 

@@ -107,7 +107,7 @@ d AS (SELECT {day_sql("w.at")} AS day, path, sum(s.bytes * sg)::BIGINT AS delta
 k AS (SELECT max(abs(delta)) AS peak FROM d)
 SELECT day, path, floor(sign(delta) * log10(1 + abs(delta)/1048576.0) / log10(1 + peak/1048576.0) * 1000000 + 0.5)::BIGINT AS height_ppm FROM d, k WHERE delta <> 0""")
 def symlog_scale(spark, sf):
-    d = T.deltas(X.snapshots(spark, sf), X.snap_dirs(spark, sf))
+    d = T.deltas(X.snapshots(spark, sf), X.snap_sizes(spark, sf, T.COMPARE_DEPTH))
     peak = d.agg(F.max(F.abs("delta")).alias("peak"))
     rows = d.join(F.broadcast(peak), F.col("peak").isNotNull())
     return rows.select("day", "path", F.floor(display.symlog("delta", F.col("peak")) * 1000000 + 0.5).cast("long").alias("height_ppm"))
@@ -265,7 +265,7 @@ def _diff_sql(source: str, b: int, a: int, least: int) -> str:
 
 @query(f"WITH {X.HISTORY_DIRS}, {_diff_sql('sd WHERE depth BETWEEN 1 AND 4', 4, 5, N.DIFF_BYTES)} SELECT path, before, after, delta, kind FROM df")
 def diff_dirs(spark, sf):
-    return N.diff_dirs(X.snap_dirs(spark, sf), 4, 5)
+    return N.diff_dirs(X.snap_sizes(spark, sf, N.DIFF_DEPTH), 4, 5)
 
 
 @query(f"WITH {X.HISTORY}, {_diff_sql('se WHERE true', 4, 5, N.DIFF_BYTES)} SELECT path, before, after, delta, kind FROM df")
@@ -277,7 +277,7 @@ def diff_files(spark, sf):
 SELECT CASE WHEN delta>0 THEN 'grown' ELSE 'shrunk' END AS direction, row_number() OVER (PARTITION BY delta>0 ORDER BY abs(delta) DESC, path)::BIGINT AS rank, path, before, after, delta, kind FROM df WHERE delta<>0
 QUALIFY row_number() OVER (PARTITION BY delta>0 ORDER BY abs(delta) DESC, path) <= 40""")
 def diff_top(spark, sf):
-    return N.top_differences(N.diff_dirs(X.snap_dirs(spark, sf), 1, 5)).withColumn("rank", F.col("rank").cast("long"))
+    return N.top_differences(N.diff_dirs(X.snap_sizes(spark, sf, N.DIFF_DEPTH), 1, 5)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""WITH {X.HISTORY}, r AS (SELECT drive, id, row_number() OVER (PARTITION BY drive ORDER BY taken_at DESC, id DESC) AS rn FROM sn WHERE complete)
@@ -319,7 +319,7 @@ spn AS (SELECT DISTINCT drive, strftime(d, '%Y-%m-%d') AS day FROM (SELECT drive
 
 
 def _deltas(spark, sf):
-    return T.deltas(X.snapshots(spark, sf), X.snap_dirs(spark, sf))
+    return T.deltas(X.snapshots(spark, sf), X.snap_sizes(spark, sf, T.COMPARE_DEPTH))
 
 
 @query(f"WITH {_DELTAS} SELECT drive, day, path, delta FROM dl")
@@ -350,7 +350,7 @@ tl AS (SELECT drive, day, coalesce(basis,'retro') AS basis, coalesce(added,0)::B
 
 def _timeline(spark, sf):
     held = buckets.age_buckets(X.snap_entries(spark, sf), X.BUCKET_BYTES, by=["snapshot_id"])
-    return T.timeline(X.snapshots(spark, sf), X.snap_dirs(spark, sf), held, X.NOW_HISTORY)
+    return T.timeline(X.snapshots(spark, sf), X.snap_sizes(spark, sf, T.COMPARE_DEPTH), held, X.NOW_HISTORY)
 
 
 @query(f"WITH {_TIMELINE} SELECT drive, day, basis, added, removed, net, files_added FROM tl")
@@ -358,11 +358,11 @@ def timeline(spark, sf):
     return _timeline(spark, sf).select("drive", "day", "basis", "added", "removed", "net", "files_added")
 
 
-@query(f"""WITH {_BUCKETS}, d AS (SELECT 'C:' AS drive, day, sum(bytes)::BIGINT AS added, sum(files)::BIGINT AS files_added FROM bk GROUP BY day HAVING sum(bytes) % 3 = 0),
+@query(f"""WITH {_BUCKETS}, d AS (SELECT 'C:' AS drive, day, sum(bytes)::BIGINT AS added, sum(files)::BIGINT AS files_added FROM bk GROUP BY day),
 ax AS (SELECT strftime(unnest(generate_series(min(day)::DATE::TIMESTAMP, max(day)::DATE::TIMESTAMP, INTERVAL 1 DAY)), '%Y-%m-%d') AS day FROM d)
 SELECT 'C:' AS drive, day, 'retro' AS basis, coalesce(added,0)::BIGINT AS added, 0::BIGINT AS removed, coalesce(added,0)::BIGINT AS net, coalesce(files_added,0)::BIGINT AS files_added FROM ax LEFT JOIN d USING (day)""")
 def fill_gaps(spark, sf):
-    rows = buckets.retro_days(buckets.age_buckets(X.entries(spark, sf), X.BUCKET_BYTES)).where("added % 3 = 0")
+    rows = buckets.retro_days(buckets.age_buckets(X.entries(spark, sf), X.BUCKET_BYTES))
     rows = rows.select(F.lit("C:").alias("drive"), "day", F.lit("retro").alias("basis"), "added", F.lit(0).cast("long").alias("removed"), "net", "files_added")
     return T.filled(rows)
 
@@ -564,6 +564,14 @@ def enrich_deleted_sizes(spark, sf):
     return journal.enriched(e, X.snap_files(spark, sf), X.heads(spark), limit=None)
 
 
+@query(f"""WITH {X.HISTORY}, e AS ({_LOST}), w AS (SELECT *, bytes IS NULL AND NOT is_dir AS wants FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY drive, wants ORDER BY usn) AS nth FROM w),
+z AS (SELECT drive, path, arg_max(bytes, (taken_at, id)) AS found FROM (SELECT f.path, f.bytes, s.drive, s.taken_at, s.id FROM se f JOIN fx_heads s ON s.id = f.snapshot_id) GROUP BY ALL)
+SELECT k.drive, usn, CASE WHEN wants AND nth <= {X.ENRICHED} THEN found ELSE bytes END AS bytes FROM k LEFT JOIN z ON z.path = k.path AND z.drive = k.drive""")
+def enrich_first_deleted(spark, sf):
+    e = X.entries(spark, sf).where("deleted_at IS NOT NULL").select(F.lit("C:").alias("drive"), F.col("key").alias("usn"), F.lit("delete").alias("kind"), "path", (F.col("key") % 10 == 0).alias("is_dir"), F.when(F.col("key") % 4 == 0, F.col("bytes")).alias("bytes"))
+    return journal.enriched(e, X.snap_files(spark, sf), X.heads(spark), X.ENRICHED).select("drive", "usn", "bytes")
+
+
 # -- file tables --------------------------------------------------------------------------------------------------------
 
 

@@ -12,6 +12,8 @@ from accretion.operators import tree
 NOW_ENTRIES, NOW_HISTORY, NOW_EVENTS = 996710400.0, 917870400.0, 1706659200.0  # 2001-08-02, 1999-02-01 12:00, 2024-01-31
 PRUNE_BYTES, PRUNE_DEPTH, BUCKET_BYTES, FILE_BYTES, RECENT_BYTES = 64_000_000, 3, 20_000_000, 40_000_000, 10_000_000
 BOUNDARY = 4
+#: Deleted files of each drive whose sizes are looked up: the operator's limit.
+ENRICHED = 300
 RULES = (("1-urgent", "urgentOrders", "review"), ("automobile", "automobileTrade", "safe"), ("c1", "customersOne", "careful"))
 #: (id, taken_at, method, complete, note) of drive C:
 SNAPSHOTS = (
@@ -93,6 +95,11 @@ def snap_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.rollup(snap_entries(spark, sf_dir), NOW_ENTRIES, ["snapshot_id"])
 
 
+def snap_sizes(spark: SparkSession, sf_dir: str, max_depth: int) -> DataFrame:
+    """Of snap_dirs() what comparisons of snapshots need: directories down to max_depth."""
+    return tree.sizes(snap_entries(spark, sf_dir), max_depth, ["snapshot_id"])
+
+
 def snap_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snap_entries(spark, sf_dir).select("snapshot_id", "path", "bytes", F.col("modified").alias("mtime"), F.col("created").alias("ctime"))
 
