@@ -15,6 +15,8 @@ any length is cut into as many windows as it needs; columns of other names are i
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,9 +25,13 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from . import hashing as H
 from . import tokens
+from .store import written
 
 LENGTH, CLOSING_ID = 4096, 2
-SHARD_BYTES = 4 << 20
+#: Text of a shard, and of what is encoded at a time.
+SHARD_BYTES, PIECE = 2 << 20, 1 << 18
+#: Neighbours that are sorted at once; most windows need fewer.
+SORTED = 64
 #: Buckets of lexical keys for each shard, and the letters of a word that counts for the key.
 BUCKETS, KEY_LETTERS = 0.5, 5
 #: BM25.
@@ -34,20 +40,18 @@ RESULT = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 
 
 class Index:
-    """An inverted index of one shard: for each term, documents and BM25 weights; from (document, term, frequency) triples."""
+    """An inverted index of one shard: for each term, documents and BM25 weights; from (document, term, frequency) triples, ascending by document."""
 
     def __init__(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, documents: int):
         self.documents = documents
-        order = np.lexsort((doc, term))
-        self.doc, term, tf = doc[order], term[order], tf[order].astype(float)
         df = np.bincount(term)
-        length = np.bincount(self.doc, tf, minlength=documents)
+        length = np.bincount(doc, tf, minlength=documents)
         norm = K1 * (1 - B + B * length / max(1.0, length.mean()))
         self.idf = np.log1p((documents - df + 0.5) / (df + 0.5)) * (df > 1)
-        self.weight = self.idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.at = np.r_[0, np.cumsum(df)]
-        order = np.argsort(self.doc, kind="stable")
-        self.terms, self.own = term[order], np.searchsorted(self.doc[order], np.arange(documents + 1))
+        self.terms, self.own = term, np.searchsorted(doc, np.arange(documents + 1))
+        weight = (self.idf[term] * tf * (K1 + 1) / (tf + norm[doc])).astype(np.float32)
+        order = np.argsort(term, kind="stable")
+        self.doc, self.weight, self.at = doc[order], weight[order], np.r_[0, np.cumsum(df)]
 
     def scores(self, seed: int) -> np.ndarray:
         """Of each document, by all terms of the seed."""
@@ -57,40 +61,41 @@ class Index:
         at = np.repeat(self.at[terms] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
         return np.bincount(self.doc[at], self.weight[at], minlength=self.documents)
 
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """All unused documents that share terms with the seed, best first."""
+    def neighbours(self, seed: int, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all unused documents that share terms with the seed, ascending; their scores)."""
         score = self.scores(seed)
         score[used] = 0
         score[seed] = 0
-        best = np.flatnonzero(score > 0)
-        return best[np.argsort(-score[best], kind="stable")]
+        found = np.flatnonzero(score > 0)
+        return found, score[found]
 
 
-def counted(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, term, frequency) of each distinct pair."""
-    order = np.lexsort((term, doc))
-    doc, term = doc[order], term[order]
-    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])]) if len(doc) else np.zeros(0, np.int64)
-    return doc[new], term[new], np.diff(np.r_[new, len(doc)])
+def best_first(docs: np.ndarray, score: np.ndarray, still: Callable[[np.ndarray], np.ndarray]) -> Iterator[np.ndarray]:
+    """docs by falling score: SORTED of them (and those that tie with the last), then the rest, of which still() says who is asked for at that time."""
+    first = score >= (np.partition(score, -SORTED)[-SORTED] if len(score) > SORTED else 0.0)
+    for some in (lambda: first, lambda: ~first & still(docs)):
+        chosen = np.flatnonzero(some())
+        yield docs[chosen[np.argsort(-score[chosen], kind="stable")]]
 
 
 def encoded(encoder: tokens.Encoder, texts) -> tuple[np.ndarray, np.ndarray, Index]:
     """(ids, where each text's begin and the last one's end, index) of a shard's texts, worked through in pieces."""
     ids, sizes, triples, first = [], [], [], 0
-    for data, offsets in H.pieces(texts):
-        own, at, doc, hashes = encoder.texts(data, offsets)
+    for data, offsets in H.pieces(texts, PIECE):
+        own, at, doc, distinct, number = encoder.texts(data, offsets)
         ids.append(own)
         sizes.append(np.diff(at))
-        doc, hashes, tf = counted(doc, hashes)
-        triples.append((doc + first, hashes, tf))
+        pair, tf = np.unique(doc * len(distinct) + number, return_counts=True)
+        doc, number = np.divmod(pair, max(1, len(distinct)))
+        triples.append(((doc + first).astype(np.int32), distinct[number], tf.astype(np.int32)))
         first += len(offsets) - 1
     doc, hashes, tf = map(np.concatenate, zip(*triples, strict=True))
-    term = np.unique(hashes, return_inverse=True)[1]
+    term = np.unique(hashes, return_inverse=True)[1].astype(np.int32)
     return np.concatenate(ids), np.r_[0, np.cumsum(np.concatenate(sizes))], Index(doc, term, tf, first)
 
 
 def fill(lengths: np.ndarray, neighbours, length: int = LENGTH) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (document, start, length); neighbours(document, used) gives the candidates."""
+    """Sequences of (document, start, length); neighbours(document, used) gives the candidates and their scores."""
     used = np.zeros(len(lengths), bool)
     sequences, now, room, rest, following = [], [], length, None, 0
 
@@ -115,13 +120,18 @@ def fill(lengths: np.ndarray, neighbours, length: int = LENGTH) -> list[list[tup
         rest = (seed, end) if end < lengths[seed] else None
         if rest is None and room:
             misfit = None
-            for doc in neighbours(seed, used).tolist():
-                if lengths[doc] <= room:
-                    place(doc, 0)
-                    if not room:
-                        break
-                elif misfit is None:
-                    misfit = doc
+            # room only shrinks: once there is a misfit, what doesn't fit needn't be sorted
+            for docs in best_first(*neighbours(seed, used), lambda docs: lengths[docs] <= (room if misfit is not None else lengths[docs])):
+                at = 0
+                while room and at < len(docs):
+                    fits = lengths[docs[at:]] <= room
+                    skipped = int(fits.argmax()) if fits.any() else len(fits)
+                    if skipped and misfit is None:
+                        misfit = int(docs[at])
+                    at += skipped
+                    if at < len(docs):
+                        place(int(docs[at]), 0)
+                        at += 1
             if room and misfit is not None:
                 rest = (misfit, place(misfit, 0))
         if not room:
@@ -144,7 +154,7 @@ def fill(lengths: np.ndarray, neighbours, length: int = LENGTH) -> list[list[tup
 
 def key_of(text: Column) -> Column:
     """The smallest hash of a text's words of KEY_LETTERS characters or more."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.length(w) >= KEY_LETTERS)
+    words = F.regexp_extract_all(F.lower(text), F.lit(rf"\S{{{KEY_LETTERS},}}+"), F.lit(0))
     return F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w))), F.lit(0))
 
 
@@ -153,11 +163,12 @@ def sharded(docs: DataFrame, shard_bytes: int, length: int) -> tuple[DataFrame,
     size = F.octet_length("text") + 64
     total, longest = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
     buckets = X.n_blocks(int(total * BUCKETS), shard_bytes)
-    # mixed again, as small hashes are likelier in long texts
+    # mixed again, as small hashes are likelier in long texts; written, as keys cost more than rereading the texts
     bucket = F.pmod(F.xxhash64(key_of(F.col("text"))), F.lit(buckets))
-    parts = docs.groupBy(bucket.alias("bucket")).agg(F.ceil(F.sum(size) / shard_bytes).cast("long").alias("parts"))
+    keyed = written(docs.select("doc_id", "text", bucket.alias("bucket"), size.alias("size")), "keyed")
+    parts = keyed.groupBy("bucket").agg(F.ceil(F.sum("size") / shard_bytes).cast("long").alias("parts"))
     # a number for each shard at most: Spark broadcasts it as long as it is small
-    dealt = docs.withColumn("bucket", bucket).join(parts, "bucket")
+    dealt = keyed.join(parts, "bucket")
     part = F.pmod(F.xxhash64("doc_id", "text"), F.col("parts"))
     return dealt.select((part * buckets + F.col("bucket")).alias("shard"), "doc_id", "text"), 64 + (longest + 16 * shard_bytes) // length
 

@@ -16,7 +16,7 @@ from . import hashing as H
 
 DEFAULT = "word_bpe_49k.json"
 #: Distinct words that a worker remembers at most, before it begins anew; it holds them in arrays, of about 25 bytes each.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 ALNUM = np.zeros(256, bool)
@@ -104,7 +104,7 @@ class Encoder:
         return out
 
     def texts(self, data: np.ndarray, offsets: np.ndarray):
-        """(ids of all texts, where each text's begin and the last one's end, units' texts, units' hashes)."""
+        """(ids of all texts, where each text's begin and the last one's end, units' texts, hashes of the distinct units, ascending, and which of them each unit is)."""
         if b"<|" not in data.tobytes():  # special tokens, which are told by their case
             data = LOWER[data]
         starts, ends = units(data, *H.spans_of_words(data, offsets[1:-1]))
@@ -124,7 +124,7 @@ class Encoder:
         out = gathered(flat, begin[number], sizes[number])
         self.known.add(distinct[new], words)
         per_doc = np.bincount(doc, weights=sizes[number], minlength=len(offsets) - 1).astype(np.int64)
-        return out, np.r_[0, np.cumsum(per_doc)], doc, hashes
+        return out, np.r_[0, np.cumsum(per_doc)], doc, distinct, number
 
 
 @lru_cache(maxsize=2)
