@@ -1,17 +1,20 @@
-"""Near-dedup by similarity: rare shingles propose, whole sets of shingles decide.
+"""SimHash near-dedup of whole texts, completed to an exact similarity join.
 
-Texts whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more share at least that part of either
-set. So, in any one order of all shingles, they share one of the first n - ceil(SIMILARITY * n) + 1 of their n (prefix
-filter): no such pair is missed, wherever the texts differ. The order is by the number of blocks that have a shingle,
-those of one text alone first; a text with more than a fifth of such shingles has no near copy and proposes nothing.
+Texts are near copies if their sets of five-word shingles have a Jaccard similarity of SIMILARITY or more. Fingerprints
+within RADIUS bits, which ball hashing finds (simhash_dedup.links_within), are linked first, where their shingle sets are
+as similar as that. Few bits are no superset of the similarity, so a prefix filter finds the rest: similar texts share
+SIMILARITY of either set and so, in any one order of all shingles, one of the first n - ceil(SIMILARITY * n) + 1 of their
+n; no such pair is missed, wherever the texts differ. The order is by the number of blocks that have a shingle, those of
+one text alone first; a text with more than a fifth of such shingles has no near copy and proposes nothing.
 
 Texts that meet in a shingle are decided in rounds. In each value, some hubs (those with the fewest shingles of their own:
 an original has none) are compared with all that aren't in their component yet; at last all pairs that are still open
-are, block against block. A pair is left out only if its sizes rule it out or its texts are linked already, so
-connected components are those of all pairs of SIMILARITY or more.
+are, block against block. A pair is left out only if its texts are linked already, or if its sizes and what each has alone
+rule it out, so connected components are those of all pairs of SIMILARITY or more.
 
 Defined results: null texts are empty, and empty texts are copies of each other; texts of fewer words than a shingle are
-compared whole; rows are told apart by doc_id and text, a null doc_id is larger than any other.
+compared whole; rows are told apart by doc_id and text, a null doc_id is larger than any other; rows that are the same in
+both are one; texts may be of any length; columns of other names are ignored, so none can clash.
 """
 
 from __future__ import annotations
@@ -26,15 +29,16 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from . import hashing as H
 from .components import connected_components
+from .simhash_dedup import links_within
 from .store import written
 from .tokens import LOWER
 
-SHINGLE, SIMILARITY = 5, 0.8
+SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 4
 BLOCK_BYTES, RANGE_VALUES = 4 << 20, 4_000_000
 #: A block of a value's members; blocks are compared with each other, so the results don't depend on it.
 MEMBERS = 1000
-#: Hubs of each value by round, as long as more pairs than EASY are open.
-HUBS, EASY = (1, 4, 16), 2_000_000
+#: Hubs of each value by round.
+HUBS = (1, 4, 16)
 #: Numbers of blocks from which a shingle counts as more common.
 LEVELS = (2, 4, 16)
 
@@ -63,27 +67,12 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def tree(ids: np.ndarray, fps: np.ndarray, near: int) -> list[tuple[int, int]]:
-    """Links (larger id, smaller id) that connect just what links of at most near bits connect; near_groups() doesn't use it.
-
-    The smallest id is compared with all, then each that it didn't reach: links among those it reached connect nothing
-    new. That is far fewer than all pairs where copies are of one text, and no pair is missed where they aren't.
-    """
-    order = np.argsort(ids, kind="stable")
-    ids, fps = ids[order], fps[order]
-    root, out = np.arange(len(ids)), []
-    for i in range(len(ids)):
-        if i and root[i] == 0 and near_first[i]:
-            continue
-        close = np.bitwise_count(fps ^ fps[i]).sum(axis=1) <= near
-        if not i:
-            near_first = close
-        for r in np.unique(root[close & (root != root[i])]).tolist():
-            j = int(np.flatnonzero(close & (root == r))[0])
-            out.append((int(max(ids[i], ids[j])), int(min(ids[i], ids[j]))))
-            low, high = min(r, root[i]), max(r, root[i])
-            root[root == high] = low
-    return out
+def fingerprint(shingles: np.ndarray) -> int:
+    """SimHash of a text's shingles: the bits that more than half of them have set."""
+    if not len(shingles):
+        return 0
+    set_ = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * set_ > len(shingles)).view(np.int64)[0])
 
 
 def row_key() -> Column:
@@ -112,7 +101,7 @@ def judge_levels(blobs: list) -> list[np.ndarray]:
 
 
 def candidates(docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(id, doc_id, n, own, values, shingles) of the rows that may have near copies: their number of shingles, those of no other text, and those by which they meet."""
+    """(id, doc_id, n, shared, fp, values, shingles) of the rows that may have near copies: their number of shingles, how many other texts have, too, their fingerprint, and the shingles by which they meet."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks, ranges = X.n_blocks(total, BLOCK_BYTES), X.n_ranges(total / 6, RANGE_VALUES)
     by_block = docs.select(X.block_of(blocks, "id").alias("block"), "id", "doc_id", "text").groupBy("block")
@@ -121,9 +110,9 @@ def candidates(docs: DataFrame, shingle: int, least: float) -> DataFrame:
         return [s for p in H.pieces(t.column("text").combine_chunks()) for s in shingles(*p, shingle)]
 
     def emit(t: pa.Table) -> pa.Table:
-        return X.short_cells(t.column("block")[0].as_py(), ranges, np.unique(X.short(np.concatenate(sets(t)), ranges)))
+        return H.freed(X.short_cells(t.column("block")[0].as_py(), ranges, np.unique(X.short(np.concatenate(sets(t)), ranges))))
 
-    kinds = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("values", pa.list_(pa.int64())), ("shingles", pa.binary())])
+    kinds = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("fp", pa.int64()), ("values", pa.list_(pa.int64())), ("shingles", pa.binary())])
 
     def meet(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -134,7 +123,7 @@ def candidates(docs: DataFrame, shingle: int, least: float) -> DataFrame:
         level = X.answers(replies, keys >> np.uint64(32), ranges, 2)
         level = level[:, 0] + 2 * level[:, 1].astype(np.int64)
         rank = np.where(level == 0, n > 1, level + 1)[at]
-        rows, own, values, a = [], [], [], 0
+        rows, shared, fps, values, a = [], [], [], [], 0
         for i, s in enumerate(found):
             r = rank[a : a + len(s)]
             a += len(s)
@@ -142,20 +131,25 @@ def candidates(docs: DataFrame, shingle: int, least: float) -> DataFrame:
             if alone >= first:
                 continue
             rows.append(i)
-            own.append(alone)
+            shared.append(len(s) - alone)
+            fps.append(fingerprint(s))
             values.append(s[np.lexsort((s, r))[alone:first]].view(np.int64) if len(s) else np.zeros(1, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
         t = t.take(pa.array(rows, pa.int64()))
         sizes = pa.array([len(found[i]) for i in rows], pa.int64())
-        return pa.table([t.column("id"), t.column("doc_id"), sizes, pa.array(own, pa.int64()), lists, pa.array([found[i].tobytes() for i in rows], pa.binary())], schema=kinds)
+        return H.freed(pa.table([t.column("id"), t.column("doc_id"), sizes, pa.array(shared, pa.int64()), pa.array(fps, pa.int64()), lists, pa.array([found[i].tobytes() for i in rows], pa.binary())], schema=kinds))
 
     replies = X.answered(by_block.applyInArrow(emit, X.CELLS), judge_levels)
-    return by_block.cogroup(replies.groupBy("block")).applyInArrow(meet, "id long, doc_id long, n long, own long, values array<long>, shingles binary")
+    return by_block.cogroup(replies.groupBy("block")).applyInArrow(meet, "id long, doc_id long, n long, shared long, fp long, values array<long>, shingles binary")
+
 
+def open_pair(a: str, b: str, least: float) -> Column:
+    """Whether texts a and b (n, shared, root) aren't linked yet and can have a similarity of least.
 
-def fits(n: Column, m: Column, least: float) -> Column:
-    """Whether sets of such sizes can have a similarity of least."""
-    return F.least(n, m) >= least * F.greatest(n, m) - 1e-9
+    What they have in common is at most what either shares with any text, and it is at least least / (1 + least) of both.
+    """
+    n, m, x, y = (F.col(f"{t}{c}") for c in ("n", "shared") for t in (a, b))
+    return (F.col(f"{a}root") != F.col(f"{b}root")) & (F.least(x, y) >= least / (1 + least) * (n + m) - 1e-6)
 
 
 def links(a: Column, b: Column) -> list[Column]:
@@ -165,39 +159,43 @@ def links(a: Column, b: Column) -> list[Column]:
 def with_hubs(members: DataFrame, hubs: DataFrame, least: float) -> DataFrame:
     """(a, b): the open pairs of hubs and members of a value."""
     met = members.join(hubs.select("value", "hub"), "value")
-    return met.where((F.col("root") != F.col("hub.root")) & fits(F.col("n"), F.col("hub.n"), least)).select(*links(F.col("id"), F.col("hub.id"))).distinct()
+    return met.where(open_pair("", "hub.", least)).select(*links(F.col("id"), F.col("hub.id"))).distinct()
 
 
 def all_pairs(members: DataFrame, least: float) -> DataFrame:
     """(a, b): all open pairs of members of a value, block against block."""
     tasks = members.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("tasks"))
     dealt = members.join(tasks, "value").withColumn("part", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
-    dealt = dealt.select("value", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "n", "root")
+    dealt = dealt.select("value", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "n", "shared", "root")
 
     def pairs(t: pa.Table) -> pa.Table:
         low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
-        part, ids, n, root = (t.column(c).to_numpy() for c in ("part", "id", "n", "root"))
+        part, ids, n, shared, root = (t.column(c).to_numpy() for c in ("part", "id", "n", "shared", "root"))
         here, there = np.flatnonzero(part == low), np.flatnonzero(part == high)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in here.tolist():
             j = there[there > i] if low == high else there
-            j = j[(root[j] != root[i]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)]
+            j = j[(root[j] != root[i]) & (np.minimum(shared[i], shared[j]) >= least / (1 + least) * (n[i] + n[j]) - 1e-6)]
             a.append(np.maximum(ids[i], ids[j]))
             b.append(np.minimum(ids[i], ids[j]))
-        return pa.table([np.concatenate(a), np.concatenate(b)], names=["a", "b"])
+        return H.freed(pa.table([np.concatenate(a), np.concatenate(b)], names=["a", "b"]))
 
     return dealt.groupBy("value", "low", "high").applyInArrow(pairs, "a long, b long").distinct()
 
 
+def fingerprint_links(rows: DataFrame) -> DataFrame:
+    """(a, b) of rows (id, fp) whose fingerprints are the same or within RADIUS bits, as far as components go."""
+    fps = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("rows")), "fingerprints")
+    same = rows.select("id", "fp").join(fps.where("rows > 1").select("fp", "least"), "fp").where("id <> least").select(*links(F.col("id"), F.col("least")))
+    one = lambda c: fps.select(F.col("fp").alias(c), F.col("least").alias(f"id_{c}"))
+    near = links_within(fps, fps.count(), RADIUS).join(one("a"), "a").join(one("b"), "b").select(*links(F.col("id_a"), F.col("id_b")))
+    return same.unionByName(near).distinct()
+
+
 def components(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     """(id, doc_id, root) of the rows of docs (id, doc_id, text) that are near copies of others; root is one id of the group."""
     rows = written(candidates(docs, shingle, least), "candidates")
     sets = rows.select("id", "shingles")
-    met = rows.select(F.explode("values").alias("value"), "id", "n", (F.col("own") / F.greatest("n", F.lit(1))).alias("own"))
-    # most values of a pair or group have the same members: one of them is enough
-    other = lambda i: F.bit_xor(F.xxhash64("id", F.lit(i)))
-    groups = met.groupBy("value").agg(F.count(F.lit(1)).alias("size"), other(0).alias("x0"), other(1).alias("x1")).where("size > 1").groupBy("size", "x0", "x1").agg(F.min("value").alias("value"))
-    members = written(met.join(groups.select("value"), "value").select("value", "id", "n", "own", F.col("id").alias("root"), F.lit(False).alias("linked")), "members")
 
     def decide(batches):
         for b in batches:
@@ -209,27 +207,30 @@ def components(docs: DataFrame, shingle: int, least: float) -> DataFrame:
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("own_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("own_b")), "b")
         return both.select("a", "b", "own_a", "own_b").mapInArrow(decide, "a long, b long")
 
-    roots = None
-    for slots in (*HUBS, 0):
-        size = members.groupBy("value").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
-        if roots is not None and not size:
-            break
-        last = not slots or (roots is not None and size <= EASY)
-        if last:
-            new = held(all_pairs(members, least))
-        else:
-            hub = F.struct("linked", "own", "id", "n", "root")
-            hubs = written(members.groupBy("value", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(F.min(hub).alias("hub")), "hubs")
-            new = held(with_hubs(members, hubs, least))
+    def grouped(new: DataFrame, roots: DataFrame | None) -> DataFrame:
         known = new if roots is None else new.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
-        roots = written(connected_components(known), "roots")
-        if last:
-            break
-        # a hub's pairs in its value are decided; values of one component are closed
-        left = members.drop("root", "linked").join(hubs.select("value", F.col("hub.id").alias("id")), ["value", "id"], "left_anti").join(roots, "id", "left")
-        left = left.select("value", "id", "n", "own", F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked"))
+        return written(connected_components(known), "roots")
+
+    def still_open(members: DataFrame, roots: DataFrame) -> DataFrame:
+        """members with their roots, without values of which all are one component."""
+        left = members.drop("root", "linked").join(roots, "id", "left")
+        left = left.select(*names, F.coalesce("root", "id").alias("root"), F.col("root").isNotNull().alias("linked"))
         still = left.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value")
-        members = written(left.join(still, "value", "left_semi"), "members")
+        return written(left.join(still, "value", "left_semi"), "members")
+
+    names = ("value", "id", "n", "shared", "own")
+    roots = grouped(held(fingerprint_links(rows)), None)
+    met = rows.select(F.explode("values").alias("value"), "id", "n", "shared", (1 - F.col("shared") / F.greatest("n", F.lit(1))).alias("own"))
+    # most values of a pair or group have the same members: one of them is enough
+    other = lambda i: F.bit_xor(F.xxhash64("id", F.lit(i)))
+    groups = met.groupBy("value").agg(F.count(F.lit(1)).alias("size"), other(0).alias("x0"), other(1).alias("x1")).where("size > 1").groupBy("size", "x0", "x1").agg(F.min("value").alias("value"))
+    members = still_open(met.join(groups.select("value"), "value").select(*names), roots)
+    for slots in HUBS:
+        hubs = written(members.groupBy("value", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("linked", "own", "id", "n", "shared", "root")).alias("hub")), "hubs")
+        roots = grouped(held(with_hubs(members, hubs, least)), roots)
+        # a hub's pairs in its value are decided
+        members = still_open(members.join(hubs.select("value", F.col("hub.id").alias("id")), ["value", "id"], "left_anti"), roots)
+    roots = grouped(held(all_pairs(members, least)), roots)
     return roots.join(rows.select("id", "doc_id"), "id")
 
 
