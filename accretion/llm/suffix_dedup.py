@@ -37,13 +37,13 @@ from . import hashing as H
 DEPTH = 400
 #: Windows that share an anchor at most, less one: the first digit has DEPTH - SPREAD bytes, the next ones DIGIT each.
 SPREAD, DIGIT = 128, 64
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Windows of one segment; with positions in 20 bits, several segments are worked on together.
 SEGMENT, BATCH, PLACE_BITS = 1 << 17, 1 << 18, 20
 #: Entries of a range: of anchors, and of suffixes if all of them went on to further digits.
-RANGE_ANCHORS, RANGE_SUFFIXES = 1_000_000, 16_000_000
+RANGE_ANCHORS, RANGE_SUFFIXES = 500_000, 4_000_000
 #: Bytes hashed, and entries sorted, at a time.
-STEP, SORTED = 1 << 19, 1 << 20
+STEP, SORTED = 1 << 19, 1 << 18
 RESULT = "doc_id long, n_bytes long, n_spans long, kept binary"
 
 
