@@ -93,7 +93,8 @@ class Part:
         last = valid.copy()
         last[:-1] &= new[1:] | ~valid[1:]
         self.lo, self.hi = np.flatnonzero(new), np.flatnonzero(last)
-        self.anchor = h[anchor[self.lo]]
+        # mixed again: smallest hashes of windows are small numbers, nearly all of which one range would get
+        self.anchor = H.mix(h[anchor[self.lo]])
         self.span = H.stretch(self.c, self.lo, self.hi + depth)
         self.shift = (np.array([a for a, _ in segments]) - begins)[segment[self.lo]]
 
