@@ -5,8 +5,9 @@ sums of gradients by bin, the split of largest gain in each leaf. All trees then
 trees, and whole batches walk down them together with numpy.
 
 Defined results: null and empty texts have the statistics of an empty text and get a score like any other; a null doc_id
-is neither held out nor learned from; several labels of one doc_id count as their smallest; without any labelled row
-each score is 0.5.
+is neither held out nor learned from; several labels of one doc_id count as their smallest; rows that repeat a doc_id are
+each learned from as far as the sample reaches; without any labelled row each score is 0.5. Texts may be of any length;
+columns of docs named score, held_out and predicted are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -167,14 +168,15 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str
     labels = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.min(label).cast("double").alias("y"))
     # bounded by sample rows of two numbers
     labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(labels), "doc_id").select("doc_id", "text", "y")
+    rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(labels), "doc_id").select("doc_id", F.xxhash64("doc_id", "text").alias("place"), "text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = featured(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("place"), b.column("y"), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "place", "y", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, y double, x array<float>").toArrow()
+    # ids that several rows have are no more than sample rows, either
+    got = rows.mapInArrow(run, "doc_id long, place long, y double, x array<float>").orderBy("place", "doc_id").limit(sample).toArrow()
     x = np.array(got.column("x").to_pylist(), np.float32).reshape(got.num_rows, len(NAMES))
     order = np.lexsort((*x.T, got.column("doc_id").to_numpy()))  # the same trees however the rows came in
     return grown(x[order], got.column("y").to_numpy()[order])

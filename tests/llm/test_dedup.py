@@ -74,20 +74,46 @@ def test_substring_odd_rows(spark):
     assert substring_dedup.substring_dedup(frame(spark, rows).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("depth", "spread", "block_bytes"), [(40, 12, 1 << 20), (40, 12, 500), (30, 20, 2000)])
-def test_suffix(spark, depth, spread, block_bytes):
+@pytest.mark.parametrize(("depth", "spread", "digit", "block_bytes", "segment"), [(40, 12, 4, 1 << 20, 1 << 17), (40, 12, 64, 500, 64), (30, 20, 7, 2000, 64)])
+def test_suffix(spark, depth, spread, digit, block_bytes, segment):
     rows = corpus(3)
-    got = suffix_dedup.digest(suffix_dedup.suffix_dedup(frame(spark, rows), depth, spread, block_bytes)).collect()
+    got = suffix_dedup.digest(suffix_dedup.suffix_dedup(frame(spark, rows), depth, spread, digit, block_bytes, segment)).collect()
     want = {w[0]: w for w in suffix_dedup.brute_force(rows, depth)}
     assert {r.doc_id: (r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
 
 
-def test_suffix_segments(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "SEGMENT", 64)
-    rows = corpus(4, 20, 60)
-    block = suffix_dedup.Block(__import__("pyarrow").chunked_array([[t or "" for _, t in rows]]), 40, 12)
-    assert sum(1 for _ in block.parts()) >= 1
-    test_suffix(spark, 40, 12, 1 << 20)
+def test_suffix_long_texts_of_several_segments(spark):
+    r = random.Random(9)
+    noise = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passage = noise(5000)
+    rows = [(1, noise(340_000) + passage + noise(60_000)), (2, passage[100:900] + noise(300)), (3, noise(131_072 - 200) + passage[:450] + noise(200_000)), (4, None)]
+    got = suffix_dedup.digest(suffix_dedup.suffix_dedup(frame(spark, rows))).collect()
+    assert sorted(tuple(x) for x in got) == sorted(suffix_dedup.brute_force(rows))
+
+
+def test_long_texts(spark):
+    """One text of over a megabyte, and its repetition, in every dedup operator."""
+    r = random.Random(10)
+    long = "\n".join(" ".join(f"w{r.randrange(5000)}" for _ in range(12)) for _ in range(20_000))
+    rows = [(1, long), (2, long), (3, "short text")]
+    df = frame(spark, rows)
+    assert {(x.doc_id, x.kept) for x in exact_dedup.exact_dedup(df).collect()} == {(1, False), (2, True), (3, True)}
+    assert {(x.doc_id, x.component_id) for x in simhash_dedup.simhash_dedup(df).collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert {(x.doc_id, x.n_removed) for x in substring_dedup.substring_dedup(df).collect()} == {(1, 0), (2, 240_000), (3, 0)}
+    assert {(x.doc_id, len(x.kept)) for x in suffix_dedup.suffix_dedup(df).collect()} == {(1, 0), (2, 0), (3, 10)}
+    sites = df.withColumn("source", F.col("doc_id").cast("string"))
+    assert {(x.doc_id, x.n_removed) for x in line_dedup.line_dedup(sites, min_sites=2).collect()} == {(1, 20_000), (2, 20_000), (3, 0)}
+
+
+def test_repeated_rows_and_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (1, "other"), (None, text), (None, text), (None, None), (2, text)]
+    df = frame(spark, rows)
+    assert sorted((x.doc_id or 0, x.group_size, x.kept) for x in exact_dedup.exact_dedup(df).collect()) == [(0, 1, True), (0, 5, False), (0, 5, False), (1, 1, True), (1, 5, False), (1, 5, False), (2, 5, True)]
+    got = simhash_dedup.simhash_dedup(df).collect()
+    assert len(got) == 7 and {x.component_id for x in got if x.fp} == {1}
+    assert sorted(len(x.kept) for x in suffix_dedup.suffix_dedup(df, 40, 12, 4).collect()) == [0, 0, 0, 0, 0, 0, 5]
+    assert line_dedup.line_dedup(df).count() == 7
 
 
 def test_suffix_empty(spark):

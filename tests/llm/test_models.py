@@ -2,14 +2,14 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from accretion.llm import hashing, html_extract, near_dedup, packing, quality, tokens
-from accretion.llm.store import table
+from accretion.llm.store import table, written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -61,6 +61,73 @@ def test_packing_takes_neighbours():
     assert [{d for d, *_ in s} for s in sequences[:3]] == [{0, 4}, {1, 3}, {2, 5}]
 
 
+def plain_bm25(texts, seed):
+    """{document: score} of all documents by BM25, term by term."""
+    counts = [Counter(t) for t in texts]
+    mean = max(1.0, sum(map(len, texts)) / len(texts))
+    out = {}
+    for d, c in enumerate(counts):
+        score = 0.0
+        for term in counts[seed]:
+            df = sum(term in x for x in counts)
+            if df > 1 and term in c:
+                idf = np.log1p((len(texts) - df + 0.5) / (df + 0.5))
+                score += idf * c[term] * (packing.K1 + 1) / (c[term] + packing.K1 * (1 - packing.B + packing.B * len(texts[d]) / mean))
+        out[d] = score
+    return out
+
+
+def plain_fill(lengths, texts, length):
+    """Full sequences, one candidate at a time."""
+    used, sequences, now, room, rest = set(), [], [], length, None
+
+    def place(d, start):
+        nonlocal room
+        used.add(d)
+        n = min(room, lengths[d] - start)
+        now.append((d, start, n))
+        room -= n
+        return start + n
+
+    while rest is not None or len(used) < len(lengths):
+        seed, start = rest or (min(set(range(len(lengths))) - used), 0)
+        end = place(seed, start)
+        rest = (seed, end) if end < lengths[seed] else None
+        if rest is None and room:
+            misfit = None
+            score = plain_bm25(texts, seed)
+            for d in sorted(set(range(len(lengths))) - used, key=lambda d: (-np.float32(score[d]), d)):
+                if score[d] <= 0 or not room:
+                    break
+                if lengths[d] <= room:
+                    place(d, 0)
+                elif misfit is None:
+                    misfit = d
+            if room and misfit is not None:
+                rest = (misfit, place(misfit, 0))
+        if not room:
+            sequences.append(now)
+            now, room = [], length
+    return sequences
+
+
+def test_retrieval_against_plain_scores(monkeypatch):
+    r = random.Random(6)
+    for most in (3, 64):
+        monkeypatch.setattr(packing, "SORTED", most)
+        for _ in range(15):
+            texts = [[r.randrange(40) for _ in range(r.randrange(1, 12))] for _ in range(r.randrange(2, 40))]
+            pairs = sorted((d, t, n) for d, x in enumerate(texts) for t, n in Counter(x).items())
+            names = {t: i for i, t in enumerate(sorted({t for _, t, _ in pairs}))}
+            index = packing.Index(np.array([p[0] for p in pairs]), np.array([names[p[1]] for p in pairs]), np.array([p[2] for p in pairs]), len(texts))
+            for seed in range(len(texts)):
+                want = plain_bm25(texts, seed)
+                assert index.scores(seed) == pytest.approx([want[d] for d in range(len(texts))], rel=1e-5)
+            lengths = np.array([len(x) + r.randrange(3) for x in texts])
+            want = plain_fill(lengths.tolist(), texts, 20)
+            assert packing.fill(lengths, index.neighbours, 20)[: len(want)] == want
+
+
 def test_trees_against_plain_descent():
     r = np.random.RandomState(0)
     x = r.rand(4000, 5).astype(np.float32)
@@ -261,7 +328,7 @@ def test_pipeline_stages(spark, sf_small):
     docs = table(spark, sf_small, "documents")
     names = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        kept = stage(spark, docs, sf_small).localCheckpoint()
+        kept = written(stage(spark, docs, sf_small), name)
         assert kept.columns == names and 0 < kept.count() <= docs.count()
         if name == "exact":
             assert kept.select("text").distinct().count() == kept.count() == docs.select("text").distinct().count()
@@ -273,3 +340,41 @@ def test_pipeline_stages(spark, sf_small):
     final = packing.digest(corpus_pipeline.STAGES[-1][1](spark, docs, sf_small))
     assert {r.doc_id for r in final.collect()} == {r.doc_id for r in docs.collect()}
     assert corpus_pipeline.run(spark, sf_small).count() == final.count()
+
+
+CLASHING = ("keep_id", "group_size", "kept", "text_sha256", "text_key", "near_key", "score", "predicted", "held_out", "fp", "key0", "raw", "h", "shard", "bucket", "id", "root", "a.b")
+
+
+def test_pipeline_stages_odd_rows(spark, sf_small):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing names, empty tables."""
+    import corpus_pipeline
+
+    good = [r.text for r in table(spark, sf_small, "documents").where("length(text) > 500").orderBy("doc_id").limit(6).collect()]
+    item = table(spark, sf_small, "benchmark").orderBy("item_id").first().text
+    long = " ".join(f"{w}{i % 997}" for i, w in enumerate(("river", "stone", "water", "light") * 40_000))
+    rows = [(1, good[0]), (1, good[0]), (1, good[1]), (2, good[0]), (None, good[2]), (None, good[2]), (None, None), (3, None), (4, ""), (5, long), (6, long + " end"), (7, "before it " + item + " and after"), (8, good[3])]
+    docs = spark.createDataFrame([(d, t, *(f"{c}-{d}" for c in CLASHING)) for d, t in rows], ", ".join(["doc_id long", "text string", *(f"`{c}` string" for c in CLASHING)]))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_small)
+        assert out.schema == docs.schema
+        got = out.collect()
+        assert all(r[c] == f"{c}-{r.doc_id}" for r in got for c in CLASHING)
+        kept[name] = sorted((r.doc_id or 0, r.text or "") for r in got)
+        assert stage(spark, docs.limit(0), sf_small).count() == 0
+    every = sorted((d or 0, t or "") for d, t in rows)
+    assert set(kept["quality"]) <= set(every)
+    assert kept["exact"] == sorted([(1, good[1]), (2, good[0]), (0, good[2]), (4, ""), (5, long), (6, long + " end"), (7, rows[11][1]), (8, good[3])])
+    groups = near_components([(i, t) for i, (_, t) in enumerate(rows)])
+    texts = {i: t or "" for i, (_, t) in enumerate(rows)}
+    assert {t for _, t in kept["near"]} <= set(texts.values()) and len({groups[next(i for i in texts if texts[i] == t)] for _, t in kept["near"]}) == len(set(groups.values())) == len(set(kept["near"]))
+    assert kept["benchmark"] == sorted((d, t) for d, t in every if item not in t)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_small).collect()
+    assert Counter(x.doc_id for x in pieces if x.start == 0) == Counter(d for d, _ in rows)
+
+
+def test_quality_long_texts_and_repeated_ids(spark):
+    docs = frame(spark, [(1, "word " * 300_000), (1, "word " * 300_000), (2, "A sentence here."), (2, "Another one, too.")] + [(i, f"Plain text number {i}.") for i in range(3, 60)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = quality.quality_scores(docs, labels, sample=20).collect()
+    assert len(got) == 61 and all(0 <= r.score <= 1 for r in got)

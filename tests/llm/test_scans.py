@@ -1,6 +1,10 @@
 """Secrets against a plain-Python scan; decontamination on re-parameterised questions."""
 
 import random
+import time
+from collections import defaultdict
+
+import regex
 
 from accretion.llm import decontaminate, secret_scan
 
@@ -70,3 +74,103 @@ def test_verbatim_in_other_cases_quotes_and_short_items(spark):
 def test_decontaminate_empty(spark):
     assert not found(spark, [], [(1, QUESTION)])
     assert not found(spark, [(1, QUESTION)], [])
+
+
+# -- by the definition, in plain Python -----------------------------------------------------------------------------------
+
+
+def plain_template(words, names):
+    out = []
+    for i, w in enumerate(words):
+        low = w.lower()
+        if names and i and regex.fullmatch(r"\p{Lu}[\p{Ll}\p{M}]+", w) and regex.search(r"[\p{Ll}0-9]$", words[i - 1]):
+            out.append(decontaminate.NAME)
+        elif regex.fullmatch(rf"[0-9][0-9.,:/]*|{decontaminate.NUMBER_WORDS}", low):
+            out.append(decontaminate.NUMBER)
+        elif out and out[-1] == decontaminate.NUMBER and regex.fullmatch(decontaminate.UNITS, low):
+            out.append(decontaminate.UNIT)
+        else:
+            out.append(low)
+    return out
+
+
+def plain_windows(words, size):
+    """{place: its templates}."""
+    forms = [plain_template(words, True), plain_template(words, False)]
+    return {i: {tuple(f[i : i + size]) for f in forms} for i in range(len(words) - size + 1)}
+
+
+def plain_found(docs, items, window=5):
+    """{(doc_id, item_id): (n_windows, n_found, n_slots)}."""
+    words = lambda t: regex.findall(decontaminate.WORD, t or "")
+    out = {}
+    for item_id, item in items:
+        b = words(item)
+        size = min(window, len(b))
+        if not size:
+            continue
+        own = plain_windows(b, size)
+        bare = size < window and all(x in (decontaminate.NUMBER, decontaminate.NAME, decontaminate.UNIT) for x in plain_template(b, True))
+        for doc_id, text in docs:
+            a = words(text)
+            lines = defaultdict(set)
+            for at, forms in plain_windows(a, size).items():
+                for item_at, other in own.items():
+                    if forms & other and not (bare and [w.lower() for w in a[at : at + size]] != [w.lower() for w in b]):
+                        lines[at - item_at].add(item_at)
+            found, changed, run = set(), set(), False
+            for shift, places in lines.items():
+                pairs = {(b[i].lower(), a[i + shift].lower()) for p in places for i in range(p, p + size)}
+                if len(pairs) > len({x for x, _ in pairs}):
+                    continue
+                found |= places
+                changed |= {x for x, y in pairs if x != y}
+                along = decontaminate.RUN - window
+                ordered = sorted(places)
+                run |= any(i + along < len(ordered) and ordered[i + along] - x == along for i, x in enumerate(ordered))
+            if found and (len(found) / len(own) >= decontaminate.LEAST_COVER or run):
+                out[doc_id, item_id] = (len(own), len(found), len(changed))
+    return out
+
+
+def test_decontaminate_against_plain_python(spark):
+    r = random.Random(12)
+    vocabulary = "the a train leaves station at per hour and slows how far has it gone boat river stone cold Anna Peter Berlin Two three 60 90 7.5 12 km hours m kg Ünal éclair".split()
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(i, text(r.choice([1, 2, 3, 4, 5, 8, 20, 40]))) for i in range(30)] + [(90, None), (91, "..."), (92, "60 km")]
+    docs = []
+    for i in range(60):
+        t = text(r.randrange(30))
+        if r.random() < 0.8:
+            words = r.choice(items[:30])[1].split()
+            change = {w: r.choice(vocabulary) for w in set(words) if r.random() < 0.15}
+            words = [change.get(w, w) if r.random() < 0.95 else r.choice(vocabulary) for w in words]
+            cut = r.randrange(len(words)) if r.random() < 0.3 else 0
+            t += ", " + r.choice([str, str.lower, str.upper, str.title])(" ".join(words[cut:])) + ". " + text(r.randrange(9))
+        docs.append((i, t))
+    docs += [(100, None), (101, "")]
+    want = plain_found(docs, items)
+    got = {k: (x.n_windows, x.n_found, x.n_slots) for k, x in found(spark, docs, items).items()}
+    assert got == want and len(want) > 40
+
+
+def test_decontaminate_long_texts_and_clashing_names(spark):
+    long = "filler words of no meaning at all here " * 20_000
+    d = spark.createDataFrame([(1, long + QUESTION, "x", 1), (2, long, "y", 2)], "doc_id long, text string, raw string, at int")
+    b = spark.createDataFrame([(7, QUESTION, "z", 3)], "item_id long, text string, size string, h int")
+    assert [(x.doc_id, x.item_id) for x in decontaminate.decontaminate(d, b).collect()] == [(1, 7)]
+    assert [(x["raw"], x["at"]) for x in decontaminate.decontaminate(d, b, key=("raw", "at")).collect()] == [("x", 1)]
+
+
+def test_secrets_of_long_texts(spark):
+    """A megabyte of base64 in one run, and 100,000 digests."""
+    r = random.Random(2)
+    base64 = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1 << 20))
+    digests = " ".join("%032x" % r.getrandbits(128) for _ in range(100_000))
+    for text in (base64, digests):
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.perf_counter()
+        row = secret_scan.digest(secret_scan.secret_scan(df)).first()
+        took = time.perf_counter() - start
+        assert took < 60
+        assert tuple(row)[1:4] == (0, 0, 100_000 if text is digests else row.n_hex) and row.spans
