@@ -1,46 +1,75 @@
-"""python -m accretion scan FOLDER --store DIR [--drive C:] | show WHAT --store DIR [--drive C:] [--path P]"""
+"""python -m accretion COMMAND WHAT --store DIR [--drive C:] [--path P]
+
+scan FOLDER        takes a snapshot of a folder or a file-table image
+journal FOLDER     takes in what a journal has: journal.json and events-*.json
+folder FOLDER      lists a live folder's children by size, without a store
+show WHAT          status, timeline, tree, snapshots, hotspots, diff or changes
+"""
 
 from __future__ import annotations
 
 import argparse
+import sys
 import time
 
 
 def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
-    from accretion.operators.store import Store
+    from accretion.operators import store as kept, tree
     from accretion.plans import api
     from accretion.sources import readers
 
-    parser = argparse.ArgumentParser(prog="accretion", description=__doc__)
-    parser.add_argument("command", choices=["scan", "show"])
-    parser.add_argument("what", help="a folder or a file-table image to scan; timeline, tree, snapshots or diff to show")
-    parser.add_argument("--store", required=True)
+    parser = argparse.ArgumentParser(prog="accretion", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    parser.add_argument("command", choices=["scan", "journal", "folder", "show"])
+    parser.add_argument("what")
+    parser.add_argument("--store")
     parser.add_argument("--drive", default="C:")
     parser.add_argument("--path", default="")
     given = parser.parse_args(argv)
+    if given.command != "folder" and not given.store:
+        parser.error("--store is needed")
     spark = SparkSession.builder.appName("accretion").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    store, drive, now = Store(spark, given.store), api.drive_of(given.drive), time.time()
+    drive, now = api.drive_of(given.drive), time.time()
+    readers.register(spark)
+    walk = lambda s: s.read.format("walk").load(given.what).where("NOT failed").drop("failed")
+
+    def show(name: str, df) -> None:
+        print(f"# {name}")
+        for row in api.as_json(df).toLocalIterator():
+            print(row.value)
+
+    if given.command == "folder":
+        show("children", tree.children(tree.rollup(walk(spark), now), api.path_of(given.path), 200))
+        return 0
+    store = kept.Store(spark, given.store)
+    if given.command == "journal":
+        try:
+            state = readers.journal_state(given.what)
+            journals = [(drive, state["journal_id"], state["lowest_valid_usn"], True, None)]
+        except (OSError, ValueError, KeyError) as error:
+            journals = [(drive, None, None, False, f"the journal can't be read: {error}")]
+        readings = spark.read.format("journalfolder").load(given.what).where("drive = '%s'" % drive) if journals[0][3] else spark.createDataFrame([], "drive string, usn long, timestamp double, reason long, is_dir boolean, name string, path string, bytes long")
+        counts = store.collect(readings, spark.createDataFrame(journals, "drive string, journal_id long, lowest_valid_usn long, available boolean, reason string"), now)
+        print(counts or journals[0][4], file=sys.stderr)
+        return 0 if counts else 1
     if given.command == "scan":
-        readers.register(spark)
         image = lambda s: readers.image_entries(s, given.what)
-        walk = lambda s: s.read.format("walk").load(given.what).where("NOT failed").drop("failed")
         entries, method, note = readers.ingest(spark, [("mft", image), ("scandir", walk)])
-        entries = entries.persist()  # three tables are made from it
-        store.commit(entries, int(now), drive, now, method, note)
-        store.demote(drive, int(now))
-        store.drop_old_buckets(drive)
-        store.retain(now)
+        entries, seen = tree.counted(entries)
+        entries = entries.persist()  # four tables are made from it
+        boundary = store.rules_boundary()
+        number = max(kept.snapshot_id(drive, now), boundary)
+        store.commit(entries, number, drive, now, method, note)
+        entries.unpersist()
+        print(seen.get, store.maintain(drive, number, now) or "", file=sys.stderr)
         return 0
-    nothing = spark.createDataFrame([], "drive string, usn long, timestamp double, reason long, kind string, is_dir boolean, name string, path string, bytes long")
-    status = spark.createDataFrame([], "drive string, available boolean, reason string")
-    engine = api.Engine(store.snapshots(), store.read("dirs"), store.read("files"), store.read("age_buckets"), nothing, status, now)
-    got = getattr(engine, given.what)(given.drive, *([given.path] if given.what == "tree" else []))
-    for name, df in (got if isinstance(got, dict) else {given.what: got}).items():
-        print(f"# {name}")
-        for row in api.as_json(df).toLocalIterator():
-            print(row.value)
+    engine = api.Engine(
+        store.snapshots(), store.read("dirs"), store.read("files"), store.read("age_buckets"), store.events(), store.status(), now, boundary=store.rules_boundary(), capacity=readers.capacity(spark, {drive: given.path or "/"})
+    )
+    got = getattr(engine, given.what)(*([] if given.what == "status" else [given.drive]), *([given.path] if given.what == "tree" else []))
+    for name, df in (got if isinstance(got, dict) else {given.what: got}).items() if got is not None else ():
+        show(name, df)
     return 0
 
 

@@ -56,6 +56,29 @@ def cursor_plan(cursors: DataFrame, journals: DataFrame) -> DataFrame:
     return out.select("drive", F.when(first | reset, F.col("lowest_valid_usn")).otherwise(F.col("known_next")).alias("start_usn"), first.alias("first_run"), reset.alias("journal_reset"))
 
 
+def arrivals(readings: DataFrame, plan: DataFrame, held: DataFrame, now: float, dir_paths: DataFrame | None = None, looked_up: DataFrame | None = None, kinds: tuple[str, ...] = R.STORED_KINDS) -> DataFrame:
+    """What a reading adds to the events held: (drive, usn, timestamp, reason, kind, is_dir, name, path, bytes).
+
+    readings has (drive, usn, timestamp, reason, is_dir, name), and path or parent_full or neither; plan is cursor_plan()'s.
+    An event without a time gets now; one whose (drive, usn) is held, of whatever journal, is not added.
+    """
+    new = stored(readings.join(plan.select("drive", "start_usn"), "drive").where(F.col("usn") >= F.col("start_usn")).drop("start_usn"), kinds)
+    if "path" not in new.columns and "parent_full" in new.columns and dir_paths is not None:
+        new = resolved(new, dir_paths, looked_up)
+    more = {c: F.lit(None).cast(k) for c, k in (("path", "string"), ("bytes", "long")) if c not in new.columns}
+    new = new.withColumns(more | {"timestamp": F.coalesce("timestamp", F.lit(float(now)))})
+    # nothing before the start can be among what is read
+    old = held.join(plan.select("drive", "start_usn"), "drive").where(F.col("usn") >= F.col("start_usn"))
+    return deduplicated(old, new).select("drive", "usn", "timestamp", "reason", "kind", "is_dir", "name", "path", "bytes")
+
+
+def cursors_after(readings: DataFrame, plan: DataFrame, journals: DataFrame, now: float) -> DataFrame:
+    """(drive, journal_id, next_usn, updated_at): behind the last event read, or where reading began if there was none."""
+    last = readings.join(plan.select("drive", "start_usn"), "drive").where(F.col("usn") >= F.col("start_usn")).groupBy("drive").agg((F.max("usn") + 1).alias("after"))
+    out = plan.join(journals.select("drive", "journal_id"), "drive").join(last, "drive", "left")
+    return out.select("drive", "journal_id", F.coalesce("after", "start_usn").alias("next_usn"), F.lit(float(now)).alias("updated_at"))
+
+
 def within(events: DataFrame, now: float, days: int) -> DataFrame:
     return events.where(F.col("timestamp") >= now - days * 86400)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accretion.functions import stamps as S
@@ -74,15 +74,25 @@ def top_differences(rows: DataFrame, limit: int = 40) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def inserted(held: DataFrame, new: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """Rows after an insert that keeps what is there: those held, and of the new ones with other keys the first by order."""
+    first = new.join(held.select(*keys), keys, "left_anti").groupBy(*keys).agg(F.min_by(F.struct(*new.columns), order).alias("row")).select("row.*")
+    return held.unionByName(first)
+
+
 def caveats(snapshots: DataFrame, files: DataFrame, before_id: int, after_id: int, boundary: int | None = None) -> DataFrame:
-    """(ordinal, code, n, before_method, after_method) of what to keep in mind when two snapshots are compared."""
+    """(ordinal, code, n, depth, bytes, before_method, after_method) of what to keep in mind when two snapshots are compared.
+
+    depth and bytes say what demoted snapshots have lost: what is deeper and smaller. boundary is the first id that counts
+    bytes by today's rules.
+    """
     head = snapshots.where(F.col("id").isin(before_id, after_id)).agg(
         F.count_if(is_demoted()).alias("n"), F.max(F.when(F.col("id") == before_id, F.col("method"))).alias("bm"), F.max(F.when(F.col("id") == after_id, F.col("method"))).alias("am")
     )
     sides = files.where(F.col("snapshot_id").isin(before_id, after_id)).agg(F.count_distinct("snapshot_id").alias("sides"))
     crossed = F.lit(boundary is not None and before_id < boundary <= after_id)
     none = F.lit(None).cast("string")
-    one = lambda i, test, code, n=None, bm=none, am=none: F.when(test, F.struct(F.lit(i).alias("ordinal"), F.lit(code).alias("code"), (n if n is not None else F.lit(None)).cast("long").alias("n"), bm.alias("before_method"), am.alias("after_method")))
+    one = lambda i, test, code, n=None, bm=none, am=none: F.when(test, F.struct(F.lit(i).alias("ordinal"), F.lit(code).alias("code"), (n if n is not None else F.lit(None)).cast("long").alias("n"), F.lit(DEMOTE_DEPTH if code == "demoted" else None).cast("long").alias("depth"), F.lit(DEMOTE_BYTES if code == "demoted" else None).cast("long").alias("bytes"), bm.alias("before_method"), am.alias("after_method")))
     found = F.array(
         one(1, F.col("n") > 0, "demoted", F.col("n")), one(2, F.col("bm") != F.col("am"), "mixedMethod", None, F.col("bm"), F.col("am")), one(3, (F.col("bm") == "mft") & (F.col("am") == "mft") & crossed, "rulesChanged", None, F.col("bm"), F.col("am")),
         one(4, F.col("sides") == 0, "noFilesEitherSide"), one(5, F.col("sides") == 1, "noFilesOneSide"), one(6, F.col("sides") == 2, "fileThreshold"),

@@ -1,22 +1,44 @@
-"""Snapshots kept as partitioned Parquet.
+"""Snapshots and journal events kept as partitioned Parquet.
 
 A snapshot's rows are written first, each table in its partition; the row in `snapshots` comes last and is what makes the
-snapshot visible. Whatever changes a snapshot rewrites its partition alone.
+snapshot visible, so a commit that fails leaves nothing to be seen, and running it again overwrites what it left. Whatever
+changes a snapshot rewrites its partition alone. Events lie in a folder for each drive and day; a reading's cursor comes
+after its events, so a reading that fails is read again, and what is held already isn't added twice.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accretion import files
+from accretion.functions import stamps as S
+
 from . import buckets as B
+from . import journal as J
 from . import snapshots as N
 from . import tree
 
-TABLES = ("dirs", "files", "age_buckets")
+EVENTS = "drive string, usn long, timestamp double, reason long, kind string, is_dir boolean, name string, path string, bytes long"
+CURSORS = "drive string, journal_id long, next_usn long, updated_at double"
+STATUS = "drive string, available boolean, reason string, updated_at double"
+#: Tables with a partition for each snapshot. They are read by these schemas, as a scan may leave one without a row.
+SCHEMAS = {
+    "dirs": "path string, depth int, bytes long, own_bytes long, files long, dirs long, newest_mtime double, newest_ctime double, folded_children long, folded_bytes long",
+    "files": "path string, bytes long, mtime double, ctime double",
+    "age_buckets": "day string, attribution string, bytes long, files long",
+}
+TABLES = tuple(SCHEMAS)
 WASTE_BYTES, WASTE_SHARE = 8 << 20, 0.2
 
 
+def snapshot_id(drive: str, taken_at: float) -> int:
+    """Grows with time, in milliseconds, and differs by drive."""
+    return int(taken_at * 1000) * 32 + (ord(drive[:1].upper() or "@") & 31)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -25,11 +47,11 @@ class Store:
         return f"{self.root}/{table}"
 
     def _exists(self, table: str) -> bool:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+        return files.exists(self.spark, self.path(table))
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(table))
+        reader = self.spark.read.schema(f"{SCHEMAS[table]}, drive string, snapshot_id long") if table in SCHEMAS else self.spark.read
+        return reader.parquet(self.path(table))
 
     def snapshots(self) -> DataFrame:
         """The last state of each snapshot's row; a dropped one has none."""
@@ -49,7 +71,9 @@ class Store:
         tag = {"drive": F.lit(drive), "snapshot_id": F.lit(snapshot_id).cast("long")}
         dirs = tree.prune(tree.rollup(entries, taken_at), **limits.get("prune", {}))
         self._put(dirs.withColumns(tag), "dirs")
-        self._put(tree.select_files(entries, taken_at, **limits.get("select_files", {})).withColumns(tag), "files")
+        # entries that repeat a path are one file, the largest
+        once = entries.where("NOT is_dir").groupBy("path").agg(F.max_by(F.struct(*[c for c in entries.columns if c != "path"]), "bytes").alias("row")).select("path", "row.*")
+        self._put(tree.select_files(once, taken_at, **limits.get("select_files", {})).withColumns(tag), "files")
         self._put(B.age_buckets(entries, **limits.get("age_buckets", {})).withColumns(tag), "age_buckets")
         head = tree.totals(entries).select(
             F.lit(snapshot_id).cast("long").alias("id"), F.lit(drive).alias("drive"), F.lit(float(taken_at)).alias("taken_at"), F.lit(method).alias("method"), F.lit(True).alias("complete"), F.lit(note).cast("string").alias("note"),
@@ -70,10 +94,12 @@ class Store:
 
     def _rewrite(self, rows: DataFrame, table: str) -> None:
         """Replace the partition that rows came from: over a copy, as a table can't be read and overwritten at once."""
-        copy = self.path(f"_rewrite_{table}")
-        rows.write.mode("overwrite").parquet(copy)
-        self._replace(self.spark.read.parquet(copy), table)
-        self._delete(copy)
+        copy = self.path(f"_rewrite/{table}-{uuid.uuid4().hex}")
+        try:
+            rows.write.parquet(copy)
+            self._replace(self.spark.read.parquet(copy), table)
+        finally:
+            files.delete(self.spark, copy)
 
     def _replace(self, rows: DataFrame, table: str) -> None:
         if table in TABLES:
@@ -81,14 +107,8 @@ class Store:
         else:
             rows.write.mode("overwrite").parquet(self.path(table))
 
-    def _delete(self, path: str) -> None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
     def _drop(self, table: str, drive: str, snapshot_id: int) -> None:
-        # partition values are escaped in folder names
-        name = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(drive)
-        self._delete(f"{self.path(table)}/drive={name}/snapshot_id={snapshot_id}")
+        files.delete(self.spark, f"{self.path(table)}/drive={files.escaped(self.spark, drive)}/snapshot_id={snapshot_id}")
 
     def retain(self, now: float, keep_daily: int = N.KEEP_DAILY) -> int:
         """Drop what retention() doesn't keep; how many."""
@@ -119,9 +139,75 @@ class Store:
         all_, little, n = files.agg(F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("length") < small, F.col("length"))), F.lit(0)), F.count_if(F.col("length") < small)).first()
         if n < 2 or little < waste or little < share * all_:
             return False
-        self._rewrite(self.read(table).repartition("drive", "snapshot_id") if table in TABLES else self.read(table).coalesce(1), table)
+        self._rewrite(self.read(table).hint("rebalance", "drive", "snapshot_id") if table in TABLES else self.read(table).coalesce(1), table)
         return True
 
+    # -- the journal
+
+    def _state(self, table: str, schema: str) -> DataFrame:
+        """The last row of each drive in a table that only grows."""
+        if not self._exists(table):
+            return self.spark.createDataFrame([], schema)
+        return self.read(table).groupBy("drive").agg(F.max_by(F.struct(*[c.split()[0] for c in schema.split(", ")]), "updated_at").alias("s")).select("s.*")
+
+    def events(self) -> DataFrame:
+        if not self._exists("events"):
+            return self.spark.createDataFrame([], EVENTS)
+        # by a schema of its own, as all days may have been dropped
+        return self.spark.read.schema(f"{EVENTS}, day string").parquet(self.path("events")).drop("day")
+
+    def cursors(self) -> DataFrame:
+        return self._state("cursors", CURSORS)
+
+    def status(self) -> DataFrame:
+        """How the last reading of each drive's journal went; a drive never read has no row."""
+        return self._state("status", STATUS)
+
+    def collect(self, readings: DataFrame, journals: DataFrame, now: float, dir_paths: DataFrame | None = None, looked_up: DataFrame | None = None, keep_days: int = J.KEEP_DAYS, tz: str = "UTC") -> dict[str, dict]:
+        """Take in what journals have: their new events, their cursors and how it went; counts for each drive.
+
+        journals has a row for each drive asked: (drive, journal_id, lowest_valid_usn, available, reason). One that
+        couldn't be read only leaves its reason; its events and its cursor stay as they are.
+        """
+        able = journals.where("available")
+        # a row for each drive, held as it is now: cursors are written below
+        plan = J.cursor_plan(self.cursors(), able)
+        plan = self.spark.createDataFrame(plan.collect(), plan.schema)
+        new = J.arrivals(readings, plan, self.events(), now, dir_paths, looked_up)
+        files_ = self.read("files") if self._exists("files") else None
+        if files_ is not None:
+            new = J.enriched(new, files_, self.snapshots())
+        day = F.coalesce(S.day("timestamp", tz), F.lit("none"))
+        new.withColumn("day", day).hint("rebalance", "drive", "day").sortWithinPartitions("usn").write.mode("append").partitionBy("drive", "day").parquet(self.path("events"))
+        J.cursors_after(readings, plan, able, now).coalesce(1).write.mode("append").parquet(self.path("cursors"))
+        journals.select("drive", "available", F.when(~F.col("available"), F.col("reason")).alias("reason"), F.lit(float(now)).alias("updated_at")).coalesce(1).write.mode("append").parquet(self.path("status"))
+        counts = J.collected(readings.join(plan.select("drive", "start_usn"), "drive").where(F.col("usn") >= F.col("start_usn")))
+        out = {r.drive: r.asDict() for r in plan.join(counts, "drive", "left").collect()}
+        self.prune_events(now, keep_days, tz)
+        return out
+
+    def prune_events(self, now: float, keep_days: int = J.KEEP_DAYS, tz: str = "UTC") -> int:
+        """Drop the days before the one keep_days ago, each of which is a folder; how many."""
+        first = self.spark.range(1).select(F.date_format(F.date_sub(F.to_date(S.day(F.lit(float(now)), tz)), keep_days), "yyyy-MM-dd")).first()[0]
+        gone = [f"{d}/{x}" for d in files.folders(self.spark, self.path("events")) if d.startswith("drive=") for x in files.folders(self.spark, f"{self.path('events')}/{d}") if x.startswith("day=") and x[4:8].isdigit() and x[4:] < first]
+        for g in gone:
+            files.delete(self.spark, f"{self.path('events')}/{g}")
+        return len(gone)
+
+    def maintain(self, drive: str, keep_id: int, now: float) -> dict[str, str]:
+        """What follows a scan: thin out, drop, compact. A step that fails takes nothing else with it; why it did, by step."""
+        failed = {}
+        steps = {
+            "demote": lambda: self.demote(drive, keep_id), "buckets": lambda: self.drop_old_buckets(drive), "retain": lambda: self.retain(now), "events": lambda: self.prune_events(now),
+            "compact": lambda: [self.compact(t) for t in ("snapshots", "cursors", "status") if self._exists(t)],
+        }
+        for name, step in steps.items():
+            try:
+                step()
+            except Exception as error:
+                failed[name] = str(error).splitlines()[0]
+        return failed
+
     def rules_boundary(self) -> int:
         """The first snapshot id that counts bytes by today's rules: set once, to one more than any id there was."""
         if not self._exists("meta"):

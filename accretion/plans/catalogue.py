@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from accretion.functions import display, paths as P, reasons, rules, stamps as S
@@ -287,10 +288,10 @@ def diff_latest(spark, sf):
 
 
 @query(f"""WITH {X.HISTORY}, b AS (SELECT * FROM sn WHERE id=2), a AS (SELECT * FROM sn WHERE id=5)
-SELECT 1::BIGINT AS ordinal, 'demoted' AS code, ((contains(coalesce(b.note,''),'{N.DEMOTED}'))::INT + (contains(coalesce(a.note,''),'{N.DEMOTED}'))::INT)::BIGINT AS n, NULL::VARCHAR AS before_method, NULL::VARCHAR AS after_method FROM a, b WHERE contains(coalesce(b.note,''),'{N.DEMOTED}') OR contains(coalesce(a.note,''),'{N.DEMOTED}')
-UNION ALL SELECT 2, 'mixedMethod', NULL, b.method, a.method FROM a, b WHERE a.method <> b.method
-UNION ALL SELECT 3, 'rulesChanged', NULL, b.method, a.method FROM a, b WHERE a.method='mft' AND b.method='mft' AND 2 < {X.BOUNDARY} AND {X.BOUNDARY} <= 5
-UNION ALL SELECT 6, 'fileThreshold', NULL, NULL, NULL FROM a, b WHERE a.file_count > 0 AND b.file_count > 0""")
+SELECT 1::BIGINT AS ordinal, 'demoted' AS code, ((contains(coalesce(b.note,''),'{N.DEMOTED}'))::INT + (contains(coalesce(a.note,''),'{N.DEMOTED}'))::INT)::BIGINT AS n, {N.DEMOTE_DEPTH}::BIGINT AS depth, {N.DEMOTE_BYTES}::BIGINT AS bytes, NULL::VARCHAR AS before_method, NULL::VARCHAR AS after_method FROM a, b WHERE contains(coalesce(b.note,''),'{N.DEMOTED}') OR contains(coalesce(a.note,''),'{N.DEMOTED}')
+UNION ALL SELECT 2, 'mixedMethod', NULL, NULL, NULL, b.method, a.method FROM a, b WHERE a.method <> b.method
+UNION ALL SELECT 3, 'rulesChanged', NULL, NULL, NULL, b.method, a.method FROM a, b WHERE a.method='mft' AND b.method='mft' AND 2 < {X.BOUNDARY} AND {X.BOUNDARY} <= 5
+UNION ALL SELECT 6, 'fileThreshold', NULL, NULL, NULL, NULL, NULL FROM a, b WHERE a.file_count > 0 AND b.file_count > 0""")
 def diff_caveats(spark, sf):
     return N.caveats(X.heads(spark), X.snap_files(spark, sf), 2, 5, X.BOUNDARY).withColumn("ordinal", F.col("ordinal").cast("long"))
 
@@ -657,6 +658,106 @@ def journal_counts(spark, sf):
     return journal.collected(X.events(spark, sf))
 
 
+# -- the store and the front end ------------------------------------------------------------------------------------------
+
+_KEPT = "('create','delete','rename_old')"
+
+
+@query(f"WITH {X.EVENTS} SELECT drive, usn, timestamp, kind, path, bytes FROM evk WHERE kind IN {_KEPT} AND timestamp >= epoch(TIMESTAMP '2024-01-16 00:00:00')")
+def journal_collect(spark, sf):
+    """Two readings, of which the second brings what the first had, too; days before the 15th last are dropped."""
+    return X.collected(spark, sf).events().select("drive", "usn", "timestamp", "kind", "path", "bytes")
+
+
+@query(f"WITH {X.EVENTS} SELECT drive, 7::BIGINT AS journal_id, max(usn) + 1 AS next_usn, true AS available FROM ev GROUP BY drive")
+def journal_cursors(spark, sf):
+    store = X.collected(spark, sf)
+    return store.cursors().join(store.status(), "drive").select("drive", "journal_id", "next_usn", "available")
+
+
+@query(f"""WITH {X.HISTORY_DIRS} SELECT snapshot_id, path, bytes, own_bytes, files FROM sd WHERE snapshot_id IN (4, 5) AND (path = '' OR bytes >= {X.PRUNE_BYTES} OR depth <= {X.PRUNE_DEPTH}) AND NOT (snapshot_id = 4 AND depth > {N.DEMOTE_DEPTH} AND bytes < {N.DEMOTE_BYTES})""")
+def store_dirs(spark, sf):
+    """Two snapshots, of which the earlier one is thinned out."""
+    return X.filled_store(spark, sf).read("dirs").select(F.col("snapshot_id").cast("long").alias("snapshot_id"), "path", "bytes", "own_bytes", "files")
+
+
+@query(f"""WITH {X.HISTORY} SELECT 5::BIGINT AS snapshot_id, path, bytes FROM se WHERE snapshot_id = 5 AND bytes > 0 AND (bytes >= {X.FILE_BYTES} OR (created >= {X.TAKEN[5]} - 45*86400 AND bytes >= {X.RECENT_BYTES})) ORDER BY bytes DESC, path LIMIT {tree.FILE_CAP}""")
+def store_files(spark, sf):
+    """Those of the thinned snapshot are gone."""
+    return X.filled_store(spark, sf).read("files").select(F.col("snapshot_id").cast("long").alias("snapshot_id"), "path", "bytes")
+
+
+@query(f"WITH {X.HISTORY}, {_HISTORY_BUCKETS} SELECT snapshot_id::BIGINT AS snapshot_id, day, attribution, bytes, files FROM bh WHERE snapshot_id = 5")
+def store_buckets(spark, sf):
+    """Those of older snapshots are dropped."""
+    return X.filled_store(spark, sf).read("age_buckets").select(F.col("snapshot_id").cast("long").alias("snapshot_id"), F.col("day").cast("string").alias("day"), "attribution", "bytes", "files")
+
+
+@query(f"WITH {X.HISTORY} SELECT id, drive, taken_at, scanned_bytes, file_count, id = 4 AS demoted, 6::BIGINT AS boundary FROM sn WHERE id IN (4, 5)")
+def store_snapshots(spark, sf):
+    store = X.filled_store(spark, sf)
+    return store.snapshots().select("id", "drive", "taken_at", "scanned_bytes", "file_count", N.is_demoted().alias("demoted"), F.lit(store.rules_boundary()).cast("long").alias("boundary"))
+
+
+@query("""WITH h AS (SELECT o_orderkey % 7 AS snapshot_id, o_orderkey::VARCHAR AS path, floor(o_totalprice)::BIGINT AS bytes FROM orders WHERE o_orderkey % 4 = 0),
+n AS (SELECT l_orderkey % 7 AS snapshot_id, l_orderkey::VARCHAR AS path, arg_min(floor(l_extendedprice)::BIGINT, l_linenumber) AS bytes FROM lineitem GROUP BY ALL)
+SELECT * FROM h UNION ALL SELECT * FROM n ANTI JOIN h USING (snapshot_id, path)""")
+def insert_keep_first(spark, sf):
+    """A quarter of the orders are held; lineitems come as new rows, several of each key."""
+    row = lambda k, b: [(F.col(k) % 7).alias("snapshot_id"), F.col(k).cast("string").alias("path"), F.floor(b).cast("long").alias("bytes")]
+    held = X.table(spark, sf, "orders").where("o_orderkey % 4 = 0").select(*row("o_orderkey", "o_totalprice"))
+    new = X.table(spark, sf, "lineitem").select(*row("l_orderkey", "l_extendedprice"), "l_linenumber")
+    return N.inserted(held.withColumn("l_linenumber", F.lit(0)), new, ["snapshot_id", "path"], F.col("l_linenumber")).drop("l_linenumber")
+
+
+@query(f"WITH {E_DIRS} SELECT path, false AS is_dir, bytes FROM fx UNION ALL SELECT path, true, 0 FROM dirs WHERE path <> ''")
+def scan_entries(spark, sf):
+    records = X.records(spark, sf)
+    return filetable.as_entries(records, filetable.resolved_paths(records.where("is_dir").select("record", "parent", "name"))).select("path", "is_dir", "bytes")
+
+
+@query("SELECT 4096::BIGINT AS metafile_bytes, 7::BIGINT AS orphan_files, 77::BIGINT AS orphan_bytes")
+def scan_warnings(spark, sf):
+    records = X.records(spark, sf)
+    return filetable.scan_warnings(records, filetable.resolved_paths(records.where("is_dir").select("record", "parent", "name")))
+
+
+@query(f"""WITH {X.HISTORY_DIRS} SELECT 'node' AS part, path, 'ASIA' AS name, '' AS parent, bytes, own_bytes, files, dirs FROM sd WHERE snapshot_id = 5 AND path = 'ASIA'
+UNION ALL SELECT 'child', path, string_split(path, chr(92))[2], 'ASIA', bytes, own_bytes, files, dirs FROM sd WHERE snapshot_id = 5 AND depth = 2 AND starts_with(path, 'ASIA' || chr(92))""")
+def tree_node(spark, sf):
+    level = X.engine(spark, sf).tree(path="C:/ASIA/")
+    columns = ["path", "name", "parent", "bytes", "own_bytes", "files", "dirs"]
+    kids = level["children"].withColumn("parent", P.parent("path"))
+    return level["node"].select(F.lit("node").alias("part"), *columns).unionByName(kids.select(F.lit("child").alias("part"), *columns))
+
+
+@query(f"""WITH {X.HISTORY_DIRS}, {_diff_sql('sd WHERE depth BETWEEN 1 AND 4', 4, 5, N.DIFF_BYTES)}
+SELECT CASE WHEN delta>0 THEN 'grown' ELSE 'shrunk' END AS direction, path, before, after, delta, kind FROM df WHERE delta<>0 QUALIFY row_number() OVER (PARTITION BY delta>0 ORDER BY abs(delta) DESC, path) <= 40""")
+def api_diff(spark, sf):
+    """0 for both sides is the newest pair."""
+    return X.engine(spark, sf).diff(before=0, after="0")["dirs"].drop("rank")
+
+
+@query(f"""WITH {X.EVENTS}, c AS (SELECT drive, count(*)::BIGINT AS events, {day_sql("min(timestamp)")} AS first_day, {day_sql("max(timestamp)")} AS last_day FROM evk WHERE drive = 'C:' GROUP BY drive)
+SELECT drive, events, first_day, last_day, (last_day::DATE - first_day::DATE + 1)::BIGINT AS days FROM c""")
+def api_changes_coverage(spark, sf):
+    return X.engine(spark, sf).changes("c")["coverage"].select("drive", "events", "first_day", "last_day", "days")
+
+
+@query(f"""WITH {E_DIRS}, k AS (SELECT path, bytes, array_to_string(string_split(path,chr(92))[1:-2], chr(92)) AS level FROM dirs WHERE depth BETWEEN 1 AND 4 AND bytes > 0)
+SELECT level, count(*)::BIGINT AS boxes, sum(bytes)::BIGINT AS bytes, 960000::BIGINT AS area, true AS in_bounds, true AS in_proportion FROM k GROUP BY level""")
+def treemap_areas(spark, sf):
+    """What holds for a layout: all of a level's boxes together fill its area, none lies outside, each has its share."""
+    boxes = treemap_layout(spark, sf).withColumns({"whole": F.sum("bytes").over(Window.partitionBy("level"))})
+    near = lambda a, b: F.abs(a - b) <= 1e-6 * F.lit(960_000.0)
+    inside = (F.col("x") >= -1e-6) & (F.col("y") >= -1e-6) & (F.col("x") + F.col("w") <= 1200 + 1e-6) & (F.col("y") + F.col("h") <= 800 + 1e-6)
+    out = boxes.groupBy("level").agg(
+        F.count(F.lit(1)).alias("boxes"), F.sum("bytes").alias("bytes"), F.round(F.sum(F.col("w") * F.col("h"))).cast("long").alias("area"), F.bool_and(inside).alias("in_bounds"),
+        F.bool_and(near(F.col("w") * F.col("h"), F.col("bytes") / F.col("whole") * 960_000)).alias("in_proportion"),
+    )
+    return out
+
+
 # -- streams ------------------------------------------------------------------------------------------------------------
 
 
@@ -667,7 +768,7 @@ def journal_stream_dedupe(spark, sf):
     from accretion.scratch import scratch
 
     target = scratch(spark, "journal")
-    rows = journal_stream.once(journal_stream.prepared(X.event_stream(spark, sf))).select("drive", "usn", "kind")
+    rows = journal_stream.once(journal_stream.prepared(X.event_stream(spark, sf))).select("drive", "usn", "kind", "event_time")
     rows.writeStream.foreachBatch(journal_stream.sink(target)).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(target).select("drive", "usn", "kind")
 

@@ -149,6 +149,56 @@ def dir_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return real.unionByName(odd)
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rolled-up directories and their files as decoded records, with a file of the file system's own and one whose directory is gone."""
+    ident = lambda c: F.when(c == "", F.lit(5)).otherwise(F.conv(F.substring(F.md5(c), 1, 10), 16, 10).cast("long") + 1000)
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    dirs = dir_ids(spark, sf_dir).select("record", "parent", "name", F.lit(True).alias("is_dir"), F.lit(0).cast("long").alias("bytes"))
+    files = entries(spark, sf_dir).select(ident(F.col("path")).alias("record"), ident(P.parent("path")).alias("parent"), P.basename("path").alias("name"), "is_dir", "bytes")
+    odd = spark.createDataFrame([(6, 5, "$Bitmap", False, 4096), (900, 999, "lost.bin", False, 77)], "record long, parent long, name string, is_dir boolean, bytes long")
+    return dirs.unionByName(files).unionByName(odd).select("*", *none("double", "created", "modified"), *none("long", "attributes"))
+
+
+def collected(spark: SparkSession, sf_dir: str):
+    """A store that has taken in the events of both drives in two readings."""
+    from accretion.operators.store import Store
+    from accretion.scratch import scratch
+
+    store, now = Store(spark, scratch(spark, "store")), NOW_EVENTS
+    journals = spark.createDataFrame([(d, 7, 0, True, None) for d in ("C:", "D:")], "drive string, journal_id long, lowest_valid_usn long, available boolean, reason string")
+    readings = events(spark, sf_dir)
+    half = readings.agg(F.percentile_approx("usn", 0.5)).first()[0]
+    store.collect(readings.where(F.col("usn") <= half), journals, now, keep_days=15)
+    store.collect(readings, journals, now, keep_days=15)
+    return store
+
+
+def filled_store(spark: SparkSession, sf_dir: str):
+    """A store with snapshots 4 and 5, after what follows a scan."""
+    from accretion.operators.store import Store
+    from accretion.scratch import scratch
+
+    store, rows = Store(spark, scratch(spark, "store")), snap_entries(spark, sf_dir)
+    limits = {"prune": {"min_bytes": PRUNE_BYTES, "max_depth": PRUNE_DEPTH}, "select_files": {"min_bytes": FILE_BYTES, "recent_bytes": RECENT_BYTES}, "age_buckets": {"min_bytes": BUCKET_BYTES}}
+    for i in (4, 5):
+        store.commit(rows.where(F.col("snapshot_id") == i).drop("snapshot_id"), i, "C:", TAKEN[i], "mft", limits=limits)
+    failed = store.maintain("C:", 5, TAKEN[5])
+    if failed:
+        raise RuntimeError(str(failed))
+    return store
+
+
+def engine(spark: SparkSession, sf_dir: str):
+    """The front end over the history and the events."""
+    from accretion.functions import reasons
+    from accretion.plans.api import Engine
+
+    events_ = events(spark, sf_dir).withColumn("kind", reasons.kind("reason"))
+    status = spark.createDataFrame([("C:", True, None)], "drive string, available boolean, reason string")
+    held = snap_entries(spark, sf_dir).limit(0).select("snapshot_id", F.lit("").alias("day"), F.lit("").alias("attribution"), "bytes", F.lit(0).cast("long").alias("files"))
+    return Engine(snapshots(spark, sf_dir), snap_dirs(spark, sf_dir), snap_files(spark, sf_dir), held, events_, status, NOW_EVENTS, boundary=BOUNDARY)
+
+
 # -- bytes and streams --------------------------------------------------------------------------------------------------
 
 

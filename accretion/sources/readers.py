@@ -16,7 +16,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+from accretion.scratch import saved
 
 from . import ntfs
 
@@ -58,10 +60,17 @@ class _FileTableReader(DataSourceReader):
         with open(self.path, "rb") as f:
             f.seek(part.offset)
             data = f.read(part.records * size)
-        for i in range(len(data) // size):
-            row = ntfs.file_record(data[i * size : (i + 1) * size], part.first + i, self.shape.sector)
-            if row:
-                yield tuple(row.get(c) for c in FIELDS)
+        found = (ntfs.file_record(data[i * size : (i + 1) * size], part.first + i, self.shape.sector) for i in range(len(data) // size))
+        yield record_batch([r for r in found if r])
+
+
+def record_batch(rows: list[dict]):
+    """Decoded records as an Arrow batch of RECORDS."""
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
+    columns = [c.split() for c in RECORDS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kinds[k]) for c, k in columns], names=FIELDS)
 
 
 class FileTable(DataSource):
@@ -166,46 +175,97 @@ def ingest(spark: SparkSession, sources: list) -> tuple[DataFrame, str, str | No
     raise RuntimeError(reason)
 
 
-class _JournalStream(SimpleDataSourceStreamReader):
+class _Events(InputPartition):
+    """A file of events, and which of them: those of a journal from usn low up to high."""
+
+    def __init__(self, name: str, journal_id: int, low: int, high: int, reset: bool):
+        super().__init__((name, journal_id, low, high, reset))
+        self.name, self.journal_id, self.low, self.high, self.reset = name, journal_id, low, high, reset
+
+
+def journal_state(path: str) -> dict:
+    """What journal.json says: journal_id, lowest_valid_usn, next_usn."""
+    with open(os.path.join(path, "journal.json"), encoding="utf-8") as f:
+        return json.load(f)
+
+
+def _files(path: str, journal_id: int, low: int, high: int, reset: bool) -> list[_Events]:
+    return [_Events(n, journal_id, low, high, reset) for n in sorted(os.listdir(path)) if n.startswith("events-")] if low < high else []
+
+
+def _events_of(path: str, part: _Events):
+    """A batch of each so many events."""
+    import pyarrow as pa
+
+    def batch(rows: list[dict]):
+        kinds = (("drive", pa.string()), ("usn", pa.int64()), ("timestamp", pa.float64()), ("reason", pa.int64()), ("is_dir", pa.bool_()), ("name", pa.string()), ("path", pa.string()), ("bytes", pa.int64()))
+        columns = [pa.array([e.get(c) for e in rows], k) for c, k in kinds]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([part.reset] * len(rows), pa.bool_())], names=[*(c for c, _ in kinds), "journal_reset"])
+
+    with open(os.path.join(path, part.name), encoding="utf-8") as f:
+        rows = []
+        for e in map(json.loads, f):
+            if e["journal_id"] == part.journal_id and part.low <= e["usn"] < part.high:
+                rows.append(e)
+                if len(rows) == CHUNK:
+                    yield batch(rows)
+                    rows = []
+        yield batch(rows)
+
+
+class _JournalReader(DataSourceReader):
+    """All that the journal holds, or what is in usns [start, end)."""
+
+    def __init__(self, options):
+        self.path, self.options = options["path"], options
+
+    def partitions(self):
+        state = journal_state(self.path)
+        return _files(self.path, state["journal_id"], int(self.options.get("start", state["lowest_valid_usn"])), int(self.options.get("end", state["next_usn"])), False)
+
+    def read(self, part):
+        yield from _events_of(self.path, part)
+
+
+class _JournalStream(DataSourceStreamReader):
     """Folders of JSON lines play the journal: journal.json has its state, events-*.json its events.
 
-    The offset carries the journal's id, as numbers of different journals can't be compared: with another id, or with a
-    cursor older than what the journal still holds, reading starts over at its lowest event.
+    The driver only reads the state; executors read the files, each for the usns of the batch. The offset carries the
+    journal's id and lowest usn, as numbers of different journals can't be compared: with another id, or with a cursor
+    older than what the journal still holds, reading starts over at its lowest event.
     """
 
     def __init__(self, options):
         self.path = options["path"]
-        self.most = int(options.get("maxEventsPerBatch", 200_000))
-
-    def _state(self) -> dict:
-        with open(os.path.join(self.path, "journal.json"), encoding="utf-8") as f:
-            return json.load(f)
+        self.most = int(options.get("maxUsnsPerBatch", 0))
+        self.at: dict | None = None
 
     def initialOffset(self):
-        state = self._state()
-        return {"journal_id": state["journal_id"], "next_usn": state["lowest_valid_usn"]}
-
-    def _events(self):
-        for name in sorted(n for n in os.listdir(self.path) if n.startswith("events-")):
-            with open(os.path.join(self.path, name), encoding="utf-8") as f:
-                yield from map(json.loads, f)
-
-    def read(self, start):
-        state = self._state()
-        reset = start["journal_id"] != state["journal_id"] or start["next_usn"] < state["lowest_valid_usn"]
-        first = state["lowest_valid_usn"] if reset else start["next_usn"]
-        rows = sorted((e for e in self._events() if e["journal_id"] == state["journal_id"] and e["usn"] >= first), key=lambda e: e["usn"])[: self.most]
-        end = {"journal_id": state["journal_id"], "next_usn": rows[-1]["usn"] + 1 if rows else first}
-        return iter([self._row(e, reset) for e in rows]), end
-
-    def readBetweenOffsets(self, start, end):
-        same = start["journal_id"] == end["journal_id"]
-        rows = [e for e in self._events() if e["journal_id"] == end["journal_id"] and e["usn"] < end["next_usn"] and (not same or e["usn"] >= start["next_usn"])]
-        return iter([self._row(e, not same) for e in sorted(rows, key=lambda e: e["usn"])])
+        state = journal_state(self.path)
+        self.at = {"journal_id": state["journal_id"], "lowest": state["lowest_valid_usn"], "next_usn": state["lowest_valid_usn"]}
+        return self.at
 
     @staticmethod
-    def _row(e, reset):
-        return (e["drive"], e["usn"], e["timestamp"], e["reason"], e["is_dir"], e["name"], e.get("path"), e.get("bytes"), reset)
+    def _begin(start, end):
+        """(where reading begins, whether it starts over)."""
+        reset = start["journal_id"] != end["journal_id"] or start["next_usn"] < end["lowest"]
+        return end["lowest"] if reset else start["next_usn"], reset
+
+    def latestOffset(self):
+        """The journal's end, or so many usns on from where the last batch ended, if this reader has seen one."""
+        state = journal_state(self.path)
+        end = {"journal_id": state["journal_id"], "lowest": state["lowest_valid_usn"], "next_usn": state["next_usn"]}
+        if self.most and self.at:
+            end["next_usn"] = max(end["lowest"], min(end["next_usn"], self._begin(self.at, end)[0] + self.most))
+        return end
+
+    def partitions(self, start, end):
+        self.at = end
+        low, reset = self._begin(start, end)
+        return _files(self.path, end["journal_id"], low, end["next_usn"], reset)
+
+    def read(self, part):
+        yield from _events_of(self.path, part)
 
 
 class JournalFolder(DataSource):
@@ -216,10 +276,27 @@ class JournalFolder(DataSource):
     def schema(self):
         return "drive string, usn long, timestamp double, reason long, is_dir boolean, name string, path string, bytes long, journal_reset boolean"
 
-    def simpleStreamReader(self, schema):
+    def reader(self, schema):
+        return _JournalReader(self.options)
+
+    def streamReader(self, schema):
         return _JournalStream(self.options)
 
 
+def capacity(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """(drive, total_bytes, free_bytes, present) of the volumes at roots, {drive: folder}; one that is gone isn't present."""
+    import shutil
+
+    rows = []
+    for drive, root in roots.items():
+        try:
+            space = shutil.disk_usage(root)
+            rows.append((drive, space.total, space.free, True))
+        except OSError:
+            rows.append((drive, None, None, False))
+    return spark.createDataFrame(rows, "drive string, total_bytes long, free_bytes long, present boolean")
+
+
 def register(spark: SparkSession) -> None:
     for source in (FileTable, Walk, JournalFolder):
         spark.dataSource.register(source)
@@ -244,7 +321,8 @@ def image_entries(spark: SparkSession, path: str) -> DataFrame:
     """Scan entries of a volume image."""
     from accretion.operators import filetable
 
-    raw = spark.read.format("filetable").load(path).persist()  # read once, used three times
+    # decoded once and used three times, from a table: nothing stays held when the entries have been read
+    raw = saved(spark.read.format("filetable").load(path), "records")
     entries = filetable.merged_sizes(raw.where("kind = 'entry'"), raw.where("kind = 'extension'"))
     paths = filetable.resolved_paths(raw.where("kind = 'entry' AND is_dir").select("record", "parent", "name"))
     return filetable.as_entries(entries, paths)

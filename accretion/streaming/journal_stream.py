@@ -9,13 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from accretion import files
 from accretion.functions import reasons as R
 
 KEEP = "180 days"
 
 
 def prepared(events: DataFrame, kinds: tuple[str, ...] = R.STORED_KINDS) -> DataFrame:
-    """Stored kinds with event_time; an event without a time gets the batch's."""
+    """Stored kinds with event_time; an event without a time gets the batch's.
+
+    In a stream that is the time which the query's own log has for the batch, so a batch that runs again gets it again.
+    """
     known = F.coalesce(F.timestamp_seconds("timestamp"), F.current_timestamp())
     return events.where(F.col("reason").bitwiseAND(F.lit(R.SPACE_MASK)) != 0).withColumn("kind", R.kind("reason")).where(F.col("kind").isin(*kinds)).withColumn("event_time", known)
 
@@ -34,21 +38,22 @@ def daily(events: DataFrame) -> DataFrame:
 
 
 def sink(target: str):
-    """For foreachBatch: appends events whose key the table at target doesn't have, in a folder for each batch.
+    """For foreachBatch: appends events whose key the table at target doesn't have, in a folder for each day and batch.
 
-    A batch that runs again overwrites its own folder, so a restart repeats nothing.
+    Events of one key have one time, so only the batch's own days are read for keys. A batch that runs again overwrites
+    its own folders, so a restart repeats nothing.
     """
 
     def put(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        path = f"{target}/batch={batch_id:012d}"
-        try:
-            held = spark.read.parquet(target).where(F.col("batch") != batch_id).select("drive", "usn")
-            batch = batch.dropDuplicates(["drive", "usn"]).join(held, ["drive", "usn"], "left_anti")
-        except Exception as error:  # the first batch finds no table
-            if not any(x in str(error) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
-                raise
-            batch = batch.dropDuplicates(["drive", "usn"])
-        batch.write.mode("overwrite").parquet(path)
+        batch = batch.dropDuplicates(["drive", "usn"]).withColumns({"day": F.date_format("event_time", "yyyy-MM-dd"), "batch": F.lit(batch_id)}).persist()
+        if files.exists(spark, target):
+            days = [r.day for r in batch.select("day").distinct().collect()]  # a batch has few days
+            held = spark.read.parquet(target).where(F.col("day").isin(days) & (F.col("batch") != batch_id)).select("drive", "usn")
+            new = batch.join(held, ["drive", "usn"], "left_anti")
+        else:
+            new = batch
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(target)
+        batch.unpersist()
 
     return put

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from accretion.functions import display, reasons
 from accretion.functions import stamps as S
-from accretion.operators import filetable, hotspots, journal, snapshots as N, timeline as T
+from accretion.operators import filetable, hotspots, journal, snapshots as N, timeline as T, tree
 from accretion.operators.store import Store
 from accretion.plans import api
 
@@ -185,6 +185,40 @@ def test_store(spark, tmp_path):
     assert [r.id for r in store.snapshots().collect()] == [3]
 
 
+def test_store_journal(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    t = noon(200)
+    schema = "drive string, usn long, timestamp double, reason long, is_dir boolean, name string, path string"
+    read = lambda rows: spark.createDataFrame([("C:", u, at, 0x80000200 if u % 2 else 0x20, False, f"n{u}", p) for u, at, p in rows], schema)
+    journals = lambda i, low, able=True: spark.createDataFrame([("C:", i, low, able, None if able else "no rights")], "drive string, journal_id long, lowest_valid_usn long, available boolean, reason string")
+    got = store.collect(read([(1, t, "a"), (2, t, "b"), (3, None, None), (5, t - 181 * DAY, "old")]), journals(7, 1), t)["C:"]
+    assert (got["first_run"], got["start_usn"], got["events_read"], got["no_time"]) == (True, 1, 4, 1)
+    assert {(r.usn, r.kind, r.timestamp) for r in store.events().collect()} == {(1, "delete", t), (3, "delete", t)}  # the old one is gone
+    assert store.cursors().first()[:3] == ("C:", 7, 6)
+    got = store.collect(read([(5, t, "x"), (7, t + 1, "c")]), journals(7, 1), t + 1)["C:"]
+    assert (got["first_run"], got["journal_reset"], got["start_usn"], got["events_read"]) == (False, False, 6, 1) and store.events().count() == 3
+    assert store.collect(read([]), journals(None, None, False), t + 2) == {} and store.status().first()[:3] == ("C:", False, "no rights")
+    assert store.cursors().first().next_usn == 8 and store.events().count() == 3
+    got = store.collect(read([(7, t, "other"), (9, t, "d")]), journals(8, 2), t + 3)["C:"]  # another journal: from its start, known numbers are dropped
+    assert got["journal_reset"] and {r.usn: r.path for r in store.events().collect()} == {1: "a", 3: None, 7: "c", 9: "d"}
+    assert store.status().first()[:3] == ("C:", True, None) and store.cursors().first()[:3] == ("C:", 8, 10)
+    assert store.prune_events(t + 400 * DAY) == 1 and store.events().count() == 0
+    assert set(store.maintain("C:", 1, t)) == {"demote", "buckets", "retain"}  # there are no snapshots
+
+
+def test_inserts_keep_what_is_there(spark):
+    held = spark.createDataFrame([(1, "a", 5)], "snapshot_id long, path string, bytes long")
+    new = spark.createDataFrame([(1, "a", 9), (1, "b", 2), (1, "b", 7), (2, "a", 1)], held.schema)
+    assert {tuple(r) for r in N.inserted(held, new, ["snapshot_id", "path"], -F.col("bytes")).collect()} == {(1, "a", 5), (1, "b", 7), (2, "a", 1)}
+
+
+def test_sizes_are_the_rollups(spark):
+    rows = [("a\\b\\c\\f", False, 5, None, None), ("a\\g", False, 7, None, None), ("d", True, 0, None, None), ("top", False, 1, None, None), ("d\\e\\x", True, 0, None, None)]
+    entries = spark.createDataFrame(rows, "path string, is_dir boolean, bytes long, created double, modified double")
+    whole = {(r.path, r.depth, r.bytes) for r in tree.rollup(entries, 1e9).where("depth <= 2").collect()}
+    assert {tuple(r) for r in tree.sizes(entries, 2).collect()} == whole
+
+
 def test_api(spark):
     assert [api.drive_of(x) for x in ("c", "C:", "c:\\", None, "d:/")] == ["C:", "C:", "C:", "C:", "D:"] and api.drive_of("", ["E:"]) == "E:"
     with pytest.raises(ValueError):
@@ -199,13 +233,24 @@ def test_api(spark):
     events, status = spark.createDataFrame([], EVENTS), spark.createDataFrame([], "drive string, available boolean, reason string")
     engine = api.Engine(heads, dirs, files, buckets, events, status, noon(3))
     assert engine.status().first().snapshots == 2
-    assert engine.timeline("c").count() == 1 and engine.timeline_summary().first().measured_added == (90 << 20) - 600
-    assert engine.timeline_contributors().first().path == "Users"
-    assert engine.tree(path="").first().name == "Users" and engine.snapshots("C:", 1).count() == 1 and engine.changes().count() == 0
+    line = engine.timeline("c")
+    assert line["days"].count() == 1 and line["summary"].first().measured_added == (90 << 20) - 600 and line["coverage"].count() == 0
+    assert line["contributors"].first().path == "Users" and line["written"].first().path == "A"
+    level = engine.tree(path="")
+    assert level["children"].first().name == "Users" and level["snapshot"].first().id == 2 and level["node"].count() == 0
+    assert engine.tree(path="Users")["node"].select("name", "parent").first()[:] == ("Users", "")
+    assert engine.tree("D:")["snapshot"].count() == engine.tree("D:")["children"].count() == 0
+    assert engine.snapshots("C:", 1).count() == 1 and engine.changes()["events"].count() == 0
     assert [r.rule for r in engine.hotspots()["cleanup"].collect()] == ["pagefile"] and engine.hotspots()["ages"].count() == 6
     found = engine.diff(before=2, after=1)
     assert found["dirs"].first().path == "Users" and [r.code for r in found["caveats"].collect()] == ["noFilesOneSide"]
     assert engine.diff(back=5) is None
+    assert {r.side: r.id for r in engine.diff(before=0, after=0)["snapshots"].collect()} == {"before": 1, "after": 2}
+    rules = api.Engine(heads, dirs, files, buckets, events, status, noon(3), boundary=2).diff()
+    assert [r.code for r in rules["caveats"].orderBy("ordinal").collect()] == ["rulesChanged", "noFilesOneSide"]
+    space = spark.createDataFrame([("C:", 100, 30, True)], "drive string, total_bytes long, free_bytes long, present boolean")
+    live = {r.drive: r for r in api.Engine(heads, dirs, files, buckets, events, status, noon(3), defaults=("C:", "E:"), capacity=space).status().collect()}
+    assert live["C:"].live_used_bytes == 70 and live["C:"].present and not live["E:"].present
     with pytest.raises(LookupError):
         engine.diff(before=1, after=77)
     with pytest.raises(LookupError):

@@ -132,7 +132,7 @@ def put(folder, n, journal_id, usns, lowest=0):
     with open(folder / f"events-{n}.json", "w") as f:
         for u in usns:
             f.write(json.dumps({"journal_id": journal_id, "drive": "C:", "usn": u, "timestamp": 1.7e9 + u, "reason": 0x200 if u % 2 else 0x1, "is_dir": False, "name": f"n{u}"}) + "\n")
-    (folder / "journal.json").write_text(json.dumps({"journal_id": journal_id, "lowest_valid_usn": lowest}))
+    (folder / "journal.json").write_text(json.dumps({"journal_id": journal_id, "lowest_valid_usn": lowest, "next_usn": max(usns) + 1}))
 
 
 def test_journal_stream_resumes_and_resets(spark, tmp_path):
@@ -141,7 +141,7 @@ def test_journal_stream_resumes_and_resets(spark, tmp_path):
     source.mkdir()
 
     def run():
-        rows = journal_stream.once(journal_stream.prepared(spark.readStream.format("journalfolder").option("path", str(source)).option("maxEventsPerBatch", "4").load()))
+        rows = journal_stream.once(journal_stream.prepared(spark.readStream.format("journalfolder").option("path", str(source)).option("maxUsnsPerBatch", "4").load()))
         query = rows.writeStream.foreachBatch(journal_stream.sink(str(target))).option("checkpointLocation", str(tmp_path / "offsets")).start()
         query.processAllAvailable()
         query.stop()
@@ -153,6 +153,31 @@ def test_journal_stream_resumes_and_resets(spark, tmp_path):
     assert run() == [1, 3, 5, 7, 9, 11, 13]
     put(source, 3, 8, [1, 15], lowest=1)  # another journal: read from its start, known keys are dropped
     assert run() == [1, 3, 5, 7, 9, 11, 13, 15]
+    folder = spark.read.format("journalfolder").load(str(source))
+    assert sorted(r.usn for r in folder.collect()) == [1, 15]
+    assert [r.usn for r in spark.read.format("journalfolder").option("start", "2").load(str(source)).collect()] == [15]
+
+
+def test_capacity(spark, tmp_path):
+    got = {r.drive: r for r in readers.capacity(spark, {"C:": str(tmp_path), "X:": str(tmp_path / "none")}).collect()}
+    assert got["C:"].present and 0 < got["C:"].free_bytes <= got["C:"].total_bytes and not got["X:"].present
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from accretion.__main__ import main
+
+    (tmp_path / "data" / "sub").mkdir(parents=True)
+    (tmp_path / "data" / "sub" / "f.txt").write_text("hello")
+    journal = tmp_path / "journal"
+    journal.mkdir()
+    put(journal, 1, 7, range(1, 4))
+    store = ["--store", str(tmp_path / "store")]
+    assert main(["scan", str(tmp_path / "data"), *store]) == 0
+    assert main(["journal", str(journal), *store]) == 0 and main(["journal", str(tmp_path / "none"), *store]) == 1
+    capsys.readouterr()
+    assert main(["show", "tree", *store]) == 0 and main(["show", "snapshots", *store]) == 0 and main(["folder", str(tmp_path / "data")]) == 0
+    shown = capsys.readouterr().out
+    assert "# snapshot" in shown and "# children" in shown and '"name":"sub"' in shown
 
 
 def test_watermark_needs_a_timestamp(spark):
