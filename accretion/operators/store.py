@@ -62,8 +62,7 @@ class Store:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("drive", "snapshot_id").parquet(self.path(table))
 
     def _head(self, rows: DataFrame) -> None:
-        version = 1 + ((self.read("snapshots").agg(F.max("version")).first()[0] or 0) if self._exists("snapshots") else 0)
-        rows.withColumns({"version": F.lit(version), "dropped": F.coalesce("dropped", F.lit(False)) if "dropped" in rows.columns else F.lit(False)}).write.mode("append").parquet(self.path("snapshots"))
+        self._append(rows.withColumn("dropped", F.coalesce("dropped", F.lit(False)) if "dropped" in rows.columns else F.lit(False)), "snapshots")
 
     def commit(self, entries: DataFrame, snapshot_id: int, drive: str, taken_at: float, method: str, note: str | None = None, limits: dict | None = None) -> None:
         """Roll entries up and keep them as a snapshot. limits: keyword arguments of prune, select_files and age_buckets."""
@@ -148,7 +147,12 @@ class Store:
         """The last row of each drive in a table that only grows."""
         if not self._exists(table):
             return self.spark.createDataFrame([], schema)
-        return self.read(table).groupBy("drive").agg(F.max_by(F.struct(*[c.split()[0] for c in schema.split(", ")]), "updated_at").alias("s")).select("s.*")
+        return self.read(table).groupBy("drive").agg(F.max_by(F.struct(*[c.split()[0] for c in schema.split(", ")]), "version").alias("s")).select("s.*")
+
+    def _append(self, rows: DataFrame, table: str) -> None:
+        """Rows of one state, after all those that the table has."""
+        version = 1 + ((self.read(table).agg(F.max("version")).first()[0] or 0) if self._exists(table) else 0)
+        rows.withColumn("version", F.lit(version)).coalesce(1).write.mode("append").parquet(self.path(table))
 
     def events(self) -> DataFrame:
         if not self._exists("events"):
@@ -179,8 +183,8 @@ class Store:
             new = J.enriched(new, files_, self.snapshots())
         day = F.coalesce(S.day("timestamp", tz), F.lit("none"))
         new.withColumn("day", day).hint("rebalance", "drive", "day").sortWithinPartitions("usn").write.mode("append").partitionBy("drive", "day").parquet(self.path("events"))
-        J.cursors_after(readings, plan, able, now).coalesce(1).write.mode("append").parquet(self.path("cursors"))
-        journals.select("drive", "available", F.when(~F.col("available"), F.col("reason")).alias("reason"), F.lit(float(now)).alias("updated_at")).coalesce(1).write.mode("append").parquet(self.path("status"))
+        self._append(J.cursors_after(readings, plan, able, now), "cursors")
+        self._append(journals.select("drive", "available", F.when(~F.col("available"), F.col("reason")).alias("reason"), F.lit(float(now)).alias("updated_at")), "status")
         counts = J.collected(readings.join(plan.select("drive", "start_usn"), "drive").where(F.col("usn") >= F.col("start_usn")))
         out = {r.drive: r.asDict() for r in plan.join(counts, "drive", "left").collect()}
         self.prune_events(now, keep_days, tz)

@@ -700,14 +700,14 @@ def store_snapshots(spark, sf):
 
 
 @query("""WITH h AS (SELECT o_orderkey % 7 AS snapshot_id, o_orderkey::VARCHAR AS path, floor(o_totalprice)::BIGINT AS bytes FROM orders WHERE o_orderkey % 4 = 0),
-n AS (SELECT l_orderkey % 7 AS snapshot_id, l_orderkey::VARCHAR AS path, arg_min(floor(l_extendedprice)::BIGINT, l_linenumber) AS bytes FROM lineitem GROUP BY ALL)
+n AS (SELECT l_orderkey % 7 AS snapshot_id, l_orderkey::VARCHAR AS path, arg_min(floor(l_extendedprice)::BIGINT, (l_linenumber, floor(l_extendedprice)::BIGINT)) AS bytes FROM lineitem GROUP BY ALL)
 SELECT * FROM h UNION ALL SELECT * FROM n ANTI JOIN h USING (snapshot_id, path)""")
 def insert_keep_first(spark, sf):
     """A quarter of the orders are held; lineitems come as new rows, several of each key."""
     row = lambda k, b: [(F.col(k) % 7).alias("snapshot_id"), F.col(k).cast("string").alias("path"), F.floor(b).cast("long").alias("bytes")]
     held = X.table(spark, sf, "orders").where("o_orderkey % 4 = 0").select(*row("o_orderkey", "o_totalprice"))
     new = X.table(spark, sf, "lineitem").select(*row("l_orderkey", "l_extendedprice"), "l_linenumber")
-    return N.inserted(held.withColumn("l_linenumber", F.lit(0)), new, ["snapshot_id", "path"], F.col("l_linenumber")).drop("l_linenumber")
+    return N.inserted(held.withColumn("l_linenumber", F.lit(0)), new, ["snapshot_id", "path"], F.struct("l_linenumber", "bytes")).drop("l_linenumber")
 
 
 @query(f"WITH {E_DIRS} SELECT path, false AS is_dir, bytes FROM fx UNION ALL SELECT path, true, 0 FROM dirs WHERE path <> ''")
