@@ -9,7 +9,8 @@ Almost no value meets another, so values aren't shuffled as rows: exchange.py fi
 has, in about two bytes each, and only (value, fingerprint) rows that may meet are shuffled, one for each block.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; a null doc_id gets its
-component like any row, but is no component's id unless all its ids are null.
+component like any row, but is no component's id unless all its ids are null; rows that repeat a doc_id are rows of their
+own; texts may be of any length; columns of other names are ignored, so none can clash.
 """
 
 from __future__ import annotations
