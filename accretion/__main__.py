@@ -16,6 +16,7 @@ import time
 def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
+    from accretion.functions import reasons
     from accretion.operators import store as kept, tree
     from accretion.plans import api
     from accretion.sources import readers
@@ -49,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
             journals = [(drive, state["journal_id"], state["lowest_valid_usn"], True, None)]
         except (OSError, ValueError, KeyError) as error:
             journals = [(drive, None, None, False, f"the journal can't be read: {error}")]
-        readings = spark.read.format("journalfolder").load(given.what).where("drive = '%s'" % drive) if journals[0][3] else spark.createDataFrame([], "drive string, usn long, timestamp double, reason long, is_dir boolean, name string, path string, bytes long")
+        readings = spark.read.format("journalfolder").option("reasonMask", str(reasons.SPACE_MASK)).load(given.what).where("drive = '%s'" % drive) if journals[0][3] else spark.createDataFrame([], "drive string, usn long, timestamp double, reason long, is_dir boolean, name string, path string, bytes long")
         counts = store.collect(readings, spark.createDataFrame(journals, "drive string, journal_id long, lowest_valid_usn long, available boolean, reason string"), now)
         print(counts or journals[0][4], file=sys.stderr)
         return 0 if counts else 1

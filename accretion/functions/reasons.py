@@ -11,7 +11,7 @@ BITS = {
     "rename_old": 0x1000, "rename_new": 0x2000, "indexable": 0x4000, "basic_info": 0x8000, "hard_link": 0x10000, "compression": 0x20000, "encryption": 0x40000, "object_id": 0x80000, "reparse": 0x100000, "stream": 0x200000,
     "transacted": 0x400000, "integrity": 0x800000, "close": 0x80000000,
 }
-#: Bits whose labels describe() lists, in this order.
+# The labels that describe() lists, in this order.
 DESCRIBED = (
     ("create", "新建"), ("delete", "删除"), ("rename_old", "改名前"), ("rename_new", "改名后"), ("data_extend", "写入变大"), ("data_truncation", "截断变小"), ("data_overwrite", "覆写"), ("named_extend", "附加流变大"), ("named_truncation", "附加流变小"),
     ("hard_link", "硬链接变化"), ("stream", "数据流变化"), ("basic_info", "属性变化"), ("security", "权限变化"), ("close", "关闭"),

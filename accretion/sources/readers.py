@@ -176,11 +176,11 @@ def ingest(spark: SparkSession, sources: list) -> tuple[DataFrame, str, str | No
 
 
 class _Events(InputPartition):
-    """A file of events, and which of them: those of a journal from usn low up to high."""
+    """A file of events, and which of them: those of a journal from usn low up to high, with a reason of the mask if there is one."""
 
-    def __init__(self, name: str, journal_id: int, low: int, high: int, reset: bool):
-        super().__init__((name, journal_id, low, high, reset))
-        self.name, self.journal_id, self.low, self.high, self.reset = name, journal_id, low, high, reset
+    def __init__(self, name: str, journal_id: int, low: int, high: int, reset: bool, mask: int):
+        super().__init__((name, journal_id, low, high, reset, mask))
+        self.name, self.journal_id, self.low, self.high, self.reset, self.mask = name, journal_id, low, high, reset, mask
 
 
 def journal_state(path: str) -> dict:
@@ -189,8 +189,8 @@ def journal_state(path: str) -> dict:
         return json.load(f)
 
 
-def _files(path: str, journal_id: int, low: int, high: int, reset: bool) -> list[_Events]:
-    return [_Events(n, journal_id, low, high, reset) for n in sorted(os.listdir(path)) if n.startswith("events-")] if low < high else []
+def _files(path: str, journal_id: int, low: int, high: int, reset: bool, mask: int) -> list[_Events]:
+    return [_Events(n, journal_id, low, high, reset, mask) for n in sorted(os.listdir(path)) if n.startswith("events-")] if low < high else []
 
 
 def _events_of(path: str, part: _Events):
@@ -205,7 +205,7 @@ def _events_of(path: str, part: _Events):
     with open(os.path.join(path, part.name), encoding="utf-8") as f:
         rows = []
         for e in map(json.loads, f):
-            if e["journal_id"] == part.journal_id and part.low <= e["usn"] < part.high:
+            if e["journal_id"] == part.journal_id and part.low <= e["usn"] < part.high and (not part.mask or e["reason"] & part.mask):
                 rows.append(e)
                 if len(rows) == CHUNK:
                     yield batch(rows)
@@ -214,14 +214,14 @@ def _events_of(path: str, part: _Events):
 
 
 class _JournalReader(DataSourceReader):
-    """All that the journal holds, or what is in usns [start, end)."""
+    """All that the journal holds, or what is in usns [start, end) and has a reason of reasonMask: options of the source."""
 
     def __init__(self, options):
         self.path, self.options = options["path"], options
 
     def partitions(self):
         state = journal_state(self.path)
-        return _files(self.path, state["journal_id"], int(self.options.get("start", state["lowest_valid_usn"])), int(self.options.get("end", state["next_usn"])), False)
+        return _files(self.path, state["journal_id"], int(self.options.get("start", state["lowest_valid_usn"])), int(self.options.get("end", state["next_usn"])), False, int(self.options.get("reasonMask", 0)))
 
     def read(self, part):
         yield from _events_of(self.path, part)
@@ -237,7 +237,7 @@ class _JournalStream(DataSourceStreamReader):
 
     def __init__(self, options):
         self.path = options["path"]
-        self.most = int(options.get("maxUsnsPerBatch", 0))
+        self.most, self.mask = int(options.get("maxUsnsPerBatch", 0)), int(options.get("reasonMask", 0))
         self.at: dict | None = None
 
     def initialOffset(self):
@@ -262,7 +262,7 @@ class _JournalStream(DataSourceStreamReader):
     def partitions(self, start, end):
         self.at = end
         low, reset = self._begin(start, end)
-        return _files(self.path, end["journal_id"], low, end["next_usn"], reset)
+        return _files(self.path, end["journal_id"], low, end["next_usn"], reset, self.mask)
 
     def read(self, part):
         yield from _events_of(self.path, part)

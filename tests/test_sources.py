@@ -155,6 +155,7 @@ def test_journal_stream_resumes_and_resets(spark, tmp_path):
     assert run() == [1, 3, 5, 7, 9, 11, 13, 15]
     folder = spark.read.format("journalfolder").load(str(source))
     assert sorted(r.usn for r in folder.collect()) == [1, 15]
+    assert spark.read.format("journalfolder").option("reasonMask", "1").load(str(source)).count() == 0
     assert [r.usn for r in spark.read.format("journalfolder").option("start", "2").load(str(source)).collect()] == [15]
 
 
