@@ -34,6 +34,8 @@ SHARD_BYTES, PIECE = 2 << 20, 1 << 18
 SORTED = 64
 #: Buckets of lexical keys for each shard, and the letters of a word that counts for the key.
 BUCKETS, KEY_LETTERS = 0.5, 5
+#: The buckets' parts, two numbers each, are broadcast up to so many, which spares the texts a shuffle; else they are joined by one.
+BROADCAST_BUCKETS = 500_000
 #: BM25.
 K1, B = 1.2, 0.75
 RESULT = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -167,8 +169,7 @@ def sharded(docs: DataFrame, shard_bytes: int, length: int) -> tuple[DataFrame,
     bucket = F.pmod(F.xxhash64(key_of(F.col("text"))), F.lit(buckets))
     keyed = written(docs.select("doc_id", "text", bucket.alias("bucket"), size.alias("size")), "keyed")
     parts = keyed.groupBy("bucket").agg(F.ceil(F.sum("size") / shard_bytes).cast("long").alias("parts"))
-    # a number for each shard at most: Spark broadcasts it as long as it is small
-    dealt = keyed.join(parts, "bucket")
+    dealt = keyed.join(F.broadcast(parts) if buckets <= BROADCAST_BUCKETS else parts, "bucket")
     part = F.pmod(F.xxhash64("doc_id", "text"), F.col("parts"))
     return dealt.select((part * buckets + F.col("bucket")).alias("shard"), "doc_id", "text"), 64 + (longest + 16 * shard_bytes) // length
 

@@ -30,8 +30,9 @@ def test_ids_are_the_tokenizers(spark, sf_small):
             assert ids[at[i] : at[i + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
-@pytest.mark.parametrize("shard_bytes", [4 << 20, 3000])
-def test_packing(spark, shard_bytes):
+@pytest.mark.parametrize(("shard_bytes", "broadcast"), [(4 << 20, 1000), (3000, 0)])
+def test_packing(spark, monkeypatch, shard_bytes, broadcast):
+    monkeypatch.setattr(packing, "BROADCAST_BUCKETS", broadcast)
     r = random.Random(3)
     rows = [(i, " ".join(f"w{r.randrange(99)}" for _ in range(r.randrange(400)))) for i in range(60)] + [(100 + i, t) for i, t in enumerate(ODD)] + [(900, None), (901, "big " * 9000), (902, "big " * 9000)]
     got = packing.digest(packing.packed(frame(spark, rows), shard_bytes=shard_bytes)).collect()
