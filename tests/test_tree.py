@@ -5,6 +5,7 @@ import random
 import pytest
 from accretion.functions import paths as P
 from accretion.operators import buckets, timeline, tree, treemap
+from accretion.scratch import saved
 
 MIB = 1 << 20
 SCHEMA = "path string, is_dir boolean, bytes long, created double, modified double"
@@ -52,7 +53,7 @@ def test_rollup_and_fold(spark, seed):
     rows = forest(seed)
     df = spark.createDataFrame(rows, SCHEMA)
     now = 1.0e9 + 500
-    dirs = tree.rollup(df, now).localCheckpoint()
+    dirs = saved(tree.rollup(df, now), "dirs")
     want = brute(rows, now)
     assert {r.path: (r.bytes, r.own_bytes, r.files, r.dirs, r.newest_mtime) for r in dirs.collect()} == {p: (d["bytes"], d["own"], d["files"], d["dirs"], d["m"]) for p, d in want.items()}
     for least, deep in ((150, 1), (10**9, 0), (0, 9)):
