@@ -208,6 +208,9 @@ def components(docs: DataFrame, shingle: int, least: float) -> DataFrame:
         return both.select("a", "b", "own_a", "own_b").mapInArrow(decide, "a long, b long")
 
     def grouped(new: DataFrame, roots: DataFrame | None) -> DataFrame:
+        new = written(new, "new_links")
+        if roots is not None and new.isEmpty():
+            return roots
         known = new if roots is None else new.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))
         return written(connected_components(known), "roots")
 
@@ -226,11 +229,14 @@ def components(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     groups = met.groupBy("value").agg(F.count(F.lit(1)).alias("size"), other(0).alias("x0"), other(1).alias("x1")).where("size > 1").groupBy("size", "x0", "x1").agg(F.min("value").alias("value"))
     members = still_open(met.join(groups.select("value"), "value").select(*names), roots)
     for slots in HUBS:
+        if members.isEmpty():
+            break
         hubs = written(members.groupBy("value", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(F.min(F.struct("linked", "own", "id", "n", "shared", "root")).alias("hub")), "hubs")
         roots = grouped(held(with_hubs(members, hubs, least)), roots)
         # a hub's pairs in its value are decided
         members = still_open(members.join(hubs.select("value", F.col("hub.id").alias("id")), ["value", "id"], "left_anti"), roots)
-    roots = grouped(held(all_pairs(members, least)), roots)
+    if not members.isEmpty():
+        roots = grouped(held(all_pairs(members, least)), roots)
     return roots.join(rows.select("id", "doc_id"), "id")
 
 
