@@ -36,7 +36,7 @@ from .tokens import LOWER
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 4
 BLOCK_BYTES, RANGE_VALUES = 4 << 20, 4_000_000
 #: A block of a value's members; blocks are compared with each other, so the results don't depend on it.
-MEMBERS = 1000
+MEMBERS = 250
 #: Hubs of each value by round.
 HUBS = (1, 4, 16)
 #: Numbers of blocks from which a shingle counts as more common.
@@ -162,25 +162,47 @@ def with_hubs(members: DataFrame, hubs: DataFrame, least: float) -> DataFrame:
     return met.where(open_pair("", "hub.", least)).select(*links(F.col("id"), F.col("hub.id"))).distinct()
 
 
-def all_pairs(members: DataFrame, least: float) -> DataFrame:
-    """(a, b): all open pairs of members of a value, block against block."""
+def common(own: list[np.ndarray], others: list[np.ndarray]):
+    """For each of own, how many shingles it shares with each of others."""
+    values = np.concatenate([np.zeros(0, np.uint64), *others])
+    owner = np.repeat(np.arange(len(others)), [len(x) for x in others])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    for x in own:
+        low, n = np.searchsorted(values, x), np.searchsorted(values, x, side="right")
+        n -= low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        yield np.bincount(owner[at], minlength=len(others))
+
+
+def all_pairs(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): links that connect all open pairs of members of a value with a similarity of least, block against block.
+
+    Blocks bring their shingles (id, shingles) along, so that pairs are decided where they meet and never become rows.
+    """
     tasks = members.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("tasks"))
-    dealt = members.join(tasks, "value").withColumn("part", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
-    dealt = dealt.select("value", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "n", "shared", "root")
+    dealt = members.join(tasks, "value").withColumn("part", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int")).join(sets, "id")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    dealt = dealt.select("value", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "root", "shingles")
 
-    def pairs(t: pa.Table) -> pa.Table:
+    def linked(t: pa.Table) -> pa.Table:
         low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
-        part, ids, n, shared, root = (t.column(c).to_numpy() for c in ("part", "id", "n", "shared", "root"))
+        part, ids, root = (t.column(c).to_numpy().copy() for c in ("part", "id", "root"))
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+        n = np.array([len(x) for x in own])
         here, there = np.flatnonzero(part == low), np.flatnonzero(part == high)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in here.tolist():
-            j = there[there > i] if low == high else there
-            j = j[(root[j] != root[i]) & (np.minimum(shared[i], shared[j]) >= least / (1 + least) * (n[i] + n[j]) - 1e-6)]
-            a.append(np.maximum(ids[i], ids[j]))
-            b.append(np.minimum(ids[i], ids[j]))
-        return H.freed(pa.table([np.concatenate(a), np.concatenate(b)], names=["a", "b"]))
+        a, b = [], []
+        for i, both in zip(here.tolist(), common([own[i] for i in here], [own[j] for j in there]), strict=True):
+            either = n[i] + n[there] - both
+            near = there[(root[there] != root[i]) & ((either == 0) | (both / np.maximum(either, 1) >= least))]
+            # what is in one component already needs one link
+            for j in near[np.unique(root[near], return_index=True)[1]].tolist():
+                a.append(max(ids[i], ids[j]))
+                b.append(min(ids[i], ids[j]))
+                root[root == root[j]] = root[i]
+        return H.freed(pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]))
 
-    return dealt.groupBy("value", "low", "high").applyInArrow(pairs, "a long, b long").distinct()
+    return dealt.groupBy("value", "low", "high").applyInArrow(linked, "a long, b long").distinct()
 
 
 def fingerprint_links(rows: DataFrame) -> DataFrame:
@@ -236,7 +258,7 @@ def components(docs: DataFrame, shingle: int, least: float) -> DataFrame:
         # a hub's pairs in its value are decided
         members = still_open(members.join(hubs.select("value", F.col("hub.id").alias("id")), ["value", "id"], "left_anti"), roots)
     if not members.isEmpty():
-        roots = grouped(held(all_pairs(members, least)), roots)
+        roots = grouped(all_pairs(members, sets, least), roots)
     return roots.join(rows.select("id", "doc_id"), "id")
 
 
