@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, line_dedup, packing, quality, secret_scan, simhash_dedup, substring_dedup, suffix_dedup
+from . import conversations, decontaminate, exact_dedup, html_extract, line_dedup, packing, pieces, quality, ranked_search, secret_scan, simhash_dedup, substring_dedup, suffix_dedup
 from .store import table
 
 
@@ -48,6 +48,20 @@ def op10_line_dedup(spark, sf_dir):
     return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
 
 
+def op11_ranked_search(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return ranked_search.ranked_search(docs.select("doc_id", "text"), items.select("item_id", "text"))
+
+
+def op12_sentencepiece(spark, sf_dir):
+    return pieces.digest(pieces.sentencepieces(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.digest(rows, *conversations.repair(conversations.damaged(rows)))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_packing": op2_packing,
@@ -59,12 +73,16 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES = {
     "op3_suffix_dedup": suffix_dedup.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_ranked_search": ranked_search.ORACLE,
     "op8_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
