@@ -1,14 +1,13 @@
-"""Snapshots and journal events kept as partitioned Parquet.
+"""Snapshots and journal events kept as partitioned Parquet, in generations (manifest.py).
 
-A snapshot's rows are written first, each table in its partition; the row in `snapshots` comes last and is what makes the
-snapshot visible, so a commit that fails leaves nothing to be seen, and running it again overwrites what it left. Whatever
-changes a snapshot rewrites its partition alone. Events lie in a folder for each drive and day; a reading's cursor comes
-after its events, so a reading that fails is read again, and what is held already isn't added twice.
+A scan's rows and its row in `snapshots` become visible in one change, and so do a reading's events, cursor and status; thinning
+out, dropping, merging and repairing replace parts by new ones in one change each. Nothing is overwritten: whatever fails, and
+wherever, leaves what was, and only folders that the sweep takes later.
 """
 
 from __future__ import annotations
 
-import uuid
+import logging
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,18 +19,34 @@ from . import buckets as B
 from . import journal as J
 from . import snapshots as N
 from . import tree
+from .manifest import GRACE, Conflict, Part, Tables
 
 EVENTS = "drive string, usn long, timestamp double, reason long, kind string, is_dir boolean, name string, path string, bytes long"
-CURSORS = "drive string, journal_id long, next_usn long, updated_at double"
-STATUS = "drive string, available boolean, reason string, updated_at double"
-#: Tables with a partition for each snapshot. They are read by these schemas, as a scan may leave one without a row.
+#: Each table's columns, without the keys of its folders.
 SCHEMAS = {
     "dirs": "path string, depth int, bytes long, own_bytes long, files long, dirs long, newest_mtime double, newest_ctime double, folded_children long, folded_bytes long",
     "files": "path string, bytes long, mtime double, ctime double",
     "age_buckets": "day string, attribution string, bytes long, files long",
+    "events": EVENTS,
+    "snapshots": "id long, drive string, taken_at double, method string, complete boolean, note string, scanned_bytes long, file_count long, dir_count long",
+    "cursors": "drive string, journal_id long, next_usn long, updated_at double",
+    "status": "drive string, available boolean, reason string, updated_at double",
+    "references": "reference long, drive string, path string, asked_at double",
+    "meta": "key string, value string",
 }
-TABLES = tuple(SCHEMAS)
-WASTE_BYTES, WASTE_SHARE = 8 << 20, 0.2
+#: Keys of the tables with a folder for each snapshot. Where a column has a key's name, the key is the column.
+TABLES = ("dirs", "files", "age_buckets")
+KEYS = {t: [("drive", "string"), ("snapshot_id", "long")] for t in TABLES} | {"events": [("drive", "string"), ("day", "string")]}
+#: What rows are sorted by, so that footers and page indexes tell where a level or a path lies.
+ORDER = {"dirs": ["depth", "path"], "files": ["path"], "age_buckets": ["day", "attribution"], "events": ["usn"]}
+#: Row groups are small, and single paths are found by Bloom filters.
+LAYOUT = {"dirs": {"parquet.block.size": str(1 << 20), "parquet.bloom.filter.enabled#path": "true"}}
+#: Stamps of these columns are repaired; RULES is the repair that today's rows need no more.
+STAMPS, RULES = {"dirs": ["newest_mtime", "newest_ctime"], "files": ["mtime", "ctime"]}, 1
+#: A folder's parts are merged when there are so many.
+MOST_PARTS = 8
+
+log = logging.getLogger(__name__)
 
 
 def snapshot_id(drive: str, taken_at: float) -> int:
@@ -42,184 +57,207 @@ def snapshot_id(drive: str, taken_at: float) -> int:
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        columns = {t: ", ".join(c for c in s.split(", ") if c.split()[0] not in {k for k, _ in KEYS.get(t, ())}) for t, s in SCHEMAS.items()}
+        self.tables = Tables(spark, root, columns, KEYS)
 
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
-
-    def _exists(self, table: str) -> bool:
-        return files.exists(self.spark, self.path(table))
-
-    def read(self, table: str) -> DataFrame:
-        reader = self.spark.read.schema(f"{SCHEMAS[table]}, drive string, snapshot_id long") if table in SCHEMAS else self.spark.read
-        return reader.parquet(self.path(table))
+    def read(self, table: str, **keys) -> DataFrame:
+        """A table's rows; keys: only of folders with these values, which are told without listing any."""
+        return self.tables.rows(table, self.tables.manifest().of(table, **keys))
 
     def snapshots(self) -> DataFrame:
-        """The last state of each snapshot's row; a dropped one has none."""
-        last = self.read("snapshots").groupBy("id").agg(F.max_by(F.struct("*"), "version").alias("s")).select("s.*")
-        return last.where("NOT dropped").drop("version", "dropped")
-
-    def _put(self, rows: DataFrame, table: str) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("drive", "snapshot_id").parquet(self.path(table))
+        return self.read("snapshots")
 
-    def _head(self, rows: DataFrame) -> None:
-        self._append(rows.withColumn("dropped", F.coalesce("dropped", F.lit(False)) if "dropped" in rows.columns else F.lit(False)), "snapshots")
+    def _write(self, rows: DataFrame, table: str, **facts) -> list[Part]:
+        """The parts of rows, in the table's order."""
+        order = [k for k, _ in KEYS.get(table, ())] + ORDER[table]
+        return self.tables.write(rows.repartitionByRange(*order).sortWithinPartitions(*order), table, LAYOUT.get(table), **({"rules": RULES} | facts))
 
     def commit(self, entries: DataFrame, snapshot_id: int, drive: str, taken_at: float, method: str, note: str | None = None, limits: dict | None = None) -> None:
-        """Roll entries up and keep them as a snapshot. limits: keyword arguments of prune, select_files and age_buckets."""
+        """Roll entries up and keep them as a snapshot, in place of one with this id. limits: keyword arguments of prune, select_files and age_buckets."""
         limits = limits or {}
         tag = {"drive": F.lit(drive), "snapshot_id": F.lit(snapshot_id).cast("long")}
         dirs = tree.prune(tree.rollup(entries, taken_at), **limits.get("prune", {}))
-        self._put(dirs.withColumns(tag), "dirs")
+        parts = self._write(dirs.withColumns(tag), "dirs")
         # entries that repeat a path are one file, the largest
         once = entries.where("NOT is_dir").groupBy("path").agg(F.max_by(F.struct(*[c for c in entries.columns if c != "path"]), "bytes").alias("row")).select("path", "row.*")
-        self._put(tree.select_files(once, taken_at, **limits.get("select_files", {})).withColumns(tag), "files")
-        self._put(B.age_buckets(entries, **limits.get("age_buckets", {})).withColumns(tag), "age_buckets")
+        parts += self._write(tree.select_files(once, taken_at, **limits.get("select_files", {})).withColumns(tag), "files")
+        parts += self._write(B.age_buckets(entries, **limits.get("age_buckets", {})).withColumns(tag), "age_buckets")
         head = tree.totals(entries).select(
             F.lit(snapshot_id).cast("long").alias("id"), F.lit(drive).alias("drive"), F.lit(float(taken_at)).alias("taken_at"), F.lit(method).alias("method"), F.lit(True).alias("complete"), F.lit(note).cast("string").alias("note"),
             F.col("total_bytes").alias("scanned_bytes"), "file_count", "dir_count",
         )
-        self._head(head)
+        head = self._held(head)
+        before = [p for t in TABLES for p in self.tables.manifest().of(t, drive=drive, snapshot_id=snapshot_id)]
+        self.tables.swap(parts, before, {"snapshots": lambda held: held.where(F.col("id") != snapshot_id).unionByName(head)})
+
+    def _held(self, rows: DataFrame) -> DataFrame:
+        """A few rows as they are now."""
+        return self.spark.createDataFrame(rows.collect(), rows.schema)
+
+    def _of(self, ids: list[int], tables=TABLES) -> list[Part]:
+        return [p for t in tables for p in self.tables.manifest().of(t, snapshot_id=ids)]
 
     def demote(self, drive: str, keep_id: int) -> int:
         """Thin out the drive's other snapshots, once each; how many there were."""
         ids = [r.id for r in N.to_demote(self.snapshots(), drive, keep_id).collect()]  # one number for each snapshot of a drive
-        for i in ids:
-            here = self.read("dirs").where((F.col("drive") == drive) & (F.col("snapshot_id") == i))
-            self._rewrite(N.demote_dirs(here, [i]), "dirs")
-            self._drop("files", drive, i)
         if ids:
-            self._head(N.marked_demoted(self.snapshots().where(F.col("id").isin(ids)), ids))
+            before = self._of(ids, ("dirs",))
+            thinner = self._write(N.demote_dirs(self.tables.rows("dirs", before), ids), "dirs", rules=min((p.facts.get("rules", 0) for p in before), default=RULES))
+            self.tables.swap(thinner, before + self._of(ids, ("files",)), {"snapshots": lambda held: N.marked_demoted(held, ids)})
         return len(ids)
 
-    def _rewrite(self, rows: DataFrame, table: str) -> None:
-        """Replace the partition that rows came from: over a copy, as a table can't be read and overwritten at once."""
-        copy = self.path(f"_rewrite/{table}-{uuid.uuid4().hex}")
-        try:
-            rows.write.parquet(copy)
-            self._replace(self.spark.read.parquet(copy), table)
-        finally:
-            files.delete(self.spark, copy)
-
-    def _replace(self, rows: DataFrame, table: str) -> None:
-        if table in TABLES:
-            self._put(rows, table)
-        else:
-            rows.write.mode("overwrite").parquet(self.path(table))
-
-    def _drop(self, table: str, drive: str, snapshot_id: int) -> None:
-        files.delete(self.spark, f"{self.path(table)}/drive={files.escaped(self.spark, drive)}/snapshot_id={snapshot_id}")
-
     def retain(self, now: float, keep_daily: int = N.KEEP_DAILY) -> int:
         """Drop what retention() doesn't keep; how many."""
-        heads = self.snapshots()
-        gone = N.retention(heads, now, keep_daily).where("NOT keep").collect()  # one row for each dropped snapshot
+        gone = [r.id for r in N.retention(self.snapshots(), now, keep_daily).where("NOT keep").collect()]  # one number for each dropped snapshot
         if gone:
-            self._head(heads.where(F.col("id").isin([r.id for r in gone])).withColumn("dropped", F.lit(True)))
-        for r in gone:
-            for table in TABLES:
-                self._drop(table, r.drive, r.id)
+            self.tables.swap(drop=self._of(gone), small={"snapshots": lambda held: held.where(~F.col("id").isin(gone))})
         return len(gone)
 
     def drop_old_buckets(self, drive: str) -> None:
         """Buckets are only read of the newest snapshot."""
-        ids = sorted(r.id for r in self.snapshots().where(F.col("drive") == drive).select("id", "taken_at").orderBy(F.desc("taken_at")).collect()[1:])
-        for i in ids:
-            self._drop("age_buckets", drive, i)
-
-    def analyze(self, table: str) -> None:
-        name = f"accretion_{table}"
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION '{self.path(table)}'")
-        self.spark.sql(f"MSCK REPAIR TABLE {name}")
-        self.spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
-
-    def compact(self, table: str, small: int = 32 << 20, waste: int = WASTE_BYTES, share: float = WASTE_SHARE) -> bool:
-        """Rewrite a table whose small files hold so many bytes and such a share of it; whether it did."""
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(self.path(table)).select("length")
-        all_, little, n = files.agg(F.coalesce(F.sum("length"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("length") < small, F.col("length"))), F.lit(0)), F.count_if(F.col("length") < small)).first()
-        if n < 2 or little < waste or little < share * all_:
-            return False
-        self._rewrite(self.read(table).hint("rebalance", "drive", "snapshot_id") if table in TABLES else self.read(table).coalesce(1), table)
-        return True
+        ids = [r.id for r in self.snapshots().where(F.col("drive") == drive).select("id", "taken_at").orderBy(F.desc("taken_at")).collect()[1:]]
+        if old := self._of(ids, ("age_buckets",)):
+            self.tables.swap(drop=old)
+
+    def compact(self, table: str, most: int = MOST_PARTS) -> int:
+        """Merge the parts of each folder that has so many; how many folders."""
+        of: dict[tuple, list[Part]] = {}
+        for p in self.tables.manifest().of(table):
+            of.setdefault(tuple(sorted(p.keys.items())), []).append(p)
+        many = [parts for parts in of.values() if len(parts) >= most]
+        if many:
+            before = [p for parts in many for p in parts]
+            self.tables.swap(self._write(self.tables.rows(table, before), table, rules=min(p.facts.get("rules", 0) for p in before)), before)
+        return len(many)
+
+    # -- what the manifest knows of parts
+
+    def adopt(self, table: str, rows: DataFrame) -> int:
+        """Take in a table of rows from elsewhere, keys included, as they are: repair() looks at them later. How many parts."""
+        if table in KEYS:
+            parts = self._write(rows, table, rules=0)
+            self.tables.swap(parts)
+            return len(parts)
+        fixed = self._held(rows.select(*self.tables.schema(table).names))
+        self.tables.swap(small={table: lambda held: held.unionByName(fixed)})
+        return 1
+
+    def repair(self) -> int:
+        """Repair the stamps of parts that no repair has seen, a snapshot at a time; how many parts.
+
+        Each snapshot's parts are swapped in by themselves with the mark that they are done, so that a run that is cut off
+        goes on where it was.
+        """
+        done = 0
+        for table, columns in STAMPS.items():
+            todo = [p for p in self.tables.manifest().of(table) if p.facts.get("rules", 0) < RULES]
+            for keys in sorted({tuple(sorted(p.keys.items())) for p in todo}):
+                before = [p for p in todo if tuple(sorted(p.keys.items())) == keys]
+                self.tables.swap(self._write(N.repaired(self.tables.rows(table, before), self.snapshots(), columns), table), before)
+                done += len(before)
+        return done
+
+    def analyze(self, table: str) -> int:
+        """Note rows, files, bytes and the bounds of the columns that rows are sorted by with each part that lacks them; how many parts."""
+        parts = [p for p in self.tables.manifest().of(table) if "rows" not in p.facts]
+        if not parts:
+            return 0
+        order = ORDER.get(table, [])
+        rows = self.spark.read.schema(self.tables.schema(table)).parquet(*[f"{self.root}/{p.path}" for p in parts]) if table not in KEYS else self._located(table, parts)
+        file = F.col("_metadata.file_path")
+        found = rows.groupBy(F.regexp_extract(file, r"(generation=.*)/[^/]*$", 1).alias("part")).agg(
+            F.count(F.lit(1)).alias("rows"), F.count_distinct(file).alias("files"), F.sum_distinct(F.col("_metadata.file_size")).alias("bytes"), *[f(c).cast("string").alias(f"{n}_{c}") for c in order for n, f in (("least", F.min), ("most", F.max))]
+        )
+        # a row for each part; its path there is a URI
+        known = {files.unescaped(self.spark, r.part): {k: v for k, v in r.asDict().items() if k != "part"} for r in found.collect()}
+        told = [p.but(**known.get(p.path.split("/", 1)[1], {"rows": 0, "files": 0, "bytes": 0})) for p in parts]
+        self.tables.swap(told, parts)
+        return len(parts)
+
+    def _located(self, table: str, parts: list[Part]) -> DataFrame:
+        schema = self.tables.schema(table).add("generation", "string")
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*[f"{self.root}/{p.path}" for p in parts])
+
+    def statistics(self) -> DataFrame:
+        """(table, path, rows, files, bytes) of all parts, as analyze() found them."""
+        rows = [(p.table, p.path, *(p.facts.get(k) for k in ("rows", "files", "bytes"))) for p in self.tables.manifest().parts]
+        return self.spark.createDataFrame(rows, "table string, path string, rows long, files long, bytes long")
 
     # -- the journal
 
-    def _state(self, table: str, schema: str) -> DataFrame:
-        """The last row of each drive in a table that only grows."""
-        if not self._exists(table):
-            return self.spark.createDataFrame([], schema)
-        return self.read(table).groupBy("drive").agg(F.max_by(F.struct(*[c.split()[0] for c in schema.split(", ")]), "version").alias("s")).select("s.*")
-
-    def _append(self, rows: DataFrame, table: str) -> None:
-        """Rows of one state, after all those that the table has."""
-        version = 1 + ((self.read(table).agg(F.max("version")).first()[0] or 0) if self._exists(table) else 0)
-        rows.withColumn("version", F.lit(version)).coalesce(1).write.mode("append").parquet(self.path(table))
-
     def events(self) -> DataFrame:
-        if not self._exists("events"):
-            return self.spark.createDataFrame([], EVENTS)
-        # by a schema of its own, as all days may have been dropped
-        return self.spark.read.schema(f"{EVENTS}, day string").parquet(self.path("events")).drop("day")
+        return self.read("events").select(*[c.split()[0] for c in EVENTS.split(", ")])
 
     def cursors(self) -> DataFrame:
-        return self._state("cursors", CURSORS)
+        return self.read("cursors")
 
     def status(self) -> DataFrame:
         """How the last reading of each drive's journal went; a drive never read has no row."""
-        return self._state("status", STATUS)
+        return self.read("status")
 
     def collect(self, readings: DataFrame, journals: DataFrame, now: float, dir_paths: DataFrame | None = None, looked_up: DataFrame | None = None, keep_days: int = J.KEEP_DAYS, tz: str = "UTC") -> dict[str, dict]:
         """Take in what journals have: their new events, their cursors and how it went; counts for each drive.
 
         journals has a row for each drive asked: (drive, journal_id, lowest_valid_usn, available, reason). One that
-        couldn't be read only leaves its reason; its events and its cursor stay as they are.
+        couldn't be read only leaves its reason; its events and its cursor stay as they are. Conflict if another reading of
+        one of these drives came in meanwhile.
         """
         able = journals.where("available")
-        # a row for each drive, held as it is now: cursors are written below
-        plan = J.cursor_plan(self.cursors(), able)
-        plan = self.spark.createDataFrame(plan.collect(), plan.schema)
+        # a row for each drive: what reading was planned from
+        before = self._held(self.cursors())
+        plan = self._held(J.cursor_plan(before, able))
         new = J.arrivals(readings, plan, self.events(), now, dir_paths, looked_up)
-        files_ = self.read("files") if self._exists("files") else None
-        if files_ is not None:
-            new = J.enriched(new, files_, self.snapshots())
+        if self.tables.manifest().of("files"):
+            new = J.enriched(new, self.read("files"), self.snapshots())
         day = F.coalesce(S.day("timestamp", tz), F.lit("none"))
-        new.withColumn("day", day).hint("rebalance", "drive", "day").sortWithinPartitions("usn").write.mode("append").partitionBy("drive", "day").parquet(self.path("events"))
-        self._append(J.cursors_after(readings, plan, able, now), "cursors")
-        self._append(journals.select("drive", "available", F.when(~F.col("available"), F.col("reason")).alias("reason"), F.lit(float(now)).alias("updated_at")), "status")
+        parts = self._write(new.withColumn("day", day), "events")
+        cursors = self._held(J.cursors_after(readings, plan, able, now))
+        status = self._held(journals.select("drive", "available", F.when(~F.col("available"), F.col("reason")).alias("reason"), F.lit(float(now)).alias("updated_at")))
+
+        def moved(held: DataFrame) -> DataFrame:
+            if held.join(able, "drive", "left_semi").exceptAll(before).count():
+                raise Conflict("another reading came first")
+            return J.kept_last(held, cursors)
+
+        self.tables.swap(parts, small={"cursors": moved, "status": lambda held: J.kept_last(held, status)})
         counts = J.collected(readings.join(plan.select("drive", "start_usn"), "drive").where(F.col("usn") >= F.col("start_usn")))
         out = {r.drive: r.asDict() for r in plan.join(counts, "drive", "left").collect()}
         self.prune_events(now, keep_days, tz)
         return out
 
     def prune_events(self, now: float, keep_days: int = J.KEEP_DAYS, tz: str = "UTC") -> int:
-        """Drop the days before the one keep_days ago, each of which is a folder; how many."""
+        """Drop the days before the one keep_days ago, which are folders; how many."""
         first = self.spark.range(1).select(F.date_format(F.date_sub(F.to_date(S.day(F.lit(float(now)), tz)), keep_days), "yyyy-MM-dd")).first()[0]
-        gone = [f"{d}/{x}" for d in files.folders(self.spark, self.path("events")) if d.startswith("drive=") for x in files.folders(self.spark, f"{self.path('events')}/{d}") if x.startswith("day=") and x[4:8].isdigit() and x[4:] < first]
-        for g in gone:
-            files.delete(self.spark, f"{self.path('events')}/{g}")
-        return len(gone)
+        gone = [p for p in self.tables.manifest().of("events") if p.keys["day"][:4].isdigit() and p.keys["day"] < first]
+        if gone:
+            self.tables.swap(drop=gone)
+        return len({(p.keys["drive"], p.keys["day"]) for p in gone})
 
-    def maintain(self, drive: str, keep_id: int, now: float) -> dict[str, str]:
-        """What follows a scan: thin out, drop, compact. A step that fails takes nothing else with it; why it did, by step."""
+    def maintain(self, drive: str, keep_id: int, now: float, grace: float = GRACE) -> dict[str, str]:
+        """What follows a scan: thin out, drop, merge, repair, note statistics, sweep. A step that fails takes nothing else with it; why it did, by step."""
         failed = {}
         steps = {
-            "demote": lambda: self.demote(drive, keep_id), "buckets": lambda: self.drop_old_buckets(drive), "retain": lambda: self.retain(now), "events": lambda: self.prune_events(now),
-            "compact": lambda: [self.compact(t) for t in ("snapshots", "cursors", "status") if self._exists(t)],
+            "demote": lambda: self.demote(drive, keep_id), "buckets": lambda: self.drop_old_buckets(drive), "retain": lambda: self.retain(now), "events": lambda: self.prune_events(now), "repair": self.repair,
+            "compact": lambda: [self.compact(t) for t in KEYS], "analyze": lambda: [self.analyze(t) for t in KEYS], "sweep": lambda: self.tables.sweep(grace),
         }
         for name, step in steps.items():
             try:
                 step()
             except Exception as error:
+                log.exception("upkeep of %s: %s failed", self.root, name)
                 failed[name] = str(error).splitlines()[0]
         return failed
 
     def rules_boundary(self) -> int:
         """The first snapshot id that counts bytes by today's rules: set once, to one more than any id there was."""
-        if not self._exists("meta"):
-            top = self.read("snapshots").agg(F.max("id")).first()[0] if self._exists("snapshots") else 0
-            self.spark.createDataFrame([("byte_rules", str((top or 0) + 1))], "key string, value string").coalesce(1).write.parquet(self.path("meta"))
-        return int(self.read("meta").where("key = 'byte_rules'").first().value)
+        found = self.read("meta").where("key = 'byte_rules'").first()
+        if found is None:
+            top = self.snapshots().agg(F.max("id")).first()[0]
+            new = self.spark.createDataFrame([("byte_rules", str((top or 0) + 1))], SCHEMAS["meta"])
+            self.tables.swap(small={"meta": lambda held: held.unionByName(new.join(held, "key", "left_anti"))})
+            found = self.read("meta").where("key = 'byte_rules'").first()
+        return int(found.value)
 
     def size(self) -> int:
-        """Bytes of all tables."""
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.root).select("length")
-        return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        """Bytes of all that counts."""
+        return sum(p.facts.get("bytes") or files.size(self.spark, f"{self.root}/{p.path}") for p in self.tables.manifest().parts)

@@ -181,8 +181,7 @@ def test_store(spark, tmp_path):
     assert {r.snapshot_id for r in store.read("age_buckets").collect()} == {3}
     assert store.retain(noon(3) + 400 * DAY) == 2 and [r.id for r in store.snapshots().collect()] == [3]
     assert {r.snapshot_id for r in store.read("dirs").collect()} == {3}
-    assert store.compact("dirs") is False and store.compact("snapshots", waste=1, share=0.1) is True
-    assert [r.id for r in store.snapshots().collect()] == [3]
+    assert store.compact("dirs") == 0 and [r.id for r in store.snapshots().collect()] == [3]
 
 
 def test_store_journal(spark, tmp_path):
@@ -203,7 +202,7 @@ def test_store_journal(spark, tmp_path):
     assert got["journal_reset"] and {r.usn: r.path for r in store.events().collect()} == {1: "a", 3: None, 7: "c", 9: "d"}
     assert store.status().first()[:3] == ("C:", True, None) and store.cursors().first()[:3] == ("C:", 8, 10)
     assert store.prune_events(t + 400 * DAY) == 1 and store.events().count() == 0
-    assert set(store.maintain("C:", 1, t)) == {"demote", "buckets", "retain"}  # there are no snapshots
+    assert store.maintain("C:", 1, t) == {}
 
 
 def test_inserts_keep_what_is_there(spark):
