@@ -29,6 +29,8 @@ from .store import free_names, written
 
 #: Bits of a shard, and of the filter for each row.
 SHARD_BITS, BITS_A_ROW = 1 << 18, 16
+#: Rows whose bits are put together before they are sent.
+PARTIAL = 1 << 21
 #: A filter is broadcast up to so many bytes (it has BITS_A_ROW / 8 a row).
 BROADCAST_BYTES = 32 << 20
 #: Groups of more rows than LARGE, and than the MOST_LARGE-th part of all, are told which row stays by a broadcast: at most MOST_LARGE groups.
@@ -57,18 +59,28 @@ def _is_set(h: Column, words: Column) -> Column:
 def bloom(hashes: DataFrame, shards: int, least: int) -> DataFrame:
     """(shard, words array<long>): the bits that at least one or (least = 2) two rows of hashes (h) have set."""
 
+    def sent(h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The bits of some rows, a blob for each shard that has any."""
+        shard = ((h >> np.uint64(40)) % np.uint64(shards)) << np.uint64(32)
+        once = [shard | ((h >> np.uint64(20 * k)) % np.uint64(SHARD_BITS)) for k in (0, 1)]
+        once = np.concatenate([once[0], once[1][once[0] != once[1]]])
+        slots, n = np.unique(once, return_counts=True)
+        for slots, twice in ((slots, False), (slots[n > 1], True)):
+            own, at = X.runs(slots >> np.uint64(32))
+            blobs = [X.sealed((slots[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32)) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([twice] * len(own), pa.bool_()), pa.array(blobs, pa.binary())], names=["shard", "twice", "blob"])
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A filter for each PARTIAL rows of a partition: a batch alone would send more blobs than it has rows."""
+        held, n = [], 0
         for batch in batches:
-            h = batch.column("h").to_numpy().view(np.uint64)
-            shard = ((h >> np.uint64(40)) % np.uint64(shards)) << np.uint64(32)
-            once = [shard | ((h >> np.uint64(20 * k)) % np.uint64(SHARD_BITS)) for k in (0, 1)]
-            once = np.concatenate([once[0], once[1][once[0] != once[1]]])
-            slots, n = np.unique(once, return_counts=True)
-            for slots, twice in ((slots, False), (slots[n > 1], True)):
-                at = X.cuts(slots >> np.uint64(32), shards)
-                own = [s for s in range(shards) if at[s] < at[s + 1]]
-                blobs = [X.sealed((slots[at[s] : at[s + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)) for s in own]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([twice] * len(own), pa.bool_()), pa.array(blobs, pa.binary())], names=["shard", "twice", "blob"])
+            held.append(batch.column("h").to_numpy().view(np.uint64))
+            n += len(held[-1])
+            if n >= PARTIAL:
+                yield from sent(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield from sent(np.concatenate(held))
 
     def merged(t: pa.Table) -> pa.Table:
         once, twice = np.zeros(SHARD_BITS, bool), np.zeros(SHARD_BITS, bool)

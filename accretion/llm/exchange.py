@@ -77,33 +77,36 @@ def short(h: np.ndarray, ranges: int) -> np.ndarray:
     return (in_range(h, ranges) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
 
 
-def cuts(rng: np.ndarray, ranges: int) -> np.ndarray:
-    return np.searchsorted(rng, np.arange(ranges + 1, dtype=rng.dtype))
+def runs(rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct values of ascending rng, where each begins and the last one ends)."""
+    first = np.flatnonzero(np.r_[len(rng) > 0, rng[1:] != rng[:-1]])
+    return rng[first], np.r_[first, len(rng)]
 
 
-def cells(block: int, ranges: int, rng: np.ndarray, seal: Callable[[slice], bytes]) -> pa.Table:
-    """A row for each range that ascending rng has."""
-    at = cuts(rng, ranges)
-    full = [r for r in range(ranges) if at[r] < at[r + 1]]
-    return pa.table([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), pa.array([seal(slice(at[r], at[r + 1])) for r in full], pa.binary())], schema=CELL_SCHEMA)
+def cells(block: int, rng: np.ndarray, seal: Callable[[slice], bytes]) -> pa.Table:
+    """A row for each range that ascending rng has: work and rows don't grow with the number of all ranges."""
+    full, at = runs(rng)
+    blobs = [seal(slice(a, b)) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return pa.table([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), block, np.int64)), pa.array(blobs, pa.binary())], schema=CELL_SCHEMA)
 
 
-def short_cells(block: int, ranges: int, keys: np.ndarray) -> pa.Table:
+def short_cells(block: int, keys: np.ndarray) -> pa.Table:
     """Cells of ascending distinct short() values."""
-    return cells(block, ranges, keys >> np.uint64(32), lambda s: sealed((keys[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32)))
+    return cells(block, keys >> np.uint64(32), lambda s: sealed((keys[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32)))
 
 
 def bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
 
-def answers(table: pa.Table, rng: np.ndarray, ranges: int, each: int = 1) -> np.ndarray:
+def answers(table: pa.Table, rng: np.ndarray, each: int = 1) -> np.ndarray:
     """The bits that the ranges gave back for what a block sent, as (len(rng), each) booleans."""
     out = np.zeros((len(rng), each), bool)
-    at = cuts(rng, ranges)
-    for r, blob in zip(table.column("rng").to_pylist(), table.column("blob"), strict=True):
-        n = at[r + 1] - at[r]
-        out[at[r] : at[r + 1]] = np.unpackbits(np.frombuffer(blob.as_buffer(), np.uint8), count=n * each).astype(bool).reshape(n, each)
+    known = table.column("rng").to_numpy().astype(rng.dtype)
+    begin, end = np.searchsorted(rng, known), np.searchsorted(rng, known, side="right")
+    for a, b, blob in zip(begin.tolist(), end.tolist(), table.column("blob"), strict=True):
+        n = b - a
+        out[a:b] = np.unpackbits(np.frombuffer(blob.as_buffer(), np.uint8), count=n * each).astype(bool).reshape(n, each)
     return out
 
 

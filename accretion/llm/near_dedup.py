@@ -7,7 +7,11 @@ SIMILARITY of either set and so, in any one order of all shingles, one of the fi
 n; no such pair is missed, wherever the texts differ. The order is by the number of blocks that have a shingle, those of
 one text alone first; a text with more than a fifth of such shingles has no near copy and proposes nothing.
 
-Texts that meet in a shingle are decided in rounds. In each value, some hubs (those with the fewest shingles of their own:
+What a text shares with any other lies among its shared shingles. So texts with the same shared shingles and the same number
+of all are one node: they have the same similarity to any text, and to each other if there are several. Only nodes are
+compared, and a family of texts that have a passage in common and nothing else is a few nodes, one for each number.
+
+Nodes that meet in a shingle are decided in rounds. In each value, some hubs (those with the fewest shingles of their own:
 an original has none) are compared with all that aren't in their component yet; at last all pairs that are still open
 are, block against block. A pair is left out only if its texts are linked already, or if its sizes and what each has alone
 rule it out, so connected components are those of all pairs of SIMILARITY or more.
@@ -75,6 +79,11 @@ def fingerprint(shingles: np.ndarray) -> int:
     return int(np.packbits(2 * set_ > len(shingles)).view(np.int64)[0])
 
 
+def set_hash(shingles: np.ndarray) -> int:
+    """One hash of a set of hashes."""
+    return int((H.mix(shingles).sum(dtype=np.uint64) ^ H.mix(shingles ^ np.uint64(H.BASES[1])).sum(dtype=np.uint64) << np.uint64(1)).view(np.int64))
+
+
 def row_key() -> Column:
     """What tells rows (doc_id, text) apart."""
     return F.xxhash64("doc_id", "text")
@@ -101,7 +110,7 @@ def judge_levels(blobs: list) -> list[np.ndarray]:
 
 
 def candidates(docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(id, doc_id, n, shared, fp, values, shingles) of the rows that may have near copies: their number of shingles, how many other texts have, too, their fingerprint, and the shingles by which they meet."""
+    """(id, doc_id, n, shared, own_set, fp, values, shingles) of the rows that may have near copies: their number of shingles, how many other texts have, too, a hash of those, their fingerprint, and the shingles by which they meet."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks, ranges = X.n_blocks(total, BLOCK_BYTES), X.n_ranges(total / 6, RANGE_VALUES)
     by_block = docs.select(X.block_of(blocks, "id").alias("block"), "id", "doc_id", "text").groupBy("block")
@@ -110,9 +119,9 @@ def candidates(docs: DataFrame, shingle: int, least: float) -> DataFrame:
         return [s for p in H.pieces(t.column("text").combine_chunks()) for s in shingles(*p, shingle)]
 
     def emit(t: pa.Table) -> pa.Table:
-        return H.freed(X.short_cells(t.column("block")[0].as_py(), ranges, np.unique(X.short(np.concatenate(sets(t)), ranges))))
+        return H.freed(X.short_cells(t.column("block")[0].as_py(), np.unique(X.short(np.concatenate(sets(t)), ranges))))
 
-    kinds = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("fp", pa.int64()), ("values", pa.list_(pa.int64())), ("shingles", pa.binary())])
+    kinds = pa.schema([("id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("own_set", pa.int64()), ("fp", pa.int64()), ("values", pa.list_(pa.int64())), ("shingles", pa.binary())])
 
     def meet(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -120,10 +129,10 @@ def candidates(docs: DataFrame, shingle: int, least: float) -> DataFrame:
         t = t.take(np.unique(t.column("id").to_numpy(), return_index=True)[1])
         found = sets(t)
         keys, at, n = np.unique(X.short(np.concatenate(found), ranges), return_inverse=True, return_counts=True)
-        level = X.answers(replies, keys >> np.uint64(32), ranges, 2)
+        level = X.answers(replies, keys >> np.uint64(32), 2)
         level = level[:, 0] + 2 * level[:, 1].astype(np.int64)
         rank = np.where(level == 0, n > 1, level + 1)[at]
-        rows, shared, fps, values, a = [], [], [], [], 0
+        rows, shared, own_sets, fps, values, a = [], [], [], [], [], 0
         for i, s in enumerate(found):
             r = rank[a : a + len(s)]
             a += len(s)
@@ -132,15 +141,16 @@ def candidates(docs: DataFrame, shingle: int, least: float) -> DataFrame:
                 continue
             rows.append(i)
             shared.append(len(s) - alone)
+            own_sets.append(set_hash(s[r > 0]))
             fps.append(fingerprint(s))
             values.append(s[np.lexsort((s, r))[alone:first]].view(np.int64) if len(s) else np.zeros(1, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
         t = t.take(pa.array(rows, pa.int64()))
         sizes = pa.array([len(found[i]) for i in rows], pa.int64())
-        return H.freed(pa.table([t.column("id"), t.column("doc_id"), sizes, pa.array(shared, pa.int64()), pa.array(fps, pa.int64()), lists, pa.array([found[i].tobytes() for i in rows], pa.binary())], schema=kinds))
+        return H.freed(pa.table([t.column("id"), t.column("doc_id"), sizes, pa.array(shared, pa.int64()), pa.array(own_sets, pa.int64()), pa.array(fps, pa.int64()), lists, pa.array([found[i].tobytes() for i in rows], pa.binary())], schema=kinds))
 
     replies = X.answered(by_block.applyInArrow(emit, X.CELLS), judge_levels)
-    return by_block.cogroup(replies.groupBy("block")).applyInArrow(meet, "id long, doc_id long, n long, shared long, fp long, values array<long>, shingles binary")
+    return by_block.cogroup(replies.groupBy("block")).applyInArrow(meet, "id long, doc_id long, n long, shared long, own_set long, fp long, values array<long>, shingles binary")
 
 
 def open_pair(a: str, b: str, least: float) -> Column:
@@ -216,7 +226,12 @@ def fingerprint_links(rows: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, shingle: int, least: float) -> DataFrame:
     """(id, doc_id, root) of the rows of docs (id, doc_id, text) that are near copies of others; root is one id of the group."""
-    rows = written(candidates(docs, shingle, least), "candidates")
+    every = written(candidates(docs, shingle, least), "candidates")
+    # rows of a node are near each other if what they share is enough of it; empty texts are
+    near_each_other = (F.col("rows") > 1) & (F.col("shared") >= least * (2 * F.col("n") - F.col("shared")) - 1e-9)
+    nodes = every.groupBy("own_set", "n", "shared").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("rows")).withColumn("together", near_each_other)
+    nodes = written(nodes, "nodes")
+    rows = written(every.join(nodes.select(F.col("node").alias("id")), "id", "left_semi"), "node_rows")
     sets = rows.select("id", "shingles")
 
     def decide(batches):
@@ -259,7 +274,9 @@ def components(docs: DataFrame, shingle: int, least: float) -> DataFrame:
         members = still_open(members.join(hubs.select("value", F.col("hub.id").alias("id")), ["value", "id"], "left_anti"), roots)
     if not members.isEmpty():
         roots = grouped(all_pairs(members, sets, least), roots)
-    return roots.join(rows.select("id", "doc_id"), "id")
+    of_nodes = nodes.join(roots.withColumnRenamed("id", "node"), "node", "left").select("own_set", "n", "shared", F.coalesce("root", F.when(F.col("together"), F.col("node"))).alias("root")).where("root IS NOT NULL")
+    # few nodes have many rows, and Spark splits what it finds to be skewed
+    return every.select("id", "doc_id", "own_set", "n", "shared").join(of_nodes, ["own_set", "n", "shared"]).select("id", "root", "doc_id")
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -38,6 +38,8 @@ BUCKETS, KEY_LETTERS = 0.5, 5
 BROADCAST_BUCKETS = 500_000
 #: BM25.
 K1, B = 1.2, 0.75
+#: Bits of a sequence's number within its shard: more than any task can make.
+OWN_BITS = 24
 RESULT = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -160,18 +162,19 @@ def key_of(text: Column) -> Column:
     return F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w))), F.lit(0))
 
 
-def sharded(docs: DataFrame, shard_bytes: int, length: int) -> tuple[DataFrame, int]:
-    """((shard, doc_id, text) of docs (doc_id, text), more than the sequences of any shard): shards hold about shard_bytes, or a longer text."""
+def sharded(docs: DataFrame, shard_bytes: int) -> DataFrame:
+    """(shard, doc_id, text) of docs (doc_id, text): shards hold about shard_bytes, or a longer text."""
     size = F.octet_length("text") + 64
-    total, longest = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    total = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     buckets = X.n_blocks(int(total * BUCKETS), shard_bytes)
     # mixed again, as small hashes are likelier in long texts; written, as keys cost more than rereading the texts
     bucket = F.pmod(F.xxhash64(key_of(F.col("text"))), F.lit(buckets))
-    keyed = written(docs.select("doc_id", "text", bucket.alias("bucket"), size.alias("size")), "keyed")
+    # rows are told apart by a number, so that a bucket of rows that are all the same is split, too
+    keyed = written(docs.select("doc_id", "text", bucket.alias("bucket"), size.alias("size"), F.monotonically_increasing_id().alias("row")), "keyed")
     parts = keyed.groupBy("bucket").agg(F.ceil(F.sum("size") / shard_bytes).cast("long").alias("parts"))
     dealt = keyed.join(F.broadcast(parts) if buckets <= BROADCAST_BUCKETS else parts, "bucket")
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.col("parts"))
-    return dealt.select((part * buckets + F.col("bucket")).alias("shard"), "doc_id", "text"), 64 + (longest + 16 * shard_bytes) // length
+    part = F.pmod(F.xxhash64("row"), F.col("parts"))
+    return dealt.select((part * buckets + F.col("bucket")).alias("shard"), "doc_id", "text")
 
 
 def packed(docs: DataFrame, length: int = LENGTH, closing_id: int = CLOSING_ID, tokenizer_path: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -179,8 +182,6 @@ def packed(docs: DataFrame, length: int = LENGTH, closing_id: int = CLOSING_ID,
     path = tokenizer_path or tokens.default_path()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
-    dealt, sequences = sharded(docs, shard_bytes, length)
-
     def pack(t: pa.Table) -> pa.Table:
         shard = t.column("shard")[0].as_py()
         t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -194,12 +195,12 @@ def packed(docs: DataFrame, length: int = LENGTH, closing_id: int = CLOSING_ID,
                 piece = ids[at[d] + start : min(at[d] + start + n, at[d + 1])]
                 if len(piece) < n:
                     piece = np.append(piece, np.uint32(closing_id))
-                for name, value in zip(out, (names[d], start, n, int(lengths[d]), shard * sequences + k, offset, piece.astype("<u4").tobytes()), strict=True):
+                for name, value in zip(out, (names[d], start, n, int(lengths[d]), (shard << OWN_BITS) + k, offset, piece.astype("<u4").tobytes()), strict=True):
                     out[name].append(value)
                 offset += n
         return H.freed(pa.table(out, schema=pa.schema([*((n, pa.int64()) for n in list(out)[:-1]), ("ids", pa.binary())])))
 
-    return dealt.groupBy("shard").applyInArrow(pack, RESULT)
+    return sharded(docs, shard_bytes).groupBy("shard").applyInArrow(pack, RESULT)
 
 
 def digest(result: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ Base kinds are patterns: assign, access and hex. The method adds entropy-hex and
 runs of one class's characters with a digit among letters; a window of WINDOW characters slides over each. The counts of
 the window's characters are kept in a few long integers, FIELD bits each: the character that leaves and the one that
 enters change a count by one each, and the entropy's sum by what their counts contribute. The span reaches from the first
-window over the class's threshold to the last. Spans of added kinds that an allow-list pattern matches are suppressed.
+window over the class's threshold to the last. A span of an added kind is suppressed if its whole candidate is a value that
+the allow-list has, or if placeholders make up half of the span or more: what merely holds one is still a secret.
 DataFrame functions only: positions follow from the lengths of what lies between matches.
 
 Time is linear in a text's length: long candidates are worked through CHUNK windows at a time, and positions are summed up
@@ -47,11 +48,11 @@ UNIT = 1 << 40
 #: characters have about 3.4 and 4.1. What is hexadecimal only is no base64: its class needs fewer bits.
 CLASSES = (("entropy-hex", "0-9a-fA-F", "A-Fa-f", 2.9), ("entropy-base64", "A-Za-z0-9+/_=-", "G-Zg-z+/_=-", 3.75))
 KINDS = [k[0] for k in (*BASE, *CLASSES)]
-#: Fixed values that look random but are public: placeholders and well-known digests.
-ALLOWED = (
-    "EXAMPLE|example|(?:0123456789|123456789a|abcdef0123|deadbeef|DEADBEEF)",
-    "d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709|e3b0c44298fc1c149afbf4c8996fb924",
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+#: Placeholders, and public values that look random (digests of nothing, identifiers, a key of documentations).
+PLACEHOLDERS = "EXAMPLE(?:KEY)?|example|0123456789(?:abcdef)?|123456789a(?:bcdef)?|abcdef0123|ABCDEF0123|(?:deadbeef|DEADBEEF)+"
+PUBLIC = (
+    "(?:d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855|wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY)",
+    "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
 )
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -155,16 +156,18 @@ def hot_stretch(value: Column, characters: str, least: float) -> Column:
 
 
 def entropy_spans(text: Column, kind: int, characters: str, own: str, least: float) -> Column:
-    runs = found(text, kind, candidate(characters, own), 0, WINDOW)
+    # so many bits need so many different characters
+    runs = F.filter(found(text, kind, candidate(characters, own), 0, WINDOW), lambda r: F.size(F.array_distinct(F.split(r["value"], ""))) >= math.ceil(2**least))
     measured = F.transform(runs, lambda r: F.struct(r.alias("run"), hot_stretch(r["value"], characters, least).alias("hot")))
     cut = F.transform(
         F.filter(measured, lambda m: m["hot"]["first"].isNotNull()),
         lambda m: F.struct(
             (m["run"]["start"] + m["hot"]["first"]).alias("start"), m["run"]["kind"].alias("kind"), (m["run"]["start"] + m["hot"]["last"] + WINDOW).alias("end"),
-            m["run"]["value"].alias("value"),
+            m["run"]["value"].alias("value"), F.substr(m["run"]["value"], m["hot"]["first"] + 1, m["hot"]["last"] + WINDOW - m["hot"]["first"]).alias("hot"),
         ),
     )
-    return F.filter(cut, lambda s: ~F.rlike(s["value"], F.lit("|".join(ALLOWED))))
+    secret = F.filter(cut, lambda s: ~F.rlike(s["value"], F.lit(f"^(?:{'|'.join(PUBLIC)})$")) & (2 * F.length(F.regexp_replace(s["hot"], PLACEHOLDERS, "")) > F.length(s["hot"])))
+    return F.transform(secret, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "kind", "end", "value")]))
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:
@@ -198,14 +201,15 @@ def brute_force(text: str | None) -> tuple:
     for k, (_, characters, own, least) in enumerate(CLASSES, len(BASE)):
         for m in re.finditer(f"[{characters}]+", text):
             run = m[0]
-            if len(run) < WINDOW or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run) or not re.search(f"[{own}]", run) or re.search("|".join(ALLOWED), run):
+            if len(run) < WINDOW or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run) or not re.search(f"[{own}]", run) or re.fullmatch("|".join(PUBLIC), run):
                 continue
             hot = []
             for i in range(len(run) - WINDOW + 1):
                 w = run[i : i + WINDOW]
                 if -sum(w.count(c) / WINDOW * math.log2(w.count(c) / WINDOW) for c in set(w)) >= least - 1e-9:
                     hot.append(i)
-            if hot:
+            span = run[hot[0] : hot[-1] + WINDOW] if hot else ""
+            if 2 * sum(len(p[0]) for p in re.finditer(PLACEHOLDERS, span)) < len(span):
                 added.append((m.start() + hot[0], k, m.start() + hot[-1] + WINDOW))
     show = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
     n = [sum(k == i for _, k, _ in base) for i in range(3)]

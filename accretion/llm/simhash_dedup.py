@@ -104,14 +104,14 @@ def links_within(fps: DataFrame, count: int, radius: int) -> DataFrame:
     own = lambda t: np.unique(t.column("fp").to_numpy().view(np.uint64))
 
     def emit(t: pa.Table) -> pa.Table:
-        return X.short_cells(t.column("block")[0].as_py(), ranges, _sorted_keys(own(t), flips, ranges)[0])
+        return X.short_cells(t.column("block")[0].as_py(), _sorted_keys(own(t), flips, ranges)[0])
 
     def meet(t: pa.Table, replies: pa.Table) -> pa.Table:
         rows = {"kind": [], "a": [], "b": []}
         if t.num_rows:
             mine = own(t)
             keys, twice = _sorted_keys(mine, flips, ranges)
-            met = np.union1d(keys[X.answers(replies, keys >> np.uint64(32), ranges)[:, 0]], twice)
+            met = np.union1d(keys[X.answers(replies, keys >> np.uint64(32))[:, 0]], twice)
             del keys
             values, members = [], []
             for v, k, f in _keys(mine, flips, ranges):

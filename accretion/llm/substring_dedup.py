@@ -67,7 +67,7 @@ class Words:
             keys = X.short(self.windows(shorter)[ok], ranges)
             distinct, group, counts = np.unique(keys, return_inverse=True, return_counts=True)
             alive = np.zeros(len(ok), bool)
-            alive[ok] = (X.answers(own, distinct >> np.uint64(32), ranges)[:, 0] | (counts > 1))[group]
+            alive[ok] = (X.answers(own, distinct >> np.uint64(32))[:, 0] | (counts > 1))[group]
             ok = self.whole(longer)
             ok &= alive[: len(ok)] & alive[longer - shorter : longer - shorter + len(ok)]
         return np.flatnonzero(ok)
@@ -122,9 +122,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, shortest: int = SHORT
         words, block = Words(t.column("text")), t.column("block")[0].as_py()
         if k + 1 < len(lengths):
             at = words.candidates(lengths[: k + 1], ranges, replies)
-            return H.freed(X.short_cells(block, ranges, np.unique(X.short(words.windows(lengths[k])[at], ranges))))
+            return H.freed(X.short_cells(block, np.unique(X.short(words.windows(lengths[k])[at], ranges))))
         _, h, check, doc, _ = last_level(words, ids_of(t), lengths, ranges, replies)
-        return H.freed(X.cells(block, ranges, X.in_range(h, ranges), lambda s: X.sealed(h[s], check[s], doc[s])))
+        return H.freed(X.cells(block, X.in_range(h, ranges), lambda s: X.sealed(h[s], check[s], doc[s])))
 
     def longer(k: int):
         return lambda t, replies: sent(k, t, split(replies, k)) if t.num_rows else X.CELL_SCHEMA.empty_table()
@@ -134,7 +134,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, shortest: int = SHORT
         if t.num_rows:
             words, ids, got = Words(t.column("text")), ids_of(t), split(replies, len(lengths))
             at, h, _, doc, group = last_level(words, ids, lengths, ranges, got)
-            smaller = X.answers(got[-1], X.in_range(h, ranges), ranges)[:, 0]
+            smaller = X.answers(got[-1], X.in_range(h, ranges))[:, 0]
             own = ids[words.doc[at]]
             gone = at[(own != NO_ID) & (smaller[group] | (doc[group] < own))]
             steps = np.zeros(len(words.starts) + 1, np.int64)

@@ -145,7 +145,7 @@ class Block:
     def first_digit(self, ranges: int, replies: pa.Table):
         """((2, n) stretches [from, to) that are repeated whole, places of the suffixes that go on, their checks)."""
         a, s, n, group, ends = self.anchors(ranges)
-        got = X.answers(replies, a >> np.uint64(32), ranges, 2)
+        got = X.answers(replies, a >> np.uint64(32), 2)
         whole, mixed = got[:, 1] | (n > 1), got[:, 0] | (runs(a) > 1)
         stretches = ends[:, whole[group]] + np.array([[0], [self.depth]])
         # of stretches that are repeated whole, the first shows its windows to others of the same anchor
@@ -182,7 +182,7 @@ class Block:
             if k == len(replies) and not last:
                 return stretches, at, pairs(self.hashes(at, length), check)[:2]
             h, _, n, group = pairs(self.hashes(at, length), check)
-            go_on = (X.answers(replies[k], X.in_range(h, ranges[1]), ranges[1])[:, 0] | (n > 1))[group]
+            go_on = (X.answers(replies[k], X.in_range(h, ranges[1]))[:, 0] | (n > 1))[group]
             at, check = at[go_on], check[go_on]
         return stretches, at, None
 
@@ -236,14 +236,14 @@ def suffix_dedup(docs: DataFrame, depth: int = DEPTH, spread: int = SPREAD, digi
     def first(t: pa.Table) -> pa.Table:
         a, s, *_ = block(t).anchors(ranges[0])
         low = (a & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        return H.freed(X.cells(t.column("block")[0].as_py(), ranges[0], a >> np.uint64(32), lambda c: X.sealed(low[c], s[c])))
+        return H.freed(X.cells(t.column("block")[0].as_py(), a >> np.uint64(32), lambda c: X.sealed(low[c], s[c])))
 
     def further(k: int):
         def send(t: pa.Table, replies: pa.Table) -> pa.Table:
             if not t.num_rows:
                 return X.CELL_SCHEMA.empty_table()
             h, check = block(t).refined(ranges, levels(replies, k), last=False)[2]
-            return H.freed(X.cells(t.column("block")[0].as_py(), ranges[1], X.in_range(h, ranges[1]), lambda c: X.sealed(h[c], check[c])))
+            return H.freed(X.cells(t.column("block")[0].as_py(), X.in_range(h, ranges[1]), lambda c: X.sealed(h[c], check[c])))
 
         return send
 

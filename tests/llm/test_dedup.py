@@ -1,12 +1,15 @@
 """Exact, substring, suffix, near and line dedup against their definitions, with odd rows."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from accretion.llm import components, exact_dedup, line_dedup, simhash_dedup, substring_dedup, suffix_dedup
+from accretion.llm import components, exact_dedup, exchange, line_dedup, simhash_dedup, substring_dedup, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -201,3 +204,29 @@ def test_lines(spark):
     assert line_dedup.line_dedup(frame(spark, rows).limit(0)).count() == 0
     unsited = frame(spark, [(None, "x\ny")] * 9)
     assert {x.text for x in line_dedup.line_dedup(unsited).collect()} == {"x\ny"}
+
+
+def test_cells_of_ranges_that_are_there():
+    """Cells and work go by the ranges that a block's hashes fall in, not by all there are."""
+    ranges = 1_000_000
+    keys = np.unique(exchange.short(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), ranges))
+    start = time.perf_counter()
+    for block in range(50):
+        cells = exchange.short_cells(block, keys)
+    assert time.perf_counter() - start < 20 and cells.num_rows == len(np.unique(keys >> np.uint64(32))) <= 5000
+    flags = exchange.judge_short([b.as_buffer() for b in cells.column("blob")])
+    some = np.arange(cells.num_rows) % 3 == 0
+    replies = cells.set_column(2, "blob", pa.array([exchange.bits(np.ones(len(f), bool)) for f in flags], pa.binary())).filter(pa.array(some))
+    got = exchange.answers(replies, keys >> np.uint64(32))[:, 0]
+    assert got.tolist() == np.isin(keys >> np.uint64(32), cells.column("rng").to_numpy()[some]).tolist()
+    assert exchange.short_cells(0, keys[:0]).num_rows == 0
+
+
+def test_bloom_blobs_by_partition(spark, monkeypatch):
+    """A filter's bits are put together over many batches, and bits set in different parts count twice."""
+    rows = spark.range(4000).select((F.xxhash64(F.col("id") % 3900)).alias("h")).coalesce(1)
+    for partial in (1 << 21, 100):
+        monkeypatch.setattr(exact_dedup, "PARTIAL", partial)
+        words = {r.shard: r.words for r in exact_dedup.bloom(rows, 4, 2).collect()}
+        hit = rows.distinct().join(spark.createDataFrame([(k, v) for k, v in words.items()], "shard int, words array<bigint>"), exact_dedup._shard_of(F.col("h"), 4) == F.col("shard")).where(exact_dedup._is_set(F.col("h"), F.col("words"))).count()
+        assert 100 <= hit < 200

@@ -315,6 +315,27 @@ def test_near_blocks_of_a_value(spark, monkeypatch):
         assert got == {d: d % 100 for d, _ in rows}
 
 
+@pytest.mark.parametrize("least_own", [0, 8, 12])
+def test_near_texts_that_share_a_passage(spark, monkeypatch, least_own):
+    """Texts with one passage and words of their own are a few nodes, with and without links between them."""
+    passage = [f"p{k}" for k in range(60)]
+    rows = [(i, " ".join(passage + [f"own{i}x{k}" for k in range(least_own + i % 8)])) for i in range(160)]
+    rows += [(500 + i, f"alone{i} " * 9) for i in range(5)]
+    sizes, keep = {}, near_dedup.written
+
+    def noted(df, name):
+        sizes[name] = keep(df, name)
+        return sizes[name]
+
+    monkeypatch.setattr(near_dedup, "written", noted)
+    got = {x.doc_id: x.root for x in near_dedup.near_groups(frame(spark, rows)).collect()}
+    want = near_components(rows)
+    groups = Counter(want.values())
+    assert got == {d: r for d, r in want.items() if groups[r] > 1}
+    assert sizes["candidates"].count() > 100 if least_own < 12 else True
+    assert sizes["node_rows"].count() <= 16
+
+
 def test_near_stage_tells_rows_of_one_id_apart(spark):
     import corpus_pipeline
 
