@@ -19,6 +19,9 @@ DESCRIBED = (
 WRITES = ("data_extend", "data_truncation", "data_overwrite", "named_extend", "named_truncation")
 #: What a journal is asked for: changes that move space.
 SPACE_MASK = sum(BITS[b] for b in (*WRITES, "create", "delete", "rename_old", "rename_new", "close"))
+#: An event's kind is the first that its mask has: what makes or removes a file counts before writes.
+KIND_MASKS = (*((n, BITS[n]) for n in ("delete", "create", "rename_old", "rename_new")), ("write", sum(BITS[b] for b in WRITES)))
+OTHER = "other"
 STORED_KINDS = ("create", "delete", "rename_old")
 RECORD_MASK = (1 << 48) - 1
 
@@ -28,12 +31,12 @@ def _has(reason: Column, *names: str) -> Column:
 
 
 def kind(reason: Column | str) -> Column:
-    """One kind for a mask: what makes or removes a file counts before writes."""
+    """One kind for a mask."""
     reason = (F.col(reason) if isinstance(reason, str) else reason).cast("long")
-    out = F.when(_has(reason, "delete"), F.lit("delete"))
-    for name in ("create", "rename_old", "rename_new"):
-        out = out.when(_has(reason, name), F.lit(name))
-    return out.when(_has(reason, *WRITES), F.lit("write")).otherwise(F.lit("other"))
+    out = F
+    for name, mask in KIND_MASKS:
+        out = out.when(reason.bitwiseAND(F.lit(mask)) != 0, F.lit(name))
+    return out.otherwise(F.lit(OTHER))
 
 
 def describe(reason: Column | str) -> Column:

@@ -37,15 +37,17 @@ def deduplicated(held: DataFrame, new: DataFrame, order: str | None = None) -> D
 def resolved(events: DataFrame, dir_paths: DataFrame, looked_up: DataFrame | None = None) -> DataFrame:
     """events (…, parent_full, name) with path: by the parent's record, else by its full reference, else null.
 
-    dir_paths (record, path) comes from a scan, looked_up (reference, path) from asking for references, where a null path
-    means asked in vain.
+    dir_paths (record, path) comes from a scan, looked_up (reference, path, and drive if there are several) from asking for
+    references, where a null path means asked in vain.
     """
     out = events.join(dir_paths.select(F.col("record").alias("rec"), F.col("path").alias("p1")), R.record_number("parent_full") == F.col("rec"), "left")
     if looked_up is not None:
-        out = out.join(looked_up.select(F.col("reference").alias("ref"), F.col("path").alias("p2")), F.col("parent_full") == F.col("ref"), "left")
+        several = "drive" in looked_up.columns
+        asked = looked_up.select(F.col("reference").alias("ref"), F.col("path").alias("p2"), *([F.col("drive").alias("of")] if several else []))
+        out = out.join(asked, (F.col("parent_full") == F.col("ref")) & (F.col("drive") == F.col("of") if several else F.lit(True)), "left")
     above = F.coalesce("p1", "p2") if looked_up is not None else F.col("p1")
     path = F.when(above.isNotNull(), F.when(above == "", F.col("name")).otherwise(F.concat(above, F.lit(P.SEP), "name")))
-    return out.withColumn("path", path).drop("rec", "ref", "p1", "p2")
+    return out.withColumn("path", path).drop("rec", "ref", "p1", "p2", "of")
 
 
 def cursor_plan(cursors: DataFrame, journals: DataFrame) -> DataFrame:

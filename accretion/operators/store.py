@@ -8,6 +8,7 @@ wherever, leaves what was, and only folders that the sweep takes later.
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,18 +32,20 @@ SCHEMAS = {
     "snapshots": "id long, drive string, taken_at double, method string, complete boolean, note string, scanned_bytes long, file_count long, dir_count long",
     "cursors": "drive string, journal_id long, next_usn long, updated_at double",
     "status": "drive string, available boolean, reason string, updated_at double",
-    "references": "reference long, drive string, path string, asked_at double",
+    "references": "drive string, reference long, path string, asked_at double",
     "meta": "key string, value string",
 }
 #: Keys of the tables with a folder for each snapshot. Where a column has a key's name, the key is the column.
 TABLES = ("dirs", "files", "age_buckets")
-KEYS = {t: [("drive", "string"), ("snapshot_id", "long")] for t in TABLES} | {"events": [("drive", "string"), ("day", "string")]}
+KEYS = {t: [("drive", "string"), ("snapshot_id", "long")] for t in TABLES} | {"events": [("drive", "string"), ("day", "string")], "references": [("drive", "string")]}
 #: What rows are sorted by, so that footers and page indexes tell where a level or a path lies.
-ORDER = {"dirs": ["depth", "path"], "files": ["path"], "age_buckets": ["day", "attribution"], "events": ["usn"]}
+ORDER = {"dirs": ["depth", "path"], "files": ["path"], "age_buckets": ["day", "attribution"], "events": ["usn"], "references": ["reference"]}
 #: Row groups are small, and single paths are found by Bloom filters.
 LAYOUT = {"dirs": {"parquet.block.size": str(1 << 20), "parquet.bloom.filter.enabled#path": "true"}}
 #: Stamps of these columns are repaired; RULES is the repair that today's rows need no more.
 STAMPS, RULES = {"dirs": ["newest_mtime", "newest_ctime"], "files": ["mtime", "ctime"]}, 1
+#: Seconds for which a reference's path, and the answer that it has none, are believed.
+BELIEVED, BELIEVED_NONE = 30 * 86400, 86400
 #: A folder's parts are merged when there are so many.
 MOST_PARTS = 8
 
@@ -195,17 +198,23 @@ class Store:
         """How the last reading of each drive's journal went; a drive never read has no row."""
         return self.read("status")
 
-    def collect(self, readings: DataFrame, journals: DataFrame, now: float, dir_paths: DataFrame | None = None, looked_up: DataFrame | None = None, keep_days: int = J.KEEP_DAYS, tz: str = "UTC") -> dict[str, dict]:
+    def collect(self, readings: DataFrame, journals: DataFrame, now: float, dir_paths: DataFrame | None = None, looked_up: DataFrame | None = None, keep_days: int = J.KEEP_DAYS, tz: str = "UTC", resolvers: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> dict[str, dict]:
         """Take in what journals have: their new events, their cursors and how it went; counts for each drive.
 
         journals has a row for each drive asked: (drive, journal_id, lowest_valid_usn, available, reason). One that
         couldn't be read only leaves its reason; its events and its cursor stay as they are. Conflict if another reading of
-        one of these drives came in meanwhile.
+        one of these drives came in meanwhile. resolvers: for a drive, what gives (reference, path) of the references that
+        neither dir_paths nor an earlier answer knows.
         """
         able = journals.where("available")
         # a row for each drive: what reading was planned from
         before = self._held(self.cursors())
         plan = self._held(J.cursor_plan(before, able))
+        answers: list[Part] = []
+        if resolvers and "parent_full" in readings.columns:
+            if dir_paths is None:
+                dir_paths = self.spark.createDataFrame([], "record long, path string")
+            answers, looked_up = self._asked(readings.join(plan.select("drive", "start_usn"), "drive").where(F.col("usn") >= F.col("start_usn")), dir_paths, now, resolvers)
         new = J.arrivals(readings, plan, self.events(), now, dir_paths, looked_up)
         if self.tables.manifest().of("files"):
             new = J.enriched(new, self.read("files"), self.snapshots())
@@ -219,12 +228,26 @@ class Store:
                 raise Conflict("another reading came first")
             return J.kept_last(held, cursors)
 
-        self.tables.swap(parts, small={"cursors": moved, "status": lambda held: J.kept_last(held, status)})
+        self.tables.swap(parts + answers, small={"cursors": moved, "status": lambda held: J.kept_last(held, status)})
         counts = J.collected(readings.join(plan.select("drive", "start_usn"), "drive").where(F.col("usn") >= F.col("start_usn")))
         out = {r.drive: r.asDict() for r in plan.join(counts, "drive", "left").collect()}
         self.prune_events(now, keep_days, tz)
         return out
 
+    def references(self, now: float) -> DataFrame:
+        """(drive, reference, path): the last answers that are still believed."""
+        last = self.read("references").groupBy("drive", "reference").agg(F.max_by(F.struct("path", "asked_at"), "asked_at").alias("a")).select("drive", "reference", "a.*")
+        return last.where(F.col("asked_at") >= now - F.when(F.col("path").isNotNull(), BELIEVED).otherwise(BELIEVED_NONE)).drop("asked_at")
+
+    def _asked(self, readings: DataFrame, dir_paths: DataFrame, now: float, resolvers: dict) -> tuple[list[Part], DataFrame]:
+        """(parts of new answers, all answers): each reference that the kept events have is asked for once."""
+        known, parts = self.references(now), []
+        for drive, resolve in resolvers.items():
+            own = J.stored(readings).where((F.col("drive") == drive) & F.col("parent_full").isNotNull())
+            ask = J.references_to_ask(own, dir_paths, known.where(F.col("drive") == drive))
+            parts += self._write(resolve(ask).select(F.lit(drive).alias("drive"), "reference", "path", F.lit(float(now)).alias("asked_at")), "references")
+        return parts, known.unionByName(self.tables.rows("references", parts).drop("asked_at"))
+
     def prune_events(self, now: float, keep_days: int = J.KEEP_DAYS, tz: str = "UTC") -> int:
         """Drop the days before the one keep_days ago, which are folders; how many."""
         first = self.spark.range(1).select(F.date_format(F.date_sub(F.to_date(S.day(F.lit(float(now)), tz)), keep_days), "yyyy-MM-dd")).first()[0]

@@ -784,3 +784,43 @@ def journal_stream_daily(spark, sf):
     put = lambda batch, _: batch.write.mode("overwrite").parquet(target)
     rows.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(target)
+
+
+@query(f"WITH {X.EVENTS} SELECT drive, usn, kind, reason, name FROM evk WHERE kind IN {_KEPT}")
+def journal_stream_binary(spark, sf):
+    """Journals of binary buffers, read as streams in batches of some segments, into one table."""
+    from accretion.scratch import scratch
+    from accretion.sources import readers
+    from accretion.streaming import journal_stream
+
+    readers.register(spark)
+    target = scratch(spark, "journal")
+    rows = X.events(spark, sf).select("drive", "usn", X.ticks().alias("ticks"), "reason", "name", F.lit(5).cast("long").alias("parent_full"))
+    for drive in ("C:", "D:"):
+        folder = X.usn_folder(spark, rows.where(F.col("drive") == drive))
+        stream = spark.readStream.format("usnjournal").option("path", folder).option("drive", drive).option("maxEventsPerBatch", 400_000).load().drop("kind")
+        kept = journal_stream.once(journal_stream.prepared(stream)).select("drive", "usn", "kind", "reason", "name", "event_time")
+        put = journal_stream.sink(f"{target}/{drive[0]}")
+        kept.writeStream.foreachBatch(put).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    rows = [spark.read.parquet(f"{target}/{d}").select("drive", "usn", "kind", "reason", "name") for d in "CD"]
+    return rows[0].unionByName(rows[1])
+
+
+@query(f"""WITH e AS (SELECT CASE WHEN user_id%2=0 THEN 'C:' ELSE 'D:' END AS drive, event_id AS usn, user_id, CAST(json_extract_string(props,'$.k') AS INT) AS k,
+CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'rename_old' ELSE 'other' END AS kind FROM events),
+d AS (SELECT c_custkey, concat_ws(chr(92), r_name, n_name, 'u'||c_custkey) AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT drive, usn, kind, CASE WHEN user_id%7 <> 0 THEN path||chr(92)||'k'||k END AS path FROM e LEFT JOIN d ON c_custkey = user_id%150+1 WHERE kind IN {_KEPT}""")
+def journal_resolved_paths(spark, sf):
+    """Events with only their parents' references get paths from an image's records; a record that was used anew gives none."""
+    from accretion.operators.store import Store
+    from accretion.scratch import scratch
+    from accretion.sources import resolver
+
+    path = X.image(spark, sf)
+    owner = X.table(spark, sf, "events").select(F.col("event_id").alias("usn"), "user_id")
+    reference = (F.col("user_id") % 150 + 1 + X.CUSTOMER_AT + F.shiftleft(F.when(F.col("user_id") % 7 == 0, X.SEQUENCE + 1).otherwise(X.SEQUENCE).cast("long"), 48)).alias("parent_full")
+    readings = X.events(spark, sf).drop("path").join(owner, "usn").select("drive", "usn", "timestamp", "reason", "is_dir", "name", "bytes", reference)
+    journals = spark.createDataFrame([(d, 7, 0, True, None) for d in ("C:", "D:")], "drive string, journal_id long, lowest_valid_usn long, available boolean, reason string")
+    store = Store(spark, scratch(spark, "store"))
+    store.collect(readings, journals, X.NOW_EVENTS, keep_days=36_500, resolvers={d: lambda ask: resolver.paths(spark, path, ask) for d in ("C:", "D:")})
+    return store.events().select("drive", "usn", "kind", "path")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accretion.functions import paths as P
@@ -214,6 +214,108 @@ def usn_record(usn: int, file_ref: int, parent_ref: int, ticks: int, reason: int
     return body.ljust(size, b"\0")
 
 
+def usn_folder(spark: SparkSession, events_: DataFrame, journal_id: int = 7) -> str:
+    """A folder with the journal of events (usn, ticks, reason, name, parent_full) in segments of a few thousand, written by tasks."""
+    import struct
+    from pathlib import Path
+
+    from accretion.scratch import scratch
+    from accretion.sources.usn import INFO, SUFFIX, local
+
+    folder = local(scratch(spark, "usn"))
+    Path(folder).mkdir(parents=True)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = b.to_pylist()
+            for i in range(0, len(rows), 2000):
+                some = rows[i : i + 2000]
+                body = b"".join(usn_record(r["usn"], r["usn"] + (3 << 48), r["parent_full"], r["ticks"], r["reason"], 0, r["name"], 2 + r["usn"] % 2) for r in some)
+                # a file is there whole or not at all, and a task that runs again writes it again
+                draft = Path(folder, f".{some[0]['usn']:020d}.{id(b)}")
+                draft.write_bytes((some[-1]["usn"] + 1).to_bytes(8, "little") + body)
+                draft.replace(Path(folder, f"{some[0]['usn']:020d}{SUFFIX}"))
+            yield pa.RecordBatch.from_arrays([pa.array([r["usn"] for r in rows], pa.int64())], names=["usn"])
+
+    # sorted as a whole: segments don't overlap
+    last = events_.repartitionByRange("usn").sortWithinPartitions("usn").mapInArrow(run, "usn long").agg(F.min("usn"), F.max("usn")).first()
+    Path(folder, INFO).write_bytes(struct.pack("<QqqqqQQ", journal_id, 0, last[1] + 1, last[0], 1 << 62, 1 << 25, 1 << 23))
+    return folder
+
+
+def ticks() -> Column:
+    """The timestamp of an event as the journal has it."""
+    return ((F.floor("timestamp") + 11_644_473_600) * 10_000_000).cast("long")
+
+
+def file_record_bytes(number: int, sequence: int, parent: int, name: str, flags: int = 3, more: bytes = b"") -> bytes:
+    """A record of 1,024 bytes with a name and what else is given, its sectors' ends moved to their table."""
+    import struct
+
+    from accretion.sources import ntfs
+
+    text = name.encode("utf-16-le")
+    value = struct.pack("<QQQQQQQIIBB", parent, 0, 0, 0, 0, 0, 0, 0x10, 0, len(name), 3) + text
+    size = (24 + len(value) + 7) // 8 * 8
+    body = struct.pack("<IIBBHHHIH", ntfs.NAME, size, 0, 0, 24, 0, 0, len(value), 24).ljust(24, b"\0") + value.ljust(size - 24, b"\0") + more + struct.pack("<I", ntfs.END)
+    head = ntfs.RECORD_HEAD.pack(b"FILE", 48, 3, 0, sequence, 1, 56, flags, 56 + len(body), 1024, 0, 0, 0, number)
+    raw = bytearray((head + b"\0" * 8 + body).ljust(1024, b"\0"))
+    raw[48:50] = b"\x01\0"
+    for end in (512, 1024):
+        at = 48 + end // 256
+        raw[at : at + 2], raw[end - 2 : end] = raw[end - 2 : end], raw[48:50]
+    return bytes(raw)
+
+
+#: Records of regions, nations and customers in image(), and the sequence number that they have.
+REGION_AT, NATION_AT, CUSTOMER_AT, SEQUENCE = 16, 32, 64, 3
+
+
+def image(spark: SparkSession, sf_dir: str) -> str:
+    """A volume whose file table has the regions, in them the nations, and in them the customers as directories; its records are written by tasks."""
+    import os
+    import struct
+    from pathlib import Path
+
+    from accretion.scratch import scratch
+    from accretion.sources.usn import local
+
+    folder = local(scratch(spark, "image"))
+    Path(folder).mkdir(parents=True)
+    path, table_at = f"{folder}/disk.img", 4 * 4096
+    reference = lambda at, c: (F.col(c) + at + (SEQUENCE << 48)).cast("long")
+    root = F.lit(5 + (5 << 48)).cast("long")
+    rows = table(spark, sf_dir, "region").select((F.col("r_regionkey") + REGION_AT).cast("long").alias("record"), root.alias("parent"), F.col("r_name").alias("name"))
+    rows = rows.unionByName(table(spark, sf_dir, "nation").select((F.col("n_nationkey") + NATION_AT).cast("long").alias("record"), reference(REGION_AT, "n_regionkey").alias("parent"), F.col("n_name").alias("name")))
+    rows = rows.unionByName(table(spark, sf_dir, "customer").select((F.col("c_custkey") + CUSTOMER_AT).cast("long").alias("record"), reference(NATION_AT, "c_nationkey").alias("parent"), F.concat(F.lit("u"), "c_custkey").alias("name")))
+    clusters = (rows.agg(F.max("record")).first()[0] * 1024) // 4096 + 1
+    boot = bytearray(512)
+    boot[3:11] = b"NTFS    "
+    struct.pack_into("<HB", boot, 11, 512, 8)
+    struct.pack_into("<QQQ", boot, 40, 1 << 20, 4, 2)
+    boot[64] = 256 - 10
+    runs = run_list_bytes([clusters], [4])
+    data = struct.pack("<IIBBHHHQQHHIQQQ", 0x80, (64 + len(runs) + 7) // 8 * 8, 1, 0, 64, 0, 0, 0, clusters - 1, 64, 0, 0, clusters * 4096, clusters * 4096, clusters * 4096)
+    first = file_record_bytes(0, 1, 5 + (5 << 48), "$MFT", 1, (data + runs).ljust((64 + len(runs) + 7) // 8 * 8, b"\0"))
+    with open(path, "wb") as f:
+        f.write(boot.ljust(table_at, b"\0") + first)
+        f.truncate(table_at + clusters * 4096)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            with open(path, "r+b") as f:
+                for r in b.to_pylist():
+                    os.pwrite(f.fileno(), file_record_bytes(r["record"], SEQUENCE, r["parent"], r["name"]), table_at + r["record"] * 1024)
+            yield pa.RecordBatch.from_arrays([b.column("record")], names=["record"])
+
+    rows.mapInArrow(run, "record long").agg(F.count(F.lit(1))).first()
+    return path
+
+
 def usn_buffers(events_: DataFrame) -> DataFrame:
     """(content binary): the events of each batch as one journal buffer."""
 

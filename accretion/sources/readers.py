@@ -16,11 +16,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from accretion.scratch import saved
 
 from . import ntfs
+from .usn import UsnJournal
 
 RECORDS = (
     "kind string, record long, parent long, name string, is_dir boolean, bytes long, logical_bytes long, created double, modified double, attributes long, hard_links long, base long, unnamed long, named long, logical long, wof boolean"
@@ -39,28 +40,44 @@ class _Extent(InputPartition):
 
 class _FileTableReader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"]
+        self.path, self.low, self.high, self.kinds = options["path"], 0, 1 << 48, None
         with open(self.path, "rb") as f:
             self.shape = ntfs.geometry(f.read(512))
             f.seek(self.shape.table_at)
             self.runs = ntfs.table_runs(f.read(self.shape.record), self.shape.sector)
 
+    def pushFilters(self, filters):
+        """Ranges of records choose what is read, kinds what is decoded in full."""
+        for f in filters:
+            column, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            if column == ("record",) and isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual) and value is not None:
+                if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
+                    self.low = max(self.low, value + isinstance(f, GreaterThan))
+                if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
+                    self.high = min(self.high, value + (not isinstance(f, LessThan)))
+            elif column == ("kind",) and isinstance(f, EqualTo | In):
+                own = {value} if isinstance(f, EqualTo) else set(value)
+                self.kinds = own if self.kinds is None else own & self.kinds
+            elif not (isinstance(f, IsNotNull) and column in (("record",), ("kind",))):  # these never are
+                yield f
+
     def partitions(self):
         """Ranges of records: a sparse run has none, but its numbers count."""
         out, number, size = [], 0, self.shape.record
         for run in self.runs:
             n = run.length * self.shape.cluster // size
             if run.lcn is not None:
-                out += [_Extent(run.lcn * self.shape.cluster + k * size, min(CHUNK, n - k), number + k) for k in range(0, n, CHUNK)]
+                low, high = max(0, self.low - number), min(n, self.high - number)
+                out += [_Extent(run.lcn * self.shape.cluster + k * size, min(CHUNK, high - k), number + k) for k in range(low, high, CHUNK)]
             number += n
-        return out
+        return out or [_Extent(0, 0, 0)]
 
     def read(self, part):
         size = self.shape.record
         with open(self.path, "rb") as f:
             f.seek(part.offset)
             data = f.read(part.records * size)
-        found = (ntfs.file_record(data[i * size : (i + 1) * size], part.first + i, self.shape.sector) for i in range(len(data) // size))
+        found = (ntfs.file_record(data[i * size : (i + 1) * size], part.first + i, self.shape.sector, self.kinds) for i in range(len(data) // size))
         yield record_batch([r for r in found if r])
 
 
@@ -298,7 +315,9 @@ def capacity(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
 
 
 def register(spark: SparkSession) -> None:
-    for source in (FileTable, Walk, JournalFolder):
+    """Make the sources known, and let Spark leave filters to those that take them: it refuses to read from them otherwise."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for source in (FileTable, Walk, JournalFolder, UsnJournal):
         spark.dataSource.register(source)
 
 
