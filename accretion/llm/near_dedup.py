@@ -42,7 +42,7 @@ BLOCK_BYTES, RANGE_VALUES = 4 << 20, 4_000_000
 #: A block of a value's members; blocks are compared with each other, so the results don't depend on it.
 MEMBERS = 250
 #: Hubs of each value by round.
-HUBS = (1, 4, 16)
+HUBS = (1, 8)
 #: Numbers of blocks from which a shingle counts as more common.
 LEVELS = (2, 4, 16)
 
