@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from accretion.functions import rules as R
 from accretion.functions import stamps as S
+from accretion.scratch import saved
 
 from .tree import suppressed
 
@@ -38,13 +39,16 @@ def recently_grown(dirs: DataFrame, now: float, days: int = 14, limit: int = 25,
 
 
 def cleanup_candidates(dirs: DataFrame, files: DataFrame, limit: int = 40, min_bytes: int = CLEANUP_BYTES, rules=R.RULES) -> DataFrame:
-    """Directories and files that a rule names; of those within each other the outermost in order of size."""
+    """Directories and files that a rule names; of those within each other the outermost in order of size.
+
+    What rules name is a small part of all, made once, as tables.
+    """
     from accretion.functions import paths as P
 
     hint = R.classify("path", rules)
-    named = dirs.where((F.col("depth") >= 1) & (F.col("bytes") >= min_bytes)).withColumn("hint", hint).where("hint IS NOT NULL")
+    named = saved(dirs.where((F.col("depth") >= 1) & (F.col("bytes") >= min_bytes)).select("path", "bytes", "files", "newest_mtime", hint.alias("hint")).where("hint IS NOT NULL"), "named")
     found = suppressed(named).select("path", "bytes", "files", F.col("newest_mtime").alias("newest"), "hint.rule", "hint.safety")
-    loose = files.where(F.col("bytes") >= min_bytes).withColumn("hint", hint).where("hint IS NOT NULL")
+    loose = saved(files.where(F.col("bytes") >= min_bytes).select("path", "bytes", "mtime", hint.alias("hint")).where("hint IS NOT NULL"), "loose")
     # a file that a found directory holds, or that bears its path, doesn't count again
     held = loose.select("path", F.explode(P.ancestors_and_self("path")).alias("up")).where("up <> ''").join(found.select(F.col("path").alias("up")), "up", "left_semi").select("path").distinct()
     single = loose.join(held, "path", "left_anti").select("path", "bytes", F.lit(1).cast("long").alias("files"), F.col("mtime").alias("newest"), "hint.rule", "hint.safety")

@@ -33,6 +33,7 @@ SCHEMAS = {
     "cursors": "drive string, journal_id long, next_usn long, updated_at double",
     "status": "drive string, available boolean, reason string, updated_at double",
     "references": "drive string, reference long, path string, asked_at double",
+    "progress": "name string, state string, batches long, rows long, position string, metrics string, reason string, updated_at double",
     "meta": "key string, value string",
 }
 #: Keys of the tables with a folder for each snapshot. Where a column has a key's name, the key is the column.

@@ -95,12 +95,14 @@ def contributors(changed: DataFrame, top_n: int | None = TOP_N, ratio: float = D
 
 
 def filled(days: DataFrame) -> DataFrame:
-    """Days between each drive's first and last that have no row, as empty retro days."""
-    ends = days.groupBy("drive").agg(F.min(F.to_date("day")).alias("a"), F.max(F.to_date("day")).alias("b"))
-    axis = ends.select("drive", F.explode(F.sequence("a", "b")).alias("d")).select("drive", F.date_format("d", "yyyy-MM-dd").alias("day"))
-    out = axis.join(days, ["drive", "day"], "left")
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("added", "removed", "net", "files_added")}
-    return out.withColumns(zero | {"basis": F.coalesce("basis", F.lit("retro"))})
+    """Days between each drive's first and last that have no row, as empty retro days: each day brings those up to the next one along."""
+    day = F.to_date("day")
+    following = F.lead(day).over(Window.partitionBy("drive").orderBy("day"))
+    rows = days.withColumn("until", F.greatest(day, F.coalesce(F.date_sub(following, 1), day)))
+    rows = rows.withColumn("d", F.explode(F.sequence(day, "until"))).drop("until")
+    own = F.col("d") == day
+    zero = {c: F.when(own, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)).cast(days.schema[c].dataType) for c in ("added", "removed", "net", "files_added")}
+    return rows.withColumns(zero | {"basis": F.when(own, F.coalesce("basis", F.lit("retro"))).otherwise(F.lit("retro")), "day": F.date_format("d", "yyyy-MM-dd")}).drop("d")
 
 
 def timeline(snapshots: DataFrame, dirs: DataFrame, buckets: DataFrame, now: float, days: int = DAYS, fill_gaps: bool = True, tz: str = "UTC") -> DataFrame:

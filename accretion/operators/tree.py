@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accretion.functions import paths as P
@@ -89,11 +89,24 @@ def level_items(dirs: DataFrame, path: str) -> DataFrame:
     return kids.unionByName(own).unionByName(rest).where("bytes > 0")
 
 
+def largest(rows: DataFrame, cap: int) -> DataFrame:
+    """The cap rows with the most bytes, of equal ones those whose path comes first.
+
+    Counts by size class (64 to a power of two, so a few thousand at most) tell from which size on rows can be among them.
+    Only those are sorted, so what reaches the last task is cap rows and those of one class, however many tasks there are.
+    """
+    classed = F.floor(F.log2(F.greatest("bytes", F.lit(1)).cast("double")) * 64).cast("int")
+    counts = rows.groupBy(classed.alias("size_class")).agg(F.count(F.lit(1)).alias("n"))
+    above = F.sum("n").over(Window.orderBy(F.desc("size_class"))) - F.col("n")
+    least = counts.withColumn("above", above).where(F.col("above") < cap).agg(F.min("size_class").alias("least"))
+    return rows.join(F.broadcast(least), classed >= F.col("least")).drop("least").orderBy(F.desc("bytes"), "path").limit(cap)
+
+
 def select_files(entries: DataFrame, now: float, min_bytes: int = FILE_BYTES, recent_days: int = RECENT_DAYS, recent_bytes: int = RECENT_BYTES, cap: int = FILE_CAP) -> DataFrame:
     """Files that are large, or recent and not small; the largest `cap` of them. Stamps count as they are: a future one is recent."""
     stamp = F.coalesce("created", "modified")
     keep = (F.col("bytes") >= min_bytes) | ((stamp >= now - recent_days * 86400) & (F.col("bytes") >= recent_bytes))
-    return entries.where(~F.col("is_dir") & (F.col("bytes") > 0) & keep).select("path", "bytes", F.col("modified").alias("mtime"), F.col("created").alias("ctime")).orderBy(F.desc("bytes"), "path").limit(cap)
+    return largest(entries.where(~F.col("is_dir") & (F.col("bytes") > 0) & keep).select("path", "bytes", F.col("modified").alias("mtime"), F.col("created").alias("ctime")), cap)
 
 
 def first_by_size() -> Column:

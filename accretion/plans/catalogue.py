@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from accretion.functions import display, paths as P, reasons, rules, stamps as S
+from accretion.scratch import saved
 from accretion.operators import buckets, filetable, hotspots, journal, snapshots as N, timeline as T, tree, treemap
 
 from . import fixtures as X
@@ -250,7 +251,7 @@ def demote_dirs(spark, sf):
 
 @query(f"WITH {X.HISTORY} SELECT id, CASE WHEN id IN (1, 2) AND NOT contains(coalesce(note,''), '{N.DEMOTED}') THEN coalesce(note || ' ', '') || '{N.DEMOTED}' ELSE note END AS note FROM sn")
 def demote_marks(spark, sf):
-    return N.marked_demoted(X.heads(spark), [1, 2]).select("id", "note")
+    return N.marked_demoted(X.snapshots(spark, sf), [1, 2]).select("id", "note")
 
 
 @query(f"""WITH {X.HISTORY} SELECT snapshot_id, path, CASE WHEN modified <= taken_at + 172800 AND modified >= 0 THEN modified END AS mtime, CASE WHEN created <= taken_at + 172800 AND created >= 0 THEN created END AS ctime FROM se JOIN fx_heads ON id = snapshot_id""")
@@ -335,7 +336,7 @@ def measured_days(spark, sf):
 
 @query(f"WITH {_DELTAS} SELECT drive, day FROM spn")
 def spanned_days(spark, sf):
-    return T.spanned_days(X.heads(spark).withColumn("scanned_bytes", F.lit(0)))
+    return T.spanned_days(X.snapshots(spark, sf))
 
 
 _HISTORY_BUCKETS = f"""fineh AS (SELECT snapshot_id, {day_sql("created")} AS day, array_to_string(string_split(path,chr(92))[1:3], chr(92)) AS a, sum(bytes) AS b, count(*) AS n FROM se WHERE bytes > 0 GROUP BY ALL),
@@ -351,7 +352,8 @@ tl AS (SELECT drive, day, coalesce(basis,'retro') AS basis, coalesce(added,0)::B
 
 def _timeline(spark, sf):
     held = buckets.age_buckets(X.snap_entries(spark, sf), X.BUCKET_BYTES, by=["snapshot_id"])
-    return T.timeline(X.snapshots(spark, sf), X.snap_sizes(spark, sf, T.COMPARE_DEPTH), held, X.NOW_HISTORY)
+    heads = saved(X.snapshots(spark, sf), "snapshots")  # a table, as in a store
+    return T.timeline(heads, X.snap_sizes(spark, sf, T.COMPARE_DEPTH), held, X.NOW_HISTORY)
 
 
 @query(f"WITH {_TIMELINE} SELECT drive, day, basis, added, removed, net, files_added FROM tl")
@@ -824,3 +826,30 @@ def journal_resolved_paths(spark, sf):
     store = Store(spark, scratch(spark, "store"))
     store.collect(readings, journals, X.NOW_EVENTS, keep_days=36_500, resolvers={d: lambda ask: resolver.paths(spark, path, ask) for d in ("C:", "D:")})
     return store.events().select("drive", "usn", "kind", "path")
+
+
+@query(f"""WITH {X.EVENTS} SELECT 'journal C:' AS name, 'done' AS state, count(*)::BIGINT AS rows, NULL AS cause FROM ev
+UNION ALL SELECT 'broken', 'failed', 0, 'DIVIDE_BY_ZERO'""")
+def stream_health(spark, sf):
+    """What the store knows of two streams: one that went through, and one that failed in its first batch."""
+    from accretion.operators.store import Store
+    from accretion.scratch import scratch
+    from accretion.streaming import health
+
+    watch, store = health.Watch(), Store(spark, scratch(spark, "store"))
+    rows = spark.readStream.schema(X.table(spark, sf, "events").schema).parquet(f"{sf}/event[s].parquet")
+    streams = {"journal C:": rows.where("user_id % 2 = 0").select("event_id"), "broken": rows.where("user_id % 2 = 0").select(F.assert_true(F.col("event_id") < 0, "DIVIDE_BY_ZERO"))}
+    spark.streams.addListener(watch)
+    try:
+        for name, stream in streams.items():
+            query = stream.writeStream.format("noop").queryName(name).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start()
+            try:
+                query.awaitTermination()
+            except Exception:
+                continue  # what the listener is for
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+        watch.put(store)
+    finally:
+        spark.streams.removeListener(watch)
+    out = store.read("progress")
+    return out.select("name", "state", F.when(F.col("state") == "done", F.col("rows")).otherwise(0).alias("rows"), F.when(F.contains("reason", F.lit("DIVIDE_BY_ZERO")), "DIVIDE_BY_ZERO").alias("cause"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,7 @@ RECORDS = (
 FIELDS = [c.split()[0] for c in RECORDS.split(", ")]
 EVENTS = "usn long, file long, parent long, file_full long, parent_full long, timestamp double, reason long, is_dir boolean, name string"
 EVENT_FIELDS = [c.split()[0] for c in EVENTS.split(", ")]
-CHUNK = 8192
+CHUNK, LINK = 8192, 0x400
 
 
 class _Extent(InputPartition):
@@ -113,24 +114,23 @@ class _WalkReader(DataSourceReader):
         tops = sorted(e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False))
         return [InputPartition(""), *map(InputPartition, tops)]
 
+    def level(self, here):
+        """What a directory holds; itself as failed if it can't be read."""
+        try:
+            found = sorted(os.scandir(os.path.join(self.root, here.replace("\\", os.sep))), key=lambda e: e.name)
+        except OSError:
+            yield (here, True, 0, None, None, 0, True)
+            return
+        for e in found:
+            yield self._row(e, f"{here}\\{e.name}" if here else e.name, e.is_dir(follow_symlinks=False), e.is_symlink())
+
     def read(self, part):
         todo = [part.value]
         while todo:
-            here = todo.pop()
-            try:
-                found = sorted(os.scandir(os.path.join(self.root, here.replace("\\", os.sep))), key=lambda e: e.name)
-            except OSError:
-                yield (here, True, 0, None, None, 0, True)
-                continue
-            for e in found:
-                path = f"{here}\\{e.name}" if here else e.name
-                link, is_dir = e.is_symlink(), e.is_dir(follow_symlinks=False)
-                if not part.value and is_dir:
-                    yield self._row(e, path, True, link)
-                    continue
-                yield self._row(e, path, is_dir, link)
-                if is_dir and not link:
-                    todo.append(path)
+            for row in self.level(todo.pop()):
+                yield row
+                if part.value and row[1] and not row[5] & LINK and not row[6]:
+                    todo.append(row[0])
 
     @staticmethod
     def _row(e, path, is_dir, link):
@@ -139,7 +139,7 @@ class _WalkReader(DataSourceReader):
         except OSError:
             return (path, is_dir, 0, None, None, 0, True)
         born = getattr(s, "st_birthtime", s.st_ctime)
-        return (path, is_dir, 0 if is_dir or link else s.st_size, born, s.st_mtime, 0x400 if link else 0x10 if is_dir else 0x20, False)
+        return (path, is_dir, 0 if is_dir or link else s.st_size, born, s.st_mtime, LINK if link else 0x10 if is_dir else 0x20, False)
 
 
 class Walk(DataSource):
@@ -156,6 +156,36 @@ class Walk(DataSource):
         return _WalkReader(self.options)
 
 
+def walked(spark: SparkSession, root: str, budget: int = 5000, tasks: int | None = None) -> DataFrame:
+    """The entries that Walk gives, by tasks that share the work evenly, whatever the shape of the tree.
+
+    A task lists directories from what it was dealt, depth first, and stops after so many (budget); those that it found
+    but didn't come to are dealt anew among all tasks in the next round. Each round is a table, so neither a lost
+    executor nor a later round lists anything twice. The folder must be open to all executors.
+    """
+    tasks, mounted = tasks or 4 * spark.sparkContext.defaultParallelism, _WalkReader({"path": root})
+    schema = Walk({}).schema() + ", todo boolean"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            stack, left = b["path"].tolist(), budget
+            while stack and left:
+                left -= 1
+                rows = list(mounted.level(stack.pop()))
+                stack += [r[0] for r in rows if r[1] and not r[5] & LINK and not r[6]]
+                yield pd.DataFrame([(*r, False) for r in rows], columns=names)
+            yield pd.DataFrame([(p, True, 0, None, None, 0, False, True) for p in stack], columns=names)
+
+    found, frontier, n = [], spark.createDataFrame([("",)], "path string"), 1
+    while n:
+        dealt = frontier.select("path", F.rand(7).alias("r")).repartition(min(n, tasks), "r").select("path")
+        found.append(saved(dealt.mapInPandas(run, schema), "walked"))
+        frontier = found[-1].where("todo")
+        n = frontier.count()
+    return reduce(DataFrame.unionByName, found).where("NOT todo").drop("todo")
+
+
 def journal_buffers(spark: SparkSession, path: str) -> DataFrame:
     """Events of files that each hold one journal buffer."""
 
@@ -314,6 +344,24 @@ def capacity(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, "drive string, total_bytes long, free_bytes long, present boolean")
 
 
+def doctor(spark: SparkSession, path: str) -> DataFrame:
+    """(source, works, reason): what could read this path, each tried as far as its head."""
+    from .usn import Segments
+
+    tries = {
+        "filetable": lambda: _FileTableReader({"path": path}), "walk": lambda: next(iter(os.scandir(path)), None), "usnjournal": lambda: (Segments(path).state(), Segments(path).all()),
+        "journalfolder": lambda: journal_state(path), "capacity": lambda: capacity(spark, {"": path}).where("present").first().total_bytes,
+    }
+    rows = []
+    for name, attempt in tries.items():
+        try:
+            attempt()
+            rows.append((name, True, None))
+        except Exception as error:
+            rows.append((name, False, f"{type(error).__name__}: {error}"))
+    return spark.createDataFrame(rows, "source string, works boolean, reason string")
+
+
 def register(spark: SparkSession) -> None:
     """Make the sources known, and let Spark leave filters to those that take them: it refuses to read from them otherwise."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -186,3 +186,23 @@ def test_watermark_needs_a_timestamp(spark):
     got = journal_stream.prepared(rows)
     assert dict(got.dtypes)["event_time"] == "timestamp" and got.count() == 2 and journal_stream.once(got).count() == 1
     assert journal_stream.daily(got.withColumn("bytes", F.lit(3)).where("timestamp = 5")).first().day == "1970-01-01"
+
+
+def test_walk_shares_the_work(spark, tmp_path):
+    """One top directory with nearly all directories is listed by many tasks, and each directory once."""
+    for i in range(12):
+        for j in range(4):
+            (tmp_path / "top" / f"d{i}" / f"e{j}").mkdir(parents=True)
+            (tmp_path / "top" / f"d{i}" / f"e{j}" / "f").write_text("x" * i)
+    (tmp_path / "file").write_text("abc")
+    os.symlink(tmp_path / "top", tmp_path / "link")
+    want = sorted(map(tuple, spark.read.format("walk").load(str(tmp_path)).collect()))
+    rows = readers.walked(spark, str(tmp_path), budget=3, tasks=4)
+    assert sorted(map(tuple, rows.collect())) == want and len(want) == 1 + 12 + 48 + 48 + 2
+    assert rows.rdd.getNumPartitions() > 4
+    assert readers.walked(spark, str(tmp_path / "none")).where("failed").count() == 1
+
+
+def test_doctor(spark, tmp_path):
+    got = {r.source: (r.works, r.reason) for r in readers.doctor(spark, str(tmp_path)).collect()}
+    assert got["walk"] == (True, None) and got["capacity"][0] and not got["usnjournal"][0] and "journal.info" in got["usnjournal"][1] and not got["filetable"][0]

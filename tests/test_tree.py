@@ -144,3 +144,17 @@ def test_layout_covers_the_area():
     assert len(boxes) == 7 and sum(w * h for *_, w, h in boxes) == pytest.approx(24)
     assert boxes[0] == pytest.approx((0, 0, 3, 2)) and boxes[1] == pytest.approx((0, 2, 3, 2))
     assert treemap.squarified([], 0, 0, 1, 1) == [] and treemap.squarified([0], 0, 0, 1, 1) == []
+
+
+def test_largest_rows_by_classes(spark):
+    """Only rows of the sizes that can be among the largest are sorted."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(200_000, numPartitions=20).select(F.concat(F.lit("p"), "id").alias("path"), (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) + 1).alias("bytes"))
+    got = tree.largest(rows, 500)
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in rows.orderBy(F.desc("bytes"), "path").limit(500).collect()]
+    same = spark.range(100).select(F.format_string("p%03d", "id").alias("path"), F.lit(7).cast("long").alias("bytes"))
+    assert [r.path for r in tree.largest(same, 10).collect()] == [f"p{k:03d}" for k in range(10)] and tree.largest(same.limit(0), 5).count() == 0
+    classes = F.floor(F.log2(F.col("bytes").cast("double")) * 64)
+    least = rows.orderBy(F.desc("bytes")).limit(500).agg(F.min(classes)).first()[0]
+    assert rows.where(classes >= least).count() < 20_000  # of 20 x 500 that each task alone would send

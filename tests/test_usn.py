@@ -1,6 +1,7 @@
 """Journals of binary buffers: the index of segments, batches, filters, restarts; paths from an image."""
 
 import struct
+import time
 from pathlib import Path
 
 import pytest
@@ -11,7 +12,7 @@ from accretion.plans import fixtures as X
 from accretion.sources import readers, resolver, usn
 from accretion.sources.usn import Segments, _Stream
 
-TICKS = (1_700_000_000 + 11_644_473_600) * 10_000_000
+TICKS = (int(time.time()) - 3600 + 11_644_473_600) * 10_000_000
 
 
 def info(folder, next_usn, lowest=1, journal_id=7):
@@ -180,3 +181,19 @@ def test_records_asked_for_are_read(tmp_path):
     assert [r["record"] for r in rows] == [31, 32, 33, 34]
     other = readers._FileTableReader({"path": str(tmp_path / "disk.img")})
     assert list(other.pushFilters([readers.EqualTo(("kind",), "extension")])) == [] and not [r for p in other.partitions() for b in other.read(p) for r in b.to_pylist()]
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    """A journal of buffers is taken in, with paths of an image, and a second time only what is new."""
+    from accretion.__main__ import main
+
+    volume(tmp_path / "disk.img", [(20, 1, ref(5, 5), "a")])
+    given = [folder, "--store", str(tmp_path / "store"), "--image", str(tmp_path / "disk.img")]
+    assert main(["journal", *given]) == 0
+    segment(folder, range(101, 111))
+    info(folder, 111)
+    assert main(["journal", *given]) == 0
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.cursors().first()[:3] == ("C:", 7, 111) and store.events().count() == 110
+    assert {r.path for r in store.events().where("usn <= 2").collect()} == {"n1", "n2"}  # in the root
+    assert main(["doctor", folder]) == 0 and '"source":"usnjournal","works":true' in capsys.readouterr().out
