@@ -853,3 +853,22 @@ def stream_health(spark, sf):
         spark.streams.removeListener(watch)
     out = store.read("progress")
     return out.select("name", "state", F.when(F.col("state") == "done", F.col("rows")).otherwise(0).alias("rows"), F.when(F.contains("reason", F.lit("DIVIDE_BY_ZERO")), "DIVIDE_BY_ZERO").alias("cause"))
+
+
+@query(f"""WITH {X.EVENTS}, g AS (SELECT drive, strftime(make_timestamp((timestamp*1000000)::BIGINT), '%Y-%m-%d') AS day, * EXCLUDE (drive) FROM evk WHERE kind = 'delete'),
+z AS (SELECT drive, day, epoch(strptime(day,'%Y-%m-%d')) AS s FROM g GROUP BY ALL HAVING epoch(strptime(day,'%Y-%m-%d')) + 93600 <= (SELECT max(timestamp) FROM evk WHERE kind IN {_KEPT})),
+w AS (SELECT z.drive, z.day, g.path, CASE WHEN g.path IS NULL OR g.path='' THEN usn ELSE 0 END AS own, max(bytes) AS bytes, max(timestamp) AS "at", count(*)::BIGINT AS count, arg_max(name, (timestamp, usn)) AS name
+ FROM z JOIN g ON g.drive = z.drive AND timestamp >= s AND timestamp < s + 93600 GROUP BY ALL)
+SELECT drive, day, row_number() OVER (PARTITION BY drive, day ORDER BY coalesce(bytes,0) DESC, "at" DESC, path, own)::BIGINT AS rank, coalesce(path, name) AS path, bytes, false AS is_dir, "at", count FROM w
+QUALIFY row_number() OVER (PARTITION BY drive, day ORDER BY coalesce(bytes,0) DESC, "at" DESC, path, own) <= 5""")
+def journal_stream_top_deleted(spark, sf):
+    """Rankings of the days whose 26 hours are over, from a stream; each event once."""
+    from accretion.scratch import scratch
+    from accretion.streaming import journal_stream
+
+    target = scratch(spark, "top")
+    rows = X.event_stream(spark, sf)
+    e = X.events(spark, sf).select("drive", "usn", "is_dir", "name", "path")
+    groups = journal_stream.deleted_groups(journal_stream.once(journal_stream.prepared(rows), "0 seconds").join(e, ["drive", "usn"]), None)
+    groups.writeStream.outputMode("append").foreachBatch(journal_stream.top_deleted_sink(target)).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target).drop("batch").withColumn("rank", F.col("rank").cast("long"))

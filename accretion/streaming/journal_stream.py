@@ -6,11 +6,12 @@ key; later ones would have expired anyway.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from accretion import files
 from accretion.functions import reasons as R
+from accretion.operators import journal
 
 KEEP = "180 days"
 
@@ -37,6 +38,45 @@ def daily(events: DataFrame) -> DataFrame:
     return days.select("drive", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "kind", "events", "bytes")
 
 
+def deleted_groups(events: DataFrame, late: str | None = "1 hour") -> DataFrame:
+    """(drive, day, path, own, bytes, is_dir, at, count, name, own_day): deletions of one path in the 26 hours from a day's midnight (UTC).
+
+    Windows of 26 hours begin every 24, so an event just after midnight is in two. The state has a row for each path and
+    open window, and a window's rows come out and are dropped together, when no event can be later than late (None: events
+    have a watermark already).
+    """
+    gone = (events.withWatermark("event_time", late) if late else events).where("kind = 'delete'")
+    unknown = F.col("path").isNull() | (F.col("path") == "")
+    window = F.window("event_time", f"{journal.DAY_WINDOW} seconds", "24 hours")
+    last = lambda c: F.max_by(c, F.struct("event_time", "usn"))
+    rows = gone.withColumns({"own": F.when(unknown, F.col("usn")).otherwise(0), "at": F.unix_micros("event_time") / 1e6})
+    groups = rows.groupBy("drive", window.alias("window"), "path", "own").agg(
+        F.max("bytes").alias("bytes"), last("is_dir").alias("is_dir"), F.max("at").alias("at"), F.min("at").alias("first"), F.count(F.lit(1)).alias("count"), last("name").alias("name")
+    )
+    own_day = F.col("first") < F.unix_seconds("window.start") + 86400
+    return groups.select("drive", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "path", "own", "bytes", "is_dir", "at", "count", "name", own_day.alias("own_day"))
+
+
+def top_deleted(groups: DataFrame, top_n: int = journal.TOP_N) -> DataFrame:
+    """(drive, day, rank, path, bytes, is_dir, at, count) of closed windows: for foreachBatch, as all rows of a window come in one batch.
+
+    Days without a deletion of their own (only just after midnight, of the next day) aren't listed.
+    """
+    days, order = Window.partitionBy("drive", "day"), [F.desc(F.coalesce("bytes", F.lit(0))), F.desc("at"), "path", "own"]
+    out = groups.withColumn("listed", F.max("own_day").over(days)).where("listed").withColumn("rank", F.row_number().over(days.orderBy(*order))).where(F.col("rank") <= top_n)
+    shown = F.when(F.col("path").isNull() | (F.col("path") == ""), F.col("name")).otherwise(F.col("path"))
+    return out.select("drive", "day", "rank", shown.alias("path"), "bytes", "is_dir", "at", "count")
+
+
+def top_deleted_sink(target: str, top_n: int = journal.TOP_N):
+    """For foreachBatch of deleted_groups() in append mode: the days' rankings, a folder for each batch, which a batch that runs again overwrites."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        top_deleted(batch, top_n).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
+
+    return put
+
+
 def sink(target: str):
     """For foreachBatch: appends events whose key the table at target doesn't have, in a folder for each day and batch.
 

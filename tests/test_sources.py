@@ -206,3 +206,23 @@ def test_walk_shares_the_work(spark, tmp_path):
 def test_doctor(spark, tmp_path):
     got = {r.source: (r.works, r.reason) for r in readers.doctor(spark, str(tmp_path)).collect()}
     assert got["walk"] == (True, None) and got["capacity"][0] and not got["usnjournal"][0] and "journal.info" in got["usnjournal"][1] and not got["filetable"][0]
+
+
+def test_stream_of_rankings_resumes(spark, tmp_path):
+    """Days' rankings from a stream that is stopped in the middle are those of the whole table."""
+    from accretion.operators import journal
+
+    schema = "drive string, usn long, timestamp double, reason long, is_dir boolean, name string, path string, bytes long"
+    day = 86400.0
+    rows = [("C:", k, 1_700_006_400 + k * 5400.0, 0x200, False, f"n{k}", None if k % 7 == 0 else f"p{k % 5}", None if k % 6 == 0 else 100 * (k % 11)) for k in range(120)]  # a window closes when a later deletion comes
+    ready, groups = str(tmp_path / "in"), None
+    os.mkdir(ready)
+    for part in (rows[:50], rows[50:90], rows[90:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(ready)
+        groups = journal_stream.deleted_groups(journal_stream.prepared(spark.readStream.schema(schema).parquet(ready)), "0 seconds")
+        groups.writeStream.outputMode("append").foreachBatch(journal_stream.top_deleted_sink(str(tmp_path / "top"))).option("checkpointLocation", str(tmp_path / "offsets")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted(tuple(r[c] for c in ("drive", "day", "rank", "path", "bytes", "is_dir", "at", "count")) for r in spark.read.parquet(str(tmp_path / "top")).collect())
+    every = spark.createDataFrame(rows, schema).withColumn("kind", F.lit("delete"))
+    last = rows[-1][2]
+    want = journal.top_deleted(every, last, 3650).where(F.unix_timestamp(F.to_date("day")) + journal.DAY_WINDOW <= last)
+    assert got == sorted(map(tuple, want.collect())) and len({r[1] for r in got}) == (last - 1_700_006_400) // day
