@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-SMALLEST = 0.5
+SMALLEST, MOST_BOXES = 0.5, 10_000
 
 
 def squarified(values: list[float], x: float, y: float, w: float, h: float) -> list[tuple[float, float, float, float]]:
@@ -37,14 +38,24 @@ def squarified(values: list[float], x: float, y: float, w: float, h: float) -> l
     return out
 
 
-def layout(items: DataFrame, group: str, width: float, height: float) -> DataFrame:
-    """(group, path, bytes, x, y, w, h) of items (group, path, bytes), largest first within each group."""
+def layout(items: DataFrame, group: str, width: float, height: float, most: int = MOST_BOXES) -> DataFrame:
+    """(group, path, bytes, x, y, w, h) of items (group, path, bytes), largest first within each group.
+
+    A group's largest `most` items have boxes of their own; the rest share one without a path, so that no task lays out
+    more, however many children a directory has.
+    """
+    kind = dict(items.dtypes)[group]
+    items = items.select(group, "path", "bytes").where("bytes > 0")
+    order = Window.partitionBy(group).orderBy(F.desc("bytes"), "path")
+    first = items.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
+    rest = items.groupBy(group).agg(F.sum("bytes").alias("all"), F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    rest = rest.join(first.groupBy(F.col(group).alias("own_group")).agg(F.sum("bytes").alias("own")), F.col(group).eqNullSafe(F.col("own_group")))
+    both = first.unionByName(rest.select(group, F.lit(None).cast("string").alias("path"), (F.col("all") - F.col("own")).alias("bytes")))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows["bytes"] > 0].sort_values(["bytes", "path"], ascending=[False, True])
+        rows = rows.sort_values(["bytes", "path"], ascending=[False, True])
         boxes = squarified(rows["bytes"].astype(float).tolist(), 0.0, 0.0, width, height)
         out = rows.iloc[: len(boxes)][[group, "path", "bytes"]].reset_index(drop=True)
         return pd.concat([out, pd.DataFrame(boxes, columns=list("xywh"), dtype=float)], axis=1)
 
-    kind = dict(items.dtypes)[group]
-    return items.select(group, "path", "bytes").groupBy(group).applyInPandas(run, f"{group} {kind}, path string, bytes long, x double, y double, w double, h double")
+    return both.groupBy(group).applyInPandas(run, f"{group} {kind}, path string, bytes long, x double, y double, w double, h double")

@@ -158,3 +158,11 @@ def test_largest_rows_by_classes(spark):
     classes = F.floor(F.log2(F.col("bytes").cast("double")) * 64)
     least = rows.orderBy(F.desc("bytes")).limit(500).agg(F.min(classes)).first()[0]
     assert rows.where(classes >= least).count() < 20_000  # of 20 x 500 that each task alone would send
+
+
+def test_layout_folds_what_is_small(spark):
+    rows = spark.createDataFrame([("a", f"p{k}", 10 + k) for k in range(30)] + [("b", "q", 5), ("b", "none", 0), (None, "r", 1)], "level string, path string, bytes long")
+    got = treemap.layout(rows, "level", 100.0, 50.0, most=4).collect()
+    boxes = {(r.level, r.path): r.bytes for r in got}
+    assert boxes == {("a", f"p{k}"): 10 + k for k in range(26, 30)} | {("a", None): sum(10 + k for k in range(26)), ("b", "q"): 5, (None, "r"): 1}
+    assert all(abs(sum(r.w * r.h for r in got if r.level == level) - 5000) < 1e-6 for level in ("a", "b", None))
