@@ -6,7 +6,8 @@ trees, and whole batches walk down them together with numpy.
 
 Defined results: null and empty texts have the statistics of an empty text and get a score like any other; a null doc_id
 is neither held out nor learned from; several labels of one doc_id count as their smallest; rows that repeat a doc_id are
-each learned from as far as the sample reaches; without any labelled row each score is 0.5. Texts may be of any length;
+each learned from as far as the sample reaches; without any labelled row each score is 0.5. Of splits of equal gain the one
+of the earlier statistic and then of the lower bin is taken; rows with equal statistics have equal scores. Texts may be of any length;
 columns of docs named score, held_out and predicted are replaced, all others stay.
 """
 

@@ -146,6 +146,40 @@ def test_trees_against_plain_descent():
         assert score == pytest.approx(1 / (1 + np.exp(-margin)))
 
 
+def test_growing_against_plain_split_search():
+    """Every split of the first trees is the best that trying all splits of a leaf finds, the first of equal ones."""
+    r = np.random.RandomState(3)
+    x = np.round(r.rand(400, 4), 1).astype(np.float32)  # many ties
+    x[:, 3] = x[:, 0]
+    y = ((x[:, 0] + x[:, 1] > 1) ^ (r.rand(400) < 0.1)).astype(float)
+    rounds, depth = 3, 2
+    trees = quality.grown(x, y, trees=rounds, depth=depth)
+    margin = np.full(400, trees.base)
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS)[1:-1]).astype(np.float32)) for f in range(4)]
+    for t in range(rounds):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+        part = {0: np.arange(400)}
+        for node in range(2**depth - 1):
+            rows, best = part[node], (1e-6, None, None)
+            for f in range(4):
+                for e in edges[f]:
+                    left = x[rows, f] <= e
+                    a, b = rows[left], rows[~left]
+                    if min(h[a].sum(), h[b].sum()) < quality.LEAST_HESSIAN:
+                        continue
+                    worth = lambda i: g[i].sum() ** 2 / (h[i].sum() + quality.RIDGE)  # noqa: E731, B023
+                    if (gain := worth(a) + worth(b) - worth(rows)) > best[0] + 1e-9:
+                        best = (gain, f, e)
+            f = best[1]
+            assert (trees.feature[t, node], trees.threshold[t, node]) == ((f, best[2]) if f is not None else (0, np.inf))
+            right = x[rows, f] > best[2] if f is not None else np.zeros(len(rows), bool)
+            part[2 * node + 1], part[2 * node + 2] = rows[~right], rows[right]
+        for k, rows in enumerate(part[2**depth - 1 + j] for j in range(2**depth)):
+            assert trees.value[t, k] == pytest.approx(-quality.RATE * g[rows].sum() / (h[rows].sum() + quality.RIDGE))
+            margin[rows] += trees.value[t, k]
+
+
 def test_statistics_of_a_text_alone():
     texts = ["", "a", "One two two.\n\nTWO!! ***\n", "é " * 50, "x" * 3000, " \n "]
     together = quality.featured(pa.array(texts))
@@ -186,6 +220,36 @@ def test_features_read_whole_blocks():
         assert html_extract.PLACE[name] in own[w] and html_extract.PLACE[name] not in own["x"]
 
 
+def test_learning_ends_where_the_likelihood_does():
+    """Numeric gradients of the penalised likelihood, computed path sum by path sum, vanish at what is learned."""
+    pages, ridge = html_extract.labelled_pages(6, 3), 0.05
+    chain = html_extract.trained(pages, rounds=4000, rate=0.005, ridge=ridge)
+    found = [(html_extract.features(html_extract.blocks(p)), labels) for p, labels in pages]
+    found = [(f, labels) for f, labels in found if f and len(f) == len(labels)]
+    blocks = sum(len(f) for f, _ in found)
+
+    def likelihood():
+        total = 0.0
+        for rows, labels in found:
+            e = [float(chain.weight[r].sum()) for r in rows]
+            path = chain.begin[int(labels[0])] + chain.end[int(labels[-1])] + sum(x for x, label in zip(e, labels, strict=True) if label) + sum(chain.step[int(a), int(b)] for a, b in zip(labels, labels[1:], strict=False))
+            sums = [chain.begin[0], chain.begin[1] + e[0]]
+            for x in e[1:]:
+                sums = [np.logaddexp(sums[0] + chain.step[0, k], sums[1] + chain.step[1, k]) + k * x for k in (0, 1)]
+            total += path - np.logaddexp(sums[0] + chain.end[0], sums[1] + chain.end[1])
+        return total / blocks - ridge / 2 * sum((v**2).sum() for v in (chain.weight, chain.step, chain.begin, chain.end))
+
+    used = sorted({i for rows, _ in found for r in rows for i in r})[:12]
+    places = [(chain.weight, i) for i in used] + [(chain.step.reshape(-1), i) for i in range(4)] + [(v, i) for v in (chain.begin, chain.end) for i in (0, 1)]
+    for values, i in places:
+        ends = []
+        for d in (1e-4, -1e-4):
+            values[i] += d
+            ends.append(likelihood())
+            values[i] -= d
+        assert abs(ends[0] - ends[1]) / 2e-4 < 4e-3
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.RandomState(1)
     chain = html_extract.Chain()
