@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from accretion.functions import paths as P
 from accretion.operators import buckets, hotspots, journal, snapshots as N, timeline as T, tree
@@ -32,12 +33,26 @@ def path_of(raw: str | None) -> str:
     return re.sub(r"^[A-Za-z]:(?=\\|$)", "", (raw or "").strip().replace("/", "\\")).strip("\\")
 
 
+def _has_nan(value: Column, kind: DataType) -> Column | None:
+    """Whether a value holds NaN, at any depth; None for types that can't."""
+    if isinstance(kind, DoubleType | FloatType):
+        return F.isnan(value)
+    if isinstance(kind, StructType):
+        found = [x for x in (_has_nan(value.getField(f.name), f.dataType) for f in kind) if x is not None]
+        return reduce(lambda x, y: x | y, [F.coalesce(x, F.lit(False)) for x in found]) if found else None
+    if isinstance(kind, MapType):
+        return _has_nan(F.map_values(value), ArrayType(kind.valueType))
+    if isinstance(kind, ArrayType) and _has_nan(F.lit(None), kind.elementType) is not None:
+        return F.exists(value, lambda x: F.coalesce(_has_nan(x, kind.elementType), F.lit(False)))
+    return None
+
+
 def as_json(df: DataFrame) -> DataFrame:
-    """(value): a JSON text for each row, nulls included; NaN, which JSON hasn't, fails the query."""
-    bad = [F.isnan(c.name) for c in df.schema if isinstance(c.dataType, DoubleType | FloatType)]
+    """(value): a JSON text for each row, nulls included; NaN, which JSON hasn't, fails the query wherever it is."""
+    bad = [x for x in (_has_nan(F.col(f"`{c.name}`"), c.dataType) for c in df.schema) if x is not None]
     for b in bad:
         df = df.where(F.when(b, F.raise_error(F.lit("NaN can't be written as JSON"))).isNull())
-    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
 
 
 class Engine:

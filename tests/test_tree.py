@@ -166,3 +166,15 @@ def test_layout_folds_what_is_small(spark):
     boxes = {(r.level, r.path): r.bytes for r in got}
     assert boxes == {("a", f"p{k}"): 10 + k for k in range(26, 30)} | {("a", None): sum(10 + k for k in range(26)), ("b", "q"): 5, (None, "r"): 1}
     assert all(abs(sum(r.w * r.h for r in got if r.level == level) - 5000) < 1e-6 for level in ("a", "b", None))
+
+
+def test_json_without_nan_at_any_depth(spark):
+    from accretion.plans import api
+
+    schema = "a double, s struct<x:double,y:array<struct<z:float>>>, m map<string,double>, t string"
+    fine = [(1.5, (None, [(0.5,), None]), {"k": 2.0}, "NaN"), (None, None, None, None)]
+    assert [r.value for r in api.as_json(spark.createDataFrame(fine, schema)).collect()] == ['{"a":1.5,"s":{"x":null,"y":[{"z":0.5},null]},"m":{"k":2.0},"t":"NaN"}', '{"a":null,"s":null,"m":null,"t":null}']
+    nan = float("nan")
+    for row in ((nan, None, None, ""), (1.0, (nan, None), None, ""), (1.0, (1.0, [(1.0,), (nan,)]), None, ""), (1.0, None, {"k": nan}, "")):
+        with pytest.raises(Exception, match="NaN"):
+            api.as_json(spark.createDataFrame([row], schema)).collect()
