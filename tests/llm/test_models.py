@@ -54,6 +54,21 @@ def test_packing(spark, monkeypatch, shard_bytes, broadcast):
     assert packing.packed(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_rows_that_are_all_the_same_are_split(spark):
+    """A bucket of rows of one id and text is dealt to several tasks, and no two sequences share a number."""
+    rows = frame(spark, [(7, "some words that come again and again")] * 600)
+    dealt = packing.sharded(rows.select("doc_id", "text"), 4096)
+    assert dealt.select("shard").distinct().count() > 5
+    got = packing.packed(rows, length=64, shard_bytes=4096).collect()
+    assert sum(x.start == 0 for x in got) == 600
+    filled = defaultdict(list)
+    for x in got:
+        filled[x.sequence_id].append((x.offset, x.length))
+    for pieces in filled.values():
+        ends = sorted(pieces)
+        assert [a for a, _ in ends] == [0, *np.cumsum([n for _, n in ends])[:-1]] and sum(n for _, n in ends) <= 64
+
+
 def test_packing_takes_neighbours():
     lengths = np.array([100] * 6)
     doc = np.array([0, 0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5])
