@@ -120,10 +120,13 @@ u AS (SELECT *, abs(n)::DOUBLE AS a FROM v),
 w AS (SELECT *, CASE WHEN a < 1024 THEN 0 WHEN a < 1048576 THEN 1 WHEN a < 1073741824 THEN 2 WHEN a < 1099511627776 THEN 3 ELSE 4 END AS i FROM u)
 SELECT o_orderkey, n, CASE WHEN n IS NULL THEN NULL ELSE ['B','KB','MB','GB','TB'][i+1] END AS unit, floor(n / power(1024.0, i) * 1000)::BIGINT AS thousandths FROM w""")
 def size_units(spark, sf):
+    """From key 629,356 on, sizes don't fit 64 bits: the SQL fails, here only n, which is of that type, is null."""
     k = F.col("o_orderkey")
-    rows = X.table(spark, sf, "orders").select("o_orderkey", F.when(k % 9 != 0, F.when(k % 2 == 0, F.lit(1)).otherwise(F.lit(-1)) * k * k * k * 37).alias("n"))
+    wide = k.cast("decimal(20,0)")
+    rows = X.table(spark, sf, "orders").select("o_orderkey", F.when(k % 9 != 0, F.when(k % 2 == 0, F.lit(1)).otherwise(F.lit(-1)) * wide * wide * wide * 37).alias("n"))
     i = F.when(F.abs("n") < 1024, 0).when(F.abs("n") < 1 << 20, 1).when(F.abs("n") < 1 << 30, 2).when(F.abs("n") < 1 << 40, 3).otherwise(4)
-    return rows.select("o_orderkey", "n", F.when(F.col("n").isNotNull(), F.substring_index(display.size_text("n"), " ", -1)).alias("unit"), F.floor(F.col("n") / F.pow(F.lit(1024.0), i) * 1000).cast("long").alias("thousandths"))
+    unit = F.when(F.col("n").isNotNull(), F.substring_index(display.size_text("n"), " ", -1))
+    return rows.select("o_orderkey", F.col("n").try_cast("long").alias("n"), unit.alias("unit"), F.floor(F.col("n").cast("double") / F.pow(F.lit(1024.0), i) * 1000).cast("long").alias("thousandths"))
 
 
 # -- the tree -----------------------------------------------------------------------------------------------------------
