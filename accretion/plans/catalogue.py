@@ -803,10 +803,10 @@ def journal_stream_binary(spark, sf):
     rows = X.events(spark, sf).select("drive", "usn", X.ticks().alias("ticks"), "reason", "name", F.lit(5).cast("long").alias("parent_full"))
     for drive in ("C:", "D:"):
         folder = X.usn_folder(spark, rows.where(F.col("drive") == drive))
-        stream = spark.readStream.format("usnjournal").option("path", folder).option("drive", drive).option("maxEventsPerBatch", 400_000).load().drop("kind")
+        stream = spark.readStream.format("usnjournal").option("path", folder).option("drive", drive).option("maxEventsPerBatch", X.BATCH_EVENTS).load().drop("kind")
         kept = journal_stream.once(journal_stream.prepared(stream)).select("drive", "usn", "kind", "reason", "name", "event_time")
         put = journal_stream.sink(f"{target}/{drive[0]}")
-        kept.writeStream.foreachBatch(put).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start().awaitTermination()
+        journal_stream.drain(kept.writeStream.foreachBatch(put).option("checkpointLocation", scratch(spark, "offsets")))
     rows = [spark.read.parquet(f"{target}/{d}").select("drive", "usn", "kind", "reason", "name") for d in "CD"]
     return rows[0].unionByName(rows[1])
 

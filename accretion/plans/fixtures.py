@@ -14,6 +14,8 @@ PRUNE_BYTES, PRUNE_DEPTH, BUCKET_BYTES, FILE_BYTES, RECENT_BYTES = 64_000_000, 3
 BOUNDARY = 4
 #: Deleted files of each drive whose sizes are looked up: the operator's limit.
 ENRICHED = 300
+#: Events of a batch of the binary journal's streams.
+BATCH_EVENTS = 400_000
 RULES = (("1-urgent", "urgentOrders", "review"), ("automobile", "automobileTrade", "safe"), ("c1", "customersOne", "careful"))
 #: (id, taken_at, method, complete, note) of drive C:
 SNAPSHOTS = (

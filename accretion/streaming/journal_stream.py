@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from accretion import files
 from accretion.functions import reasons as R
@@ -93,7 +94,20 @@ def sink(target: str):
             new = batch.join(held, ["drive", "usn"], "left_anti")
         else:
             new = batch
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(target)
+        # by day, not a file of each day from each task
+        new.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(target)
         batch.unpersist()
 
     return put
+
+
+def drain(writer: DataStreamWriter) -> None:
+    """Runs a stream, batch after batch, until it has taken in all that is there.
+
+    For sources written in Python, which can't tell Spark where the end is: with availableNow the end is that of their first batch.
+    """
+    query = writer.start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()

@@ -1,6 +1,10 @@
 """What goes wrong only in larger tables, on small ones that have it."""
 
-from accretion.plans import catalogue
+import duckdb
+
+from accretion.plans import catalogue, fixtures as X
+
+from .conftest import DATA
 
 
 def test_sizes_beyond_64_bits(spark, tmp_path):
@@ -12,3 +16,12 @@ def test_sizes_beyond_64_bits(spark, tmp_path):
     assert {k: r.unit for k, r in got.items()} == {k: "TB" if k in exact else None for k in keys}
     assert {k: r.thousandths for k, r in got.items() if k in exact} == {k: int(float(n) / 1024.0**4 * 1000 // 1) for k, n in exact.items()}
     assert got[9].thousandths is None
+
+
+def test_batches_after_the_first(spark, monkeypatch):
+    monkeypatch.setattr(X, "BATCH_EVENTS", 1)  # a segment each
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{DATA}/sf0.01/events.parquet'")
+    want = con.execute(catalogue.ORACLES["journal_stream_binary"]).fetchall()
+    got = catalogue.QUERIES["journal_stream_binary"](spark, f"{DATA}/sf0.01").select("drive", "usn", "kind", "reason", "name").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
