@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from accretion.functions import paths as P
 from accretion.functions import stamps as S
 from accretion.operators import tree
+from accretion.scratch import saved
 
 NOW_ENTRIES, NOW_HISTORY, NOW_EVENTS = 996710400.0, 917870400.0, 1706659200.0  # 2001-08-02, 1999-02-01 12:00, 2024-01-31
 PRUNE_BYTES, PRUNE_DEPTH, BUCKET_BYTES, FILE_BYTES, RECENT_BYTES = 64_000_000, 3, 20_000_000, 40_000_000, 10_000_000
@@ -141,22 +142,32 @@ def day_sql(ts: str) -> str:
     return f"strftime(make_timestamp(({ts}*1000000)::BIGINT), '%Y-%m-%d')"
 
 
-def dir_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rolled-up directories as records of an adjacency list, with a cycle of three and a directory whose parent is gone."""
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, record) of the rolled-up directories but the root. Numbers go up by task, so none needs one task and none meet; even ones are left to directories."""
     rows = tree.rollup(entries(spark, sf_dir), NOW_ENTRIES).where("path <> ''").select("path")
-    # a dense number would need one task; a hash within 40 bits serves as well
-    ident = lambda c: F.when(c == "", F.lit(5)).otherwise(F.conv(F.substring(F.md5(c), 1, 10), 16, 10).cast("long") + 1000)
-    real = rows.select(ident(F.col("path")).alias("record"), ident(P.parent("path")).alias("parent"), P.basename("path").alias("name"))
+    return saved(rows.withColumn("record", F.monotonically_increasing_id() * 2 + 1000), "numbered")
+
+
+def _below(rows: DataFrame, dirs: DataFrame) -> DataFrame:
+    """rows with their parents' records, 5 below the root."""
+    up = dirs.select(F.col("path").alias("above"), F.col("record").alias("up"))
+    return rows.withColumn("above", P.parent("path")).join(up, "above", "left").withColumn("parent", F.when(F.col("above") == "", F.lit(5)).otherwise(F.col("up")).cast("long"))
+
+
+def dir_ids(spark: SparkSession, sf_dir: str, dirs: DataFrame | None = None) -> DataFrame:
+    """The rolled-up directories as records of an adjacency list, with a cycle of three and a directory whose parent is gone."""
+    dirs = _numbered(spark, sf_dir) if dirs is None else dirs
+    real = _below(dirs, dirs).select("record", "parent", P.basename("path").alias("name"))
     odd = spark.createDataFrame([(101, 102, "x"), (102, 103, "y"), (103, 101, "z"), (104, 103, "below"), (105, 999, "lost"), (106, 105, "under")], "record long, parent long, name string")
     return real.unionByName(odd)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rolled-up directories and their files as decoded records, with a file of the file system's own and one whose directory is gone."""
-    ident = lambda c: F.when(c == "", F.lit(5)).otherwise(F.conv(F.substring(F.md5(c), 1, 10), 16, 10).cast("long") + 1000)
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
-    dirs = dir_ids(spark, sf_dir).select("record", "parent", "name", F.lit(True).alias("is_dir"), F.lit(0).cast("long").alias("bytes"))
-    files = entries(spark, sf_dir).select(ident(F.col("path")).alias("record"), ident(P.parent("path")).alias("parent"), P.basename("path").alias("name"), "is_dir", "bytes")
+    numbers = _numbered(spark, sf_dir)
+    dirs = dir_ids(spark, sf_dir, numbers).select("record", "parent", "name", F.lit(True).alias("is_dir"), F.lit(0).cast("long").alias("bytes"))
+    files = _below(entries(spark, sf_dir), numbers).select((F.col("key") * 2 + 1001).alias("record"), "parent", P.basename("path").alias("name"), "is_dir", "bytes")
     odd = spark.createDataFrame([(6, 5, "$Bitmap", False, 4096), (900, 999, "lost.bin", False, 77)], "record long, parent long, name string, is_dir boolean, bytes long")
     return dirs.unionByName(files).unionByName(odd).select("*", *none("double", "created", "modified"), *none("long", "attributes"))
 

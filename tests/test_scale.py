@@ -1,7 +1,10 @@
 """What goes wrong only in larger tables, on small ones that have it."""
 
+import hashlib
+
 import duckdb
 
+from accretion.operators import filetable
 from accretion.plans import catalogue, fixtures as X
 
 from .conftest import DATA
@@ -25,3 +28,20 @@ def test_batches_after_the_first(spark, monkeypatch):
     want = con.execute(catalogue.ORACLES["journal_stream_binary"]).fetchall()
     got = catalogue.QUERIES["journal_stream_binary"](spark, f"{DATA}/sf0.01").select("drive", "usn", "kind", "reason", "name").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_numbers_of_directories_differ(spark, monkeypatch):
+    seen, paths = {}, None
+    for k in range(4_000_000):  # two names whose hashes have the same 40 bits
+        at = hashlib.md5(f"d{k}".encode()).hexdigest()[:10]
+        if at in seen:
+            paths = [f"d{seen[at]}", f"d{k}"]
+            break
+        seen[at] = k
+    rows = spark.createDataFrame([(f"{p}\\f{i}", False, 10 + i, 0.0, 0.0, None, i) for i, p in enumerate(paths)], "path string, is_dir boolean, bytes long, created double, modified double, deleted_at double, key long")
+    monkeypatch.setattr(X, "entries", lambda spark, sf: rows)
+    records = X.records(spark, "")
+    found = filetable.resolved_paths(records.where("is_dir").select("record", "parent", "name"))
+    got = filetable.as_entries(records, found).select("path", "is_dir", "bytes").collect()
+    assert sorted(map(tuple, got)) == sorted([(p, True, 0) for p in paths] + [(f"{p}\\f{i}", False, 10 + i) for i, p in enumerate(paths)])
+    assert records.groupBy("record").count().where("count > 1").count() == 0
