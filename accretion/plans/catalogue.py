@@ -599,14 +599,9 @@ def mft_extension_merge(spark, sf):
 
 @query(f"WITH {X.EVENTS} SELECT usn, usn AS file, (usn % 1000)::BIGINT AS parent, floor(timestamp)::DOUBLE AS timestamp, reason, is_dir, name FROM ev")
 def usn_decode(spark, sf):
-    from accretion.sources import ntfs
-    from accretion.sources.readers import EVENTS, event_batch
+    from accretion.sources.readers import EVENTS, decoded
 
-    def run(batches):
-        for b in batches:
-            yield event_batch([e for blob in b.column("content").to_pylist() for e in ntfs.journal_events(blob)[1]])
-
-    return X.usn_buffers(X.events(spark, sf)).mapInArrow(run, EVENTS).select("usn", "file", "parent", "timestamp", "reason", "is_dir", "name")
+    return X.usn_buffers(X.events(spark, sf)).mapInArrow(decoded, EVENTS).select("usn", "file", "parent", "timestamp", "reason", "is_dir", "name")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey%5=0 THEN NULL ELSE 3 END::BIGINT AS runs, CASE WHEN p_partkey%5=0 THEN NULL ELSE p_size + p_size*300 END::BIGINT AS on_disk, CASE WHEN p_partkey%5=0 THEN NULL ELSE p_size*2 + p_size*300 END::BIGINT AS clusters,

@@ -189,11 +189,16 @@ def walked(spark: SparkSession, root: str, budget: int = 5000, tasks: int | None
 def journal_buffers(spark: SparkSession, path: str) -> DataFrame:
     """Events of files that each hold one journal buffer."""
 
-    def run(batches: Iterator) -> Iterator:
-        for b in batches:
-            yield event_batch([e for blob in b.column("content").to_pylist() for e in ntfs.journal_events(blob)[1]])
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decoded, EVENTS)
+
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, EVENTS)
+def decoded(batches: Iterator) -> Iterator:
+    """Events of batches with buffers in column content; of no more than one buffer at a time, handed on in batches of CHUNK."""
+    for b in batches:
+        for blob in b.column("content"):
+            events = ntfs.journal_events(blob.as_py() or b"")[1]
+            for i in range(0, len(events), CHUNK):
+                yield event_batch(events[i : i + CHUNK])
 
 
 def event_batch(rows: list[dict]):

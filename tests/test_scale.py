@@ -3,9 +3,11 @@
 import hashlib
 
 import duckdb
+import pyarrow as pa
 
 from accretion.operators import filetable
 from accretion.plans import catalogue, fixtures as X
+from accretion.sources import readers
 
 from .conftest import DATA
 
@@ -45,3 +47,9 @@ def test_numbers_of_directories_differ(spark, monkeypatch):
     got = filetable.as_entries(records, found).select("path", "is_dir", "bytes").collect()
     assert sorted(map(tuple, got)) == sorted([(p, True, 0) for p in paths] + [(f"{p}\\f{i}", False, 10 + i) for i, p in enumerate(paths)])
     assert records.groupBy("record").count().where("count > 1").count() == 0
+
+
+def test_buffers_are_decoded_one_by_one():
+    blob = b"\0" * 8 + b"".join(X.usn_record(k, k, 5, 0, 2, 0, "name") for k in range(10_000))
+    made = readers.decoded(iter([pa.RecordBatch.from_pylist([{"content": blob}] * 3 + [{"content": None}])]))
+    assert [b.num_rows for b in made] == [readers.CHUNK, 10_000 - readers.CHUNK] * 3
