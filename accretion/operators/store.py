@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from accretion import files
 from accretion.functions import stamps as S
+from accretion.scratch import saved
 
 from . import buckets as B
 from . import journal as J
@@ -80,12 +81,16 @@ class Store:
         """Roll entries up and keep them as a snapshot, in place of one with this id. limits: keyword arguments of prune, select_files and age_buckets."""
         limits = limits or {}
         tag = {"drive": F.lit(drive), "snapshot_id": F.lit(snapshot_id).cast("long")}
-        dirs = tree.prune(tree.rollup(entries, taken_at), **limits.get("prune", {}))
+        # used many times, and sorting by range reads its rows twice: each is made once, and is a table from then on
+        entries = saved(entries, "entries")
+        dirs = saved(tree.prune(saved(tree.rollup(entries, taken_at), "rollup"), **limits.get("prune", {})), "dirs")
         parts = self._write(dirs.withColumns(tag), "dirs")
         # entries that repeat a path are one file, the largest
         once = entries.where("NOT is_dir").groupBy("path").agg(F.max_by(F.struct(*[c for c in entries.columns if c != "path"]), "bytes").alias("row")).select("path", "row.*")
-        parts += self._write(tree.select_files(once, taken_at, **limits.get("select_files", {})).withColumns(tag), "files")
-        parts += self._write(B.age_buckets(entries, **limits.get("age_buckets", {})).withColumns(tag), "age_buckets")
+        chosen = saved(tree.select_files(once, taken_at, **limits.get("select_files", {})), "files")
+        parts += self._write(chosen.withColumns(tag), "files")
+        buckets = saved(B.age_buckets(entries, **limits.get("age_buckets", {})), "buckets")
+        parts += self._write(buckets.withColumns(tag), "age_buckets")
         head = tree.totals(entries).select(
             F.lit(snapshot_id).cast("long").alias("id"), F.lit(drive).alias("drive"), F.lit(float(taken_at)).alias("taken_at"), F.lit(method).alias("method"), F.lit(True).alias("complete"), F.lit(note).cast("string").alias("note"),
             F.col("total_bytes").alias("scanned_bytes"), "file_count", "dir_count",

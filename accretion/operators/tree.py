@@ -66,9 +66,11 @@ def prune(dirs: DataFrame, min_bytes: int = KEEP_BYTES, max_depth: int = KEEP_DE
     by = list(by)
     keep = (F.col("path") == "") | (F.col("bytes") >= min_bytes) | (F.col("depth") <= max_depth)
     kept = dirs.where(keep)
-    lost = dirs.where(~keep).select(*by, "path", "own_bytes", F.posexplode(P.ancestors("path")).alias("at", "up"))
-    nearest = lost.join(kept.select(*by, F.col("path").alias("up")), [*by, "up"]).groupBy(*by, "path", "own_bytes").agg(F.max_by("up", "at").alias("home"))
-    folds = nearest.groupBy(*by, F.col("home").alias("path")).agg(F.count(F.lit(1)).alias("folded_children"), F.sum("own_bytes").alias("folded_bytes"))
+    # siblings have one home, so each parent is looked up once; only few rows meet at the root then
+    lost = dirs.where(~keep).groupBy(*by, P.parent("path").alias("path")).agg(F.count(F.lit(1)).alias("n"), F.sum("own_bytes").alias("own"))
+    spread = lost.select(*by, "path", "n", "own", F.explode(P.ancestors_and_self("path")).alias("up"))
+    nearest = spread.join(kept.select(*by, F.col("path").alias("up")), [*by, "up"]).groupBy(*by, "path", "n", "own").agg(F.max_by("up", F.length("up")).alias("home"))
+    folds = nearest.groupBy(*by, F.col("home").alias("path")).agg(F.sum("n").alias("folded_children"), F.sum("own").alias("folded_bytes"))
     out = kept.join(folds, [*by, "path"], "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("folded_children", "folded_bytes")})
 

@@ -191,7 +191,7 @@ def filled_store(spark: SparkSession, sf_dir: str):
     from accretion.operators.store import Store
     from accretion.scratch import scratch
 
-    store, rows = Store(spark, scratch(spark, "store")), snap_entries(spark, sf_dir)
+    store, rows = Store(spark, scratch(spark, "store")), saved(snap_entries(spark, sf_dir).where("snapshot_id IN (4, 5)"), "entries")
     limits = {"prune": {"min_bytes": PRUNE_BYTES, "max_depth": PRUNE_DEPTH}, "select_files": {"min_bytes": FILE_BYTES, "recent_bytes": RECENT_BYTES}, "age_buckets": {"min_bytes": BUCKET_BYTES}}
     for i in (4, 5):
         store.commit(rows.where(F.col("snapshot_id") == i).drop("snapshot_id"), i, "C:", TAKEN[i], "mft", limits=limits)

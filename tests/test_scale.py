@@ -6,6 +6,7 @@ import duckdb
 import pyarrow as pa
 
 from accretion.operators import filetable
+from accretion.operators.store import Store
 from accretion.plans import catalogue, fixtures as X
 from accretion.sources import readers
 
@@ -53,3 +54,19 @@ def test_buffers_are_decoded_one_by_one():
     blob = b"\0" * 8 + b"".join(X.usn_record(k, k, 5, 0, 2, 0, "name") for k in range(10_000))
     made = readers.decoded(iter([pa.RecordBatch.from_pylist([{"content": blob}] * 3 + [{"content": None}])]))
     assert [b.num_rows for b in made] == [readers.CHUNK, 10_000 - readers.CHUNK] * 3
+
+
+def test_commit_makes_its_entries_once(spark, tmp_path):
+    schema, seen = "path string, is_dir boolean, bytes long, created double, modified double", str(tmp_path / "seen")
+
+    def run(batches):
+        for b in batches:
+            with open(seen, "a") as f:
+                f.write("x")
+            yield b
+
+    rows = spark.createDataFrame([(f"a\\b{i}\\c", False, 1 << 30, 9e8, 9e8) for i in range(9)], schema).coalesce(1).mapInArrow(run, schema)
+    store = Store(spark, str(tmp_path / "store"))
+    store.commit(rows, 1, "C:", 1e9, "mft")
+    assert open(seen).read() == "x"
+    assert store.read("files").count() == 9 and store.read("dirs").count() == 11
